@@ -237,7 +237,12 @@ def timing_sql(src: str, where: str = "") -> str:
     return TIMING.format(src=src, where=where)
 
 
-CORR = """cor AS (
+def corr_sql(src: str = "liw") -> str:
+    """CTE cm: mean absolute correlation of each of the four signals of a wide CTE."""
+    return _CORR.replace("FROM liw", f"FROM {src}")
+
+
+_CORR = """cor AS (
   SELECT recording_id, unnest([{'a': 'quantity', 'b': 'price', 'r': abs(corr(quantity, price))},
     {'a': 'quantity', 'b': 'discount', 'r': abs(corr(quantity, discount))},
     {'a': 'quantity', 'b': 'tax', 'r': abs(corr(quantity, tax))}, {'a': 'price', 'b': 'discount', 'r': abs(corr(price, discount))},
@@ -246,3 +251,11 @@ CORR = """cor AS (
 cm AS (
   SELECT recording_id, signal, avg(r) AS cm FROM (
     SELECT recording_id, c.a AS signal, c.r AS r FROM cor UNION ALL SELECT recording_id, c.b, c.r FROM cor) GROUP BY ALL)"""
+
+CORR = corr_sql()
+
+
+def pivot_sql(src: str, dst: str) -> str:
+    return f"""{dst} AS (SELECT recording_id, idx, max(value) FILTER (signal = 'quantity') AS quantity,
+  max(value) FILTER (signal = 'price') AS price, max(value) FILTER (signal = 'discount') AS discount,
+  max(value) FILTER (signal = 'tax') AS tax FROM {src} GROUP BY ALL)"""

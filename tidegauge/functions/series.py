@@ -55,12 +55,16 @@ class Series:
     def with_column(self, name: str, c: Column) -> "Series":
         return self.on(self.df.withColumn(name, c))
 
-    def fan_out(self, name: str, variants: dict[str, Column], into: str = "value", drop=()) -> "Series":
-        """One copy of every series per variant, keyed by the variant's name."""
-        pairs = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in variants.items()])
-        rest = [c for c in self.df.columns if c not in (into, name, *drop)]
-        out = self.df.select(*rest, F.explode(pairs).alias("_f"))
-        out = out.select(*rest, F.col("_f.k").alias(name), F.col("_f.v").alias(into))
+    def fan_out(self, name: str, variants: dict[str, dict[str, Column]]) -> "Series":
+        """One copy of every series per variant, keyed by the variant's name.
+
+        Each variant gives the columns that differ; the rows stay where they are.
+        """
+        into = list(next(iter(variants.values())))
+        copies = F.array(*[F.struct(F.lit(k).alias("k"), *[v[c].alias(c) for c in into]) for k, v in variants.items()])
+        rest = [c for c in self.df.columns if c not in (*into, name)]
+        out = self.df.select(*rest, F.explode(copies).alias("_f"))
+        out = out.select(*rest, F.col("_f.k").alias(name), *[F.col("_f." + c).alias(c) for c in into])
         return replace(self, df=out, keys=(*self.keys, name), groups=self.groups * len(variants))
 
     def cut(self) -> "Series":
