@@ -183,14 +183,14 @@ def _by_column(quantiles):
 
 
 def ordered_index(df: DataFrame, keys, order, lead: Column, longest: int, groups: int,
-                  block: int = BLOCK_ROWS) -> DataFrame:
-    """Add idx = 0, 1, … in the given order.
+                  block: int = BLOCK_ROWS, name: str = "idx") -> DataFrame:
+    """Add a column (idx) that counts 0, 1, … in the given order.
 
     ``lead`` is the leading order column as a number. Long groups are cut into
     ranges of it, numbered inside each range, and shifted by the rows before.
     """
     if longest <= block:
-        return df.withColumn("idx", F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+        return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
     base = cut(df.withColumn("_x", lead.cast("double")))
     span = (base.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_up"), F.count(F.lit(1)).alias("_n"))
             .filter((F.col("_n") > block) & (F.col("_up") > F.col("_lo"))))
@@ -202,4 +202,4 @@ def ordered_index(df: DataFrame, keys, order, lead: Column, longest: int, groups
              .select(*keys, "_rng", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start")))
     row = F.row_number().over(W.partitionBy(*keys, "_rng").orderBy(*order)).cast("long") - 1
     return (base.withColumn("_row", row).join(start, [*keys, "_rng"])
-            .withColumn("idx", F.col("_row") + F.col("_start")).drop("_row", "_start", "_rng"))
+            .withColumn(name, F.col("_row") + F.col("_start")).drop("_row", "_start", "_rng"))

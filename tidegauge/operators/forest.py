@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.functions.scalar import uniform
 from tidegauge.functions.series import Series
+from tidegauge.operators.profile import fill_columns
 from tidegauge.settings import small
 
 TREES = 150
@@ -23,19 +23,6 @@ SPREAD = 256
 BROADCAST_FORESTS = 100
 
 
-def fill_rows(s: Series, signals: list[str]) -> Series:
-    """Complete wide rows: index interpolation, then the median, then zero."""
-    here = {c: F.when(F.col(c).isNotNull(), F.struct("idx", F.col(c).alias("v"))) for c in signals}
-    s = s.scan(last={f"_p_{c}": h for c, h in here.items()}, first={f"_n_{c}": h for c, h in here.items()})
-    s = s.stats(quantiles={f"_m_{c}": (F.col(c), 0.5) for c in signals})
-    cols = []
-    for c in signals:
-        p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
-        inner = (n["v"] - p["v"]) / (n["idx"] - p["idx"]) * (F.col("idx") - p["idx"]) + p["v"]
-        cols.append(F.coalesce(F.col(c), inner, p["v"], n["v"], F.col(f"_m_{c}"), F.lit(0.0)).alias(c))
-    return s.on(s.df.select(*s.keys, "idx", *cols))
-
-
 def average_path(n):
     """Mean depth of an unsuccessful search among n points."""
     n = np.asarray(n, dtype=float)
@@ -43,61 +30,99 @@ def average_path(n):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, big))
 
 
-def _grow(x: np.ndarray, rng, depth: int, limit: int, nodes: list) -> int:
-    at = len(nodes)
-    nodes.append(None)
-    spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) > 1 else ()
-    if depth >= limit or len(spread) == 0:
-        nodes[at] = (-1, 0.0, -1, -1, depth + float(average_path(len(x))))
-        return at
-    f = int(rng.choice(spread))
-    cut = rng.uniform(x[:, f].min(), x[:, f].max())
-    under = x[:, f] <= cut
-    if under.all():
-        under = x[:, f] < x[:, f].max()
-    left = _grow(x[under], rng, depth + 1, limit, nodes)
-    right = _grow(x[~under], rng, depth + 1, limit, nodes)
-    nodes[at] = (f, float(cut), left, right, 0.0)
-    return at
+def _random(seed: np.ndarray, salt: int) -> np.ndarray:
+    """Uniform numbers from 64-bit keys; the same key gives the same number anywhere."""
+    with np.errstate(over="ignore"):
+        z = seed + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        z = z ^ (z >> np.uint64(31))
+    return (z >> np.uint64(11)).astype(float) / 2.0 ** 53
+
+
+def grow(samples: list[np.ndarray], keys: np.ndarray, limit: int) -> np.ndarray:
+    """Many trees at once, level by level, as an array (tree, node, 3).
+
+    Nodes are numbered like a heap from 1; the three numbers are the split
+    signal (-1 in a leaf), the cut, and the path length of a leaf.
+    """
+    trees, size = len(samples), 2 ** (limit + 1)
+    out = np.full((trees, size, 3), [-1.0, 0.0, 0.0])
+    x = np.concatenate(samples)
+    tree = np.repeat(np.arange(trees), [len(v) for v in samples])
+    node = np.ones(len(x), dtype=np.int64)
+    live = np.arange(len(x))
+    for depth in range(limit + 1):
+        group = tree[live] * size + node[live]
+        live = live[np.argsort(group, kind="stable")]
+        group = tree[live] * size + node[live]
+        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        count = np.diff(np.r_[start, len(live)])
+        t, n = tree[live[start]], node[live[start]]
+        low, high = np.minimum.reduceat(x[live], start), np.maximum.reduceat(x[live], start)
+        spread = high > low
+        splits = spread.any(axis=1) & (count > 1) & (depth < limit)
+        out[t, n, 2] = np.where(splits, 0.0, depth + average_path(count))
+        if not splits.any():
+            break
+        key = keys[t] + n.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
+        # A uniform draw among the signals that vary in the node.
+        draw = np.floor(_random(key, 1) * np.maximum(spread.sum(axis=1), 1)).astype(int)
+        f = np.argmax(np.cumsum(spread, axis=1) > draw[:, None], axis=1)
+        row = np.arange(len(start))
+        lo, hi = low[row, f], high[row, f]
+        cut = lo + _random(key, 2) * (hi - lo)
+        cut = np.where(cut >= hi, lo, cut)
+        out[t[splits], n[splits], 0] = f[splits]
+        out[t[splits], n[splits], 1] = cut[splits]
+        which = np.repeat(row, count)
+        goes_on = splits[which]
+        live, which = live[goes_on], which[goes_on]
+        node[live] = 2 * node[live] + (x[live, f[which]] > cut[which])
+    return out
 
 
 def _tree_udf(width: int):
-    """A tree as one flat list: the number of nodes, then five numbers per node."""
+    """A tree as one flat list: its number of nodes, then three numbers per node."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def build(rows: pd.Series, seed: pd.Series) -> pd.Series:
-        out = []
-        for sample, key in zip(rows, seed):
-            x = np.asarray(sample, dtype=float).reshape(-1, width)
-            rng = np.random.default_rng(int(hashlib.md5(key.encode()).hexdigest()[:15], 16))
-            nodes: list = []
-            _grow(x, rng, 0, int(np.ceil(np.log2(max(len(x), 2)))), nodes)
-            out.append(np.concatenate([[float(len(nodes))], np.asarray(nodes, dtype=float).ravel()]))
+        samples = [np.asarray(r, dtype=float).reshape(-1, width) for r in rows]
+        keys = np.array([int(hashlib.md5(k.encode()).hexdigest()[:16], 16) for k in seed], dtype=np.uint64)
+        limits = np.array([int(np.ceil(np.log2(max(len(x), 2)))) for x in samples])
+        out: list = [None] * len(samples)
+        for limit in np.unique(limits):
+            pick = np.flatnonzero(limits == limit)
+            nodes = grow([samples[i] for i in pick], keys[pick], int(limit))
+            for i, tree in zip(pick, nodes):
+                out[i] = np.concatenate([[float(len(tree))], tree.ravel()])
         return pd.Series(out)
     return build
 
 
-def _path_lengths(x: np.ndarray, forest: np.ndarray) -> np.ndarray:
+def path_lengths(x: np.ndarray, forest: np.ndarray) -> np.ndarray:
     """Mean path length of each row over all trees of a flat forest."""
-    depth, trees, at = np.zeros(len(x)), 0, 0
-    while at < len(forest):
-        size = int(forest[at])
-        node = forest[at + 1:at + 1 + 5 * size].reshape(size, 5)
-        at += 1 + 5 * size
-        f, left, right = (node[:, k].astype(int) for k in (0, 2, 3))
-        here = np.zeros(len(x), dtype=int)
-        while (live := np.flatnonzero(f[here] >= 0)).size:
-            n = here[live]
-            here[live] = np.where(x[live, f[n]] <= node[n, 1], left[n], right[n])
-        depth += node[here, 4]
-        trees += 1
-    return depth / max(trees, 1)
+    size = int(forest[0])
+    nodes = forest.reshape(-1, 1 + 3 * size)[:, 1:].reshape(-1, size, 3)
+    f = np.ascontiguousarray(nodes[:, :, 0]).astype(np.int32).ravel()
+    cut, length = np.ascontiguousarray(nodes[:, :, 1]).ravel(), np.ascontiguousarray(nodes[:, :, 2]).ravel()
+    # A leaf points to itself, so every row takes the same number of steps.
+    here = np.arange(len(f), dtype=np.int32)
+    first = (here // size) * size
+    left = np.where(f >= 0, first + 2 * (here - first), here).astype(np.int32)
+    step = (f >= 0).astype(np.int32)
+    f = np.maximum(f, 0)
+    flat, offset = np.ascontiguousarray(x).ravel(), (np.arange(len(x), dtype=np.int32) * x.shape[1])[:, None]
+    at = np.broadcast_to(np.arange(len(nodes), dtype=np.int32) * size + 1, (len(x), len(nodes)))
+    for _ in range(int(np.log2(size))):
+        at = left.take(at) + step.take(at) * (flat.take(offset + f.take(at)) > cut.take(at))
+    return length.take(at).mean(axis=1)
 
 
 def _score_udf(width: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(rows: pd.Series, forest: pd.Series, size: pd.Series) -> pd.Series:
         return pd.Series([
-            2.0 ** (-_path_lengths(np.asarray(r, dtype=float).reshape(-1, width), np.asarray(t, dtype=float))
+            2.0 ** (-path_lengths(np.asarray(r, dtype=float).reshape(-1, width), np.asarray(t, dtype=float))
                     / max(float(average_path(n)), 1e-12)) for r, t, n in zip(rows, forest, size)])
     return score
 
@@ -111,9 +136,10 @@ def forests(s: Series, signals: list[str], seed: int = 42) -> DataFrame:
     keys = list(s.keys)
     size = s.df.groupBy(*keys).agg((F.max("idx") + 1).alias("n")).filter(F.col("n") >= MIN_ROWS)
     m = F.least(F.lit(SAMPLE), F.col("n"))
-    pick = (size.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
+    tasks = int(s.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pick = (size.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).repartition(tasks, *keys, "tree")
             .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), m - 1))))
-    move = uniform(F.lit(seed), *[F.col(k) for k in keys], F.col("tree"), F.col("j"))
+    move = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys, "tree", "j"), 11) / F.lit(float(2**53))
     pick = pick.withColumn("idx", F.floor((F.col("j") + F.when(F.col("n") > SAMPLE, move).otherwise(0.0)) * F.col("n") / m))
     pick = pick.withColumn("idx", F.least(F.col("idx"), F.col("n") - 1)).drop("j")
     x = F.array(*[F.col(c) for c in signals])
@@ -121,6 +147,8 @@ def forests(s: Series, signals: list[str], seed: int = 42) -> DataFrame:
     sample = (pick.join(rows, [*keys, "idx"]).groupBy(*keys, "tree", "n")
               .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("idx", "x"))), lambda r: r["x"])).alias("rows")))
     name = F.concat_ws(":", F.lit(str(seed)), *[F.col(k) for k in keys], F.col("tree").cast("string"))
+    # The samples are few bytes but much work: keep them spread over the tasks.
+    sample = sample.repartition(tasks, *keys, "tree")
     trees = sample.select(*keys, "n", "tree", _tree_udf(len(signals))("rows", name).alias("nodes"))
     return trees.groupBy(*keys, "n").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("tree", "nodes"))), lambda r: r["nodes"])).alias("forest"))
@@ -129,12 +157,13 @@ def forests(s: Series, signals: list[str], seed: int = 42) -> DataFrame:
 def row_scores(s: Series, signals: list[str], seed: int = 42) -> DataFrame:
     """(keys, idx, score): 0.5 and below is ordinary."""
     keys = list(s.keys)
-    filled = fill_rows(s, signals)
+    filled = fill_columns(s, signals)
     if filled.blocked:
         filled = filled.cut()
     forest = forests(filled, signals, seed)
     x = F.array(*[F.col(c) for c in signals])
-    chunks = (filled.df.groupBy(*keys, F.floor(F.col("idx") / CHUNK).alias("_c"))
+    tasks = int(s.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = (filled.df.withColumn("_c", F.floor(F.col("idx") / CHUNK)).repartition(tasks, *keys, "_c").groupBy(*keys, "_c")
               .agg(F.sort_array(F.collect_list(F.struct("idx", x.alias("x")))).alias("rows")))
     if s.groups <= BROADCAST_FORESTS:
         both = chunks.join(small(forest, s.groups), keys)

@@ -43,6 +43,20 @@ def fill_by_index(s: Series) -> Series:
                          .otherwise(F.coalesce(p["value"], n["value"])))
 
 
+def fill_columns(s: Series, columns: list[str]) -> Series:
+    """The named columns made complete: by row number, then the median, then zero."""
+    here = {c: F.when(F.col(c).isNotNull(), F.struct("idx", F.col(c).alias("v"))) for c in columns}
+    keep = [c for c in s.df.columns if c not in columns]
+    s = s.scan(last={f"_p_{c}": h for c, h in here.items()}, first={f"_n_{c}": h for c, h in here.items()})
+    cols = []
+    for c in columns:
+        p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
+        inner = (n["v"] - p["v"]) / (n["idx"] - p["idx"]) * (F.col("idx") - p["idx"]) + p["v"]
+        # An edge takes the nearest value, so only a column without any value is left; its median is none too.
+        cols.append(F.coalesce(F.col(c), inner, p["v"], n["v"], _zero()).alias(c))
+    return s.on(s.df.select(*keep, *cols))
+
+
 def gap_columns(s: Series, fs: Column, rows: str = "n_rows", last_t: str = "last_t") -> Series:
     """At the first row of every gap: its samples and its duration.
 
