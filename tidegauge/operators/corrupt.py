@@ -69,7 +69,11 @@ def inject(s: Series, kind: str, severity: float, seed: int = 42) -> Series:
         jump = v + _sign(draw(s, seed, "sign", idx)) * size * scale
         return _finish(s, keep, F.when(hit, jump).otherwise(v), hit)
     if kind == "block_missing":
-        hit = F.exists(_blocks(s, _limit(severity, 0.0, 0.7), seed), lambda b: (idx >= b["start"]) & (idx < b["start"] + b["len"]))
+        # The block list is made once per series and then laid next to its rows.
+        side = s.summary({"n_rows": F.count(F.lit(1)), "_hi": F.max("idx")})
+        side = side.select(*s.keys, "_hi", _blocks(s, _limit(severity, 0.0, 0.7), seed).alias("_blocks"))
+        s = s.attach(side)
+        hit = F.exists("_blocks", lambda b: (idx >= b["start"]) & (idx < b["start"] + b["len"]))
         return _finish(s, keep, F.when(~hit, v), hit)
     if kind == "drift":
         length = F.greatest(F.lit(10), F.floor(n * F.lit(_limit(0.25 + severity, 0.2, 0.9))))

@@ -312,13 +312,19 @@ def signal_overview(s: Series, points: int = 48) -> DataFrame:
     })
 
 
-def evenly(idx: Column, rows: Column, points: int) -> Column:
+def evenly(idx: Column, rows: Column, points: Column | int) -> Column:
     """True for the rows picked by ``points`` evenly spaced positions, ends included.
 
-    Position j is floor(j (rows - 1) / (points - 1)); a row is picked when some j
-    lands on it, which is checked from the row itself.
+    Position j is floor(j (rows - 1) / (points - 1)). A row is picked when some j
+    lands on it; the row itself tells the only j that can, up to rounding.
     """
-    step = (rows - 1) / F.lit(float(points - 1))
-    j = F.ceil(idx / F.when(step > 0, step))
-    hit = (F.floor(j * step) == idx) & (j < points - 1)
-    return F.when(rows <= points, True).otherwise(F.coalesce(hit, F.lit(False)) | (idx == rows - 1))
+    points = F.lit(points) if isinstance(points, int) else points
+    step = (rows - 1) / F.when(points > 1, (points - 1).cast("double"))
+    near = F.round(idx / F.when(step > 0, step))
+    last = idx == rows - 1
+
+    def lands(j: Column) -> Column:
+        return (F.floor(j * step) == idx) & (j >= 0) & (j < points - 1)
+
+    hit = lands(near - 1) | lands(near) | lands(near + 1)
+    return F.when(rows <= points, True).when(points == 1, idx == 0).otherwise(F.coalesce(hit, F.lit(False)) | last)

@@ -177,3 +177,18 @@ def unit_guidance(s: Series, clock: str, names: list[str], column: str, duration
         *s.keys, unit.alias("unit"),
         F.when(F.col("_unit").isNotNull(), "verified").otherwise("unverified").alias("confidence"),
         (1.0 / (typical * unit_scale(unit))).alias("rate_hz"))
+
+
+def preferred_clock(s: Series, clocks: dict[str, Column]) -> DataFrame:
+    """(keys, column, valid): the first candidate that is complete and increasing, else the first one.
+
+    ``clocks`` lists the named candidates in order as seconds, NULL where the
+    unit is not known; a row number is never one of them.
+    """
+    names = list(clocks)
+    s = s.fan_out("column", {n: {"t": c} for n, c in clocks.items()})
+    d = diagnostics(s)
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("column"))
+    keys = [k for k in s.keys if k != "column"]
+    best = F.min_by(F.struct("column", "valid"), F.struct((~F.col("valid")).cast("int"), place))
+    return d.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.column", "b.valid")

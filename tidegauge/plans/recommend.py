@@ -149,9 +149,9 @@ def pilot_subset(grid: DataFrame, seed: str = "pilot", size: int = 25) -> DataFr
 def compact_grid(spec: DataFrame, alternatives: dict[str, list[str]], keys=("recording_id",), cap: int = 10) -> DataFrame:
     """Per recording: the first two methods of each stage, crossed, at most ``cap`` candidates."""
     out = spec
-    for i, stage in enumerate(("imputation", "outlier", "smoothing")):
+    for stage in ("imputation", "outlier", "smoothing"):
         alt = F.array(*[F.lit(a) for a in alternatives.get(stage, [])]).cast("array<string>")
-        two = F.slice(F.concat(F.array(stage), F.filter(alt, lambda a, s=stage: a != F.col(s))), 1, 2)
+        two = F.slice(F.concat(F.array(stage), F.array_except(alt, F.array(stage))), 1, 2)
         out = out.withColumn("_l" + stage, two)
     for stage in ("imputation", "outlier", "smoothing"):
         out = out.select(*[c for c in out.columns if c not in (stage, "_l" + stage)], F.posexplode("_l" + stage).alias("_p" + stage, stage))
