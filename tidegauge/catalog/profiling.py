@@ -232,10 +232,10 @@ def signal_measurements(spark, d):
     """Moments and the rolling range are shown in units of the standard deviation."""
     out = P.measurements(lines(spark, d), 50.0)
     var = F.col("central_moment_2")
-    out = (out.withColumn("central_moment_3", F.col("central_moment_3") / F.pow(var, F.lit(1.5)))
-           .withColumn("central_moment_4", F.col("central_moment_4") / F.pow(var, F.lit(2.0)))
-           .withColumn("central_moment_2", var / var))
-    out = out.withColumn("rolling_mean_range", F.col("rolling_mean_range") / F.col("sample_std"))
+    out = (out.withColumn("central_moment_3", F.try_divide("central_moment_3", F.pow(var, F.lit(1.5))))
+           .withColumn("central_moment_4", F.try_divide("central_moment_4", F.pow(var, F.lit(2.0))))
+           .withColumn("central_moment_2", F.try_divide(var, var)))
+    out = out.withColumn("rolling_mean_range", F.try_divide("rolling_mean_range", "sample_std"))
     return rounded(out)
 
 

@@ -30,6 +30,12 @@ def isclose(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Col
     return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), False).otherwise(near)
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over the rows where both are known; NULL when either is constant."""
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def uniform(*parts: Column | str) -> Column:
     """Uniform number in [0, 1) that depends only on the given values."""
     key = F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])

@@ -53,5 +53,5 @@ def spectral_shape(spectrum: DataFrame, keys) -> DataFrame:
     live = F.col("_tot") > 0
     return total.select(
         *keys,
-        F.when(live, entropy / F.ln(F.col("_bins"))).otherwise(0.0).alias("spectral_entropy"),
+        F.when(live, F.try_divide(entropy, F.ln(F.col("_bins").cast("double")))).otherwise(0.0).alias("spectral_entropy"),
         F.when(live, F.array_max("_p") / F.col("_tot")).otherwise(0.0).alias("dominant_frequency_ratio"))

@@ -44,8 +44,8 @@ def impute(s: Series, methods, max_gap: float | None = None, semantics: str = "a
     if "median" in methods:
         s = s.stats(quantiles={"_median": (v, 0.5)})
     rise = n["value"] - p["value"]
-    by_time = rise / (n["t"] - p["t"]) * (F.col("t") - p["t"]) + p["value"]
-    by_row = rise / (n["idx"] - p["idx"]) * (F.col("idx") - p["idx"]) + p["value"]
+    by_time = F.try_divide(rise, n["t"] - p["t"]) * (F.col("t") - p["t"]) + p["value"]
+    by_row = F.try_divide(rise, (n["idx"] - p["idx"]).cast("double")) * (F.col("idx") - p["idx"]) + p["value"]
     bench = semantics == "bench"
     guess = {
         "none": F.lit(None).cast("double"), "mean": lambda: F.col("_mean"), "median": lambda: F.col("_median"),

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalar import clip
+from tidegauge.functions.scalar import clip, pearson
 from tidegauge.functions.series import Series
 from tidegauge.functions.spectrum import spectral_shape, welch
 
@@ -72,11 +72,11 @@ def gap_columns(s: Series, fs: Column, rows: str = "n_rows", last_t: str = "last
 
 
 def skewness(n: Column, biased: Column) -> Column:
-    return biased * F.sqrt(n * (n - 1)) / (n - 2)
+    return F.try_divide(biased * F.sqrt(n * (n - 1)), (n - 2).cast("double"))
 
 
 def kurtosis(n: Column, biased: Column) -> Column:
-    return (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * biased + 6)
+    return F.try_divide((n - 1).cast("double"), ((n - 2) * (n - 3)).cast("double")) * ((n + 1) * biased + 6)
 
 
 def iqr_bounds(q1: Column, q3: Column, factor: float = 1.5) -> tuple[Column, Column]:
@@ -117,7 +117,7 @@ def _shape(s: Series) -> DataFrame:
         "iqr_rate": _rate(outside_iqr(_v(), F.col("q1"), F.col("q3"))),
         "mad_rate": _rate(outside_mad(_v(), F.col("med"), F.col("mad"))),
         "sk": F.skewness("value"), "ku": F.kurtosis("value"), "sd": F.stddev_pop("value"),
-        "lag1": F.corr(x, prev), "sd_diff": F.stddev_pop(x - prev), "sd_fill": F.stddev_pop(x),
+        "lag1": pearson(x, prev), "sd_diff": F.stddev_pop(x - prev), "sd_fill": F.stddev_pop(x),
         "sd_fill1": F.stddev_samp(x),
     }, {"run_p95": (F.col("gap_seconds"), 0.95)})
 
@@ -203,7 +203,7 @@ def pairwise_correlation(wide: DataFrame, signals: list[str], keys=("recording_i
     if not pairs:
         return wide.sparkSession.createDataFrame(
             [], wide.select(*keys).schema.add("signal_a", "string").add("signal_b", "string").add("r", "double"))
-    agg = wide.groupBy(*keys).agg(*[F.abs(F.corr(f"`{a}`", f"`{b}`")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    agg = wide.groupBy(*keys).agg(*[F.abs(pearson(F.col(f"`{a}`"), F.col(f"`{b}`"))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("signal_a"), F.lit(b).alias("signal_b"), F.col(f"c{i}").alias("r"))
                      for i, (a, b) in enumerate(pairs)])
     return agg.select(*keys, F.inline(rows))
