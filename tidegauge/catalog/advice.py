@@ -133,7 +133,7 @@ def clean_run_recommended(spark, d):
 
 @query("audit_record")
 def audit_record(spark, d):
-    s = cleaned(spark, d)
+    s = cleaned(spark, d).cut()
     before = C.profile_with_corr(C.as_values(s, "raw"), SIGNALS, 50.0)
     after = C.profile_with_corr(C.as_values(s, "physical"), SIGNALS, 50.0)
     scored = [Q.with_index(Q.with_components(P.aggregate_profile(p)), "energy") for p in (before, after)]

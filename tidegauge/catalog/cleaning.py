@@ -386,7 +386,7 @@ DELTAS = ["missing_rate", "outlier_iqr_rate", "local_volatility", "drift_score",
   SELECT recording_id, signal, {', '.join(f'round(a.{m}, 6) AS before_{m}, round(b.{m}, 6) AS after_{m}, round(b.{m} - a.{m}, 6) AS delta_{m}' for m in DELTAS)}
   FROM prof a JOIN zprof b USING (recording_id, signal)""")
 def profile_delta(spark, d):
-    s = cleaned(spark, d)
+    s = cleaned(spark, d).cut()
     before = C.profile_with_corr(C.as_values(s, "raw"), SIGNALS, 50.0)
     after = C.profile_with_corr(C.as_values(s, "physical"), SIGNALS, 50.0)
     out = C.profile_changes(before, after)

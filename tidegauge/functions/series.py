@@ -130,9 +130,9 @@ class Series:
         """One row per series."""
         quantiles = quantiles or {}
         if not self.blocked:
-            cols = [a.alias(n) for n, a in aggs.items()]
-            cols += [F.percentile(c, F.lit(p)).alias(n) for n, (c, p) in quantiles.items()]
-            return self.df.groupBy(*self.keys).agg(*cols)
+            groups = _by_column(quantiles)
+            out = self.df.groupBy(*self.keys).agg(*[a.alias(n) for n, a in aggs.items()], *[_together(g).alias(f"_pc{i}") for i, g in enumerate(groups)])
+            return out.select(*self.keys, *aggs, *_apart(groups))
         out = self.df.groupBy(*self.keys).agg(*[a.alias(n) for n, a in aggs.items()])
         for group in _by_column(quantiles):
             q = exact_quantiles(self.df, self.keys, group["column"], group["probs"], self.block,
@@ -146,9 +146,10 @@ class Series:
         aggs, quantiles = aggs or {}, quantiles or {}
         if not self.blocked:
             whole = W.partitionBy(*self.keys)
-            cols = [a.over(whole).alias(n) for n, a in aggs.items()]
-            cols += [F.percentile(c, F.lit(p)).over(whole).alias(n) for n, (c, p) in quantiles.items()]
-            return self.on(self.df.select("*", *cols))
+            groups = _by_column(quantiles)
+            out = self.df.select("*", *[a.over(whole).alias(n) for n, a in aggs.items()],
+                                 *[_together(g).over(whole).alias(f"_pc{i}") for i, g in enumerate(groups)])
+            return self.on(out.select(*self.df.columns, *aggs, *_apart(groups)))
         base = self.cut()
         side = base.summary({**aggs, "_hi": F.max("idx")}, quantiles)
         return base.attach(side)
@@ -182,6 +183,14 @@ def _by_column(quantiles):
     return groups
 
 
+def _together(group) -> Column:
+    return F.percentile(group["column"], F.array(*[F.lit(float(p)) for p in group["probs"].values()]))
+
+
+def _apart(groups) -> list[Column]:
+    return [F.get(f"_pc{i}", F.lit(j)).alias(n) for i, g in enumerate(groups) for j, n in enumerate(g["probs"])]
+
+
 def ordered_index(df: DataFrame, keys, order, lead: Column, longest: int, groups: int,
                   block: int = BLOCK_ROWS, name: str = "idx") -> DataFrame:
     """Add a column (idx) that counts 0, 1, … in the given order.

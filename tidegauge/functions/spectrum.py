@@ -12,18 +12,48 @@ SEGMENT = 256
 STEP = SEGMENT // 2
 
 
+def periodogram(x: np.ndarray) -> np.ndarray:
+    """One-sided power (up to a constant factor) of detrended, Hann-tapered rows."""
+    n = x.shape[-1]
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
+    power = np.abs(np.fft.rfft((x - x.mean(axis=-1, keepdims=True)) * taper)) ** 2
+    power[..., 1:(-1 if n % 2 == 0 else None)] *= 2
+    return power
+
+
+def segment_mean_power(x: np.ndarray) -> np.ndarray:
+    """Power averaged over the half-overlapping full segments of one short series."""
+    n = min(SEGMENT, len(x))
+    return periodogram(np.lib.stride_tricks.sliding_window_view(x, n)[::max(1, n // 2)]).mean(axis=0)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def segment_power(samples: pd.Series) -> pd.Series:
-    """One-sided periodogram (up to a constant factor) of each detrended segment."""
+    return pd.Series([periodogram(np.asarray(x, dtype=float)) for x in samples])
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("roll_range", "spectral_entropy", "dominant_frequency_ratio")]))
+def series_dynamics(samples: pd.Series, spectrum: pd.Series) -> pd.DataFrame:
+    """Range of the rolling mean over a tenth of the series, spectral entropy and strongest bin."""
     out = []
-    for x in samples:
-        x = np.asarray(x, dtype=float)
+    for x, wanted in zip(samples, spectrum):
+        x = np.array([np.nan if v is None else v for v in x], dtype=float)
         n = len(x)
-        taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
-        power = np.abs(np.fft.rfft((x - x.mean()) * taper)) ** 2
-        power[1:(-1 if n % 2 == 0 else None)] *= 2
-        out.append(power)
-    return pd.Series(out)
+        if n == 0 or np.isnan(x).any():
+            out.append((None, None, None))
+            continue
+        w = max(10, n // 10)
+        run = np.cumsum(x - x.mean())
+        early = np.concatenate([np.zeros(min(w, n)), run[:-w]]) if n > w else np.zeros(n)
+        mean = ((run - early) / np.minimum(w, np.arange(1, n + 1)))[max(5, w // 3) - 1:]
+        roll = float(mean.max() - mean.min()) if len(mean) else None
+        power = segment_mean_power(x) if wanted else np.zeros(1)
+        if power.sum() > 0 and len(power) > 1:
+            p = power / power.sum()
+            out.append((roll, float(-(p * np.log(p + 1e-12)).sum() / np.log(len(p))), float(p.max())))
+        else:
+            out.append((roll, 0.0, 0.0))
+    return pd.DataFrame(out, columns=["roll_range", "spectral_entropy", "dominant_frequency_ratio"], dtype=float)
 
 
 def welch(df: DataFrame, keys, value: str, length: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions.scalar import clip, pearson
 from tidegauge.functions.series import Series
-from tidegauge.functions.spectrum import spectral_shape, welch
+from tidegauge.functions.spectrum import series_dynamics, spectral_shape, welch
 
 MAD_SCALE = 0.67448975
 
@@ -97,13 +97,38 @@ def _rate(flag: Column) -> Column:
 
 
 def measured(s: Series, fs: Column) -> Series:
-    """Rows with everything the profile aggregates over, in one shuffle."""
+    """Rows with everything the profile aggregates over, in one shuffle.
+
+    The running sum is only needed where a series is too long for one array.
+    """
     s = fill_by_index(s)
     s = s.stats({"n_rows": F.count(F.lit(1)), "last_t": F.max_by("t", "idx"), "mean_v": F.avg("value")},
                 {"q1": (_v(), 0.25), "med": (_v(), 0.5), "q3": (_v(), 0.75)})
     s = s.with_column("dev", F.abs(_v() - F.col("med"))).stats(quantiles={"mad": (F.col("dev"), 0.5)})
     s = gap_columns(s, fs)
-    return s.scan(lag={"prev_filled": F.col("filled")}, total={"run": F.col("filled") - F.col("mean_v")})
+    total = {"run": F.col("filled") - F.col("mean_v")} if s.blocked else {}
+    return s.scan(lag={"prev_filled": F.col("filled")}, total=total)
+
+
+def _samples() -> Column:
+    """The filled values of a short series in order."""
+    return F.transform(F.sort_array(F.collect_list(F.struct("idx", "filled"))), lambda r: r["filled"])
+
+
+def _dynamics(s: Series, out: DataFrame, spectrum: bool) -> DataFrame:
+    """roll_range, spectral_entropy and dominant_frequency_ratio next to the aggregates.
+
+    A series of at most one block comes as the array ``samples`` of the same
+    aggregate; longer ones are worked on row by row and segment by segment.
+    """
+    keys = list(s.keys)
+    if not s.blocked:
+        return out.select("*", series_dynamics("samples", F.lit(spectrum)).alias("_d")).select(*out.columns, "_d.*").drop("samples")
+    out = out.join(rolling_range(s), keys, "left")
+    if not spectrum:
+        none = F.lit(None).cast("double")
+        return out.withColumns({"spectral_entropy": none, "dominant_frequency_ratio": none})
+    return out.join(spectral_shape(welch(s.df, keys, "filled", F.col("n_rows")), keys), keys, "left")
 
 
 def _shape(s: Series) -> DataFrame:
@@ -118,7 +143,7 @@ def _shape(s: Series) -> DataFrame:
         "mad_rate": _rate(outside_mad(_v(), F.col("med"), F.col("mad"))),
         "sk": F.skewness("value"), "ku": F.kurtosis("value"), "sd": F.stddev_pop("value"),
         "lag1": pearson(x, prev), "sd_diff": F.stddev_pop(x - prev), "sd_fill": F.stddev_pop(x),
-        "sd_fill1": F.stddev_samp(x),
+        "sd_fill1": F.stddev_samp(x), **({} if s.blocked else {"samples": _samples()}),
     }, {"run_p95": (F.col("gap_seconds"), 0.95)})
 
 
@@ -154,12 +179,7 @@ def feature_profile(s: Series, fs: Column | float, timing: DataFrame | None = No
     s = measured(s, fs)
     if s.blocked:
         s = s.cut()
-    out = _shape(s).join(rolling_range(s), keys, "left")
-    if spectrum:
-        out = out.join(spectral_shape(welch(s.df, keys, "filled", F.col("n_rows")), keys), keys, "left")
-    else:
-        out = out.withColumn("spectral_entropy", F.lit(None).cast("double")).withColumn(
-            "dominant_frequency_ratio", F.lit(None).cast("double"))
+    out = _dynamics(s, _shape(s), spectrum)
     n, few = F.col("n"), F.col("valid") < 4
     v = F.col("valid")
 
@@ -265,8 +285,12 @@ def measurements(s: Series, fs: Column | float = 1.0) -> DataFrame:
         "central_moment_2": F.avg(dev * dev), "central_moment_3": F.avg(dev * dev * dev),
         "central_moment_4": F.avg(dev * dev * dev * dev),
         "sample_std": F.stddev_samp(x), "population_std": F.stddev_pop(x), "difference_std": F.stddev_pop(x - prev),
+        **({} if s.blocked else {"samples_": _samples()}),
     }, {"p95_gap_samples": (F.col("gap_samples"), 0.95)})
-    d = d.join(rolling_range(s).withColumnRenamed("roll_range", "rolling_mean_range"), list(s.keys), "left")
+    if s.blocked:
+        d = d.join(rolling_range(s), list(s.keys), "left")
+    else:
+        d = d.withColumn("roll_range", series_dynamics("samples_", F.lit(False))["roll_range"])
     few = F.col("finite_values") < 4
     return d.select(
         *s.keys, "samples", "finite_values", (F.col("samples") - F.col("finite_values")).alias("missing_values"),
@@ -278,7 +302,7 @@ def measurements(s: Series, fs: Column | float = 1.0) -> DataFrame:
         F.when(few, 0).otherwise(F.col("mad_flagged")).alias("mad_flagged"),
         "central_moment_2", "central_moment_3", "central_moment_4",
         F.greatest(F.lit(10), F.floor(F.col("samples") / 10)).alias("rolling_window_samples"),
-        "rolling_mean_range", "sample_std", "population_std", "difference_std")
+        F.col("roll_range").alias("rolling_mean_range"), "sample_std", "population_std", "difference_std")
 
 
 def box_stats(s: Series) -> DataFrame:

@@ -50,7 +50,7 @@ def scenario_results(clean: Series, levels, methods: dict[str, list[str]], domai
     All candidates of an order run in one job; each stage copies a series once
     per method, so everything before it is shared.
     """
-    hurt = severity_copies(clean, levels, seed)
+    hurt = severity_copies(clean, levels, seed).cut()
     start = quality_of(as_values(hurt, "value"), st, fs, domains).select("recording_id", "severity_pct", F.col("q_score").alias("q_dirty"))
     parts = []
     for order in orders:
@@ -60,7 +60,8 @@ def scenario_results(clean: Series, levels, methods: dict[str, list[str]], domai
             if stage not in keys:
                 df = df.withColumn(stage, F.lit(methods.get(stage, ["none"])[0]))
                 keys.append(stage)
-        runs = Series(df, tuple(keys), runs.longest, runs.groups, runs.block)
+        # Written once: the profile and the error both read the cleaned copies.
+        runs = Series(df.drop(*["after_" + x for x in STAGES[:3]], "center", "width"), tuple(keys), runs.longest, runs.groups, runs.block).cut()
         by = [k for k in keys if k != "signal"]
         q = quality_of(as_values(runs, "value"), st, fs, domains)
         parts.append(q.join(validate.nrmse(runs.df, by), by).withColumn("order", F.lit(order)))
@@ -74,7 +75,7 @@ def scenario_results(clean: Series, levels, methods: dict[str, list[str]], domai
 
 def baselines(clean: Series, levels, domains: DataFrame, st: Settings, fs, seed: int = 42) -> DataFrame:
     """Quality and components of the clean and of the corrupted recording."""
-    hurt = severity_copies(clean, levels, seed)
+    hurt = severity_copies(clean, levels, seed).cut()
     keys = ["recording_id", "severity_pct"]
     before = quality_of(as_values(hurt, "clean"), st, fs, domains)
     after = quality_of(as_values(hurt, "value"), st, fs, domains)

@@ -54,6 +54,6 @@ def rmse_validation(s: Series, specs, kind: str, severity: float, st: Settings,
 def loss_validation(s: Series, specs, kind: str, severity: float, domain: str, st: Settings, order: str = OUTLIER_FIRST,
                     event: str | None = None) -> DataFrame:
     """Weighted loss and its parts per recording and candidate."""
-    runs = corrupted_runs(s, specs, kind, severity, order, st)
+    runs = corrupted_runs(s, specs, kind, severity, order, st).cut()
     parts = validate.losses(runs, kind in ("spikes", "clipping"), event)
     return validate.weighted_loss(parts, domain)
