@@ -177,11 +177,11 @@ q AS (SELECT recording_id, 'price' AS signal, idx, k, z_quantity, z_price, z_dis
   UNION ALL SELECT recording_id, 'discount', idx, k, z_quantity, z_price, z_discount, z_tax, a_discount FROM z WHERE discount IS NULL),
 p AS (
   SELECT q.recording_id, q.signal, q.idx, q.k, q.mean, d.idx AS di, CASE q.signal WHEN 'price' THEN d.price ELSE d.discount END AS y,
-    round((coalesce((q.z_quantity - d.z_quantity)**2, 0e0) + coalesce((q.z_price - d.z_price)**2, 0e0) + coalesce((q.z_discount - d.z_discount)**2, 0e0)
+    (coalesce((q.z_quantity - d.z_quantity)**2, 0e0) + coalesce((q.z_price - d.z_price)**2, 0e0) + coalesce((q.z_discount - d.z_discount)**2, 0e0)
       + coalesce((q.z_tax - d.z_tax)**2, 0e0))*4/nullif(CASE WHEN q.z_price IS NULL OR d.z_price IS NULL THEN 0 ELSE 1 END
-      + CASE WHEN q.z_discount IS NULL OR d.z_discount IS NULL THEN 0 ELSE 1 END + 2, 0), 9) AS d2
+      + CASE WHEN q.z_discount IS NULL OR d.z_discount IS NULL THEN 0 ELSE 1 END + 2, 0) AS d2
   FROM q JOIN z d ON d.recording_id = q.recording_id AND CASE q.signal WHEN 'price' THEN d.price ELSE d.discount END IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY recording_id, signal, idx ORDER BY d2, di) AS rk FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY recording_id, signal, idx ORDER BY round(d2, 9), di) AS rk FROM p),
 o AS (SELECT recording_id, signal, idx, CASE WHEN min(d2) = 0 THEN avg(y) FILTER (d2 = 0) ELSE sum(y/sqrt(d2)) FILTER (d2 > 0)/sum(1/sqrt(d2)) FILTER (d2 > 0) END AS estimate
   FROM r WHERE rk <= k GROUP BY ALL)
 SELECT recording_id, signal, idx, round(estimate, 5) AS estimate FROM o"""

@@ -15,7 +15,7 @@ def exact_quantiles(df: DataFrame, keys, column: Column, probs: dict[str, float]
 
     A mergeable sketch brackets each quantile of a long group between two
     values; only the rows in the bracket are sorted, and the rows below it are
-    counted. Groups up to one block long are bracketed by the whole line.
+    counted. Short groups are bracketed by the whole line.
     """
     names, targets = list(probs), list(probs.values())
     slack = 2.0 / ACCURACY
@@ -25,7 +25,9 @@ def exact_quantiles(df: DataFrame, keys, column: Column, probs: dict[str, float]
         F.count("_x").alias("_n"), F.max("_blk").alias("_top"),
         F.percentile_approx("_x", grid, ACCURACY).alias("_q"))
     inf = float("inf")
-    short = F.col("_n") <= block
+    # The sketch is off by at most 1 / ACCURACY of the rows; the bracket leaves twice
+    # that on each side, which also covers rounding once there are this many rows.
+    short = F.col("_n") <= max(block, 2 * ACCURACY)
 
     def bound(j: int, side: int) -> Column:
         open_end = grid[2 * j + side] in (0.0, 1.0)

@@ -31,25 +31,26 @@ def distances(q: np.ndarray, d: np.ndarray) -> np.ndarray:
         total += np.where(ok, diff, 0.0) ** 2
         shared += ok
     with np.errstate(invalid="ignore", divide="ignore"):
-        # Nine decimals decide between neighbours; closer ones are ties, broken by row.
-        return np.where(shared > 0, np.round(total * q.shape[1] / shared, 9), np.nan)
+        return np.where(shared > 0, total * q.shape[1] / shared, np.nan)
 
 
 def nearest(q: np.ndarray, d: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int):
-    """The k nearest donors of each query row as (squared distance, donor id, donor value)."""
+    """The k nearest donors of each query row as (rank distance, donor id, donor value, squared distance).
+
+    Nine decimals decide between neighbours; closer ones are ties, broken by row.
+    """
     out = []
     for a in range(0, len(q), TILE):
-        dist = distances(q[a:a + TILE], d)
-        dist = np.where(np.isnan(dist), np.inf, dist)
+        exact = distances(q[a:a + TILE], d)
+        dist = np.where(np.isnan(exact), np.inf, np.round(exact, 9))
         take = min(k, dist.shape[1])
-        # Order by distance, then by row, so that ties do not depend on the layout.
         part = np.argpartition(dist, take - 1, axis=1)[:, :take]
         kth = np.take_along_axis(dist, part, 1).max(axis=1)
-        for row, limit in zip(dist, kth):
+        for row, limit, full in zip(dist, kth, exact):
             cand = np.flatnonzero(row <= limit)
             cand = cand[np.lexsort((ids[cand], row[cand]))][:take]
             cand = cand[np.isfinite(row[cand])]
-            out.append([(float(row[c]), int(ids[c]), float(y[c])) for c in cand])
+            out.append([(float(row[c]), int(ids[c]), float(y[c]), float(full[c])) for c in cand])
     return out
 
 
@@ -57,7 +58,7 @@ def weighted(found) -> float:
     """Inverse-distance mean; exact matches, if any, are averaged alone."""
     if not found:
         return np.nan
-    dist = np.sqrt(np.array([f[0] for f in found]))
+    dist = np.sqrt(np.array([f[3] for f in found]))
     val = np.array([f[2] for f in found])
     if (dist == 0).any():
         return float(val[dist == 0].mean())
@@ -75,7 +76,7 @@ def standardise(s: Series, signals: list[str]) -> Series:
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("d", T.DoubleType()), T.StructField("i", T.LongType()),
-                                  T.StructField("y", T.DoubleType())]))
+                                  T.StructField("y", T.DoubleType()), T.StructField("e", T.DoubleType())]))
 QUERY_FOUND = T.ArrayType(T.StructType([T.StructField("q", T.LongType()), T.StructField("found", FOUND)]))
 
 
@@ -92,14 +93,14 @@ def _search_udf():
             y = np.array([r["y"] for r in ds], dtype=float)
             ids = np.array([r["idx"] for r in ds], dtype=np.int64)
             res = nearest(q, d, y, ids, int(kk))
-            out.append([{"q": int(r["idx"]), "found": [dict(zip("diy", f)) for f in f3]} for r, f3 in zip(qs, res)])
+            out.append([{"q": int(r["idx"]), "found": [dict(zip("diye", f)) for f in f3]} for r, f3 in zip(qs, res)])
         return pd.Series(out)
     return search
 
 
 @F.pandas_udf(T.DoubleType())
 def _weighted_udf(found: pd.Series) -> pd.Series:
-    return pd.Series([weighted([(f["d"], f["i"], f["y"]) for f in row]) if row is not None else np.nan for row in found])
+    return pd.Series([weighted([(f["d"], f["i"], f["y"], f["e"]) for f in row]) if row is not None else np.nan for row in found])
 
 
 def estimates(s: Series, signals: list[str], scaled: bool = True) -> DataFrame:
