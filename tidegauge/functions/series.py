@@ -19,6 +19,10 @@ from tidegauge.functions.quantile import exact_quantiles
 from tidegauge.settings import BLOCK_ROWS, BROADCAST_ROWS, cut, small
 
 UNB = W.unboundedPreceding
+# Quantiles between which a long group is cut when it is numbered.
+CUTS = [i / 128 for i in range(1, 128)]
+# Copies of each row of a small side, and shares of a hot key, when it cannot be broadcast.
+SALTS = 64
 
 
 def measure(df: DataFrame, keys) -> tuple[int, int]:
@@ -197,15 +201,25 @@ def ordered_index(df: DataFrame, keys, order, lead: Column, longest: int, groups
 
     ``lead`` is the leading order column as a number. Long groups are cut into
     ranges of it, numbered inside each range, and shifted by the rows before.
+    The ranges follow the group's own distribution: sketched quantiles first,
+    equal widths between them, so neither clusters nor long tails gather.
     """
     if longest <= block:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-    base = cut(df.withColumn("_x", lead.cast("double")))
-    span = (base.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_up"), F.count(F.lit(1)).alias("_n"))
-            .filter((F.col("_n") > block) & (F.col("_up") > F.col("_lo"))))
-    part = F.floor((F.col("_x") - F.col("_lo")) / (F.col("_up") - F.col("_lo")) * F.ceil(F.col("_n") / block))
-    base = cut(base.join(small(span, groups), list(keys), "left")
-               .withColumn("_rng", F.coalesce(part, F.lit(-1))).drop("_x", "_lo", "_up", "_n"))
+    salts = 1 if groups <= BROADCAST_ROWS else SALTS
+    base = cut(df.withColumn("_x", lead.cast("double")).withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts))))
+    span = (base.groupBy(*keys).agg(F.percentile_approx("_x", CUTS, 10_000).alias("_cuts"), F.min("_x").alias("_lo"),
+                                    F.max("_x").alias("_up"), F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > block))
+    span = (span.withColumn("_edges", F.concat(F.array("_lo"), "_cuts", F.array("_up"))).drop("_lo", "_up")
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))))
+    base = base.join(small(span, groups), [*keys, "_salt"], "left")
+    part = F.size(F.filter("_cuts", lambda c: c < F.col("_x")))
+    low, high = F.get("_edges", part), F.get("_edges", part + 1)
+    fine = F.ceil(F.col("_n") / (block * (len(CUTS) + 1)))
+    inner = F.least(fine, F.floor(F.try_divide(F.col("_x") - low, high - low) * fine))
+    place = part * (fine + 1) + F.coalesce(inner, F.lit(0))
+    base = cut(base.withColumn("_rng", F.coalesce(place, F.lit(-1))).drop("_x", "_cuts", "_edges", "_n", "_salt"))
     before = W.partitionBy(*keys).orderBy("_rng").rowsBetween(UNB, -1)
     start = (base.groupBy(*keys, "_rng").count()
              .select(*keys, "_rng", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start")))

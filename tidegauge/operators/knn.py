@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.series import Series
-from tidegauge.settings import cut, small
+from tidegauge.settings import cut
 
 LEAF = 2048
 TILE = 256
@@ -143,24 +143,31 @@ def _long(s: Series, rows: DataFrame, keys, signals: list[str]) -> DataFrame:
     donors = rows.filter(F.col("y").isNotNull()).drop("mean", "k")
     queries = rows.filter(F.col("y").isNull()).select(*keys, F.col("idx").alias("q"), F.col("z").alias("qz"), F.col("pat").alias("qpat"), "k", "mean")
     # Which donor patterns exist, and the first signal a query shares with each.
-    pats = donors.groupBy(*keys, F.col("pat").alias("dpat")).agg(F.count(F.lit(1)).alias("m"))
+    pats = donors.groupBy(*keys, F.col("pat").alias("dpat")).agg(F.count(F.lit(1)).alias("m"), F.max("idx").alias("_hi"))
     both = queries.select(*keys, "qpat").distinct().join(pats, keys)
     axis = F.filter(F.sequence(F.lit(1), F.lit(width)), lambda i: (F.substring("qpat", i, 1) == "1") & (F.substring("dpat", i, 1) == "1"))
     both = both.withColumn("axes", axis).filter(F.size("axes") > 0).withColumn("axis", F.col("axes")[0]).withColumn("shared", F.size("axes")).drop("axes")
     # Leaves: ranges of the axis holding about LEAF donors each.
-    need = both.select(*keys, "dpat", "axis", "m").distinct()
+    need = both.groupBy(*keys, "dpat").agg(F.collect_set("axis").alias("axes"), F.max("m").alias("m"), F.max("_hi").alias("_hi"))  # at most one per signal
     value = F.element_at("z", F.col("axis"))
     grid = [i / 64 for i in range(1, 64)]
     few = s.groups * width * 2 ** min(width, 10)
-    placed = donors.withColumnRenamed("pat", "dpat").join(small(need, few), [*keys, "dpat"]).withColumn("x", value)
-    cuts = placed.groupBy(*keys, "dpat", "axis").agg(F.percentile_approx("x", grid, 10_000).alias("cuts"))
+    spread = lambda df, by: Series(df, (*keys, by), s.longest, few, s.block)
+    placed = spread(donors.withColumnRenamed("pat", "dpat"), "dpat").attach(need).df
+    placed = placed.withColumn("axis", F.explode("axes")).drop("axes").withColumn("x", value)
+    cuts = placed.groupBy(*keys, "dpat", "axis").agg(F.percentile_approx("x", grid, 10_000).alias("cuts"), F.max("idx").alias("_hi"))
     leaf_of = lambda x: F.size(F.filter("cuts", lambda c: c < x))
-    placed = placed.join(small(cuts, few), [*keys, "dpat", "axis"]).withColumn("leaf", leaf_of(F.col("x")))
+    placed = Series(placed, (*keys, "dpat", "axis"), s.longest, few, s.block).attach(cuts).df.withColumn("leaf", leaf_of(F.col("x")))
     # A leaf may still be large where values repeat; it is split into pages by row.
     entry = F.struct("idx", "z", "y")
     pages = cut(placed.withColumn("page", F.pmod(F.xxhash64("idx"), F.greatest(F.lit(1), F.ceil(F.col("m") / (64 * LEAF)).cast("int"))))
                 .groupBy(*keys, "dpat", "axis", "leaf", "page").agg(F.collect_list(entry).alias("donors")))
-    ask = queries.join(small(both.drop("m"), few), [*keys, "qpat"]).join(small(cuts, few), [*keys, "dpat", "axis"])
+    # A query pattern meets each donor pattern once: at most 2^signals rows per query pattern.
+    plans = (both.join(cuts.drop("_hi"), [*keys, "dpat", "axis"]).groupBy(*keys, "qpat")
+             .agg(F.collect_list(F.struct("dpat", "axis", "shared", "cuts")).alias("plan")))
+    ends = queries.groupBy(*keys, "qpat").agg(F.max("q").alias("_hi"))
+    ask = spread(queries.withColumn("idx", F.col("q")), "qpat").attach(plans.join(ends, [*keys, "qpat"])).df
+    ask = ask.filter(F.col("plan").isNotNull()).select(*[c for c in ask.columns if c not in ("plan", "idx")], F.inline("plan"))
     ask = cut(ask.withColumn("x", F.element_at("qz", F.col("axis"))).withColumn("home", leaf_of(F.col("x"))))
     where = [*keys, "dpat", "axis", "leaf"]
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidegauge.functions.series import Series
-from tidegauge.settings import small
+from tidegauge.settings import cut
 
 ROUNDS = 8
 TOLERANCE = 1e-3
@@ -124,18 +124,18 @@ def estimates(s: Series, signals: list[str]) -> DataFrame:
         F.array(*[F.col(f"_m_{c}") - F.col(f"_a_{c}") for c in signals]).alias("_start"),
         F.array(*[F.col(f"_a_{c}") for c in signals]).alias("_mean"))
     if s.blocked:
-        from tidegauge.settings import cut
         rows = cut(rows)
     pairs = [F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i in range(d + 1) for j in range(d + 1)]
-    sums = rows.groupBy(*keys, "pattern").agg(F.array(*pairs).alias("m"), F.max("_size").alias("_big"),
+    sums = rows.groupBy(*keys, "pattern").agg(F.array(*pairs).alias("m"), F.max("_size").alias("_big"), F.max("idx").alias("_hi"),
                                                F.first("_start").alias("_start"))
     per = sums.groupBy(*keys).agg(F.collect_list(F.struct("pattern", "m")).alias("sums"), F.max("_big").alias("_big"),
-                                  F.first("_start").alias("_start"))
-    solved = per.select(*keys, "_big", F.explode(_solver_udf()("sums", "_start")).alias("_s"))
-    maps = solved.select(*keys, F.col("_s.pattern").alias("pattern"), "_big", F.col("_s.rounds").alias("rounds"))
+                                  F.max("_hi").alias("_hi"), F.first("_start").alias("_start"))
+    solved = per.select(*keys, "_big", "_hi", F.explode(_solver_udf()("sums", "_start")).alias("_s"))
+    maps = solved.select(*keys, F.col("_s.pattern").alias("pattern"), "_big", "_hi", F.col("_s.rounds").alias("rounds"))
     maps = maps.filter(F.col("pattern").contains("0"))
     # Only incomplete rows need a map; a recording has at most 2^signals of them.
-    gaps = rows.filter(F.col("pattern").contains("0")).join(small(maps, s.groups * min(2 ** d, 64)), [*keys, "pattern"])
+    holes = Series(rows.filter(F.col("pattern").contains("0")), (*keys, "pattern"), s.longest, s.groups * min(2 ** d, 64), s.block)
+    gaps = holes.attach(maps).df
     z = F.array(*[F.col(f"z{j}") for j in range(d + 1)])
 
     def value(m, j: int):
@@ -148,11 +148,12 @@ def estimates(s: Series, signals: list[str]) -> DataFrame:
                         lambda r: F.when(F.size("rounds") > 1, step(F.element_at("rounds", r + 1), F.element_at("rounds", r))).otherwise(0.0))
     gaps = gaps.withColumn("_moves", moves)
     settled = gaps.groupBy(*keys).agg(
+        F.max("idx").alias("_hi"),
         F.array(*[F.max(F.get("_moves", F.lit(r))) for r in range(ROUNDS)]).alias("_max"), F.max("_big").alias("_big"))
     # Rounds stop when no row moved by more than the tolerance times the largest value.
     stop = F.array_position(F.transform("_max", lambda x: F.coalesce(x < TOLERANCE * F.col("_big"), F.lit(False))), True)
-    settled = settled.select(*keys, F.when(stop > 0, stop).otherwise(ROUNDS).alias("_stop"))
-    done = gaps.drop("_moves", "_big").join(small(settled, s.groups), keys)
+    settled = settled.select(*keys, "_hi", F.when(stop > 0, stop).otherwise(ROUNDS).alias("_stop"))
+    done = s.on(gaps.drop("_moves", "_big")).attach(settled).df
     chosen = F.element_at("rounds", F.least(F.col("_stop") + 1, F.size("rounds")).cast("int"))
     done = done.withColumn("_map", chosen)
     cells = F.array(*[F.struct(F.lit(c).alias("signal"), (value(F.col("_map"), j) + F.col("_mean")[j]).alias("estimate"),

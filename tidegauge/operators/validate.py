@@ -70,12 +70,21 @@ def align(clean: Series, noisy: Series, min_rows: int = 32) -> DataFrame:
 
 
 def wasserstein(s: Series, a: str, b: str) -> DataFrame:
-    """Mean distance between equally ranked values of two complete columns."""
-    pair = F.array(F.struct(F.lit("a").alias("w"), F.col(a).alias("v")), F.struct(F.lit("b").alias("w"), F.col(b).alias("v")))
-    rows = s.df.select(*s.keys, "idx", F.explode(pair).alias("_p")).select(*s.keys, "idx", F.col("_p.w").alias("_w"), F.col("_p.v").alias("_v"))
-    rows = ordered_index(rows, [*s.keys, "_w"], ["_v"], F.col("_v"), s.longest, 2 * s.groups, s.block, "_rank")
-    met = rows.groupBy(*s.keys, "_rank").agg(F.sum(F.when(F.col("_w") == "a", F.col("_v")).otherwise(-F.col("_v"))).alias("_d"))
-    return met.groupBy(*s.keys).agg(F.avg(F.abs("_d")).alias("wasserstein"))
+    """Distance between the distributions of two complete columns of equal length.
+
+    For equal sizes the mean distance of equally ranked values is the area
+    between the two step functions. It is summed over distinct values, which
+    are counted before anything is ordered, so a value that repeats weighs nothing.
+    """
+    pair = F.array(F.struct(F.lit(1).alias("w"), F.col(a).alias("v")), F.struct(F.lit(-1).alias("w"), F.col(b).alias("v")))
+    points = (s.df.select(*s.keys, F.explode(pair).alias("_p")).groupBy(*s.keys, F.col("_p.v").alias("_v"))
+              .agg(F.sum("_p.w").cast("double").alias("_d"), F.sum((F.col("_p.w") > 0).cast("long")).alias("_c")))
+    longest = 2 * s.longest
+    points = ordered_index(points, s.keys, ["_v"], F.col("_v"), longest, s.groups, s.block)
+    steps = Series(points, s.keys, longest, s.groups, s.block).scan(total={"_level": F.col("_d")}, lead={"_next": F.col("_v")})
+    area = F.abs("_level") * (F.col("_next") - F.col("_v"))
+    return steps.summary({"_area": F.sum(area), "_n": F.sum("_c")}).select(
+        *s.keys, (F.coalesce("_area", F.lit(0.0)) / F.col("_n")).alias("wasserstein"))
 
 
 def spectral_divergence(s: Series, a: str, b: str) -> DataFrame:
