@@ -225,7 +225,7 @@ def scratch(spark, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-@query("delimited_round_trip", """SELECT event_type, count(*) AS rows, round(sum(value), 4) AS total, ';' AS separator, ',' AS decimal, 'utf-8' AS encoding FROM events GROUP BY 1""")
+@query("delimited_round_trip", """SELECT event_type, count(*) AS rows, round(sum(value), 4) AS total, ';' AS separator, ',' AS decimal, 'utf-8-sig' AS encoding FROM events GROUP BY 1""")
 def delimited_round_trip(spark, d):
     """The events as text files with semicolons and decimal commas: written, sniffed and read back."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")

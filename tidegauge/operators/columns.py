@@ -39,7 +39,7 @@ def missing_to_null(c: Column) -> Column:
 
 def as_number(c: Column) -> Column:
     """Text to double: blanks dropped, decimal comma, trailing unit letters or % removed."""
-    t = F.regexp_replace(missing_to_null(c), "[  ]", "")
+    t = F.regexp_replace(missing_to_null(c), "[ \u00a0]", "")
     t = F.regexp_replace(F.translate(t, ",", "."), r"(?<=\d)([a-zA-Z%]+)$", "")
     return t.try_cast("double")
 

@@ -25,8 +25,7 @@ def dialects(spark: SparkSession, path: str) -> DataFrame:
     comma, dot = r"(?<!\d)\d+,\d+|\d+,\d+(?!\d)", r"(?<!\d)\d+\.\d+|\d+\.\d+(?!\d)"
     whole = lines.groupBy("file").agg(
         F.sum(F.regexp_count("value", F.lit(comma))).alias("commas"), F.sum(F.regexp_count("value", F.lit(dot))).alias("dots"),
-        F.bool_or(F.contains("value", F.lit("�"))).alias("broken"),
-        F.min_by(F.startswith("value", F.lit("﻿")), F.struct("part", "line")).alias("bom"))
+        F.bool_or(~F.is_valid_utf8("value")).alias("broken"))
     rank = F.row_number().over(W.partitionBy("file").orderBy("part", "line"))
     head = lines.filter(F.trim("value") != "").withColumn("rank", rank).filter(F.col("rank") <= SAMPLE_LINES)
     counts = head.groupBy("file").agg(
@@ -37,7 +36,7 @@ def dialects(spark: SparkSession, path: str) -> DataFrame:
     sep = F.when(F.lower("file").endswith(".tsv"), "\t").otherwise(F.array_max(scores)["sep"])
     out = whole.join(counts, "file").withColumn("separator", sep)
     return out.select(
-        "file", F.when(F.col("broken"), "latin-1").when(F.col("bom"), "utf-8-sig").otherwise("utf-8").alias("encoding"), "separator",
+        "file", F.when(F.col("broken"), "latin-1").otherwise("utf-8-sig").alias("encoding"), "separator",
         F.when((F.col("separator") != ",") & (F.col("commas") > F.col("dots")), ",").otherwise(".").alias("decimal"))
 
 
@@ -64,7 +63,7 @@ def read_delimited(spark: SparkSession, path: str, separator: str | None = None,
     if len(raw.columns) < 2:
         raw = load(dialects(spark, path).orderBy("file").first()["separator"])
     names = raw.columns
-    df = raw.select(*[F.col(f"`{n}`").alias(n.strip().lstrip("﻿")) for n in names],
+    df = raw.select(*[F.col(f"`{n}`").alias(n.strip().lstrip("\ufeff")) for n in names],
                     F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("row"))
     if not convert:
         return df
