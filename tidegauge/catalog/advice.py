@@ -84,7 +84,7 @@ def spec_validity(spark, d):
     wide = events_wide(spark, d)
     facts = T.diagnostics(wide).select("recording_id", F.col("irregular_intervals").alias("irregular"))
     gone = wide.df.groupBy("recording_id").agg((F.count("value") == 0).alias("all_missing"))
-    out = R.spec_validity(R.spec_grid(spark), facts.join(gone, "recording_id"))
+    out = R.spec_validity(R.grid_for(facts.join(gone, "recording_id")))
     return out.select("recording_id", "pipeline_id", "reason", "valid")
 
 

@@ -234,8 +234,8 @@ def weight_support(spark, d):
     from tidegauge.plans import evaluate as E
     specs = [{"imputation": m} for m in ("mean", "median", "locf", "linear")]
     parts = E.loss_validation(clean_events(spark, d), specs, "mcar_missing", 0.1, "energy", SETTINGS, event="event")
-    parts = cut(parts.withColumnRenamed("imputation", "method"))
-    return rounded(B.weight_support(parts, "energy", ["recording_id"]))
+    parts = cut(parts.withColumnRenamed("imputation", "method").withColumn("domain", F.lit("energy")))
+    return rounded(B.weight_support(parts, ["recording_id"]))
 
 
 @query("dataset_inventory", f"""{RUNS}, tt AS (SELECT *, idx/5e1 AS t, st/5e1 AS t0, (st + len - 1)/5e1 AS t1 FROM rl),

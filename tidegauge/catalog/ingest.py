@@ -232,9 +232,10 @@ def delimited_round_trip(spark, d):
     path = scratch(spark, "delimited")
     e = table(spark, d, "events").select("event_type", F.translate(F.format_string("%.2f", F.col("value")), ".", ",").alias("reading"))
     e.write.option("header", True).option("sep", ";").csv(path)
-    told = D.dialects(spark, path).agg(F.min("separator").alias("separator"), F.min("decimal").alias("decimal"), F.min("encoding").alias("encoding"))
+    told = D.dialects(spark, path).agg(F.min("separator").alias("separator"), F.min("decimal").alias("decimal"), F.min("encoding").alias("encoding")).first()
     back = D.read_delimited(spark, path)
-    return rounded(back.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("reading").alias("total")).join(F.broadcast(told)), 4)
+    return rounded(back.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("reading").alias("total"))
+                   .select("*", *[F.lit(told[c]).alias(c) for c in ("separator", "decimal", "encoding")]), 4)
 
 
 @query("export_table", """SELECT CAST(l_suppkey AS VARCHAR) AS supplier, count(*) AS rows, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1""")

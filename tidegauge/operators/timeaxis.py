@@ -47,9 +47,9 @@ def parse_clock(df: DataFrame, column: str, unit: str = "auto") -> DataFrame:
         return df.withColumn("clock", secs).withColumn("is_date", F.lit(True))
     if unit != "auto" or kind not in ("string",):
         return df.withColumn("clock", number).withColumn("is_date", F.lit(False))
-    seen = df.agg(F.count(c).alias("n"), F.count(number).alias("num"), F.bool_or(text.rlike(DATE_LIKE)).alias("d"))
-    seen = seen.select(((F.col("num") < 0.8 * F.col("n")) & F.coalesce(F.col("d"), F.lit(False))).alias("is_date"))
-    return (df.join(F.broadcast(seen)).withColumn("clock", F.when(F.col("is_date"), secs).otherwise(number)))
+    n, numbers, dated = df.agg(F.count(c), F.count(number), F.bool_or(text.rlike(DATE_LIKE))).first()
+    is_date = numbers < 0.8 * n and bool(dated)
+    return df.withColumn("clock", secs if is_date else number).withColumn("is_date", F.lit(is_date))
 
 
 def relative_seconds(s: Series, clock: str, scale: Column) -> Series:

@@ -118,8 +118,7 @@ def signal_losses(s: Series, event: str | None = None) -> DataFrame:
     s = s.on(s.df.withColumn("y", F.col("clean")).withColumn("z", F.col("value")))
     s = fill_columns(s, ["y", "z"]).stats({"n_rows": F.count(F.lit(1))})
     s = s.scan(lag={"_py": F.col("y"), "_pz": F.col("z")}, lead={"_ny": F.col("y"), "_nz": F.col("z")})
-    if s.blocked:
-        s = s.cut()
+    s = s.cut()  # read by the sums, the distribution distance and both spectra
     y, z, m = F.col("y"), F.col("z"), F.col("mask")
     dy, dz = y - F.col("_py"), z - F.col("_pz")
     # A change at the first sample is measured to the second one.

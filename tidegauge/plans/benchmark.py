@@ -223,29 +223,32 @@ def winner_table(won: DataFrame) -> DataFrame:
                     (F.sum("near_ties").over(by) / F.sum("scenarios").over(by)).alias("near_tie_share"))
 
 
-def dirichlet_weights(spark, domain: str, draws: int = 250, concentration: float = 120.0, seed: int = 42) -> DataFrame:
-    """(draw, weights): random loss weights around those of the domain."""
-    base = np.array(LOSS_WEIGHTS[domain])
+def dirichlet_weights(spark, domains, draws: int = 250, concentration: float = 120.0, seed: int = 42) -> DataFrame:
+    """(domain, draws): random loss weights around those of each domain."""
+    base = {d: np.maximum(np.array(LOSS_WEIGHTS[d]) * concentration, 1e-9) for d in domains}
 
     def make(batches):
         for pdf in batches:
             rows = []
-            for i in pdf["id"]:
-                g = np.random.default_rng([seed, int(i)]).gamma(np.maximum(base * concentration, 1e-9))
-                rows.append((int(i), (g / g.sum()).tolist()))
-            yield pd.DataFrame(rows, columns=["draw", "weights"])
+            for d, i in zip(pdf["domain"], pdf["draw"]):
+                g = np.random.default_rng([seed, int(i)]).gamma(base[d])
+                rows.append((d, int(i), (g / g.sum()).tolist()))
+            yield pd.DataFrame(rows, columns=["domain", "draw", "weights"])
 
-    return spark.range(draws).mapInPandas(make, "draw long, weights array<double>")
+    ids = spark.range(draws).select(F.explode(F.array(*[F.lit(d) for d in domains])).alias("domain"), F.col("id").alias("draw"))
+    return (ids.mapInPandas(make, "domain string, draw long, weights array<double>")
+            .groupBy("domain").agg(F.collect_list(F.struct("draw", "weights")).alias("_w")))
 
 
-def weight_support(parts: DataFrame, domain: str, scenario, draws: int = 250, seed: int = 42) -> DataFrame:
+def weight_support(parts: DataFrame, scenario, draws: int = 250, seed: int = 42) -> DataFrame:
     """Share of weight draws under which each method wins, per scenario.
 
-    The draws are a fixed small list carried next to each method's loss parts.
+    ``parts`` has domain, method and the loss parts; the draws of a domain are a
+    list of fixed length that joins its rows.
     """
-    packed = dirichlet_weights(parts.sparkSession, domain, draws, seed=seed).agg(F.array_agg(F.struct("draw", "weights")).alias("_w"))
+    packed = dirichlet_weights(parts.sparkSession, list(LOSS_WEIGHTS), draws, seed=seed)
     values = F.array(*[F.col(p) for p in LOSS_PARTS])
-    rows = parts.join(F.broadcast(packed)).withColumn("_v", values)
+    rows = parts.join(F.broadcast(packed), "domain").withColumn("_v", values)
     rows = rows.select(*scenario, "method", "_v", F.inline("_w"))
     top = F.aggregate(F.zip_with("_v", "weights", lambda v, w: F.coalesce(v * w, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
     tot = F.aggregate(F.zip_with("_v", "weights", lambda v, w: F.when(v.isNotNull(), w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
@@ -276,10 +279,10 @@ def holdout_accuracy(rows: DataFrame, features: list[str], test: Column, depth:
     """Accuracy on the held-out rows of a tree grown on the others, next to always saying the commonest."""
     train = rows.filter(~test)
     label, ready, model = _tree(train, features, depth, leaf)
-    common = F.broadcast(train.groupBy().agg(F.mode("winner", True).alias("common")))
-    scored = model.transform(ready.transform(label.transform(rows.filter(test)))).join(common)
+    common = train.agg(F.mode("winner", True)).first()[0]
+    scored = model.transform(ready.transform(label.transform(rows.filter(test))))
     return scored.agg(F.count(F.lit(1)).alias("rows"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"),
-                      F.avg((F.col("winner") == F.col("common")).cast("double")).alias("majority"))
+                      F.avg((F.col("winner") == F.lit(common)).cast("double")).alias("majority"))
 
 
 def grouped_cv(rows: DataFrame, features: list[str], group: str, folds: int = 5, depth: int = 4, leaf: int = 4) -> DataFrame:

@@ -120,19 +120,21 @@ def recommended_spec(rec: DataFrame, keys=("recording_id",)) -> DataFrame:
 
 
 # --- candidate lists ----------------------------------------------------------
-def spec_grid(spark: SparkSession) -> DataFrame:
-    """The 336 cleaning candidates with their id, built by Spark from the method names."""
+def grid_for(rows: DataFrame) -> DataFrame:
+    """Every row with each of the 336 cleaning candidates, by exploding the method lists; no join."""
     lists = {"order": [IMPUTATION_FIRST, OUTLIER_FIRST], "imputation": METHODS["imputation"], "outlier": METHODS["outlier"],
              "smoothing": METHODS["smoothing"]}
-    df = spark.range(1).select()
-    size = 1
-    pos = F.lit(0)
+    keep, pos = rows.columns, F.lit(0)
     for name, values in lists.items():
-        df = df.select("*", F.posexplode(F.array(*[F.lit(v) for v in values])).alias("_" + name, name))
-        size *= len(values)
+        rows = rows.select("*", F.posexplode(F.array(*[F.lit(v) for v in values])).alias("_" + name, name))
         pos = pos * len(values) + F.col("_" + name)
-    return df.select((pos + 1).cast("long").alias("pipeline_id"), "imputation", "outlier", "smoothing",
-                     F.lit("none").alias("scaling"), "order")
+    return rows.select(*keep, (pos + 1).cast("long").alias("pipeline_id"), "imputation", "outlier", "smoothing",
+                       F.lit("none").alias("scaling"), "order")
+
+
+def spec_grid(spark: SparkSession) -> DataFrame:
+    """The 336 cleaning candidates with their id."""
+    return grid_for(spark.range(1).select())
 
 
 def pilot_subset(grid: DataFrame, seed: str = "pilot", size: int = 25) -> DataFrame:
@@ -177,24 +179,18 @@ def candidate_table(rows: DataFrame, keys=()) -> DataFrame:
     return rows.select(*keys, *stages, F.lit("none").alias("scaling")).dropDuplicates([*keys, *stages])
 
 
-def spec_validity(specs: DataFrame, facts: DataFrame, resample: bool = False, groups: int | None = None) -> DataFrame:
+def spec_validity(candidates: DataFrame, resample: bool = False) -> DataFrame:
     """Status and reason of every (recording, candidate).
 
-    ``facts`` has recording_id, irregular and all_missing (a signal without any
-    observation); candidates either carry recording_id or apply to every recording.
+    Rows carry the methods, the order, and two facts of their recording:
+    irregular, and all_missing (some signal has no observation at all).
     """
     lists = {s: F.array(*[F.lit(m) for m in METHODS[s]]) for s in METHODS}
     known = [F.array_contains(lists[s], F.col(s)) for s in METHODS]
     order_ok = F.col("order").isin(OUTLIER_FIRST, IMPUTATION_FIRST)
-    if "recording_id" in specs.columns:
-        both = specs.join(facts, "recording_id")
-    else:
-        # The candidate list is a small fixed table carried next to each recording.
-        packed = specs.agg(F.collect_list(F.struct(*specs.columns)).alias("_specs"))
-        both = facts.join(F.broadcast(packed)).select(*facts.columns, F.inline("_specs"))
     reason = (F.when(~order_ok, "unsupported order")
               .when(~known[0], "unsupported outlier method").when(~known[1], "unsupported imputation method")
               .when(~known[2], "unsupported scaling method").when(~known[3], "unsupported smoothing method")
               .when(F.col("irregular") & F.lit(not resample) & (F.col("smoothing") != "none"), "smoothing needs regular timestamps or resampling")
               .when(F.col("all_missing") & F.col("imputation").isin("mean", "median", "knn", "mice"), "method cannot handle an all-missing signal"))
-    return both.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
+    return candidates.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull())
