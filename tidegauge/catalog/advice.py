@@ -150,7 +150,26 @@ def processed_table(spark, d):
     return rounded(out.select("recording_id", "idx", *SIGNALS), 5)
 
 
-@query("representative_rows")
+FAR = ", ".join(f"coalesce(abs({c} - m_{c})/CASE WHEN d_{c} > 0 THEN d_{c} ELSE greatest(s_{c}, 1e-12) END, 0e0)" for c in SIGNALS)
+PICKED = f"""WITH {LIW}, x AS (SELECT *, {' OR '.join(f'{c} IS NULL' for c in SIGNALS)} AS g, count(*) OVER (PARTITION BY recording_id) AS n FROM liw),
+  gr AS (SELECT recording_id, min(idx) AS s, count(*) AS len FROM (SELECT *, idx - row_number() OVER (PARTITION BY recording_id ORDER BY idx) AS k FROM x WHERE g) GROUP BY recording_id, k),
+  lg AS (SELECT recording_id, s, len FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY len DESC, s) AS r FROM gr) WHERE r = 1),
+  m1 AS (SELECT recording_id, {', '.join(f'median({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in SIGNALS)} FROM x GROUP BY 1),
+  m2 AS (SELECT recording_id, {', '.join(f'median(abs({c} - m_{c})) AS d_{c}' for c in SIGNALS)} FROM x JOIN m1 USING (recording_id) GROUP BY 1),
+  ex AS (SELECT recording_id, idx AS e FROM (SELECT recording_id, idx, row_number() OVER (PARTITION BY recording_id ORDER BY greatest({FAR}) DESC, idx) AS r
+    FROM x JOIN m1 USING (recording_id) JOIN m2 USING (recording_id)) WHERE r = 1),
+  sz AS (SELECT DISTINCT recording_id, n FROM x),
+  ce AS (SELECT recording_id, n, unnest([floor(i*(n - 1)/4e0) FOR i IN range(0, 5)]) AS c FROM sz UNION ALL SELECT recording_id, n, s FROM lg JOIN sz USING (recording_id)
+    UNION ALL SELECT recording_id, n, s + len - 1 FROM lg JOIN sz USING (recording_id) UNION ALL SELECT recording_id, n, e FROM ex JOIN sz USING (recording_id)),
+  wi AS (SELECT recording_id, greatest(0, least(n - 10, c - 5)) AS a FROM ce),
+  fl AS (SELECT x.*, EXISTS (SELECT 1 FROM wi WHERE wi.recording_id = x.recording_id AND x.idx >= a AND x.idx < a + 10) AS hit FROM x),
+  fr AS (SELECT *, sum(CASE WHEN hit THEN 0 ELSE 1 END) OVER (PARTITION BY recording_id ORDER BY idx) - 1 AS pos,
+    count(*) FILTER (NOT hit) OVER (PARTITION BY recording_id) AS rest, 120 - count(*) FILTER (hit) OVER (PARTITION BY recording_id) AS room FROM fl)
+  SELECT recording_id, idx, quantity, round(price, 6) AS price, discount, tax FROM fr WHERE n <= 120 OR hit
+    OR list_contains(list_transform(range(0, room), lambda j: CAST(floor(j*((rest - 1)/CAST(room - 1 AS DOUBLE)) + CASE WHEN j = room - 1 THEN 1e-6 ELSE 0e0 END) AS BIGINT)), CAST(pos AS BIGINT))"""
+
+
+@query("representative_rows", PICKED)
 def representative_rows(spark, d):
     """120 rows of each recording."""
     s = S.representative_rows(lines_wide(spark, d), SIGNALS, 120)

@@ -143,12 +143,29 @@ def _base(spark, d):
     return B.baselines(clean_events(spark, d), LEVELS, domains(spark, d), SETTINGS, 1.0)
 
 
-@query("benchmark_severity_summary")
+DIRTY = "split_part({0}.recording_id, '|', 3) = 'dirty'"
+# Severity 0 leaves a recording as it is, so its row holds the clean scores.
+BASE_SQL = f"""bs AS (SELECT a.domain, a.seed, a.severity_pct, c.q AS clean_q, a.q AS corrupted_q,
+    {', '.join(f'c.{x} AS clean_{x}, a.{x} AS corrupted_{x}' for x in COMPONENTS)}
+  FROM qs a JOIN qs c ON c.seed = a.seed AND c.severity_pct = 0 AND {DIRTY.format('c')} WHERE {DIRTY.format('a')})"""
+
+
+@query("benchmark_severity_summary", f"""{SUMMARY}, {BASE_SQL},
+  b2 AS (SELECT domain, severity_pct, median(clean_q) AS cq, median(corrupted_q) AS dq FROM bs GROUP BY ALL),
+  s2 AS (SELECT domain, severity_pct, count(*) AS seeds, median(spearman_q_nrmse) AS median_spearman, min(spearman_q_nrmse) AS min_spearman,
+    max(spearman_q_nrmse) AS max_spearman, median(quality_max) AS median_quality_max, median(best_nrmse) AS median_best_nrmse,
+    median(nrmse_best_q) AS median_q_winner_nrmse, median(CASE WHEN severity_pct > 0 THEN nrmse_regret_ratio END) AS median_regret_ratio,
+    count(*) FILTER (qmax_ties_include_rmse_min) AS qmax_hits, count(*) FILTER (top5_contains_optimum) AS top5_hits,
+    count(*) FILTER (top10_contains_optimum) AS top10_hits, median(n_invalid_rmse) AS median_invalid_pipelines FROM summary GROUP BY ALL)
+  SELECT domain, CAST(severity_pct AS BIGINT) AS severity_pct, seeds, qmax_hits, top5_hits, top10_hits, round(cq, 5) AS median_clean_q, round(dq, 5) AS median_corrupted_q,
+    {', '.join(f'round({c}, 5) AS {c}' for c in ('median_spearman', 'min_spearman', 'max_spearman', 'median_quality_max', 'median_best_nrmse', 'median_q_winner_nrmse', 'median_regret_ratio', 'median_invalid_pipelines'))}
+  FROM s2 JOIN b2 USING (domain, severity_pct)""")
 def benchmark_severity_summary(spark, d):
     return rounded(B.severity_summary(B.scenario_summary(results(spark, d)), _base(spark, d)), 5)
 
 
-@query("benchmark_baselines")
+@query("benchmark_baselines", f"""{RESULTS}, {BASE_SQL} SELECT domain, seed, CAST(severity_pct AS BIGINT) AS severity_pct,
+  {', '.join(f'round({side}_{x}, 5) AS {side}_{x}' for side in ('clean', 'corrupted') for x in ('q', *COMPONENTS))} FROM bs""")
 def benchmark_baselines(spark, d):
     return rounded(_base(spark, d), 5)
 
