@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidegauge.catalog.base import EMB, EV, LIW, SIGNALS, embeddings, events, filled_sql, lines_wide, query, rounded, welch_sql
 from tidegauge.catalog.cleaning import impute_sql, outlier_sql
 from tidegauge.domains import LOSS_PARTS, LOSS_WEIGHTS, OUTLIER_FIRST
-from tidegauge.functions.scalar import uniform
 from tidegauge.functions.series import Series
 from tidegauge.operators import corrupt as K
 from tidegauge.operators import validate as G

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tidegauge.domains import DOMAIN_LABELS, EYE_TRACKING_SUPPORT, IMPUTATION_FIRST, METHODS, OUTLIER_FIRST, STAGE_VALIDATION
 from tidegauge.functions.scalar import uniform
 
-PIPELINE_TYPE = "imputation string, outlier string, smoothing string, scaling string"
-
 
 def _leaf(method: str, *trace: Column) -> Column:
     return F.struct(F.lit(method).alias("method"), F.array(*trace).alias("trace"))
