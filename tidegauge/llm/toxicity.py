@@ -1,8 +1,8 @@
 """Toxicity scores by weak supervision.
 
-Method. Voters: words of a general lexicon of insults; words that training labels show to be as telling (many times more
-frequent in toxic texts, in many different contexts, so that a text copied around doesn't make its rare words voters);
-and patterns (shouting, runs of marks, address together with insults, density of insults ...). Each voter votes toxic,
+Method. Voters: words of a general lexicon of insults; words, and beginnings of words, that training labels show to be as
+telling (many times more frequent in toxic texts, in many different contexts, so that a text copied around doesn't make
+its rare words voters; they count where they come once in 200 words, beginnings also twice at least); and patterns (shouting, runs of marks, address together with insults, density of insults ...). Each voter votes toxic,
 clean or not at all. A generative label model estimates by expectation-maximisation, over a sample of texts, how
 accurate each voter is, with the labels of training rows as one more, noisy voter; it also estimates which voters are
 correlated beyond what the class explains, and lets a correlated set speak with one voice. Its posteriors are the labels
@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from tidegauge.llm.common import crc_of, slices, texts
 
+STEM = (4, 9)  # letters of a beginning of words
 SAMPLE, LEARNED = 8_000, 200  # labelled rows that are learned from, and words learned from them, at most
 # A general lexicon of insults, in natural order.
 LEXICON = (
@@ -47,35 +48,56 @@ PATTERNS = ("insults_2", "insults_dense", "insults_distinct", "shouting", "marks
 
 @dataclass
 class Rules:
-    """The voters' words."""
+    """The voters' words, and their beginnings of words."""
     words: list[str]
+    stems: list[str]
+
+    def __len__(self):
+        return len(self.words) + len(self.stems)
 
     def automaton(self):
         a = ahocorasick.Automaton()
-        for i, w in enumerate(self.words):
-            a.add_word(w, (i, len(w)))
+        for w in {*self.words, *self.stems}:
+            as_word = self.words.index(w) if w in self.words else -1
+            as_stem = len(self.words) + self.stems.index(w) if w in self.stems else -1
+            a.add_word(w, (as_word, as_stem, len(w)))
         a.make_automaton()
         return a
 
 
+def telling(count: int, length: int) -> bool:
+    """Whether a beginning of words comes often enough in a text of so many words."""
+    return count >= 2 and 200 * count >= length
+
+
 def signals(raw: bytes, automaton, n: int) -> np.ndarray:
-    """Counts of the voters' words (log), then the patterns' strengths."""
+    """Counts of the voters' words (log) and rates of their beginnings of words, then the patterns' strengths."""
     low = raw.decode("utf-8", "replace").lower()
-    out, counts = np.zeros(n + len(PATTERNS)), Counter()
+    out, words_met, stems_met = np.zeros(n + len(PATTERNS)), Counter(), Counter()
     size = len(low)
-    for end, (i, length) in automaton.iter(low):
+    for end, (as_word, as_stem, length) in automaton.iter(low):
         start = end - length
-        if (start < 0 or not low[start].isalpha()) and (end + 1 >= size or not low[end + 1].isalpha()):
-            counts[i] += 1
-    for i, c in counts.items():
-        out[i] = np.log1p(c)
+        if start < 0 or not low[start].isalpha():
+            if as_stem >= 0:
+                stems_met[as_stem] += 1
+            if as_word >= 0 and (end + 1 >= size or not low[end + 1].isalpha()):
+                words_met[as_word] += 1
     words = low.split()
-    total, length = sum(counts.values()), max(1, len(words))
+    length = max(1, len(words))
+    stems_met = {i: c for i, c in stems_met.items() if telling(c, length)}
+    words_met = {i: c for i, c in words_met.items() if i < len(LEXICON) or 200 * c >= length}
+    for i, c in words_met.items():
+        out[i] = np.log1p(c)
+    for i, c in stems_met.items():
+        out[i] = 0.5 + min(1.0, 20 * c / length)
+    # Beginnings overlap each other: the most frequent one stands for all.
+    total = sum(words_met.values()) + max(stems_met.values(), default=0)
+    distinct = len(words_met) + 2 * bool(stems_met)
     b = np.frombuffer(raw, np.uint8)
     upper, lower = int(((b >= 65) & (b <= 90)).sum()), int(((b >= 97) & (b <= 122)).sum())
     marks = sum(low.count(x) for x in ("!!", "??", "###", "***", "$$$", "%%%", "&&&"))
     often = max(Counter(words).values()) if len(words) > 20 else 0
-    out[n:] = (min(total, 6) / 2 if total > 1 else 0, min(1.0, 30 * total / length), min(len(counts), 5) / 2 if len(counts) > 1 else 0,
+    out[n:] = (min(total, 6) / 2 if total > 1 else 0, min(1.0, 30 * total / length), min(distinct, 5) / 2 if distinct > 1 else 0,
                float(upper > lower and upper > 20), min(1.0, 5 * marks / length), float(2 * often > length),
                float(total > 0 and not ADDRESS.isdisjoint(words)), float(total == 0))
     return out
@@ -99,6 +121,7 @@ class LabelModel:
         f = (v != 0).astype(float)
         ratio = np.log(self.fires[1] / self.fires[0]) * self.voice
         silent = np.log((1 - self.fires[1]) / (1 - self.fires[0])) * self.voice
+        silent[-len(PATTERNS):] = 0  # patterns follow from the words: their silence says nothing new
         odds = np.log(self.prior / (1 - self.prior)) + f @ ratio + (1 - f) @ silent
         odds += np.where(y == 1, np.log(self.label[1] / self.label[0]), np.where(y == 0, np.log((1 - self.label[1]) / (1 - self.label[0])), 0.0))
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
@@ -119,10 +142,10 @@ def correlated_sets(f: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
 
 
 def fit_labels(v: np.ndarray, y: np.ndarray, rounds: int = 30) -> LabelModel:
-    """Expectation-maximisation from the votes' majority; y: labels, -1 where there is none."""
+    """Expectation-maximisation, from what words and labels say together; y: labels, -1 where there is none."""
     f = (v != 0).astype(float)
-    words = v.shape[1] - len(PATTERNS)
-    q = np.where(v[:, :words].any(axis=1), 0.9, 0.05)
+    word = v[:, :v.shape[1] - len(PATTERNS)].any(axis=1)
+    q = np.where(word, np.where(y == 1, 0.97, np.where(y == 0, 0.1, 0.7)), np.where(y == 1, 0.3, 0.03))
     n, voice = len(v), np.ones(v.shape[1])
     for k in range(rounds):
         toxic, clean = q.sum(), n - q.sum()
@@ -155,23 +178,32 @@ def fit_linear(x: np.ndarray, q: np.ndarray, ridge: float = 1.0, rounds: int = 3
 
 
 def contexts(labelled: DataFrame) -> DataFrame:
-    """For every word of the sample: toxic, clean texts that hold it, and the different contexts it has in toxic ones."""
+    """For every word (kind w) and beginning (kind s) of the sample: the different contexts it has in toxic and in clean texts."""
     def run(batches):
         for batch in batches:
-            words, keys, toxic = [], [], []
+            kinds, voters, keys, toxic = [], [], [], []
             for t, y in zip(texts(batch.column("text")), batch.column("toxic").to_pylist()):
                 ws = WORD.findall(t.decode("utf-8", "replace").lower())
-                first = {}
+                count, first, found = Counter(), {}, {}
                 for a, w, b in zip(["", *ws], ws, [*ws[1:], ""]):
-                    first.setdefault(w, f"{a} {b}")
-                words += [w for w in first if 2 < len(w) <= 40]
-                keys += [k for w, k in first.items() if 2 < len(w) <= 40]
-                toxic += [y] * (len(words) - len(toxic))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(keys, pa.string()), pa.array(toxic, pa.int32())], names=["word", "context", "toxic"])
-    rows = labelled.select("text", "toxic").mapInArrow(run, "word string, context string, toxic int")
+                    if w not in found:
+                        found[w] = f"{a} {b}"
+                        for n in range(STEM[0], min(STEM[1], len(w) - 1) + 1):
+                            first.setdefault(w[:n], f"{w} {b}")
+                    for n in range(STEM[0], min(STEM[1], len(w) - 1) + 1):
+                        count[w[:n]] += 1
+                some = [("w", w, k) for w, k in found.items() if 2 < len(w) <= 40]
+                some += [("s", w, first[w]) for w, c in count.items() if telling(c, len(ws))]
+                for kind, w, k in some:
+                    kinds.append(kind)
+                    voters.append(w)
+                    keys.append(k)
+                    toxic.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (kinds, voters, keys)] + [pa.array(toxic, pa.int32())], names=["kind", "word", "context", "toxic"])
+    rows = labelled.select("text", "toxic").mapInArrow(run, "kind string, word string, context string, toxic int")
     # Copies share a word's first context: texts are counted by distinct contexts.
-    seen = rows.groupBy("word", "context").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least"))
-    return seen.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("least")).alias("clean"))
+    seen = rows.groupBy("kind", "word", "context").agg(F.max("toxic").alias("toxic"), F.min("toxic").alias("least"))
+    return seen.groupBy("kind", "word").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("least")).alias("clean"))
 
 
 @dataclass
@@ -192,27 +224,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learned: int
     rows = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int")
     sampled = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
     n_toxic, n = sum(r["toxic"] for r in chosen), len(chosen)
-    words = list(LEXICON)
+    words, stems = list(LEXICON), []
     if n_toxic and n_toxic < n:
         ratio = (F.col("toxic") + 0.1) / (n_toxic + 0.2) / ((F.col("clean") + 0.1) / (n - n_toxic + 0.2))
         top = (contexts(sampled).filter(F.col("toxic") >= max(4, n_toxic // 40)).filter(ratio >= lift)
-               .orderBy(F.desc(ratio), "word").limit(learned).collect())
-        words += [r["word"] for r in top if r["word"] not in LEXICON]
-    rules = Rules(words)
+               .orderBy(F.desc(ratio), "kind", "word").limit(learned).collect())
+        words += [r["word"] for r in top if r["kind"] == "w" and r["word"] not in LEXICON]
+        stems = [r["word"] for r in top if r["kind"] == "s"]
+    rules = Rules(words, stems)
 
     def run(batches):
         automaton = rules.automaton()
         for batch in batches:
             for part, ts in slices(batch, "text"):
-                made = [signals(t, automaton, len(words)).tolist() for t in ts]
+                made = [signals(t, automaton, len(rules)).tolist() for t in ts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(made, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
     made = sampled.mapInArrow(run, "doc_id long, toxic int, x array<double>").dropDuplicates(["doc_id"]).collect()  # `sample` rows at most
     made.sort(key=lambda r: r["doc_id"])
-    width = len(words) + len(PATTERNS)
+    width = len(rules) + len(PATTERNS)
     if not made:
         weights = np.zeros(width + 1)
-        weights[:len(words)], weights[-1] = 6.0, -3.0
+        weights[:len(rules)], weights[-1] = 6.0, -3.0
         return Classifier(rules, weights)
     x, y = np.array([r["x"] for r in made]).reshape(-1, width), np.array([r["toxic"] for r in made])
     model = fit_labels(votes(x), y)
@@ -224,7 +257,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learned: int
 def scored(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns in `keep`, score of every row."""
     names = ["doc_id", *[c for c in keep if c != "doc_id"]]
-    n = len(classifier.rules.words)
+    n = len(classifier.rules)
 
     def run(batches):
         automaton = classifier.rules.automaton()
