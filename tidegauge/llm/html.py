@@ -71,7 +71,7 @@ def blocks(page: str) -> list[Block]:
     regions: list[tuple[str, bool, bool]] = []  # element, in the article, in boilerplate
     pieces: list[str] = []
     linked = links = 0
-    heading = False
+    heading = met = False
     single: tuple[str, bool] | None = None  # a marked element that isn't a region, such as <p class="ad">
 
     def close():
@@ -112,9 +112,8 @@ def blocks(page: str) -> list[Block]:
                 main, other = marks(m["attributes"])
                 article, boilerplate = regions[-1][1:] if regions else (False, False)
                 if name in ("article", "main") or main:
-                    # Comments are often articles too: one inside boilerplate stays there, unless that was left unclosed.
-                    nested = any(r[0] in ("article", "main") for r in regions)
-                    article, boilerplate = True, other or (boilerplate and nested)
+                    # Comments are often articles too, but not the page's first one: boilerplate around that was left unclosed.
+                    article, boilerplate, met = True, other or (boilerplate and met), True
                 else:
                     boilerplate = boilerplate or other or name in BOILERPLATE
                 regions.append((name, article, boilerplate))
