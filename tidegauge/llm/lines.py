@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tidegauge.llm.common import slices
 
+SALT = 16
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
@@ -59,7 +60,10 @@ def drop_repeated(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, keep:
     lines = keyed_lines(hashed.filter("doc_id is not null").select("doc_id", "text", "text_hash"), min_chars)
     often = (lines.groupBy("h1", "h2").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last_id"))
              .filter(F.col("n") >= min_docs).drop("n"))
-    drops = (lines.join(often, ["h1", "h2"]).filter("doc_id < last_id")
+    # A line that very many documents hold meets its count in SALT places.
+    salted = often.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    lines = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
+    drops = (lines.join(salted, ["h1", "h2", "salt"]).filter("doc_id < last_id")
              .groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drops")))
     names = [*base.columns, "n_lines", "n_dropped"]
 
