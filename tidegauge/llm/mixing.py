@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidegauge.llm.common import WORD, cut
 
 BLOCK_WORDS, SHARD_BLOCKS = 4096, 256  # words of a block, blocks of a shard
-RANGE = 2048  # documents in a hash range of the running sums
+RANGE = 512  # documents in a hash range of the running sums
 MOST = 3  # times that a document, and so a source, may be taken
 
 
