@@ -5,6 +5,10 @@ runs of MINIMISER words. Equal windows have equal minimisers. Consecutive window
 packed string of words to the bucket of that minimiser, where the windows are sorted (by two independent 64-bit
 polynomials of their word hashes) and counted; the documents' ids decide which are repeats.
 
+Before that, one pass finds the minimisers that documents of two ids have: only their windows can repeat. The shared ones
+go into a bit filter of at most FILTER_BITS bits, the only thing broadcast; windows that it rules out stay at home. A
+filter lets some others pass, all of them when it is full, which costs shuffle but changes no result.
+
 A passage that a third of all documents hold doesn't gather in one bucket: before the shuffle each task sorts its own
 windows, decides those that it also sees under a smaller id, and sends only the others, so a bucket gets at most one
 document per distinct window and flush. Buckets are streamed in order of the id and keep only window digests.
@@ -17,6 +21,7 @@ give one row each; columns other than doc_id and text are not read; an empty tab
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import mix, slices
+from tidegauge.llm.common import cut, mix, slices
 
 WINDOW, MINIMISER = 50, 6
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-FLUSH = 16 << 20  # bytes of text whose windows a task compares before it sends them
+FLUSH = 6 << 20  # bytes of text whose windows a task compares before it sends them
+FILTER_BITS = 1 << 30  # of the filter of shared minimisers, at most
+PAGE = 1 << 16  # bits of a page of the filter
 CHUNK = 4 << 20  # bytes of packed words that a bucket task counts at a time
 
 
@@ -88,72 +95,119 @@ def first_of_equal(d: np.ndarray) -> np.ndarray:
     return first
 
 
-def packed(batches, window: int, minimiser: int):
-    """Rows to shuffle: bucket, doc_id, text_hash, start, words (a super-k-mer), or stop for a decided range of windows."""
-    names = ["bucket", "doc_id", "text_hash", "start", "stop", "words"]
-
-    def flush(held):
-        held.sort(key=lambda r: r[0])
-        words, owner, offset = [], [], []
-        for i, (_, _, t) in enumerate(held):
-            ws = t.split()
-            if len(ws) >= window:
-                owner.append((i, len(ws)))
-                offset.append(len(words))
-                words.extend(ws)
-        if not words:
-            return None
-        h = word_hashes(words)
-        counts = np.array([n for _, n in owner])
-        doc = np.repeat(np.arange(len(owner)), counts)
-        ids = np.array([held[i][0] for i, _ in owner], np.int64)
-        hashes = np.array([held[i][1] for i, _ in owner], np.int64)
-        offset = np.array(offset)
-        d = digests(h, window)
-        inside = doc[:len(d)] == doc[window - 1:]
-        at = np.flatnonzero(inside)  # windows within one document
-        first = at[first_of_equal(d[at])]
-        decided = np.zeros(len(d), bool)
-        decided[at] = ids[doc[at]] > ids[doc[first]]
-        least = sliding_min(mix(rolling(h, minimiser, BASES[0])), window - minimiser + 1)
-        send = inside & ~decided
-        # A super-k-mer ends where the window is not sent, the document ends or the minimiser changes.
-        out = [[] for _ in names]
-        s, e = runs(decided, doc[:len(d)])
-        out[0] += hashes[doc[s]].tolist()
-        out[1] += ids[doc[s]].tolist()
-        out[2] += hashes[doc[s]].tolist()
-        out[3] += (s - offset[doc[s]]).tolist()
-        out[4] += (e - offset[doc[s]]).tolist()
-        out[5] += [None] * len(s)
-        w = np.flatnonzero(send)
-        if len(w):
-            new = np.flatnonzero((np.diff(w) != 1) | (np.diff(doc[w]) != 0) | (least[w][1:] != least[w][:-1])) + 1
-            s, e = w[np.concatenate([[0], new])], w[np.concatenate([new - 1, [len(w) - 1]])]
-            out[0] += least[s].view(np.int64).tolist()
-            out[1] += ids[doc[s]].tolist()
-            out[2] += hashes[doc[s]].tolist()
-            out[3] += (s - offset[doc[s]]).tolist()
-            out[4] += [None] * len(s)
-            out[5] += [b" ".join(words[a:b]) for a, b in zip(s.tolist(), (e + window).tolist())]
-        kinds = [pa.int64()] * 5 + [pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
-
+@dataclass
+class Windows:
+    """The windows of some documents, in order of the documents' ids."""
+    words: list[bytes]
+    ids: np.ndarray  # of each document
+    hashes: np.ndarray  # text_hash of each document
+    offset: np.ndarray  # first word of each document
+    doc: np.ndarray  # document of each word
+    inside: np.ndarray  # whether the window that begins at a word ends in the same document
+    least: np.ndarray  # its minimiser
+    codes: np.ndarray  # hash of each word
+
+
+def windows_of(held: list, window: int, minimiser: int) -> Windows | None:
+    words, owner, offset = [], [], []
+    held.sort(key=lambda r: r[0])
+    for i, (_, _, t) in enumerate(held):
+        ws = t.split()
+        if len(ws) >= window:
+            owner.append((i, len(ws)))
+            offset.append(len(words))
+            words.extend(ws)
+    if not words:
+        return None
+    h = word_hashes(words)
+    doc = np.repeat(np.arange(len(owner)), [n for _, n in owner])
+    least = sliding_min(mix(rolling(h, minimiser, BASES[0])), window - minimiser + 1)
+    return Windows(words, np.array([held[i][0] for i, _ in owner], np.int64), np.array([held[i][1] for i, _ in owner], np.int64),
+                   np.array(offset), doc, doc[:len(least)] == doc[window - 1:], least, h)
+
+
+def flushes(batches, window: int, minimiser: int):
+    """Windows of about FLUSH bytes of text at a time."""
     held, size = [], 0
     for batch in batches:
         for rows, parts in slices(batch, "text"):
             held += zip(rows.column("doc_id").to_pylist(), rows.column("text_hash").to_pylist(), parts)
             size += sum(map(len, parts))
             if size >= FLUSH:
-                made = flush(held)
-                held, size = [], 0
-                if made is not None:
+                if (made := windows_of(held, window, minimiser)) is not None:
                     yield made
-    made = flush(held)
-    if made is not None:
+                held, size = [], 0
+    if (made := windows_of(held, window, minimiser)) is not None:
         yield made
 
 
+def minimisers(batches, window: int, minimiser: int):
+    """The different minimisers of each flush with the least and largest id that has them."""
+    for w in flushes(batches, window, minimiser):
+        at = np.flatnonzero(w.inside)
+        at = at[np.concatenate([[True], (np.diff(w.least[at]) != 0) | (np.diff(w.doc[at]) != 0)])]
+        order = np.argsort(w.least[at], kind="stable")  # documents stay in order of their ids
+        m, ids = w.least[at][order], w.ids[w.doc[at]][order]
+        new = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+        last = np.concatenate([new[1:] - 1, [len(m) - 1]])
+        yield pa.RecordBatch.from_arrays([pa.array(m[new].view(np.int64)), pa.array(ids[new]), pa.array(ids[last])], names=["m", "lo", "hi"])
+
+
+def places(m: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a minimiser in the filter."""
+    return (m & np.uint64(bits - 1)).astype(np.int64), (mix(m) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def shared_filter(docs: DataFrame, window: int, minimiser: int) -> np.ndarray:
+    """Bytes of a bit filter that holds every minimiser that documents of two ids have."""
+    found = docs.mapInArrow(lambda b: minimisers(b, window, minimiser), "m long, lo long, hi long")
+    shared = cut(found.groupBy("m").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo < hi").select("m"))
+    bits = min(FILTER_BITS, max(PAGE, 1 << (16 * shared.count()).bit_length()))
+
+    def bit_places(batches):
+        for b in batches:
+            at = np.concatenate(places(b.column("m").to_numpy().view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at // PAGE), pa.array(at % PAGE)], names=["page", "bit"])
+
+    def page(table):
+        out = np.zeros(PAGE, np.uint8)
+        out[table.column("bit").to_numpy()] = 1
+        return pa.table({"page": table.column("page").slice(0, 1), "data": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    marks = shared.mapInArrow(bit_places, "page long, bit long").distinct()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in marks.groupBy("page").applyInArrow(page, "page long, data binary").toLocalIterator():  # FILTER_BITS bits at most
+        out[r["page"] * PAGE // 8:(r["page"] + 1) * PAGE // 8] = np.frombuffer(r["data"], np.uint8)
+    return out
+
+
+def packed(batches, shared: np.ndarray, window: int, minimiser: int):
+    """Rows to shuffle: bucket, doc_id, text_hash, start, words (a super-k-mer), or stop for a decided range of windows."""
+    names = ["bucket", "doc_id", "text_hash", "start", "stop", "words"]
+    kinds = [pa.int64()] * 5 + [pa.binary()]
+    for w in flushes(batches, window, minimiser):
+        at = np.flatnonzero(w.inside)  # windows within one document
+        at = at[np.logical_and.reduce([shared[p >> 3] >> (p & 7).astype(np.uint8) & 1 for p in places(w.least[at], 8 * len(shared))]).astype(bool)]
+        d = digests(w.codes, window)[at]
+        first = at[first_of_equal(d)]
+        decided, send = np.zeros(len(w.inside), bool), np.zeros(len(w.inside), bool)
+        decided[at] = w.ids[w.doc[at]] > w.ids[w.doc[first]]
+        send[at] = ~decided[at]
+        s, e = runs(decided, w.doc)
+        doc = w.doc[s]
+        out = [w.hashes[doc].tolist(), w.ids[doc].tolist(), w.hashes[doc].tolist(), (s - w.offset[doc]).tolist(), (e - w.offset[doc]).tolist(), [None] * len(s)]
+        # A super-k-mer ends where the window is not sent, the document ends or the minimiser changes.
+        k = np.flatnonzero(send)
+        if len(k):
+            new = np.flatnonzero((np.diff(k) != 1) | (np.diff(w.doc[k]) != 0) | (w.least[k][1:] != w.least[k][:-1])) + 1
+            s, e = k[np.concatenate([[0], new])], k[np.concatenate([new - 1, [len(k) - 1]])]
+            doc = w.doc[s]
+            packs = [b" ".join(w.words[a:b]) for a, b in zip(s.tolist(), (e + window).tolist())]
+            more = [w.least[s].view(np.int64).tolist(), w.ids[doc].tolist(), w.hashes[doc].tolist(), (s - w.offset[doc]).tolist(), [None] * len(s), packs]
+            out = [a + b for a, b in zip(out, more)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], names=names)
+
+
 def counted(batches, window: int):
     """Ranges of windows (doc_id, text_hash, start, stop) that a smaller id holds too; rows come sorted by bucket and doc_id."""
     names = ["doc_id", "text_hash", "start", "stop"]
@@ -206,7 +260,8 @@ def counted(batches, window: int):
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, minimiser: int = MINIMISER) -> DataFrame:
     """doc_id, text_hash, start, stop: first and last window (by their first word) of repeated passages."""
     base = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    sent = base.mapInArrow(lambda b: packed(b, window, minimiser), "bucket long, doc_id long, text_hash long, start long, stop long, words binary")
+    shared = shared_filter(base, window, minimiser)
+    sent = base.mapInArrow(lambda b: packed(b, shared, window, minimiser), "bucket long, doc_id long, text_hash long, start long, stop long, words binary")
     return (sent.repartition("bucket").sortWithinPartitions("bucket", "doc_id")
             .mapInArrow(lambda b: counted(b, window), "doc_id long, text_hash long, start long, stop long"))
 
