@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.settings import checkpoint_dir, cut  # noqa: F401
 
-TEXT_BYTES = 8 << 20  # text that a task turns into words at a time
+TEXT_BYTES = 4 << 20  # text that a task turns into words at a time
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 

@@ -39,9 +39,11 @@ from pyspark.sql import types as T
 from tidegauge.llm.common import mix, shared_folder, slices
 
 SHARD_CHARS = 12_000_000
-FLUSH_TOKENS = 3_000_000  # tokens that a task counts before it sends them
+FLUSH_TOKENS = 2_000_000  # tokens that a task counts before it sends them
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # codes of the marks, which no word's hash is expected to meet
 MOST_ARRAYS = 8
+CODE_BYTES = 7  # of a word's hash: among a billion different words fewer than ten pairs share one
+CODE_MASK = (1 << 8 * CODE_BYTES) - 1
 FILES = 512  # mapped files that a worker keeps open
 ROW = "kind string, level int, shard long, n long, data binary"
 
@@ -107,6 +109,11 @@ def summed(key: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     return key[new], order[new], [np.add.reduceat(v[order], new) if len(new) else v[:0] for v in values]
 
 
+def in_order(key: np.ndarray, codes: list[np.ndarray], values: list[np.ndarray]):
+    at = np.argsort(key, kind="stable")
+    return key[at], [c[at] for c in codes], [v[at] for v in values]
+
+
 def small_ints(v: np.ndarray) -> np.ndarray:
     for kind in (np.uint8, np.uint16, np.uint32):
         if not len(v) or int(v.max()) <= np.iinfo(kind).max:
@@ -115,25 +122,39 @@ def small_ints(v: np.ndarray) -> np.ndarray:
 
 
 def packed(kind: str, level: int, key: np.ndarray, codes: list[np.ndarray], values: list[np.ndarray], shards: int):
-    """One row per shard with the columns of its keys. Keys come in order."""
+    """One row per shard with the columns of its keys. Keys come in order; within a row the first code is sorted."""
     edges = np.searchsorted(shard_of(key, shards), np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(edges)):
-        a, b = edges[s], edges[s + 1]
-        data = [c[a:b].tobytes() for c in codes]
-        for v in values:
-            v = small_ints(v[a:b])
+        at = np.arange(edges[s], edges[s + 1])
+        at = at[np.argsort(codes[0][at], kind="stable")]
+        first = codes[0][at]
+        new = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+        data = [np.int64(len(new)).tobytes(), _short(first[new])]
+        for v in (np.diff(np.concatenate([new, [len(first)]])), *(v[at] for v in values)):
+            v = small_ints(v)
             data += [bytes([v.itemsize]), v.tobytes()]
-        yield kind, level, int(s), int(b - a), b"".join(data)
+        yield kind, level, int(s), len(at), b"".join(data + [_short(c[at]) for c in codes[1:]])
 
 
 def unpacked(n: int, data: bytes, codes: int, values: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    cs = [np.frombuffer(data, np.uint64, n, 8 * n * i) for i in range(codes)]
-    at, vs = 8 * n * codes, []
-    for _ in range(values):
-        size = data[at]
-        vs.append(np.frombuffer(data, f"u{size}", n, at + 1).astype(np.int64))
-        at += 1 + n * size
-    return cs, vs
+    heads = int.from_bytes(data[:8], "little")
+    first, at, vs = _long(data, 8, heads), 8 + CODE_BYTES * heads, []
+    for size in (heads, *[n] * values):
+        width = data[at]
+        vs.append(np.frombuffer(data, f"u{width}", size, at + 1).astype(np.int64))
+        at += 1 + size * width
+    rest = [_long(data, at + CODE_BYTES * n * i, n) for i in range(codes - 1)]
+    return [np.repeat(first, vs[0]), *rest], vs[1:]
+
+
+def _short(codes: np.ndarray) -> bytes:
+    return codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE_BYTES].tobytes()
+
+
+def _long(data: bytes, at: int, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :CODE_BYTES] = np.frombuffer(data, np.uint8, CODE_BYTES * n, at).reshape(n, CODE_BYTES)
+    return out.view("<u8").ravel()
 
 
 def rows_table(rows) -> pa.Table:
@@ -151,7 +172,7 @@ def token_codes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         words.append(None)
         counts.append(len(ws) + 1)
     digest = xxhash.xxh64_intdigest
-    return np.array([int(END) if w is None else digest(w) for w in words], np.uint64), np.array(counts)
+    return np.array([int(END) if w is None else digest(w) & CODE_MASK for w in words], np.uint64), np.array(counts)
 
 
 def context_columns(codes: np.ndarray, counts: np.ndarray, order: int) -> list[np.ndarray]:
@@ -210,8 +231,6 @@ def train(docs: DataFrame, order: int = 2) -> Model:
             ones = np.ones(len(codes), np.int64)
             key, first, (n,) = summed(gram_key(columns), [ones])
             yield from packed("gram", order, key, [c[first] for c in columns], [n], shards)
-            key, first, (n,) = summed(mix(codes), [ones])
-            yield from packed("word", 1, key, [codes[first]], [n], shards)
 
         for batch in batches:
             for _, parts in slices(batch, "text"):
@@ -228,28 +247,26 @@ def train(docs: DataFrame, order: int = 2) -> Model:
         kind, level, shard = (k.as_py() for k in key)
         if kind == "stat":
             return table.select(["kind", "level", "shard", "n", "data"])
-        n_codes, n_values = (1, 4) if kind == "context" else (1, 1) if kind == "word" else (level, 1)
+        # An n-gram has its count and, below the highest order, how often it occurs.
+        n_codes, n_values = (1, 4) if kind == "context" else (level, 1 if level == order else 2)
         parts = [unpacked(n, d, n_codes, n_values) for n, d in zip(table.column("n").to_pylist(), table.column("data").to_pylist())]
         codes = [np.concatenate(c) for c in zip(*(p[0] for p in parts))]
         values = [np.concatenate(v) for v in zip(*(p[1] for p in parts))]
-        k = mix(codes[0]) if kind == "word" else codes[0] if kind == "context" else gram_key(codes)
-        k, first, values = summed(k, values)
-        codes = [c[first] for c in codes]
+        k, first, values = summed(gram_key(codes), values)
         path = f"{folder}/{kind}-{level}-{shard:07d}"
         if kind == "context":
             write_arrays(path, [k, *map(small_ints, values)])
             return rows_table([])
-        c = values[0]
-        write_arrays(path, [k, small_ints(c)])
-        if kind == "word":
-            return rows_table([("stat", 0, shard, 0, np.array([len(k), int(c.sum()), 0, 0, 0, 0], np.int64).tobytes())])
-        out = [("stat", level, shard, 0, np.array([len(k), int(c.sum()), *counts_of_counts(c)], np.int64).tobytes())]
+        codes, c = [x[first] for x in codes], values[0]
+        write_arrays(path, [k, *map(small_ints, values if level == 1 else values[:1])])
+        out = [("stat", level, shard, 0, np.array([len(k), int(c.sum()), *counts_of_counts(c), int(values[-1].sum())], np.int64).tobytes())]
         if level > 1:
-            x, _, sums = summed(gram_key(codes[:-1]), [c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)])
-            out += packed("context", level, x, [x], sums, shards)
+            x, first, sums = summed(gram_key(codes[:-1]), [c, (c == 1).astype(np.int64), (c == 2).astype(np.int64), (c > 2).astype(np.int64)])
+            context = gram_key(codes[:-1])[first] & np.uint64(CODE_MASK)
+            out += packed("context", level, *in_order(gram_key([context]), [context], sums), shards)
             lower = codes[1:]
-            k, first, (n,) = summed(gram_key(lower), [np.ones(len(c), np.int64)])
-            out += packed("gram", level - 1, k, [q[first] for q in lower], [n], shards)
+            k, first, sums = summed(gram_key(lower), [np.ones(len(c), np.int64), values[-1]])
+            out += packed("gram", level - 1, k, [q[first] for q in lower], sums, shards)
         return rows_table(out)
 
     rows = docs.select("text").mapInArrow(count, ROW)
@@ -259,17 +276,16 @@ def train(docs: DataFrame, order: int = 2) -> Model:
     def stats(batches):
         for b in batches:
             s = [np.frombuffer(d, np.int64) for d in b.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("level"), *(pa.array([int(x[i]) for x in s], pa.int64()) for i in range(6))], names=["level", *"abcdef"])
+            yield pa.RecordBatch.from_arrays([b.column("level"), *(pa.array([int(x[i]) for x in s], pa.int64()) for i in range(7))], names=["level", *"abcdefg"])
 
-    facts = rows.filter("kind = 'stat'").mapInArrow(stats, "level int, a long, b long, c long, d long, e long, f long")
-    facts = {r["level"]: r for r in facts.groupBy("level").agg(*[F.sum(x).alias(x) for x in "abcdef"]).collect()}
-    none = dict.fromkeys("abcdef", 0)
-    base = facts.get(0, none)
+    facts = rows.filter("kind = 'stat'").mapInArrow(stats, "level int, a long, b long, c long, d long, e long, f long, g long")
+    facts = {r["level"]: r for r in facts.groupBy("level").agg(*[F.sum(x).alias(x) for x in "abcdefg"]).collect()}
+    none = dict.fromkeys("abcdefg", 0)
     by = {level: discounts([facts.get(level, none)[x] for x in "cdef"]) for level in range(1, order + 1)}
     ones = facts.get(1, none)
     followed = (ones["c"], ones["d"], ones["a"] - ones["c"] - ones["d"])
     freed = sum(d * n for d, n in zip(by[1], followed)) / max(1, ones["b"])
-    return Model(folder, order, int(shards), base["b"], base["a"], by, ones["b"], freed)
+    return Model(folder, order, int(shards), ones["g"], ones["a"], by, ones["b"], freed)
 
 
 class Mapped:
@@ -292,7 +308,7 @@ class Mapped:
 
     def look_up(self, kind: str, level: int, key: np.ndarray) -> list[np.ndarray]:
         """The values of the keys, 0 where there is none."""
-        out = [np.zeros(len(key), np.int64) for _ in range(4 if kind == "context" else 1)]
+        out = [np.zeros(len(key), np.int64) for _ in range(4 if kind == "context" else 2 if level == 1 else 1)]
         order = np.argsort(key)
         key = key[order]
         shards = shard_of(key, self.model.shards)
@@ -317,17 +333,17 @@ def token_scores(mapped: Mapped, codes: np.ndarray, counts: np.ndarray) -> tuple
     """For every token its count in training, and log10 of its probability."""
     m = mapped.model
     number, distinct = pd.factorize(codes)
-    seen = mapped.look_up("word", 1, mix(distinct))[0]
+    c, seen = mapped.look_up("gram", 1, gram_key([distinct]))
     p = np.full(len(distinct), 1.0 / (m.words + 1))
     if m.unigrams:
-        c = mapped.look_up("gram", 1, gram_key([distinct]))[0]
         p = discounted(c, m.discounts[1]) / m.unigrams + m.freed * p
     p = p[number]
     columns = context_columns(codes, counts, m.order)
     for level in range(2, m.order + 1):
         if not m.unigrams:
             break
-        at, contexts = pd.factorize(gram_key(columns[m.order - level:-1]))
+        at, contexts = pd.factorize(gram_key(columns[m.order - level:-1]) & np.uint64(CODE_MASK))
+        contexts = gram_key([contexts])
         total, n1, n2, n3 = (v[at] for v in mapped.look_up("context", level, contexts))
         c = mapped.look_up("gram", level, gram_key(columns[m.order - level:]))[0]
         d = m.discounts[level]
