@@ -195,7 +195,8 @@ def packed(batches, shared: np.ndarray, window: int, minimiser: int):
         send[at] = ~decided[at]
         s, e = runs(decided, w.doc)
         doc = w.doc[s]
-        out = [w.hashes[doc].tolist(), w.ids[doc].tolist(), w.hashes[doc].tolist(), (s - w.offset[doc]).tolist(), (e - w.offset[doc]).tolist(), [None] * len(s)]
+        # What is decided already is only passed on; copies of one text are spread by their ids.
+        out = [mix((w.ids[doc] ^ w.hashes[doc]).view(np.uint64)).view(np.int64).tolist(), w.ids[doc].tolist(), w.hashes[doc].tolist(), (s - w.offset[doc]).tolist(), (e - w.offset[doc]).tolist(), [None] * len(s)]
         # A super-k-mer ends where the window is not sent, the document ends or the minimiser changes.
         k = np.flatnonzero(send)
         if len(k):
