@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from tidegauge.llm.common import mix, shared_folder, slices
 
 SHARD_CHARS = 12_000_000
-FLUSH_TOKENS = 2_000_000  # tokens that a task counts before it sends them
+FLUSH_TOKENS = 1_000_000  # tokens that a task counts before it sends them
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # codes of the marks, which no word's hash is expected to meet
 MOST_ARRAYS = 8
 CODE_BYTES = 7  # of a word's hash: among a billion different words fewer than ten pairs share one
@@ -237,10 +237,10 @@ def train(docs: DataFrame, order: int = 2) -> Model:
                 held.append(token_codes(parts))
                 size += len(held[-1][0])
                 if size >= FLUSH_TOKENS:
-                    yield from rows_table(flush()).to_batches()
+                    yield from rows_table(flush()).to_batches(64)
                     held, size = [], 0
         if held:
-            yield from rows_table(flush()).to_batches()
+            yield from rows_table(flush()).to_batches(64)
 
     def reduce_(key, table):
         """Adds up one shard of one kind, writes it, and sends on what lower orders need."""
