@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from tidegauge.llm.common import mix, shared_folder, slices
 
-SHARD_CHARS = 12_000_000
+SHARD_CHARS = 8_000_000
 FLUSH_TOKENS = 1_000_000  # tokens that a task counts before it sends them
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)  # codes of the marks, which no word's hash is expected to meet
 MOST_ARRAYS = 8
