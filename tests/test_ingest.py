@@ -182,6 +182,21 @@ def test_dialects_and_reading(spark, tmp_path):
     assert again.columns[:3] == ["time", "x", "Participant"]
 
 
+def test_mixed_folder(spark, tmp_path):
+    """Each file is read in its own dialect and encoding, by column name; the unreadable ones have a status."""
+    (tmp_path / "m x").mkdir()
+    put = lambda n, b: (tmp_path / "m x" / n).write_bytes(b)
+    put("a.csv", "time;größe\n".encode("latin-1") + b"".join(b"%d;%d,5\n" % (i, i) for i in range(30)))
+    put("b.csv", "größe,time,more\n".encode() + b"".join(b"%d.25,%d,z\n" % (i, i) for i in range(30)))
+    put("c.csv", b"\n \n")
+    put("d.csv", b"alone\n1\n2\n")
+    df = D.read_delimited(spark, str(tmp_path / "m x"))
+    assert df.count() == 60 and set(df.columns) == {"time", "größe", "more", "source", "row"}
+    assert df.agg(F.sum("größe"), F.count("more"), F.sum("time")).first()[:] == (30 * 0.75 + 2 * 435, 30, 870.0)
+    assert {r.file.rsplit("/", 1)[1]: r.status for r in D.layouts(spark, str(tmp_path / "m x")).collect()} == {
+        "a.csv": "ok", "b.csv": "ok", "c.csv": "empty", "d.csv": "single column"}
+
+
 def test_candidate_lists(spark):
     grid = [tuple(r) for r in R.spec_grid(spark).orderBy("pipeline_id").select("order", "imputation", "outlier", "smoothing", "scaling").collect()]
     assert grid == full_grid() and len(grid) == 336

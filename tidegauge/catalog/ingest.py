@@ -238,6 +238,23 @@ def delimited_round_trip(spark, d):
                    .select("*", *[F.lit(told[c]).alias(c) for c in ("separator", "decimal", "encoding")]), 4)
 
 
+@query("delimited_mixed_folder", """SELECT event_type, count(*) AS rows, round(sum(value), 4) AS total,
+  count(*) FILTER (event_id % 3 = 0) AS noted, 3 AS layouts FROM events GROUP BY 1""")
+def delimited_mixed_folder(spark, d):
+    """The events as files of three layouts in one folder: other separators, decimal marks, column orders and columns."""
+    path = scratch(spark, "mixed")
+    e = table(spark, d, "events").select("event_type", F.format_string("%.2f", F.col("value")).alias("reading"), "event_id")
+    comma = F.translate("reading", ".", ",").alias("reading")
+    part = lambda k: e.filter(F.pmod("event_id", F.lit(3)) == k)
+    part(0).select("event_type", comma, F.lit("x").alias("note")).write.option("header", True).option("sep", ";").csv(f"{path}/a")
+    part(1).select("reading", "event_type").write.option("header", True).option("sep", "|").csv(f"{path}/b")
+    part(2).select("event_type", "reading").write.option("header", True).csv(f"{path}/c")
+    told = D.layouts(spark, f"{path}/*").filter("status = 'ok'").agg(F.count_distinct("separator", "header").alias("layouts")).first()
+    back = D.read_delimited(spark, f"{path}/*")
+    return rounded(back.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"), F.sum("reading").alias("total"), F.count("note").alias("noted"))
+                   .withColumn("layouts", F.lit(told["layouts"])), 4)
+
+
 @query("export_table", """SELECT CAST(l_suppkey AS VARCHAR) AS supplier, count(*) AS rows, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1""")
 def export_table(spark, d):
     """A table written as CSV and read back with its declared types."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,27 +46,54 @@ def _count(sep: str) -> Column:
     return (F.length("value") - F.length(F.replace(F.col("value"), F.lit(sep), F.lit("")))).cast("double")
 
 
+def layouts(spark: SparkSession, path: str) -> DataFrame:
+    """The dialect of every file, its first line, and a status: ok, single column or empty (files of no byte are skipped)."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
+    first = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"),
+                                         F.monotonically_increasing_id().alias("line"), "value").filter(F.trim("value") != "")
+    first = first.groupBy("file").agg(F.min_by("value", F.struct("part", "line")).alias("header"))
+    told = dialects(spark, path).join(first, "file")
+    # Both readers name files alike but for the slashes after the scheme.
+    key = F.regexp_replace(F.url_decode("file"), "^file:/+", "/").alias("_key")
+    out = files.select("file", key).join(told.select(key, *[c for c in told.columns if c != "file"]), "_key", "left")
+    status = F.when(F.col("header").isNull(), "empty").when(_count_of("header", "separator") < 1, "single column").otherwise("ok")
+    return out.select("file", "encoding", "separator", "decimal", "header", status.alias("status"))
+
+
+def _count_of(text: str, part: str) -> Column:
+    return F.length(text) - F.length(F.replace(F.col(text), F.col(part), F.lit("")))
+
+
 def read_delimited(spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None,
                    convert: bool = True) -> DataFrame:
-    """All files of one layout as text columns with trimmed names, plus source and row order.
+    """All files as text columns with trimmed names, plus source and row order.
 
-    Numbers are recognised afterwards, with their decimal mark and units. Fewer
-    than two columns mean a wrong separator: it is then told from the files.
+    Files are read in groups of one encoding, separator and header, and joined by column name; columns that a file lacks
+    are NULL. Numbers are recognised afterwards, with their decimal mark and units. A separator given by the caller that
+    finds fewer than two columns is wrong: it is then told from the file. Blank files and files of a single column have
+    no rows here; `layouts` tells of them.
     """
-    if separator is None or encoding is None:
-        first = dialects(spark, path).orderBy("file").first()
-        separator, encoding = separator or first["separator"], encoding or first["encoding"]
-
-    def load(sep: str) -> DataFrame:
-        name = {"latin-1": "ISO-8859-1"}.get(encoding, "UTF-8")
-        return spark.read.option("header", True).option("sep", sep).option("encoding", name).csv(path)
-
-    raw = load(separator)
-    if len(raw.columns) < 2:
-        raw = load(dialects(spark, path).orderBy("file").first()["separator"])
-    names = raw.columns
-    df = raw.select(*[F.col(f"`{n}`").alias(n.strip().lstrip("\ufeff")) for n in names],
-                    F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("row"))
+    given = F.lit(separator)
+    parts = layouts(spark, path).filter("status <> 'empty'")
+    if separator is not None:
+        parts = parts.withColumn("separator", F.when(F.contains("header", given), given).otherwise(F.col("separator")))
+    if encoding is not None:
+        parts = parts.withColumn("encoding", F.lit(encoding))
+    if parts.filter("status = 'ok'").take(1):  # else a folder of single columns, which is read as it is
+        parts = parts.filter("status = 'ok'")
+    groups = parts.groupBy("encoding", "separator", "header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()
+    if not groups:
+        raise ValueError(f"no readable file in {path}")
+
+    def load(group) -> DataFrame:
+        name = {"latin-1": "ISO-8859-1"}.get(group["encoding"], "UTF-8")
+        raw = spark.read.option("header", True).option("sep", group["separator"]).option("encoding", name).csv(group["files"])
+        return raw.select(*[F.col(f"`{n}`").alias(n.strip().lstrip("\ufeff")) for n in raw.columns], F.col("_metadata.file_path").alias("source"))
+
+    loaded = [load(g) for g in sorted(groups, key=lambda g: g["files"][0])]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), loaded)
+    names = [c for c in df.columns if c != "source"]
+    df = df.select(*[F.col(f"`{n}`") for n in names], "source", F.monotonically_increasing_id().alias("row"))
     if not convert:
         return df
     body = promote(df.drop("source", "row"))
