@@ -72,8 +72,7 @@ def test_short_segments_and_missing_positions(spark):
         assert got[:8] == values[:8] and got[8] is None and got[9:] != values[9:]
     log = smooth.settings_log(one(spark, values), "savgol").orderBy("segments", "samples").collect()
     assert {(r.status, r.segments, r.window_samples) for r in log} == {("skipped", 1, None), ("applied", 1, 21)}
-    with pytest.raises(Exception, match="regular timestamps"):
-        smooth.smooth(one(spark, values), ["savgol"], irregular=F.lit(True)).df.collect()
+    assert column(smooth.smooth(one(spark, values), ["savgol"], irregular=F.lit(True)), "smo_savgol") == values
 
 
 def test_scaling_runs_before_smoothing_and_can_be_undone(table):
@@ -186,3 +185,35 @@ def test_audit_is_plain_json(spark):
         doc = json.loads(r.audit)
         assert doc["execution_status"] == "executed" and len(doc["feature_metrics"]) == 4
         assert 0 <= doc["quality_index_before"] <= 100 and doc["executed_pipeline"]["outlier"] == "iqr"
+
+
+def test_unknown_metrics_are_features(spark):
+    """Rows with a metric that isn't known count like all others."""
+    from tidegauge.plans import benchmark as B
+    rows = spark.createDataFrame([(i, float(i % 7), None if i % 4 == 0 else 1.0, "a" if i % 4 == 0 else "b") for i in range(60)], "seed long, f double, g double, winner string")
+    got = B.holdout_accuracy(rows, ["f", "g"], F.col("seed") >= 40).first()
+    assert got["rows"] == 20 and got["accuracy"] == 1.0
+    assert sum(r["rows"] for r in B.grouped_cv(rows, ["f", "g"], "seed", 3).collect()) == 60 and "g" in B.rule_tree(rows, ["f", "g"])
+
+
+def test_neighbours_of_small_values():
+    """The nearest donors, whatever the scale of the values."""
+    from tidegauge.operators import knn
+    rng = np.random.default_rng(1)
+    d = rng.normal(size=(200, 2)) * 1e-6
+    q = rng.normal(size=(5, 2)) * 1e-6
+    for row, found in zip(q, knn.nearest(q, d, np.arange(200.0), np.arange(200), 3)):
+        want = np.argsort(((d - row) ** 2).sum(axis=1))[:3]
+        assert [i for _, i, _, _ in sorted(found)] == want.tolist()
+
+
+def test_one_irregular_recording_stays_as_it_is(spark):
+    """It comes back unsmoothed, the other one smoothed."""
+    from tidegauge.operators import smooth
+    rows = [(r, "a", i, i / 50.0 + (0.3 * (i % 5) if r == "odd" else 0), float((i * 7919) % 13)) for r in ("odd", "even") for i in range(60)]
+    s = Series.of(spark.createDataFrame(rows, "recording_id string, signal string, idx long, t double, value double"))
+    pdf = smooth.smooth(s, ["savgol"], irregular=F.col("recording_id") == "odd").df.toPandas()
+    odd, even = pdf[pdf.recording_id == "odd"], pdf[pdf.recording_id == "even"]
+    assert len(odd) == len(even) == 60 and (odd.smo_savgol == odd.value).all() and (even.smo_savgol != even.value).any()
+    log = smooth.settings_log(s, "savgol", irregular=F.col("recording_id") == "odd").toPandas()
+    assert dict(zip(log.recording_id, log.status)) == {"odd": "irregular", "even": "applied"}

@@ -34,15 +34,23 @@ def distances(q: np.ndarray, d: np.ndarray) -> np.ndarray:
         return np.where(shared > 0, total * q.shape[1] / shared, np.nan)
 
 
+def twelve_digits(x: np.ndarray) -> np.ndarray:
+    """Rounded to twelve significant digits, whatever the scale."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        unit = 10.0 ** (11 - np.floor(np.log10(x)))
+        return np.where(x > 0, np.round(x * unit) / unit, x)
+
+
 def nearest(q: np.ndarray, d: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int):
     """The k nearest donors of each query row as (rank distance, donor id, donor value, squared distance).
 
-    Nine decimals decide between neighbours; closer ones are ties, broken by row.
+    Twelve significant digits decide between neighbours, so that sums in another order make no difference; what is
+    equal then is broken by row.
     """
     out = []
     for a in range(0, len(q), TILE):
         exact = distances(q[a:a + TILE], d)
-        dist = np.where(np.isnan(exact), np.inf, np.round(exact, 9))
+        dist = np.where(np.isnan(exact), np.inf, twelve_digits(exact))
         take = min(k, dist.shape[1])
         part = np.argpartition(dist, take - 1, axis=1)[:, :take]
         kth = np.take_along_axis(dist, part, 1).max(axis=1)

@@ -123,28 +123,26 @@ def smooth(s: Series, methods, max_gap: float | None = None, irregular: Column |
            fs: Column | None = None, semantics: str = "app") -> Series:
     """Column smo_<method> for every method; missing positions stay missing.
 
-    ``irregular`` marks rows of recordings with irregular timing: these are
-    refused unless ``resample`` is set, and then filtered on a uniform grid at
-    ``fs`` inside each segment and read back at the observed times.
+    ``irregular`` marks rows of recordings with irregular timing: these come
+    back as they are unless ``resample`` is set, and are then filtered on a
+    uniform grid at ``fs`` inside each segment and read back at the observed
+    times. Segments whose grid would have over GRID_LIMIT cells come back as
+    they are as well; settings_log tells of both.
     """
     keep = list(s.df.columns)
     work = [m for m in methods if m != "none"]
     if not work:
         return s.on(s.df.select("*", F.col("value").alias("smo_none")))
     irregular = F.lit(False) if irregular is None else irregular
-    if not resample:
-        refuse = F.raise_error(F.lit("Smoothing needs regular timestamps; enable resampling or select no smoothing"))
-        s = s.with_column("_re", F.when(irregular, refuse.cast("boolean")).otherwise(False))
-    else:
-        s = s.with_column("_re", irregular)
-    s = segments(s, max_gap)
+    s = segments(s.with_column("_irregular", F.coalesce(irregular, F.lit(False))), max_gap)
     seg, seen = F.col("seg"), F.col("value").isNotNull()
     rate = F.lit(1.0) if fs is None else fs
     on_grid = lambda t: (t - seg["t"]) * rate
     by_row = (F.col("idx") - seg["idx"]).cast("double")
-    too_big = F.col("_re") & (on_grid(F.col("seg_end")["t"]) > GRID_LIMIT)
-    g = F.when(too_big, F.raise_error(F.lit("The smoothing grid is too large")).cast("double")) \
-        .when(F.col("_re"), on_grid(F.col("t"))).otherwise(by_row)
+    fits = F.coalesce(on_grid(F.col("seg_end")["t"]) <= GRID_LIMIT, F.lit(False))
+    regrid = F.col("_irregular") & F.lit(resample) & fits
+    s = s.on(s.df.withColumn("_re", regrid).withColumn("_as_is", F.col("_irregular") & ~regrid))
+    g = F.when(F.col("_re"), on_grid(F.col("t"))).otherwise(by_row)
     before = F.when(F.col("_re"), F.floor(on_grid(F.coalesce("_bt", "t")))).otherwise(F.floor(by_row))
     after = F.when(F.col("_re"), F.ceil(on_grid(F.coalesce("_at", "t")))).otherwise(F.floor(by_row))
     first_chunk = F.greatest(F.lit(0), F.floor((before - HALO) / CHUNK))
@@ -157,7 +155,7 @@ def smooth(s: Series, methods, max_gap: float | None = None, irregular: Column |
     rows = s.df.select(
         *s.keys, F.when(seen, seg["idx"]).otherwise(-1).alias("_seg"), F.col("seg_rows").alias("_n"), F.col("_re"),
         F.explode(chunks).alias("_c"), F.when(seen, own).alias("_own"),
-        F.struct("idx", g.alias("g"), "value", *rest).alias("_r"))
+        F.struct("idx", g.alias("g"), "value", "_as_is", *rest).alias("_r"))
     rows = rows.withColumn("_mine", ~seen_col() | (F.col("_own") == F.col("_c")))
     groups = rows.groupBy(*s.keys, "_seg", "_c").agg(
         F.sort_array(F.collect_list(F.struct(F.col("_r.idx").alias("i"), F.col("_mine").alias("own"), F.col("_r").alias("r")))).alias("_rows"),
@@ -169,7 +167,8 @@ def smooth(s: Series, methods, max_gap: float | None = None, irregular: Column |
     r = "z._rows.r."
     plain = {c: F.col(r + c) for c in ("idx", "value", *rest)}
     out = [plain[c].alias(c) if c in plain else F.col(c) for c in keep]
-    smo = [(F.col(r + "value") if m == "none" else F.when(F.col(r + "value").isNotNull(), F.col("z.smo_" + m))).alias("smo_" + m)
+    smo = [(F.col(r + "value") if m == "none" else F.when(F.col(r + "_as_is"), F.col(r + "value"))
+            .when(F.col(r + "value").isNotNull(), F.col("z.smo_" + m))).alias("smo_" + m)
            for m in methods]
     return s.on(flat.select(*out, *smo))
 
@@ -178,14 +177,17 @@ def seen_col() -> Column:
     return F.col("_r.value").isNotNull()
 
 
-def settings_log(s: Series, method: str, max_gap: float | None = None) -> DataFrame:
-    """Per series and parameter set: how many segments were filtered or skipped."""
-    s = segments(s, max_gap)
+def settings_log(s: Series, method: str, max_gap: float | None = None, irregular: Column | None = None, resample: bool = False,
+                 fs: Column | None = None) -> DataFrame:
+    """Per series and parameter set: how many segments were filtered, left for irregular times or a huge grid, or skipped."""
+    s = segments(s.with_column("_irregular", F.lit(False) if irregular is None else F.coalesce(irregular, F.lit(False))), max_gap)
+    cells = (F.col("seg_end")["t"] - F.col("seg")["t"]) * (F.lit(1.0) if fs is None else fs)
     n = F.col("seg_rows")
     odd = F.when(n % 2 == 1, n).otherwise(n - 1)
     window = {"moving_median": F.lit(MEDIAN_WINDOW).cast("long"), "savgol": F.least(F.lit(SAVGOL_WINDOW), odd).cast("long"),
               "butterworth": F.lit(None).cast("long")}[method]
-    used = F.when(n < MIN_SEGMENT, "skipped").when((n <= PAD) & F.lit(method == "butterworth"), "too_short").otherwise("applied")
+    used = F.when(F.col("_irregular") & F.lit(not resample), "irregular").when(F.col("_irregular") & (cells > GRID_LIMIT), "grid_too_large")
+    used = used.when(n < MIN_SEGMENT, "skipped").when((n <= PAD) & F.lit(method == "butterworth"), "too_short").otherwise("applied")
     return (s.df.filter("_opens")
             .groupBy(*s.keys, used.alias("status"), F.when(n >= MIN_SEGMENT, window).alias("window_samples"))
             .agg(F.count(F.lit(1)).alias("segments"), F.sum(n).alias("samples")))

@@ -19,6 +19,7 @@ from tidegauge.operators import corrupt, validate
 from tidegauge.operators.profile import aggregate_profile
 from tidegauge.operators.quality import with_components, with_index
 from tidegauge.plans.clean import STAGES, Settings, as_values, execute, profile_with_corr
+from tidegauge.settings import cut
 
 SCENARIO = ("domain", "seed", "severity_pct")
 CANDIDATE = ("order", "imputation", "outlier", "smoothing")
@@ -257,19 +258,27 @@ def weight_support(parts: DataFrame, scenario, draws: int = 250, seed: int = 42)
     return won.groupBy(*scenario, "method").agg((F.count(F.lit(1)) / F.lit(float(draws))).alias("support"))
 
 
+def _complete(rows: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
+    """Features that trees can read: an unknown metric (skewness of a constant signal, say) is 0 and marked as missing."""
+    rows = rows.withColumns({f"{f}_known": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features}
+                            | {f"{f}_missing": F.col(f).isNull().cast("double") for f in features})
+    return rows, [f"{f}_{k}" for k in ("known", "missing") for f in features]
+
+
 def _tree(rows: DataFrame, features: list[str], depth: int, leaf: int):
     label = StringIndexer(inputCol="winner", outputCol="label", handleInvalid="keep", stringOrderType="alphabetAsc").fit(rows)
-    ready = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
+    ready = VectorAssembler(inputCols=features, outputCol="features")
     model = DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=leaf, seed=42).fit(ready.transform(label.transform(rows)))
     return label, ready, model
 
 
 def rule_tree(rows: DataFrame, features: list[str], depth: int = 4, leaf: int = 4) -> str:
     """A shallow tree from profile metrics to the winning method, as text."""
+    rows, features = _complete(rows, features)
     label, _, model = _tree(rows, features, depth, leaf)
     text = model.toDebugString
     for i, f in enumerate(features):
-        text = text.replace(f"feature {i} ", f"{f} ")
+        text = text.replace(f"feature {i} ", f"{f.removesuffix('_known')} ")
     for i, m in enumerate(label.labels):
         text = text.replace(f"Predict: {float(i)}", f"Predict: {m}")
     return text
@@ -277,6 +286,7 @@ def rule_tree(rows: DataFrame, features: list[str], depth: int = 4, leaf: int =
 
 def holdout_accuracy(rows: DataFrame, features: list[str], test: Column, depth: int = 4, leaf: int = 4) -> DataFrame:
     """Accuracy on the held-out rows of a tree grown on the others, next to always saying the commonest."""
+    rows, features = _complete(rows, features)
     train = rows.filter(~test)
     label, ready, model = _tree(train, features, depth, leaf)
     common = train.agg(F.mode("winner", True)).first()[0]
@@ -288,7 +298,7 @@ def holdout_accuracy(rows: DataFrame, features: list[str], test: Column, depth:
 def grouped_cv(rows: DataFrame, features: list[str], group: str, folds: int = 5, depth: int = 4, leaf: int = 4) -> DataFrame:
     """Held-out accuracy per fold; all rows of a group fall into the same fold."""
     fold = F.floor(uniform(F.lit("fold"), F.col(group)) * folds)
-    rows = rows.withColumn("_fold", fold).persist()
+    rows = cut(rows.withColumn("_fold", fold))
     parts = [holdout_accuracy(rows, features, F.col("_fold") == k, depth, leaf).withColumn("fold", F.lit(k)) for k in range(folds)]
     return reduce(DataFrame.unionByName, parts)
 
