@@ -15,14 +15,19 @@ from tidegauge.operators import timeaxis as T
 from tidegauge.operators.impute import impute
 from tidegauge.plans import clean as C
 from tidegauge.plans import recommend as R
+from tidegauge.settings import small
 from tidegauge.sources import sinks
 from tidegauge.sources.tables import table
 
 
+NO_DOMAIN = "eye_tracking"  # of recordings that nothing is known of
+
+
 def advised(spark, d):
-    """Aggregate profiles with the domain of the supplier's region."""
+    """Aggregate profiles with the domain of the supplier's region, or the default one."""
     prof = P.aggregate_profile(line_profile(spark, d))
-    return prof.join(F.broadcast(region_domains(spark, d)), "recording_id")
+    both = prof.join(region_domains(spark, d), "recording_id", "left")
+    return both.withColumn("domain", F.coalesce("domain", F.lit(NO_DOMAIN)))
 
 
 def region_domains(spark, d):
@@ -43,7 +48,7 @@ RULES = f"""{LINE_PROFILE}, {REGION}, rec AS (SELECT recording_id, {', '.join(f'
       WHEN max_outlier_iqr_rate <= 0.0233 THEN 'iqr' WHEN max_outlier_mad_rate <= 0.0762 THEN 'mad' ELSE 'zscore' END AS outlier,
     CASE WHEN domain IN ('finance', 'network') OR max_local_volatility > 0.5748 THEN 'none' WHEN skewness > 0.1067 THEN 'butterworth' WHEN dominant_frequency_ratio <= 0.4698 THEN 'savgol' ELSE 'moving_median' END AS smoothing,
     CASE WHEN domain = 'finance' THEN 'none' WHEN greatest(outlier_iqr_rate, outlier_mad_rate) > 0.03 OR kurtosis_excess > 3 THEN 'robust' ELSE 'standard' END AS scaling
-  FROM rec JOIN dm USING (recording_id))"""
+  FROM (SELECT rec.*, coalesce(dm.domain, '{NO_DOMAIN}') AS domain FROM rec LEFT JOIN dm USING (recording_id)))"""
 
 
 @query("recommend_rules", f"{RULES} SELECT recording_id, domain, outlier, imputation, scaling, smoothing FROM rr")
@@ -123,7 +128,7 @@ def clean_run_recommended(spark, d):
     spec = R.recommended_spec(R.recommend(advised(spark, d))).drop("domain")
     spec = spec.select("recording_id", *[F.col(x).alias("use_" + x) for x in C.STAGES])
     s = lines(spark, d)
-    s = s.on(s.df.join(F.broadcast(spec), "recording_id"))
+    s = s.on(s.df.join(small(spec, s.groups), "recording_id"))
     methods = {"outlier": ["none", "winsorize", "iqr", "mad", "zscore"], "imputation": ["none", "mean", "linear", "locf"],
                "scaling": ["none", "standard", "robust"], "smoothing": ["none", "moving_median", "savgol", "butterworth"]}
     out = C.execute(s, methods, OUTLIER_FIRST, C.Settings(signals=tuple(SIGNALS)), {x: "use_" + x for x in C.STAGES})
@@ -222,3 +227,17 @@ def imputed_segments(spark, d):
 def fingerprint(spark, d):
     dig = S.fingerprint(lines_wide(spark, d), SIGNALS)
     return dig.join(S.context_key(dig, {"domain": "energy", "rate": 50}), "recording_id")
+
+
+ALTERED = "quantity = 13 AND idx % 31 = 3 AND price IS NOT NULL"
+
+
+@query("fingerprint_changes", f"WITH {LIW} SELECT recording_id, count(*) AS rows, bool_or(coalesce({ALTERED}, false)) AS differs FROM liw GROUP BY 1")
+def fingerprint_changes(spark, d):
+    """Which recordings' digests tell that a cent was added to some prices; rows in another order change none."""
+    s = lines_wide(spark, d)
+    price = F.when(F.expr(ALTERED), F.col("price") + 0.01).otherwise(F.col("price"))
+    altered = s.on(s.df.withColumn("price", price).repartition("idx"))
+    key = lambda x, name: S.context_key(S.fingerprint(x, SIGNALS), {"domain": "energy"}).withColumnRenamed("context_key", name)
+    both = key(s, "a").join(key(altered, "b"), "recording_id").join(S.fingerprint(s, SIGNALS).select("recording_id", "rows"), "recording_id")
+    return rounded(both.select("recording_id", "rows", (F.col("a") != F.col("b")).alias("differs")))

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import EV, LIW, events_wide, lines_wide, query, rounded, timing_sql
+from tidegauge.domains import DOMAIN_KEYWORDS, SIGNAL_PRIORITY
 from tidegauge.functions.series import Series, measure, ordered_index
 from tidegauge.operators import columns as M
 from tidegauge.operators import timeaxis as T
@@ -16,7 +17,7 @@ from tidegauge.settings import checkpoint_dir
 from tidegauge.sources import blocks as B
 from tidegauge.sources import delimited as D
 from tidegauge.sources.sinks import write_table
-from tidegauge.sources.tables import table
+from tidegauge.sources.tables import recordings, table
 
 
 def text_lines(spark, d):
@@ -90,6 +91,87 @@ def unit_guidance_by_rate(spark, d):
     return rounded(T.unit_guidance(s, "clock", ["timestamp", "gaze_x"], "timestamp"))
 
 
+# Line items under the names of an energy log.
+ROLES = {"elapsed_time": "l_linenumber", "sample_id": "l_orderkey", "voltage": "l_tax", "load_copy": "l_quantity*(1 + 1e-9)", "Load kW": "l_quantity",
+         "temperature": "l_partkey", "demand": "l_discount", "power": "l_extendedprice", "solar_constant": "1e0", "consumption": "l_suppkey"}
+
+
+def _roles_sql() -> str:
+    names = list(ROLES)
+    words = [(d, i, w) for i, (d, ws) in enumerate(DOMAIN_KEYWORDS.items()) for w in ws]
+    first = ", ".join(f"('{w}', {i})" for i, w in enumerate(SIGNAL_PRIORITY["energy"]))
+    same = [(a, b, f"bool_and(abs({ROLES[a]} - {ROLES[b]}) <= 1e-8 + 1e-5*abs({ROLES[b]}))") for a in names for b in names if a != b]
+    return f"""WITH st AS (SELECT unnest({names}) AS name, unnest([{', '.join(f'min({c}) < max({c})' for c in ROLES.values())}]) AS varies FROM lineitem),
+      ro AS (SELECT *, regexp_matches(lower(name), 'time|elapsed|duration|date|clock') AS time_candidate,
+        varies AND NOT regexp_matches(lower(name), 'time|elapsed|duration|date|clock|sample_?id') AS signal FROM st),
+      kw(d, i, w) AS (VALUES {', '.join(f"('{d}', {i}, '{w}')" for d, i, w in words)}),
+      dm AS (SELECT d AS domain FROM ro, kw GROUP BY d, i
+        ORDER BY sum((len(name) - len(replace(lower(name), w, '')))/len(w)*CASE WHEN signal THEN 2 ELSE 1 END) DESC, i LIMIT 1),
+      pr(w, i) AS (VALUES {first}),
+      ra AS (SELECT name, row_number() OVER (ORDER BY coalesce((SELECT min(i) FROM pr WHERE contains(replace(lower(name), ' ', '_'), w)), 99), len(name), lower(name)) AS place
+        FROM ro WHERE signal),
+      sm AS (SELECT unnest({[a for a, _, _ in same]}) AS a, unnest({[b for _, b, _ in same]}) AS b, unnest([{', '.join(x for *_, x in same)}]) AS same FROM lineitem),
+      gr AS (SELECT r.name, r.place, coalesce((SELECT arg_min(e.name, e.place) FROM ra e JOIN sm ON sm.a = e.name AND sm.b = r.name AND sm.same WHERE e.place < r.place), r.name) AS first_equal FROM ra r),
+      df AS (SELECT name, row_number() OVER (ORDER BY place) <= 5 AS chosen FROM gr WHERE first_equal = name)
+      SELECT ro.name, time_candidate, signal, (SELECT domain FROM dm) AS domain, place, first_equal, coalesce(chosen, false) AS by_default
+      FROM ro LEFT JOIN gr USING (name) LEFT JOIN df USING (name)"""
+
+
+@query("column_roles", _roles_sql())
+def column_roles(spark, d):
+    """What each column is: clock, signal of the domain found, its place, the signal it repeats, chosen by default."""
+    t = table(spark, d, "lineitem").select(*[F.expr(e).alias(n) for n, e in ROLES.items()])
+    columns, signals = M.column_table(spark, t.columns), M.numeric_signals(t)
+    domain = M.infer_domain(columns, signals).first()["domain"]
+    ranked = [r["name"] for r in M.ranked_signals(columns.filter(F.col("name").isin(signals)), domain).collect()]
+    first = {n: g[0] for g in M.duplicate_groups(t, ranked) for n in g}
+    chosen = M.default_signals(t, ranked)
+    clocks = [r["name"] for r in M.time_candidates(columns).collect()]
+    rows = [(n, n in clocks, n in ranked, domain, ranked.index(n) + 1 if n in ranked else None, first.get(n, n) if n in ranked else None, n in chosen) for n in t.columns]
+    return spark.createDataFrame(rows, "name string, time_candidate boolean, signal boolean, domain string, place long, first_equal string, by_default boolean")
+
+
+# clock column: how an export writes it (Spark), the number it stands for (SQL), unit found, seconds per unit
+CLOCKS = {
+    "Recording time [ms]": ("CAST(unix_micros(ts) div 1000 AS STRING)", "CAST(epoch_us(ts) // 1000 AS DOUBLE)", "milliseconds", "1e-3"),
+    "date_text": ("date_format(ts, 'yyyy-MM-dd HH:mm:ss')", "CAST(epoch_us(ts) // 1000000 AS DOUBLE)", "date/time", "1e0"),
+    "day": ("if(event_type = 'error', 'not known', CAST(unix_micros(ts) div 86400000000 AS STRING))",
+            "CASE WHEN event_type <> 'error' THEN CAST(epoch_us(ts) // 86400000000 AS DOUBLE) END", "days", "86400e0"),
+    "tick": ("CAST(event_id AS STRING)", "CAST(event_id AS DOUBLE)", None, None),
+}
+
+
+def _clocks_sql() -> str:
+    text = lambda x: "NULL" if x is None else f"'{x}'"
+    parts = " UNION ALL ".join(
+        f"SELECT CAST(user_id AS VARCHAR) AS recording_id, '{n}' AS col, {text(u)} AS unit, {k or 'NULL'} AS scale, event_id AS o, {v} AS c FROM events"
+        for n, (_, v, u, k) in CLOCKS.items())
+    return f"""WITH x AS ({parts}), y AS (SELECT *, c - lag(c) OVER (PARTITION BY recording_id, col ORDER BY o) AS step FROM x WHERE c IS NOT NULL),
+      m AS (SELECT recording_id, col, count(*) AS n, arg_min(c, o) AS origin, count(*) FILTER (step <= 0) AS bad, median(step) FILTER (step > 0) AS md,
+        min(step) FILTER (step > 0) AS lo, max(step) FILTER (step > 0) AS hi FROM y GROUP BY ALL),
+      a AS (SELECT recording_id, col, unit, scale, count(*) FILTER (c IS NULL) AS missing FROM x GROUP BY ALL)
+      SELECT recording_id, col AS "column", 'auto' AS unit_selection, unit AS original_unit, CAST(scale AS DOUBLE) AS seconds_per_original_unit, origin,
+        missing AS missing_timestamps, coalesce(bad, 0) AS non_increasing_steps, coalesce(greatest(hi - md, md - lo) > 0.05e0*md, false) AS irregular_intervals,
+        CASE WHEN coalesce(n, 0) < 2 OR md IS NULL THEN 'Needs two usable values and a positive interval' WHEN scale IS NULL THEN 'Timestamp unit is ambiguous' ELSE 'ok' END AS status
+      FROM a LEFT JOIN m USING (recording_id, col)"""
+
+
+@query("clock_parsing", _clocks_sql())
+def clock_parsing(spark, d):
+    """Text clocks of every user's events: a number with its unit in the name, dates, days with holes, and an unknown unit."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    text = e.select("user_id", "event_id", *[F.expr(x[0]).alias(n) for n, x in CLOCKS.items()])
+    out = None
+    for n in CLOCKS:
+        parsed = T.parse_clock(text, n)
+        s = recordings(parsed, F.col("user_id"), ["event_id"], F.col("event_id"), {"clock": F.col("clock")}, rate_hz=1.0)
+        is_date = bool(parsed.select("is_date").first()[0]) if parsed.take(1) else False
+        one = T.axis_metadata(s, "clock", n, is_date=is_date)
+        out = one if out is None else out.unionByName(one)
+    return rounded(out)
+
+
 def gaze_table(spark, d):
     """Line items shaped like a binocular gaze export."""
     li = table(spark, d, "lineitem")

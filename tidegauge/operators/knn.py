@@ -159,7 +159,7 @@ def _long(s: Series, rows: DataFrame, keys, signals: list[str]) -> DataFrame:
     need = both.groupBy(*keys, "dpat").agg(F.collect_set("axis").alias("axes"), F.max("m").alias("m"), F.max("_hi").alias("_hi"))  # at most one per signal
     value = F.element_at("z", F.col("axis"))
     grid = [i / 64 for i in range(1, 64)]
-    few = s.groups * width * 2 ** min(width, 10)
+    few = s.groups * width * 2 ** width
     spread = lambda df, by: Series(df, (*keys, by), s.longest, few, s.block)
     placed = spread(donors.withColumnRenamed("pat", "dpat"), "dpat").attach(need).df
     placed = placed.withColumn("axis", F.explode("axes")).drop("axes").withColumn("x", value)

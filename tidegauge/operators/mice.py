@@ -134,7 +134,7 @@ def estimates(s: Series, signals: list[str]) -> DataFrame:
     maps = solved.select(*keys, F.col("_s.pattern").alias("pattern"), "_big", "_hi", F.col("_s.rounds").alias("rounds"))
     maps = maps.filter(F.col("pattern").contains("0"))
     # Only incomplete rows need a map; a recording has at most 2^signals of them.
-    holes = Series(rows.filter(F.col("pattern").contains("0")), (*keys, "pattern"), s.longest, s.groups * min(2 ** d, 64), s.block)
+    holes = Series(rows.filter(F.col("pattern").contains("0")), (*keys, "pattern"), s.longest, s.groups * 2 ** d, s.block)
     gaps = holes.attach(maps).df
     z = F.array(*[F.col(f"z{j}") for j in range(d + 1)])
 

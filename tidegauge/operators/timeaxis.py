@@ -63,6 +63,31 @@ def relative_seconds(s: Series, clock: str, scale: Column) -> Series:
     return s.on(s.df.withColumn("t", (F.col(clock) - F.col("_origin")) * scale).drop("_origin"))
 
 
+def axis_metadata(s: Series, clock: str, column: str, unit: str = "auto", is_date: bool = False) -> DataFrame:
+    """Per recording: how its time axis comes about from a clock, or why there is none.
+
+    Steps run between available values. The unit is the one asked for, or told by the column's name.
+    """
+    chosen = F.lit("date/time") if is_date else unit_from_name(F.lit(column)) if unit == "auto" else F.lit(unit)
+    scale = F.lit(1.0) if is_date else unit_scale(chosen)
+    known = F.col(clock).isNotNull()
+    s = s.scan(last={"_seen": F.when(known, F.struct("idx", F.col(clock).alias("c")))})
+    s = s.scan(lag={"_prev": F.col("_seen")})
+    s = s.with_column("_step", F.when(known, F.col(clock) - F.col("_prev")["c"]))
+    step = F.col("_step")
+    pos = F.when(step > 0, step)
+    d = s.summary({"_n": F.count(clock), "origin": F.min_by(clock, F.when(known, F.col("idx"))),
+                   "missing_timestamps": F.count_if(~known), "non_increasing_steps": F.count_if(step <= 0),
+                   "_least": F.min(pos), "_most": F.max(pos)}, {"_med": (pos, 0.5)})
+    far = F.greatest(F.col("_most") - F.col("_med"), F.col("_med") - F.col("_least"))
+    status = (F.when((F.col("_n") < 2) | F.col("_med").isNull(), "Needs two usable values and a positive interval")
+              .when(scale.isNull(), AMBIGUOUS).otherwise("ok"))
+    return d.select(
+        *s.keys, F.lit(column).alias("column"), F.lit(unit).alias("unit_selection"), chosen.alias("original_unit"),
+        scale.alias("seconds_per_original_unit"), "origin", "missing_timestamps", "non_increasing_steps",
+        F.coalesce(far > 0.05 * F.col("_med"), F.lit(False)).alias("irregular_intervals"), status.alias("status"))
+
+
 def sampling_rate(s: Series, clock: str, scale: Column) -> DataFrame:
     """rate_hz and the reason, from the median positive step of the clock."""
     # Steps run between available values, so a missing value is stepped over.

@@ -63,7 +63,7 @@ def with_blocks(s: Series, column: str) -> Series:
     s = s.scan(last={"_start": F.when(F.col("_l").isNull() | (F.col("_l") != label), F.col("idx"))})
     name = F.concat_ws("#", *s.keys, F.col("_start").cast("string"))
     df = s.df.withColumn("recording_id", name).withColumn("idx", F.col("idx") - F.col("_start")).withColumn("label", label)
-    return Series(df.drop("_l", "_start", *[k for k in s.keys if k != "recording_id"]), ("recording_id",), s.longest, s.groups * 150, s.block)
+    return Series.of(df.drop("_l", "_start", *[k for k in s.keys if k != "recording_id"]), ("recording_id",), s.block)
 
 
 def select_block(s: Series, start: int, stop: int) -> Series:
