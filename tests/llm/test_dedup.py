@@ -53,8 +53,8 @@ def test_spark_hash_is_the_same(spark):
     assert spark.sql("select xxhash64('ab c d')").first()[0] == np.uint64(xxhash.xxh64_intdigest("ab c d", 42)).astype(np.int64)
 
 
-@pytest.mark.parametrize("group", [4, 256])
-def test_links_equal_all_pairs(spark, group):
+@pytest.mark.parametrize("group, distance", [(4, 3), (256, 3), (2, 1), (64, 4)])
+def test_links_equal_all_pairs(spark, group, distance):
     """Random fingerprints around a few centres, some in chains; a small group size forces all deeper cuts."""
     rng = np.random.default_rng(3)
     fps = set()
@@ -69,7 +69,7 @@ def test_links_equal_all_pairs(spark, group):
     fps = sorted(fps)
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
     got = {}
-    for r in simhash.components(simhash.links(df, 3, group)).collect():
+    for r in simhash.components(simhash.links(df, distance, group)).collect():
         got[r.node % (1 << 64)] = r.root % (1 << 64)
     parts = {}
     for f in fps:
@@ -80,7 +80,7 @@ def test_links_equal_all_pairs(spark, group):
         while todo:
             x = todo.pop()
             part.add(x)
-            near = {y for y in left if (x ^ y).bit_count() <= 3}
+            near = {y for y in left if (x ^ y).bit_count() <= distance}
             left -= near
             todo += near
         want.append(part)

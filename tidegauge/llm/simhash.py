@@ -26,6 +26,7 @@ from tidegauge.llm.common import cut, slices
 
 GROUP = 256  # fingerprints of a key that are compared with each other in one go
 DEPTH = 4  # times that a larger group is cut again
+PATHS = 10_000  # most ways of choosing blocks and parts
 
 
 def fingerprint(words: list[bytes], width: int = 3) -> int:
@@ -88,8 +89,9 @@ def links(fps: DataFrame, distance: int = 3, group: int = GROUP) -> DataFrame:
     open_bits = [[b for b in range(64) if b not in bits] for bits in keys]
     found = []
     for depth in range(DEPTH + 1):
+        # The last cut: keys of larger distances branch faster, so it comes after fewer cuts there.
+        last = depth == DEPTH or len(open_bits) * (distance + 1) > PATHS or not any(open_bits)
         sizes = members.groupBy("path", "key").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most"))
-        last = depth == DEPTH
         some = sizes.filter("n > 1" if last else f"n between 3 and {group}").select("path", "key")
         pairs = sizes.filter(F.expr(f"n = 2 and bit_count(least ^ most) <= {distance}")).select(F.col("least").alias("a"), F.col("most").alias("b"))
         if not last:
@@ -121,8 +123,6 @@ def links(fps: DataFrame, distance: int = 3, group: int = GROUP) -> DataFrame:
                       .select("fp", (F.col("path") * (distance + 1) + F.col("part")).cast("int").alias("path"),
                               F.col("key").bitwiseOR(fp.bitwiseAND(F.col("mask"))).alias("key")))
         open_bits = [[b for b in bits if b not in p] for bits, ps in zip(open_bits, parts) for p in ps]
-        if not any(open_bits) or len(open_bits) > 10_000:
-            break
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
