@@ -144,6 +144,18 @@ def test_mice_blocks(table):
     same(*out, KEYS, 1e-7)
 
 
+def test_short_and_long_forests_agree(spark, monkeypatch):
+    """Recordings of 20, 300 and 700 rows, scored whole and in chunks of 64."""
+    rng = np.random.default_rng(4)
+    rows = [(f"r{n}", i, float(rng.normal()), float(rng.integers(0, 5))) for n in (20, 300, 700) for i in range(n)]
+    s = Series.of(spark.createDataFrame(rows, "recording_id string, idx long, a double, b double"), ("recording_id",))
+    a = collected(forest.row_scores(s, ["a", "b"]), ["recording_id", "idx"])
+    monkeypatch.setattr(forest, "CHUNK", 64)
+    b = collected(forest.row_scores(s, ["a", "b"]), ["recording_id", "idx"])
+    assert len(a) == 1020
+    pd.testing.assert_frame_equal(a, b, rtol=1e-12)
+
+
 def test_forest_does_not_depend_on_layout(table):
     wide = wide_form(table, ["a", "b"], ["recording_id", "idx", "t"])
     a = forest.row_scores(Series.of(wide.repartition(1), ("recording_id",)), ["a", "b"])

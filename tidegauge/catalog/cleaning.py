@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidegauge.catalog.base import (EV, LI, LIW, SIGNALS, corr_sql, events, events_wide, lines, lines_wide, pivot_sql,
+from tidegauge.catalog.base import (EV, LI, LIW, SIGNALS, corr_sql, events, events_wide, filled_sql, lines, lines_wide, pivot_sql,
                                     profile_sql, query, rounded, timing_sql)
 from tidegauge.catalog.profiling import component_sql, index_sql
 from tidegauge.domains import OUTLIER_FIRST
@@ -379,6 +379,19 @@ def stage_metrics(spark, d):
     return rounded(C.stage_metrics(cleaned(spark, d), OUTLIER_FIRST))
 
 
+def volatility_sql(pre: str, column: str) -> str:
+    return f"""{pre}s AS (SELECT recording_id, signal, idx, t, {column} AS value FROM rn), {filled_sql(pre + 's', pre=pre)},
+  {pre}g AS (SELECT *, x - lag(x) OVER (PARTITION BY recording_id, signal ORDER BY idx) AS dx FROM {pre}f),
+  {pre}v AS (SELECT recording_id, signal, CASE WHEN count(value) < 4 THEN 0e0 ELSE stddev_pop(dx)/(stddev_pop(x) + 1e-12) END AS vol FROM {pre}g GROUP BY ALL),
+  {pre}m AS (SELECT recording_id, median(vol) AS vol FROM {pre}v GROUP BY 1)"""
+
+
+@query("smoothing_volatility", f"""{RUN}, {volatility_sql('vb', 'after_scaling')}, {volatility_sql('va', 'value')}
+  SELECT recording_id, round(b.vol, 6) AS volatility_before, round(a.vol, 6) AS volatility_after, round(a.vol - b.vol, 6) AS volatility_delta FROM vbm b JOIN vam a USING (recording_id)""")
+def smoothing_volatility(spark, d):
+    return rounded(C.smoothing_volatility(cleaned(spark, d), OUTLIER_FIRST))
+
+
 DELTAS = ["missing_rate", "outlier_iqr_rate", "local_volatility", "drift_score", "lag1_autocorr", "spectral_entropy", "corr_mean_abs"]
 
 

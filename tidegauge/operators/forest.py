@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,27 +82,51 @@ def grow(samples: list[np.ndarray], keys: np.ndarray, limit: int) -> np.ndarray:
     return out
 
 
+def tree_keys(name: str) -> np.ndarray:
+    """The 64-bit key of every tree of a recording's forest."""
+    return np.array([int(hashlib.md5(f"{name}:{tree}".encode()).hexdigest()[:16], 16) for tree in range(TREES)], dtype=np.uint64)
+
+
+def picked(key: np.uint64, n: int) -> np.ndarray:
+    """Rows that a tree is grown on: all, or one of each of SAMPLE equal stretches."""
+    if n <= SAMPLE:
+        return np.arange(n)
+    j = np.arange(SAMPLE, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        move = _random(key + j * np.uint64(0x2545F4914F6CDD1D), 3)
+    return np.minimum(np.floor((j + move) * (n / SAMPLE)).astype(np.int64), n - 1)
+
+
+def depth_limit(rows: int) -> int:
+    return int(np.ceil(np.log2(max(rows, 2))))
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.LongType())))
+def _pick_udf(name: pd.Series, n: pd.Series) -> pd.Series:
+    """Per tree, the rows that it is grown on."""
+    return pd.Series([[picked(k, int(size)).tolist() for k in tree_keys(x)] for x, size in zip(name, n)])
+
+
 def _tree_udf(width: int):
     """A tree as one flat list: its number of nodes, then three numbers per node."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def build(rows: pd.Series, seed: pd.Series) -> pd.Series:
+    def build(rows: pd.Series, name: pd.Series, tree: pd.Series) -> pd.Series:
         samples = [np.asarray(r, dtype=float).reshape(-1, width) for r in rows]
-        keys = np.array([int(hashlib.md5(k.encode()).hexdigest()[:16], 16) for k in seed], dtype=np.uint64)
-        limits = np.array([int(np.ceil(np.log2(max(len(x), 2)))) for x in samples])
+        keys = np.array([tree_keys(x)[t] for x, t in zip(name, tree)], dtype=np.uint64)
+        limits = np.array([depth_limit(len(x)) for x in samples])
         out: list = [None] * len(samples)
         for limit in np.unique(limits):
             pick = np.flatnonzero(limits == limit)
             nodes = grow([samples[i] for i in pick], keys[pick], int(limit))
-            for i, tree in zip(pick, nodes):
-                out[i] = np.concatenate([[float(len(tree))], tree.ravel()])
+            for i, one in zip(pick, nodes):
+                out[i] = np.concatenate([[float(len(one))], one.ravel()])
         return pd.Series(out)
     return build
 
 
-def path_lengths(x: np.ndarray, forest: np.ndarray) -> np.ndarray:
-    """Mean path length of each row over all trees of a flat forest."""
-    size = int(forest[0])
-    nodes = forest.reshape(-1, 1 + 3 * size)[:, 1:].reshape(-1, size, 3)
+def path_lengths(x: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Mean path length of each row over all trees (tree, node, 3)."""
+    size = nodes.shape[1]
     f = np.ascontiguousarray(nodes[:, :, 0]).astype(np.int32).ravel()
     cut, length = np.ascontiguousarray(nodes[:, :, 1]).ravel(), np.ascontiguousarray(nodes[:, :, 2]).ravel()
     # A leaf points to itself, so every row takes the same number of steps.
@@ -118,61 +142,91 @@ def path_lengths(x: np.ndarray, forest: np.ndarray) -> np.ndarray:
     return length.take(at).mean(axis=1)
 
 
+def anomaly(x: np.ndarray, nodes: np.ndarray, n: int) -> np.ndarray:
+    """Scores of the rows x of a recording of n rows."""
+    return 2.0 ** (-path_lengths(x, nodes) / max(float(average_path(min(n, SAMPLE))), 1e-12))
+
+
 def _score_udf(width: int):
+    """Scores of a chunk of rows by a flat forest."""
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def score(rows: pd.Series, forest: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for r, flat, size in zip(rows, forest, n):
+            flat = np.asarray(flat, dtype=float)
+            nodes = flat.reshape(TREES, -1)[:, 1:].reshape(TREES, -1, 3)
+            out.append(anomaly(np.asarray(r, dtype=float).reshape(-1, width), nodes, int(size)))
+        return pd.Series(out)
+    return score
+
+
+def _whole_udf(width: int):
+    """Scores of a whole recording by a forest that is grown, used and forgotten here."""
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def score(rows: pd.Series, forest: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([
-            2.0 ** (-path_lengths(np.asarray(r, dtype=float).reshape(-1, width), np.asarray(t, dtype=float))
-                    / max(float(average_path(n)), 1e-12)) for r, t, n in zip(rows, forest, size)])
+    def score(rows: pd.Series, name: pd.Series) -> pd.Series:
+        out = []
+        for r, base in zip(rows, name):
+            x, keys = np.asarray(r, dtype=float).reshape(-1, width), tree_keys(base)
+            samples = [x[picked(k, len(x))] for k in keys]
+            out.append(anomaly(x, grow(samples, keys, depth_limit(len(samples[0]))), len(x)))
+        return pd.Series(out)
     return score
 
 
-def forests(s: Series, signals: list[str], seed: int = 42) -> DataFrame:
-    """One row per recording: 150 trees, each grown on at most 256 of its rows.
+def _listed(rows: DataFrame, keys: list[str], x: Column) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("idx", x.alias("x")))).alias("rows"))
+
+
+def _values() -> Column:
+    return F.flatten(F.transform("rows", lambda r: r["x"]))
+
 
-    The sampled positions are computed, one per equal stretch of the recording
-    and moved by a hash, so no row is shuffled that no tree uses.
+def forests(rows: DataFrame, keys: list[str], name: Column, signals: list[str]) -> DataFrame:
+    """One row per recording: n and 150 trees, each grown on at most 256 of its rows.
+
+    The sampled positions are computed from the length, so no row is shuffled that no tree uses.
     """
-    keys = list(s.keys)
-    size = s.df.groupBy(*keys).agg((F.max("idx") + 1).alias("n")).filter(F.col("n") >= MIN_ROWS)
-    m = F.least(F.lit(SAMPLE), F.col("n"))
-    tasks = int(s.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pick = (size.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).repartition(tasks, *keys, "tree")
-            .withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), m - 1))))
-    move = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys, "tree", "j"), 11) / F.lit(float(2**53))
-    pick = pick.withColumn("idx", F.floor((F.col("j") + F.when(F.col("n") > SAMPLE, move).otherwise(0.0)) * F.col("n") / m))
-    pick = pick.withColumn("idx", F.least(F.col("idx"), F.col("n") - 1)).drop("j")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.groupBy(*keys).agg((F.max("idx") + 1).alias("n")).withColumn("_name", name)
+    pick = size.select(*keys, "n", "_name", F.posexplode(_pick_udf("_name", "n")).alias("tree", "at"))
+    pick = pick.select(*keys, "n", "_name", "tree", F.explode("at").alias("idx"))
     x = F.array(*[F.col(c) for c in signals])
-    rows = s.df.select(*keys, "idx", x.alias("x"))
-    sample = (pick.join(rows, [*keys, "idx"]).groupBy(*keys, "tree", "n")
+    sample = (pick.join(rows.select(*keys, "idx", x.alias("x")), [*keys, "idx"]).groupBy(*keys, "tree", "n", "_name")
               .agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("idx", "x"))), lambda r: r["x"])).alias("rows")))
-    name = F.concat_ws(":", F.lit(str(seed)), *[F.col(k) for k in keys], F.col("tree").cast("string"))
     # The samples are few bytes but much work: keep them spread over the tasks.
     sample = sample.repartition(tasks, *keys, "tree")
-    trees = sample.select(*keys, "n", "tree", _tree_udf(len(signals))("rows", name).alias("nodes"))
+    trees = sample.select(*keys, "n", "tree", _tree_udf(len(signals))("rows", "_name", "tree").alias("nodes"))
     return trees.groupBy(*keys, "n").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("tree", "nodes"))), lambda r: r["nodes"])).alias("forest"))
 
 
 def row_scores(s: Series, signals: list[str], seed: int = 42) -> DataFrame:
-    """(keys, idx, score): 0.5 and below is ordinary."""
+    """(keys, idx, score): 0.5 and below is ordinary.
+
+    A recording of at most CHUNK rows is scored where its forest is grown, in one shuffle; the forest of a longer one
+    is sent to its chunks. Both give the same scores.
+    """
     keys = list(s.keys)
-    filled = fill_columns(s, signals)
-    if filled.blocked:
-        filled = filled.cut()
-    forest = forests(filled, signals, seed)
     x = F.array(*[F.col(c) for c in signals])
-    tasks = int(s.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = (filled.df.withColumn("_c", F.floor(F.col("idx") / CHUNK)).repartition(tasks, *keys, "_c").groupBy(*keys, "_c")
-              .agg(F.sort_array(F.collect_list(F.struct("idx", x.alias("x")))).alias("rows")))
-    if s.groups <= BROADCAST_FORESTS:
-        both = chunks.join(small(forest, s.groups), keys)
-    else:
-        parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / (CHUNK * SPREAD)))
-        both = (chunks.withColumn("_part", F.floor(F.col("_c") / SPREAD))
-                .join(forest.withColumn("_part", F.explode(parts)), [*keys, "_part"]))
-    sampled = F.least(F.col("n"), F.lit(SAMPLE))
-    scored = both.select(*keys, "rows", _score_udf(len(signals))(F.flatten(F.transform("rows", lambda r: r["x"])), "forest", sampled).alias("s"))
+    name = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    filled = fill_columns(s, signals)
+    mixed = s.longest > CHUNK
+    if mixed:
+        filled = filled.stats({"_n": F.count(F.lit(1))}).cut()
+    short = filled.df.filter(F.col("_n") <= CHUNK) if mixed else filled.df
+    whole = _listed(short, keys, x).filter(F.col("n") >= MIN_ROWS)
+    scored = whole.select(*keys, "rows", _whole_udf(len(signals))(_values(), name).alias("s"))
+    if mixed:
+        long = filled.df.filter(F.col("_n") > CHUNK)
+        forest = forests(long, keys, name, signals)
+        chunks = _listed(long.withColumn("_c", F.floor(F.col("idx") / CHUNK)), [*keys, "_c"], x).drop("n")
+        if s.groups <= BROADCAST_FORESTS:
+            both = chunks.join(small(forest, s.groups), keys)
+        else:
+            parts = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / (CHUNK * SPREAD)))
+            both = (chunks.withColumn("_part", F.floor(F.col("_c") / SPREAD))
+                    .join(forest.withColumn("_part", F.explode(parts)), [*keys, "_part"]))
+        scored = scored.unionByName(both.select(*keys, "rows", _score_udf(len(signals))(_values(), "forest", "n").alias("s")))
     zipped = scored.select(*keys, F.explode(F.arrays_zip("rows", "s")).alias("z"))
     return zipped.select(*keys, F.col("z.rows.idx").alias("idx"), F.col("z.s").alias("score"))
 

@@ -211,6 +211,19 @@ def stage_metrics(s: Series, order: str) -> DataFrame:
     return shares.join(mid, keys)
 
 
+def smoothing_volatility(s: Series, order: str) -> DataFrame:
+    """Median local volatility over the signals before and after smoothing, and the difference, per recording."""
+    from tidegauge.operators.profile import fill_by_index
+    base = s.on(s.df.select(*s.keys, "idx", "t", dict(_path(order))["smoothing"], "after_smoothing", F.lit(None).cast("double").alias("value")))
+    both = fill_by_index(base.fan_out("side", {"before": {"value": F.col(dict(_path(order))["smoothing"])}, "after": {"value": F.col("after_smoothing")}}))
+    both = both.scan(lag={"_pf": F.col("filled")})
+    each = both.summary({"v": F.count("value"), "sd": F.stddev_pop("filled"), "step": F.stddev_pop(F.col("filled") - F.col("_pf"))})
+    vol = F.when(F.col("v") < 4, 0.0).otherwise(F.col("step") / (F.col("sd") + F.lit(1e-12)))
+    half = lambda side: F.percentile(F.when(F.col("side") == side, vol), F.lit(0.5)).alias("volatility_" + side)
+    out = each.groupBy(*[k for k in s.keys if k != "signal"]).agg(half("before"), half("after"))
+    return out.withColumn("volatility_delta", F.col("volatility_after") - F.col("volatility_before"))
+
+
 def as_values(s: Series, column: str) -> Series:
     """The series with one of its stage columns as value."""
     keep = [c for c in s.df.columns if c in (*s.keys, "idx", "t", "fs")]
