@@ -144,6 +144,23 @@ def test_mice_blocks(table):
     same(*out, KEYS, 1e-7)
 
 
+@pytest.mark.parametrize("scale", [1e-6, 1.0])
+def test_knn_in_many_ranges(spark, monkeypatch, scale):
+    """Clusters, repeated values and a far row, in ranges of about two donors and in one group."""
+    rng = np.random.default_rng(8)
+    a = np.concatenate([rng.normal(0, 0.01, 150), rng.normal(50, 1, 100), np.full(40, 7.0), [1e4]])
+    a, b = a * scale, rng.normal(0, 1, len(a)) * scale
+    gone = rng.random(len(a)) < 0.2
+    rows = [("r", i, float(a[i]), None if gone[i] else float(b[i])) for i in range(len(a))]
+    df = spark.createDataFrame(rows, "recording_id string, idx long, a double, b double")
+    plain = collected(knn.estimates(Series.of(df, ("recording_id",)), ["a", "b"], scaled=False), ["idx"])
+    monkeypatch.setattr(knn, "LEAF", 2)
+    monkeypatch.setattr(knn, "PARTS", 4)
+    ranges = collected(knn.estimates(Series.of(df, ("recording_id",), 64), ["a", "b"], scaled=False), ["idx"])
+    assert len(plain) == gone.sum()
+    pd.testing.assert_frame_equal(plain, ranges, rtol=1e-9, atol=0)
+
+
 def test_short_and_long_forests_agree(spark, monkeypatch):
     """Recordings of 20, 300 and 700 rows, scored whole and in chunks of 64."""
     rng = np.random.default_rng(4)

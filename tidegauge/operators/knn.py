@@ -12,6 +12,7 @@ from tidegauge.functions.series import Series
 from tidegauge.settings import cut
 
 LEAF = 2048
+PARTS = 64
 TILE = 256
 
 
@@ -136,14 +137,24 @@ def _nan_null(c):
     return F.when(~F.isnan(c), c)
 
 
+def _leaf_of(x):
+    """Number of the range that x falls in; grows with x, and the ends are open."""
+    edges, fine = F.col("cuts.edges"), F.col("cuts.fine")
+    part = F.size(F.filter(F.slice(edges, 2, PARTS - 1), lambda c: c < x))
+    low, high = F.get(edges, part), F.get(edges, part + 1)
+    inner = F.coalesce(F.try_divide(x - low, high - low) * fine, F.lit(0.0))
+    return (part * fine + F.floor(F.greatest(F.lit(0.0), F.least(fine - F.lit(1.0), inner)))).cast("long")
+
+
 def _long(s: Series, rows: DataFrame, keys, signals: list[str]) -> DataFrame:
     """Exact search when recordings are long.
 
     Donors with the same observed signals are cut into value ranges of one
-    signal. A query looks into the range it falls in first; its k-th distance
-    there bounds how far any better donor can lie along that signal, so only the
-    ranges within that bound are searched afterwards. Each search meets one
-    bounded leaf of donors and returns at most k rows per query.
+    signal, as many as the donors fill with LEAF each. A query looks into the
+    range it falls in first; its k-th distance there bounds how far any better
+    donor can lie along that signal, so only the ranges within that bound are
+    searched afterwards. Each search meets one bounded leaf of donors and returns
+    at most k rows per query.
     """
     width = len(signals)
     pattern = F.array_join(F.transform("z", lambda v: F.when(v.isNull(), "0").otherwise("1")), "")
@@ -155,52 +166,67 @@ def _long(s: Series, rows: DataFrame, keys, signals: list[str]) -> DataFrame:
     both = queries.select(*keys, "qpat").distinct().join(pats, keys)
     axis = F.filter(F.sequence(F.lit(1), F.lit(width)), lambda i: (F.substring("qpat", i, 1) == "1") & (F.substring("dpat", i, 1) == "1"))
     both = both.withColumn("axes", axis).filter(F.size("axes") > 0).withColumn("axis", F.col("axes")[0]).withColumn("shared", F.size("axes")).drop("axes")
-    # Leaves: ranges of the axis holding about LEAF donors each.
+    # Leaves: equal widths between quantiles of the axis, holding about LEAF donors each.
     need = both.groupBy(*keys, "dpat").agg(F.collect_set("axis").alias("axes"), F.max("m").alias("m"), F.max("_hi").alias("_hi"))  # at most one per signal
     value = F.element_at("z", F.col("axis"))
-    grid = [i / 64 for i in range(1, 64)]
+    grid = [i / PARTS for i in range(1, PARTS)]
     few = s.groups * width * 2 ** width
     spread = lambda df, by: Series(df, (*keys, by), s.longest, few, s.block)
     placed = spread(donors.withColumnRenamed("pat", "dpat"), "dpat").attach(need).df
     placed = placed.withColumn("axis", F.explode("axes")).drop("axes").withColumn("x", value)
-    cuts = placed.groupBy(*keys, "dpat", "axis").agg(F.percentile_approx("x", grid, 10_000).alias("cuts"), F.max("idx").alias("_hi"))
-    leaf_of = lambda x: F.size(F.filter("cuts", lambda c: c < x))
-    placed = Series(placed, (*keys, "dpat", "axis"), s.longest, few, s.block).attach(cuts).df.withColumn("leaf", leaf_of(F.col("x")))
+    edges = F.concat(F.array(F.min("x")), F.percentile_approx("x", grid, 10_000), F.array(F.max("x")))
+    fine = F.ceil(F.max("m") / (PARTS * LEAF)).cast("long")
+    cuts = placed.groupBy(*keys, "dpat", "axis").agg(F.struct(edges.alias("edges"), fine.alias("fine")).alias("cuts"), F.max("idx").alias("_hi"))
+    placed = Series(placed, (*keys, "dpat", "axis"), s.longest, few, s.block).attach(cuts).df.withColumn("leaf", _leaf_of(F.col("x")))
     # A leaf may still be large where values repeat; it is split into pages by row.
+    where = [*keys, "dpat", "axis", "leaf"]
+    large = placed.groupBy(*where).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 4 * LEAF)
+    paged = placed.join(large, where, "left")
+    paged = paged.withColumn("page", F.pmod(F.xxhash64("idx"), F.ceil(F.coalesce("_rows", F.lit(1)) / (4 * LEAF))))
     entry = F.struct("idx", "z", "y")
-    pages = cut(placed.withColumn("page", F.pmod(F.xxhash64("idx"), F.greatest(F.lit(1), F.ceil(F.col("m") / (64 * LEAF)).cast("int"))))
-                .groupBy(*keys, "dpat", "axis", "leaf", "page").agg(F.collect_list(entry).alias("donors")))
+    pages = cut(paged.groupBy(*where, "page").agg(F.collect_list(entry).alias("donors")))
     # A query pattern meets each donor pattern once: at most 2^signals rows per query pattern.
     plans = (both.join(cuts.drop("_hi"), [*keys, "dpat", "axis"]).groupBy(*keys, "qpat")
              .agg(F.collect_list(F.struct("dpat", "axis", "shared", "cuts")).alias("plan")))
     ends = queries.groupBy(*keys, "qpat").agg(F.max("q").alias("_hi"))
     ask = spread(queries.withColumn("idx", F.col("q")), "qpat").attach(plans.join(ends, [*keys, "qpat"])).df
     ask = ask.filter(F.col("plan").isNotNull()).select(*[c for c in ask.columns if c not in ("plan", "idx")], F.inline("plan"))
-    ask = cut(ask.withColumn("x", F.element_at("qz", F.col("axis"))).withColumn("home", leaf_of(F.col("x"))))
-    where = [*keys, "dpat", "axis", "leaf"]
+    ask = cut(ask.withColumn("x", F.element_at("qz", F.col("axis"))).withColumn("home", _leaf_of(F.col("x"))))
 
     def look(a: DataFrame) -> DataFrame:
         """Top k of each query in the leaves it asks for."""
         tile = F.floor(F.col("q") / (32 * LEAF))
         packed = (a.groupBy(*where, tile.alias("tile"), "k").agg(F.collect_list(F.struct(F.col("q").alias("idx"), F.col("qz").alias("z"))).alias("queries")))
-        hit = packed.join(pages, where).select(*keys, F.explode(_search_udf()("queries", "donors", "k")).alias("h"))
-        return hit.select(*keys, F.col("h.q").alias("q"), F.explode("h.found").alias("f"))
+        hit = packed.join(pages, where).select(*keys, "k", F.explode(_search_udf()("queries", "donors", "k")).alias("h"))
+        return hit.select(*keys, F.col("h.q").alias("q"), "k", F.explode("h.found").alias("f"))
 
     def merge(found: DataFrame) -> DataFrame:
-        return found.groupBy(*keys, "q").agg(F.sort_array(F.collect_set("f")).alias("found"))
-
-    first = cut(merge(look(ask.withColumn("leaf", F.col("home")))))
-    bound = first.select(*keys, "q", F.col("found").alias("near"))
+        return found.groupBy(*keys, "q", "k").agg(F.sort_array(F.collect_set("f")).alias("found"))
+
+    def within(a: DataFrame, lo, hi) -> DataFrame:
+        return a.withColumn("leaf", F.explode(F.filter(F.sequence(lo, hi), lambda j: j != F.col("home"))))
+
+    found = cut(merge(look(ask.withColumn("leaf", F.col("home")))))
+    # Queries that met too few donors at home look around in wider and wider rings.
+    most, ring = cuts.agg(F.max("cuts.fine")).first()[0] or 0, 4
+    while ring < PARTS * most:
+        done = found.filter(F.size("found") >= F.col("k")).select(*keys, "q")
+        left = ask.join(done, [*keys, "q"], "left_anti")
+        if not left.take(1):
+            break
+        last = F.col("cuts.fine") * PARTS - 1
+        more = look(within(left, F.greatest(F.lit(0).cast("long"), F.col("home") - ring), F.least(last, F.col("home") + ring)))
+        found, ring = cut(merge(more.unionByName(found.select(*keys, "q", "k", F.explode("found").alias("f"))))), 4 * ring
+    bound = found.select(*keys, "q", F.col("found").alias("near"))
     more = ask.join(bound, [*keys, "q"], "left")
     enough = F.size("near") >= F.col("k")
     # d² >= (width / shared) (x - x')², so a better donor lies within this reach on the axis.
-    reach = F.when(enough, F.sqrt((F.element_at("near", F.col("k").cast("int"))["d"] + 1e-8) * F.col("shared") / width)).otherwise(F.lit(float("inf")))
-    more = more.withColumn("reach", reach * (1 + 1e-12))
-    lo, hi = leaf_of(F.col("x") - F.col("reach")), leaf_of(F.col("x") + F.col("reach"))
-    more = more.withColumn("leaf", F.explode(F.filter(F.sequence(lo, hi), lambda j: j != F.col("home"))))
-    again = look(more.drop("near", "reach"))
-    # Only the best k per query leave each search, so the lists stay short.
-    every = merge(again.unionByName(first.select(*keys, "q", F.explode("found").alias("f"))))
-    out = queries.join(every, [*keys, "q"], "left")
+    # The room left covers the ranks' twelve digits and the rounding of x, at any scale.
+    reach = F.sqrt(F.element_at("near", F.col("k").cast("int"))["d"] * F.col("shared") / width) * (1 + 1e-9) + 1e-12 * F.abs(F.col("x"))
+    more = more.withColumn("reach", F.when(enough, reach).otherwise(F.lit(float("inf"))))
+    again = look(within(more, _leaf_of(F.col("x") - F.col("reach")), _leaf_of(F.col("x") + F.col("reach"))).drop("near", "reach"))
+    # Only the best k per query leave each search, so the lists stay short; what two searches found is one entry.
+    every = merge(again.unionByName(found.select(*keys, "q", "k", F.explode("found").alias("f"))))
+    out = queries.join(every.drop("k"), [*keys, "q"], "left")
     best = F.slice("found", 1, F.col("k").cast("int"))
     return out.select(*keys, F.col("q").alias("idx"), F.coalesce(_nan_null(_weighted_udf(best)), "mean").alias("estimate"))
