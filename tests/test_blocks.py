@@ -37,6 +37,29 @@ def test_scan(table):
     same(*out, KEYS)
 
 
+def test_running_sum_keeps_its_type(table):
+    kinds = [dict(s.scan(total={"c": F.col("idx")}).df.dtypes)["c"] for s in both(table)]
+    assert kinds == ["bigint", "bigint"]
+
+
+def test_ordered_index_of_repeated_values(spark):
+    """One series with 99 % of the rows, a single lead value in most of them, nulls, and ties down to the last column."""
+    rng = np.random.default_rng(6)
+    rows = [("hot", 1.0 if i % 10 else float(rng.integers(0, 4)), None if i % 50 == 0 else int(rng.integers(0, 3)), i) for i in rng.permutation(3000)]
+    rows += [("cold", 2.0, 1, i) for i in range(30)]
+    df = spark.createDataFrame([(k, a, b, int(c)) for k, a, b, c in rows], "k string, a double, b int, c long")
+    plain, cuts = (ordered_index(df, ["k"], ["a", "b", "c"], F.col("a"), 3000, 2, block) for block in (10_000, 16))
+    same(plain, cuts, ["k", "idx"])
+    assert plain.dtypes == cuts.dtypes
+
+
+def test_ranges_of_repeated_values_are_cut(spark):
+    from tidegauge.functions.series import _split_ties
+    df = spark.range(4000).select(F.lit("r").alias("k"), F.lit(1.0).alias("a"), (F.col("id") % 2).alias("b"), F.col("id").alias("c"), F.array(F.lit(7).cast("long")).alias("_rng"))
+    sizes = [r["count"] for r in _split_ties(df, ["k"], ["a", "b", "c"], 50).groupBy("_rng").count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 100
+
+
 def test_stats_and_quantiles(table):
     v = F.col("value")
     out = [s.stats({"m": F.avg("value")}, {f"q{i}": (v, p) for i, p in enumerate((0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0))}).df for s in both(table)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import EV, LI, LIW, SIGNALS, events, events_wide, lines, lines_wide, query, rounded, timing_sql
-from tidegauge.catalog.cleaning import RUN, SPEC, cleaned, impute_sql
+from tidegauge.catalog.cleaning import CHANGES, RUN, SPEC, cleaned, impute_sql
 from tidegauge.catalog.profiling import LINE_PROFILE, line_profile
 from tidegauge.domains import IMPUTATION_FIRST, METHODS, OUTLIER_FIRST
 from tidegauge.operators import profile as P
@@ -143,7 +143,22 @@ def audit_record(spark, d):
     after = C.profile_with_corr(C.as_values(s, "physical"), SIGNALS, 50.0)
     scored = [Q.with_index(Q.with_components(P.aggregate_profile(p)), "energy") for p in (before, after)]
     spec = scored[0].select("recording_id", *[F.lit(v).alias(k) for k, v in SPEC.items()], F.lit(OUTLIER_FIRST).alias("order"))
-    return sinks.audit_records(*scored, spec, C.stage_changes(s, OUTLIER_FIRST), C.profile_changes(before, after), "energy")
+    return sinks.audit_records(*scored, spec, C.stage_changes(s, OUTLIER_FIRST), C.profile_changes(before, after), "energy",
+                              parameters=C.stage_parameters(s, OUTLIER_FIRST))
+
+
+@query("audit_fields", f"""{RUN}, pa AS (SELECT recording_id, signal, count(*) FILTER (detected) AS flagged, count(*) FILTER (after_outlier IS NULL AND after_imputation IS NOT NULL) AS filled FROM rn GROUP BY ALL)
+  SELECT recording_id, 'executed' AS status, 'energy' AS domain, 'iqr' AS outlier, 42 AS seed, {CHANGES}, count(DISTINCT signal) AS signals,
+    (SELECT sum(flagged)::BIGINT FROM pa WHERE pa.recording_id = rn.recording_id) AS flagged, (SELECT sum(filled)::BIGINT FROM pa WHERE pa.recording_id = rn.recording_id) AS filled FROM rn GROUP BY recording_id""")
+def audit_fields(spark, d):
+    """The audit records read back: settings, changes, and the parameters of all signals."""
+    kinds = ("outlier", "imputation", "scaling", "smoothing", "cleaning", "overall")
+    meta = ", ".join(f"{k}_changed_fraction DOUBLE" for k in kinds)
+    a = audit_record(spark, d).select("recording_id", F.from_json("audit", f"execution_status STRING, domain STRING, seed INT, executed_pipeline STRUCT<outlier: STRING>, "
+                                      f"execution_meta STRUCT<{meta.replace(' DOUBLE', ': DOUBLE')}>, stage_parameters ARRAY<STRUCT<outlier_flagged: BIGINT, imputed_values: BIGINT>>").alias("a"))
+    total = lambda f: F.aggregate(F.col("a.stage_parameters"), F.lit(0).cast("long"), lambda s, p: s + p[f])
+    return rounded(a.select("recording_id", F.col("a.execution_status").alias("status"), "a.domain", "a.executed_pipeline.outlier", "a.seed", "a.execution_meta.*",
+                            F.size("a.stage_parameters").alias("signals"), total("outlier_flagged").alias("flagged"), total("imputed_values").alias("filled")))
 
 
 @query("processed_table", f"""{RUN}, pv AS (SELECT recording_id, idx, max(value) FILTER (signal = 'quantity') AS quantity, max(value) FILTER (signal = 'price') AS price FROM rn GROUP BY ALL)

@@ -280,7 +280,7 @@ def exhaustive_candidates(spark, d):
 
 @query("stored_results", f"""{RESULTS} SELECT domain, count(*) AS rows, count(DISTINCT seed) AS seeds, 0 AS incomplete FROM results GROUP BY 1""")
 def stored_results(spark, d):
-    """Results written by domain and seed, read back and checked for completeness."""
+    """Results written by domain and severity, read back and checked for completeness."""
     from tidegauge.catalog.ingest import scratch
     path = scratch(spark, "results")
     sinks.write_results(results(spark, d), path)

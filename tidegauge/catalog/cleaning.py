@@ -15,7 +15,7 @@ from tidegauge.operators import profile as P
 from tidegauge.operators import timeaxis as T
 from tidegauge.operators.impute import gap_limits, impute
 from tidegauge.plans import clean as C
-from tidegauge.sources.tables import as_long
+from tidegauge.sources.tables import as_long, recordings, table
 
 KEYS = "recording_id, signal, idx"
 
@@ -193,6 +193,24 @@ def knn_impute(spark, d):
     return rounded(knn.estimates(lines_wide(spark, d), SIGNALS), 5)
 
 
+TAX_GONE = "l_linenumber = 7 AND l_quantity = 50"
+
+
+@query("knn_impute_one_long_recording", f"""WITH li AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS idx, l_extendedprice AS price,
+    CASE WHEN NOT ({TAX_GONE}) THEN l_tax END AS tax FROM lineitem),
+  z AS (SELECT idx, tax, price, greatest(2, least(7, CAST(floor(sqrt(greatest(4, (SELECT count(*) FROM li)))) AS BIGINT)//4)) AS k FROM li),
+  p AS (SELECT q.idx, q.k, d.idx AS di, d.tax AS y, 2*(q.price - d.price)**2 AS d2 FROM z q JOIN z d ON q.tax IS NULL AND d.tax IS NOT NULL AND abs(q.price - d.price) < 5e3),
+  r AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY CASE WHEN d2 > 0 THEN round(d2 * pow(10, 11 - floor(log10(d2)))) / pow(10, 11 - floor(log10(d2))) ELSE 0 END, di) AS rk FROM p)
+  SELECT 'all' AS recording_id, 'tax' AS signal, idx, round(CASE WHEN min(d2) = 0 THEN avg(y) FILTER (d2 = 0) ELSE sum(y/sqrt(d2)) FILTER (d2 > 0)/sum(1/sqrt(d2)) FILTER (d2 > 0) END, 5) AS estimate
+  FROM r WHERE rk <= k GROUP BY idx""")
+def knn_impute_one_long_recording(spark, d):
+    """The block plan: the whole table is one recording, its neighbours found by price as it is (cents make exact ties)."""
+    li = table(spark, d, "lineitem")
+    s = recordings(li, F.lit("all"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], F.col("l_orderkey"),
+                   {"price": F.col("l_extendedprice"), "tax": F.when(~F.expr(TAX_GONE), F.col("l_tax"))}, rate_hz=50.0, block=4096)
+    return rounded(knn.estimates(s, ["price", "tax"], scaled=False), 5)
+
+
 @query("mice_impute")
 def mice_impute(spark, d):
     return rounded(mice.estimates(lines_wide(spark, d), SIGNALS), 5)
@@ -379,6 +397,15 @@ def stage_metrics(spark, d):
     return rounded(C.stage_metrics(cleaned(spark, d), OUTLIER_FIRST))
 
 
+@query("stage_parameters", f"""{RUN} SELECT recording_id, signal, round(min(after_outlier), 6) AS outlier_lowest_kept, round(max(after_outlier), 6) AS outlier_highest_kept,
+  count(*) FILTER (detected) AS outlier_flagged, count(*) FILTER (after_outlier IS NULL AND after_imputation IS NOT NULL) AS imputed_values,
+  round(min(after_imputation) FILTER (after_outlier IS NULL), 6) AS imputed_lowest, round(max(after_imputation) FILTER (after_outlier IS NULL), 6) AS imputed_highest,
+  round(avg(after_imputation), 6) AS scaling_center, round(CASE WHEN stddev_pop(after_imputation) > 0 THEN stddev_pop(after_imputation) ELSE 1e0 END, 6) AS scaling_width,
+  count(*) FILTER (value IS NULL) AS remaining_missing, count(*) AS rows FROM rn GROUP BY ALL""")
+def stage_parameters(spark, d):
+    return rounded(C.stage_parameters(cleaned(spark, d), OUTLIER_FIRST))
+
+
 def volatility_sql(pre: str, column: str) -> str:
     return f"""{pre}s AS (SELECT recording_id, signal, idx, t, {column} AS value FROM rn), {filled_sql(pre + 's', pre=pre)},
   {pre}g AS (SELECT *, x - lag(x) OVER (PARTITION BY recording_id, signal ORDER BY idx) AS dx FROM {pre}f),

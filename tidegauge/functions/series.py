@@ -125,7 +125,7 @@ class Series:
         out = [F.coalesce(i(n), e(n)["v"]).alias(n) for n in [*last, *first]]
         out += [F.coalesce(i(n), e(n))["v"].alias(n) for n in [*lag, *lead]]
         out += [F.when(i(n).isNotNull() | e(n).isNotNull(),
-                       F.coalesce(i(n), F.lit(0.0)) + F.coalesce(e(n), F.lit(0.0))).alias(n) for n in total]
+                       F.coalesce(i(n), F.lit(0)) + F.coalesce(e(n), F.lit(0))).alias(n) for n in total]
         keep = [c for c in self.df.columns]
         return self.on(both.select(*keep, *out))
 
@@ -195,6 +195,42 @@ def _apart(groups) -> list[Column]:
     return [F.get(f"_pc{i}", F.lit(j)).alias(n) for i, g in enumerate(groups) for j, n in enumerate(g["probs"])]
 
 
+def _split_ties(base: DataFrame, keys, order, block: int) -> DataFrame:
+    """Cut ranges of over two blocks by the first order column that varies in them.
+
+    ``_rng`` gets one more number. A value that fills much of a range gets a range of its own, which the next column
+    can cut. Columns that are neither numbers nor dates cut nothing.
+    """
+    kinds, part = dict(base.dtypes), [*keys, "_rng"]
+
+    def number(c: str) -> Column | None:
+        if kinds[c] == "date" or kinds[c].startswith("timestamp"):
+            return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
+        return F.col(c).cast("double") if kinds[c] in ("tinyint", "smallint", "int", "bigint", "float", "double") or kinds[c].startswith("decimal") else None
+
+    for _ in range(3 * len(order)):
+        if not base.groupBy(*part).count().filter(F.col("count") > 2 * block).take(1):
+            break
+        n = F.count(F.lit(1))
+        varies = [~F.min(c).eqNullSafe(F.max(c)) | ((F.count(c) > 0) & (F.count(c) < n)) for c in order]
+        found = [F.lit(None) if number(c) is None else F.percentile_approx(number(c), CUTS, 10_000) for c in order]
+        facts = base.groupBy(*part).agg(n.alias("_n"), *[v.alias(f"_v{i}") for i, v in enumerate(varies)], *[f.alias(f"_c{i}") for i, f in enumerate(found)])
+        which, cuts, x = F.lit(None).cast("int"), F.lit(None).cast("array<double>"), F.lit(None).cast("double")
+        for i, c in reversed(list(enumerate(order))):
+            which, cuts = F.when(F.col(f"_v{i}"), i).otherwise(which), F.when(F.col(f"_v{i}"), F.col(f"_c{i}")).otherwise(cuts)
+            if number(c) is not None:
+                x = F.when(F.col("_which") == i, number(c)).otherwise(x)
+        big = cut(facts.filter(F.col("_n") > 2 * block).select(*part, which.alias("_which"), cuts.alias("_cuts")).filter(F.col("_cuts").isNotNull()))
+        ranges = big.count()
+        if not ranges:
+            break
+        place = 2 * F.size(F.filter("_cuts", lambda c: c < F.col("_y"))) + F.array_contains("_cuts", F.col("_y")).cast("int")
+        base = base.join(small(big, ranges), part, "left").withColumn("_y", x)
+        deeper = F.concat("_rng", F.array(F.coalesce(place, F.lit(-1)).cast("long")))
+        base = cut(base.withColumn("_rng", F.when(F.col("_which").isNotNull(), deeper).otherwise(F.col("_rng"))).drop("_which", "_cuts", "_y"))
+    return base
+
+
 def ordered_index(df: DataFrame, keys, order, lead: Column, longest: int, groups: int,
                   block: int = BLOCK_ROWS, name: str = "idx") -> DataFrame:
     """Add a column (idx) that counts 0, 1, … in the given order.
@@ -202,7 +238,8 @@ def ordered_index(df: DataFrame, keys, order, lead: Column, longest: int, groups
     ``lead`` is the leading order column as a number. Long groups are cut into
     ranges of it, numbered inside each range, and shifted by the rows before.
     The ranges follow the group's own distribution: sketched quantiles first,
-    equal widths between them, so neither clusters nor long tails gather.
+    equal widths between them, so neither clusters nor long tails gather. Values
+    that many rows repeat are cut again by the order columns that follow.
     """
     if longest <= block:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
@@ -219,7 +256,8 @@ def ordered_index(df: DataFrame, keys, order, lead: Column, longest: int, groups
     fine = F.ceil(F.col("_n") / (block * (len(CUTS) + 1)))
     inner = F.least(fine, F.floor(F.try_divide(F.col("_x") - low, high - low) * fine))
     place = part * (fine + 1) + F.coalesce(inner, F.lit(0))
-    base = cut(base.withColumn("_rng", F.coalesce(place, F.lit(-1))).drop("_x", "_cuts", "_edges", "_n", "_salt"))
+    base = cut(base.withColumn("_rng", F.array(F.coalesce(place, F.lit(-1)).cast("long"))).drop("_x", "_cuts", "_edges", "_n", "_salt"))
+    base = _split_ties(base, keys, order, block)
     before = W.partitionBy(*keys).orderBy("_rng").rowsBetween(UNB, -1)
     start = (base.groupBy(*keys, "_rng").count()
              .select(*keys, "_rng", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start")))

@@ -224,6 +224,18 @@ def smoothing_volatility(s: Series, order: str) -> DataFrame:
     return out.withColumn("volatility_delta", F.col("volatility_after") - F.col("volatility_before"))
 
 
+def stage_parameters(s: Series, order: str) -> DataFrame:
+    """What the stages worked with, per signal: values kept by the outlier stage, values imputed, and the scaler."""
+    before = dict(_path(order))
+    kept, filled = F.col("after_outlier"), F.col(before["imputation"]).isNull() & F.col("after_imputation").isNotNull()
+    imputed = F.when(filled, F.col("after_imputation"))
+    return s.df.groupBy(*s.keys).agg(
+        F.min(kept).alias("outlier_lowest_kept"), F.max(kept).alias("outlier_highest_kept"), F.count_if("detected").alias("outlier_flagged"),
+        F.count(imputed).alias("imputed_values"), F.min(imputed).alias("imputed_lowest"), F.max(imputed).alias("imputed_highest"),
+        F.max("center").alias("scaling_center"), F.max("width").alias("scaling_width"),
+        F.count_if(F.col("value").isNull()).alias("remaining_missing"), F.count(F.lit(1)).alias("rows"))
+
+
 def as_values(s: Series, column: str) -> Series:
     """The series with one of its stage columns as value."""
     keep = [c for c in s.df.columns if c in (*s.keys, "idx", "t", "fs")]
