@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidegauge.catalog.base import EMB, EV, LIW, SIGNALS, embeddings, events, filled_sql, lines_wide, query, rounded, welch_sql
+from tidegauge.catalog.base import EMB, EV, LI, LINE_RATE, LIW, SIGNALS, embeddings, events, filled_sql, lines_wide, query, rounded, welch_sql
 from tidegauge.catalog.cleaning import impute_sql, outlier_sql
 from tidegauge.domains import LOSS_PARTS, LOSS_WEIGHTS, OUTLIER_FIRST
 from tidegauge.functions.series import Series
@@ -172,6 +172,32 @@ def reference_rmse(spark, d):
     return rounded(_five(out))
 
 
+def clean_lines(spark, d):
+    """Every line item of every supplier, four signals taken as a clean reference."""
+    li = table(spark, d, "lineitem")
+    s = recordings(li, F.col("l_suppkey"), ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"],
+                   F.unix_micros(F.col("l_shipdate").cast("timestamp")),
+                   {"quantity": F.col("l_quantity"), "price": F.col("l_extendedprice"), "discount": F.col("l_discount"), "tax": F.col("l_tax")}, rate_hz=LINE_RATE)
+    return as_long(s, SIGNALS)
+
+
+LIC = (LI.replace("CASE WHEN NOT (l_returnflag = 'R' AND l_linestatus = 'O') THEN l_extendedprice END", "l_extendedprice")
+       .replace("CASE WHEN NOT (l_returnflag = 'A' AND l_linestatus = 'F') THEN l_discount END", "l_discount"))
+
+
+@query("signal_errors", f"""WITH {LIC}, {inject_sql('li', 'o', 'nested', 0.02)}, {impute_sql('o', 'i', 'linear')},
+  e AS (SELECT o.recording_id, o.signal, sqrt(avg((i.value - o.clean)**2)) AS rmse, sqrt(avg((i.value - o.clean)**2))/(stddev_pop(o.clean) + 1e-12) AS nrmse, count(*) AS cells, count(*) - count(i.value) AS gone
+    FROM o JOIN i USING (recording_id, signal, idx) GROUP BY ALL),
+  s AS (SELECT recording_id, sum(gone) = 0 AS ok, avg(nrmse) AS nrmse, avg(rmse) AS mean_rmse, sum(gone)/sum(cells) AS gone,
+    {', '.join(f"max(nrmse) FILTER (signal = '{x}') AS nrmse_{x}, max(rmse) FILTER (signal = '{x}') AS rmse_{x}" for x in SIGNALS)} FROM e GROUP BY 1)
+  SELECT recording_id, {', '.join(f'CASE WHEN ok THEN round({c}, 6) END AS {n}' for c, n in [('nrmse', 'nrmse'), ('mean_rmse', 'mean_raw_rmse')] + [(f'{e}_{x}',) * 2 for e in ('nrmse', 'rmse') for x in SIGNALS])},
+    round(gone, 6) AS remaining_missing_fraction, ok AS valid_rmse FROM s""")
+def signal_errors(spark, d):
+    """Error of linear imputation per signal and over four signals; unknown where a gap at an end stays open."""
+    s = impute(K.nested(clean_lines(spark, d), 0.02, SEED), ["linear"])
+    return rounded(G.nrmse(s.df.withColumn("value", F.col("imp_linear")), ["recording_id"], SIGNALS))
+
+
 def _five(df):
     return df.withColumns({c: F.round(c, 5) for c in ("rmse", "affected_rmse", "intact_rmse")})
 

@@ -65,13 +65,13 @@ def scenario_results(clean: Series, levels, methods: dict[str, list[str]], domai
         runs = Series(df.drop(*["after_" + x for x in STAGES[:3]], "center", "width"), tuple(keys), runs.longest, runs.groups, runs.block).cut()
         by = [k for k in keys if k != "signal"]
         q = quality_of(as_values(runs, "value"), st, fs, domains)
-        parts.append(q.join(validate.nrmse(runs.df, by), by).withColumn("order", F.lit(order)))
+        parts.append(q.join(validate.nrmse(runs.df, by, st.signals), by).withColumn("order", F.lit(order)))
     out = reduce(DataFrame.unionByName, parts).join(start, ["recording_id", "severity_pct"])
     r = lambda c: F.round(c, DIGITS)
     return out.select(
         "domain", F.col("recording_id").alias("seed"), F.col("severity_pct").cast("int").alias("severity_pct"), *CANDIDATE, "scaling",
         r("q_score").alias("q_score"), r(F.col("q_score") - F.col("q_dirty")).alias("delta_q"), *[r(c).alias(c) for c in COMPONENTS],
-        r("nrmse").alias("nrmse"), "mean_raw_rmse", "remaining_missing_fraction", "valid_rmse")
+        r("nrmse").alias("nrmse"), *[r(f"{e}_{x}").alias(f"{e}_{x}") for e in ("nrmse", "rmse") for x in st.signals], "mean_raw_rmse", "remaining_missing_fraction", "valid_rmse")
 
 
 def baselines(clean: Series, levels, domains: DataFrame, st: Settings, fs, seed: int = 42) -> DataFrame:
