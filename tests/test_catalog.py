@@ -13,7 +13,8 @@ FOLDER = "/root/testdata/sf0.001"
 SAMPLE = ["time_axis_diagnostics", "time_gate", "profile_table", "signal_measurements", "correlation_matrix", "outlier_audit", "gap_limits",
           "knn_impute", "scale_inverse", "smooth_moving_median", "smooth_savgol", "smooth_resampled", "clean_run", "stage_metrics", "recommend_rules",
           "spec_validity", "corrupt_block_missing", "corrupt_nested", "candidate_rank", "reconstruction_loss", "benchmark_summary", "near_tie_winners",
-          "recording_blocks", "flag_validity", "delimited_round_trip", "imputed_segments", "fixed_windows"]
+          "recording_blocks", "flag_validity", "delimited_round_trip", "imputed_segments", "fixed_windows", "column_roles", "clock_parsing",
+          "fingerprint_changes", "audit_fields", "stage_parameters", "smoothing_volatility", "signal_errors", "knn_impute_one_long_recording"]
 
 
 @pytest.fixture(scope="module")
