@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidegauge.catalog.base import SIGNALS, lines_wide, profile_sql, query, rounded, table
 from tidegauge.catalog.cleaning import impute_sql, median_sql, outlier_sql
 from tidegauge.catalog.profiling import component_sql
-from tidegauge.catalog.validation import EVC, RUNS, clean_events, inject_sql
+from tidegauge.catalog.validation import EVC, RUNS, clean_events, inject_sql, u
 from tidegauge.domains import COMPONENTS, IMPUTATION_FIRST, METHODS, OUTLIER_FIRST, QUALITY_WEIGHTS
 from tidegauge.operators import profile as P
 from tidegauge.operators import timeaxis as T
@@ -215,7 +217,15 @@ def winner_table(spark, d):
     return rounded(B.winner_table(B.winners(_losses(spark, d), B.SCENARIO)))
 
 
-@query("bootstrap_support")
+# How often a row counts in a draw: a Poisson number of mean 1, by its distribution function.
+TIMES = " + ".join(f"CASE WHEN u >= {sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))!r}e0 THEN 1 ELSE 0 END" for k in range(9))
+
+
+@query("bootstrap_support", f"""{WON}, dr AS (SELECT domain, seed, severity_pct, winner, unnest(range(0, 100)) AS draw FROM won),
+  us AS (SELECT *, {u('42', "'boot'", 'seed', 'severity_pct', 'draw')} AS u FROM dr),
+  kk AS (SELECT domain, draw, winner, sum({TIMES}) AS k FROM us GROUP BY ALL),
+  sh AS (SELECT *, k/sum(k) OVER (PARTITION BY domain, draw) AS support FROM kk)
+  SELECT domain, winner AS method, round(avg(support), 6) AS mean_support, round(stddev_samp(support), 6) AS std_support FROM sh GROUP BY ALL""")
 def bootstrap_support(spark, d):
     return rounded(B.bootstrap_support(B.winners(_losses(spark, d), B.SCENARIO)))
 
@@ -245,6 +255,15 @@ def grouped_cv_accuracy(spark, d):
     return rounded(B.grouped_cv(ruled(spark, d), FEATURES, "seed", 3))
 
 
+@query("grouped_cv_folds", f"""{WON}, fo AS (SELECT winner, CAST(floor({u("'fold'", 'seed')}*3) AS BIGINT) AS fold FROM won WHERE severity_pct > 0),
+  ct AS (SELECT k AS fold, winner, count(*) AS n FROM fo, (SELECT unnest(range(0, 3)) AS k) WHERE fold <> k GROUP BY ALL),
+  co AS (SELECT fold, winner, row_number() OVER (PARTITION BY fold ORDER BY n DESC, winner) AS place FROM ct)
+  SELECT fo.fold, count(*) AS rows, round(avg(CASE WHEN fo.winner = co.winner THEN 1e0 ELSE 0e0 END), 6) AS majority FROM fo JOIN co ON co.fold = fo.fold AND place = 1 GROUP BY ALL""")
+def grouped_cv_folds(spark, d):
+    """All held-out rows of each fold, and how often the commonest winner of the other folds wins there."""
+    return rounded(B.grouped_cv(ruled(spark, d), FEATURES, "seed", 3).select("fold", "rows", "majority"))
+
+
 @query("weight_support")
 def weight_support(spark, d):
     """Share of 250 weight draws under which each imputation method has the lowest loss."""
