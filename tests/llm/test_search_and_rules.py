@@ -37,6 +37,34 @@ def test_equals_brute_force(spark, block):
     assert run(spark, rows, step=50, block=block) == brute(rows, 10, 50)
 
 
+def spread_vectors(seed, n, width=6):
+    """Vectors whose norms go the farther from each other, the larger the seed."""
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n, width)) * np.exp(rng.normal(scale=seed, size=(n, 1)))
+
+
+def test_norms_far_apart(spark):
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(np.random.default_rng(4).uniform(-1, 1, (4000, 2)))]
+    x = np.array([np.floor(1024 * np.array(v, np.float64)) for _, v in rows])
+    want = []
+    for q in range(0, 4000, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        want += [(q, r, int(i), int(scores[i])) for r, i in enumerate(np.lexsort((np.arange(4000), -scores))[:10], 1)]
+    assert run(spark, rows, step=20, block=300) == want
+
+
+@pytest.mark.parametrize("seed, size", [(0, 1.0), (1, 1e-2), (2, 1.0), (2, 1e6)])
+def test_bounds_hold(seed, size):
+    x = np.floor(1024 * size * spread_vectors(seed, 2000)).astype(np.int64)
+    norms = (x.astype(np.float64) ** 2).sum(axis=1)
+    top, anchors = float(norms.max()) * (1 + 1e-12), topk.pick_pivots(x[:500], 24)
+    table, q_table = topk.pivot_table(x, anchors, top), topk.query_table(x, anchors, top)
+    for q in range(0, 2000, 7):
+        bound = topk.score_bound(norms[q], top, np.abs(table - q_table[q]).max(axis=1), x.shape[1])
+        assert (bound >= topk.products(x[q], x)).all()
+
+
 def test_odd_rows(spark):
     rows = [(0, [0.5, 0.25]), (1, None), (2, [0.5, None]), (3, [0.5, float("nan")]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]),
             (5, [0.5]), (6, []), (7, [1.0, 1.0, 1.0]), (100, [-0.001, 0.0])]

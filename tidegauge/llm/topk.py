@@ -1,7 +1,7 @@
 """Exact top-k search by inner product, with elimination by a pivot table.
 
 Method: a vector x gets the extra coordinate sqrt(M^2 - |x|^2), with M the largest norm; then the Euclidean distance d
-to a query q satisfies d^2 = |q|^2 + M^2 - 2 q.x, so the nearest vectors are those of the highest inner product. The
+to a query q, whose own extra coordinate is 0, satisfies d^2 = |q|^2 + M^2 - 2 q.x, so the nearest vectors are those of the highest inner product. The
 pivot table holds d(x, p) for every vector and many pivots p; |d(q, p) - d(x, p)| is a lower bound of d(q, x) for each
 p, so the largest of them gives an upper bound of the score. Candidates are evaluated in the order of that bound until
 the bound falls below the k-th score found, which proves the rest away.
@@ -67,6 +67,21 @@ def pivot_table(v: np.ndarray, pivots: np.ndarray, top: float) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, square))
 
 
+def query_table(q: np.ndarray, pivots: np.ndarray, top: float) -> np.ndarray:
+    """Distances of queries (rows), whose extra coordinate is 0, to the pivots with theirs."""
+    x = q.astype(np.float64)
+    p, f = lift(pivots, top)
+    return np.sqrt(np.maximum(0.0, (x * x).sum(1)[:, None] + ((p * p).sum(1) + f * f)[None, :] - 2 * x @ p.T))
+
+
+def score_bound(norm: float, top: float, low: np.ndarray, width: int) -> np.ndarray:
+    """No score of a query with this squared norm is higher, for vectors at a distance of `low` at least."""
+    # Squares of distances are off by a few roundings of norm + top each; the distances, by the root of that.
+    off = 1e-15 * (width + 8) * (norm + top)
+    low = np.maximum(0.0, low - 2 * math.sqrt(off))
+    return np.maximum((norm + top - low * low) / 2 + 1 + off + 1e-9 * (norm + top), -2.0 ** 63)  # scores are cut there
+
+
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products of one query with rows, cut to the range of a long."""
     if not len(q) or not len(x):
@@ -96,9 +111,7 @@ def search_block(ids, v, table, qids, qv, q_table, floor, top, k):
     x_order_table = table.astype(np.float64)
     for j in range(len(qids)):
         norm = float((qv[j].astype(np.float64) ** 2).sum())
-        # An upper bound of the score, with room for rounding.
-        low = np.abs(x_order_table - q_table[j]).max(axis=1)
-        bound = (norm + top - low * low) / 2 + 1 + 1e-9 * (norm + top)
+        bound = score_bound(norm, top, np.abs(x_order_table - q_table[j]).max(axis=1), qv.shape[1])
         if k < len(bound):  # the best bounds first; the rest is sorted only if they don't prove it away
             order = np.argsort(-bound, kind="stable")
         else:
@@ -176,9 +189,17 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", column
     split = F.element_at(F.array(*[F.lit(int(s)) for s in splits]), (F.col("grp") + 1).cast("int"))
     base = base.mapInArrow(placed, "id long, v array<bigint>, cell int, dist array<double>, grp long")
     base = base.withColumn("part", F.pmod(F.xxhash64("id", "v"), split)).drop("cell")
-    queries = (base.filter(is_query).groupBy("id").agg(F.min(F.struct("v", "dist", "grp", "part")).alias("r")).select("id", "r.*")
-               .withColumn("tile_hash", F.xxhash64("id")))
-    queries = cut(queries)
+
+    def as_queries(batches):
+        """dist of every query, by its extra coordinate of 0 instead of a vector's."""
+        for b in batches:
+            table = query_table(matrix(b.column("v"), width), anchors, top)
+            dist = pa.FixedSizeListArray.from_arrays(pa.array(table.ravel()), count).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v"), dist, b.column("grp"), b.column("part")], names=["id", "v", "dist", "grp", "part"])
+
+    queries = base.filter(is_query).groupBy("id").agg(F.min(F.struct("v", "grp", "part")).alias("r")).select("id", "r.*")
+    queries = queries.mapInArrow(as_queries, "id long, v array<bigint>, dist array<double>, grp long, part long")
+    queries = cut(queries.withColumn("tile_hash", F.xxhash64("id")))
     tiles = max(1, math.ceil(queries.count() / TILE))
     tile = F.pmod("tile_hash", F.lit(tiles)).cast("int").alias("tile")
 
@@ -220,7 +241,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", column
             for j in range(len(qv)):
                 norm = float((qv[j].astype(np.float64) ** 2).sum())
                 low = np.maximum(0.0, np.maximum(lo - dist[j], dist[j] - hi).max(axis=1))
-                for g in np.flatnonzero((norm + top - low * low) / 2 + 1 + 1e-9 * (norm + top) >= floor[j]):
+                for g in np.flatnonzero(score_bound(norm, top, low, width) >= floor[j]):
                     row.extend([j] * splits[g])
                     grp.extend([g] * splits[g])
                     part.extend(range(splits[g]))
