@@ -136,6 +136,21 @@ def test_matches_of_sample(sample):
     assert got == direct_matches(some, [(r.item_id, r.text) for r in items.collect()], decontam.LEAST) and got
 
 
+def test_groups_of_edited_copies(spark, docs_of):
+    """Equal copies of an edited item leave its other seeds in no document, and the rest in many."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), 5))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([20, 40, 60])]
+    rows = []
+    for i, t in items:
+        edited = " ".join(w if (k + 1) % (4 + i % 2) else word() for k, w in enumerate(t.split()))  # every fourth or fifth word replaced
+        rows += [(len(rows) + k, f"{word()} {word()} {edited} {word()}") for k in range(30)]
+    rows += [(1000, items[1][1]), (1001, " ".join(items[2][1].split()[:20])), (1002, " ".join(word() for _ in range(90)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.matches(docs_of(rows), bench).collect()}
+    assert got == direct_matches(rows, items, decontam.LEAST) and len(got) == 91
+
+
 def test_edited_copies(spark, docs_of):
     rng = np.random.default_rng(2)
     word = lambda: "".join(rng.choice(list("abcdefghij"), 5))

@@ -1,11 +1,12 @@
 """Benchmark decontamination: documents that hold an exact, edited or paraphrased copy of a test item.
 
-Method: rare n-gram seeds and Smith-Waterman alignment. Items are cut into parts of at most PART words (half
-overlapping); their n-grams are looked up in all documents, which also counts how many documents hold each. A part is
-sought by its rare n-grams: those in at most RARE of all documents, and in any case the rarer half of its n-grams, so
-that a passage that very many documents copied is still found. A seed tells where in the document the part would lie;
-the words around are aligned with the part (match 2, mismatch -1, gap -1). The similarity is the alignment's score over
-that of a perfect copy, from 0 to 1; documents with at least `least` hold the item.
+Method: n-gram seeds, a bound and Smith-Waterman alignment. Items are cut into parts of at most PART words (half
+overlapping); their n-grams are looked up in all documents. A part is sought by all of its n-grams, however many
+documents hold them, so that a passage that very many documents copied, edited or not, is still found. A seed tells
+where in the document the part would lie; the words around are aligned with the part (match 2, mismatch -1, gap -1). The
+similarity is the alignment's score over that of a perfect copy, from 0 to 1; documents with at least `least` hold the
+item. A similarity is at most the share of the part's words that the window has at all: where that share is below
+`least`, as around most of the frequent seeds, the alignment isn't computed.
 
 Only hits on n-grams of items leave the tasks that read the documents; the n-grams of the items are broadcast up to
 SEED_ROWS rows, which bounds them in bytes too, and joined by a shuffle beyond.
@@ -22,13 +23,12 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.llm.common import cut, mix, slices
 
 SEED, PART = 3, 64  # words of a seed, most words of a part of an item
-RARE = 0.001  # share of all documents
 SEED_ROWS = 1_000_000  # most rows (of at most 40 bytes) that are broadcast
 LEAST = 0.5
 TOKEN = re.compile(r"[^\W_]+")
@@ -113,7 +113,7 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return best / (2.0 * lengths)
 
 
-def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, n: int = SEED, width: int = PART, rare: float = RARE) -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, n: int = SEED, width: int = PART) -> DataFrame:
     """doc_id, item_id, similarity (of the item's best part) of all pairs with at least `least`."""
     base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
     parts = cut(item_parts(items, n, width).distinct())
@@ -131,16 +131,11 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, n: int = SE
     near = F.broadcast if few else (lambda df: df)
     found = doc_grams(base, n).select("doc_id", "text_hash", F.posexplode("grams").alias("pos", "gram"))
     hits = cut(found.join(near(seeds.select("gram").distinct()), "gram"))
-    total = base.select("doc_id").count()
-    held = hits.groupBy("gram").agg(F.count_distinct("doc_id").alias("docs"))
-    by_rarity = Window.partitionBy("item_id", "part").orderBy("docs", "at")
-    ranked = seeds.join(held, "gram", "left").na.fill(0, ["docs"]).withColumn("rank", F.percent_rank().over(by_rarity))
-    wanted = ranked.filter((F.col("docs") <= max(1.0, rare * total)) | (F.col("rank") <= 0.5)).join(parts, ["item_id", "part"])
     # The part would begin at word pos - at; windows are two parts wide, so each such place lies well inside one.
-    size = F.size("words")
-    first = F.floor((F.col("pos") - F.col("at")) / size).cast("int")
-    sought = (hits.join(near(wanted.select("gram", "item_id", "part", "at", "words")), "gram")
-              .select("doc_id", "text_hash", "item_id", "part", "words", first.alias("place")).distinct())
+    places = seeds.join(parts.select("item_id", "part", F.size("words").alias("size")), ["item_id", "part"])
+    first = F.floor((F.col("pos") - F.col("at")) / F.col("size")).cast("int")
+    sought = hits.join(near(places), "gram").select("doc_id", "text_hash", "item_id", "part", first.alias("place")).distinct()
+    sought = sought.join(near(parts), ["item_id", "part"])
     sought = sought.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "part", "words", "place")).alias("sought"))
 
     def score(batches):
@@ -165,7 +160,7 @@ def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, n: int = SE
                         slack = len(part) // 2 + 2
                         at = x["place"] * len(part)
                         window = h[max(0, at - slack):max(0, at + 2 * len(part) + slack)]
-                        if len(window):
+                        if len(window) and np.isin(part, window).mean() >= least:
                             held_pairs.append((d, x["item_id"], (part, window)))
                         if len(held_pairs) >= TOGETHER:
                             flush()
