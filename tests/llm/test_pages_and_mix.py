@@ -36,6 +36,22 @@ def test_extracted(spark, page, want):
     assert text(spark, page) == want
 
 
+LONG = "word " * 40
+
+
+@pytest.mark.parametrize("page, kept", [
+    (f"<article class='post type-post category-x tag-y'><p>here {LONG}</article>", ["here"]),
+    (f"<main class=has-sidebar><p>here {LONG}</main><div class=sidebar><p>gone {LONG}</div>", ["here"]),
+    (f"<article><header class=entry-header><h1>title of it</h1></header><p>here {LONG}</article>", ["title of it", "here"]),
+    (f"<article><p>here {LONG}<div class=legal-analysis><p>there {LONG}</div></article>", ["here", "there"]),
+    (f"<article><p>here <svg width=1 /> {LONG}<p>there {LONG}<svg><text>gone</text></svg></article>", ["here", "there"]),
+    (f"<article><p>here <math><mi>x</mi><mo>=</mo><mn>7</mn></math> {LONG}</article>", ["here", "x=7"]),
+    (f"<article><p>here {LONG}<section class=comments><article class=comment><p>gone {LONG}</article></section></article>", ["here"])])
+def test_ordinary_markup(page, kept):
+    text = html.main_text(f"<body><nav><a>gone</a></nav>{page}<footer>gone</footer></body>", html.fit())
+    assert all(k in text for k in kept) and "gone" not in text
+
+
 def test_pages_of_sample(spark, sample):
     """The given pages mark their main text with one article element; its blocks end at block-level tags."""
     import html as entities

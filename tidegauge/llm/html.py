@@ -6,7 +6,7 @@ element; navigation, advert, comment, form ... by element, role, class or id). A
 labelled table below, decides which blocks are main text.
 
 Defined cases: a null html is empty; scripts, styles and other raw text end at their end tag or, if that is missing, at
-the end of the page; unclosed and stray tags are tolerated; a line break is white space within its block; repeated rows
+the end of the page; a self-closed svg is empty, math is text but for its annotations; unclosed and stray tags are tolerated; a line break is white space within its block; repeated rows
 give one row each; null ids and urls are kept; columns other than page_id, url and html are not read; an empty table
 gives an empty result. Nothing is cut off: a page is as long as it is.
 """
@@ -24,19 +24,26 @@ from pyspark.sql import types as T
 
 from tidegauge.llm.common import slices
 
-# Comments and raw text whole, then tags, then text.
+# Comments, empty drawings and raw text whole, then tags, then text.
 PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|title|select|button)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg\b[^>]*/>|<(?P<raw>script|style|noscript|template|svg|annotation-xml|annotation|iframe|object|textarea|title|select|button)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.I | re.S)
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q s samp small span strike strong sub sup time tt u var wbr img br "
+                   "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle "
+                   "msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 # Elements whose start and end say where a region begins and ends; others only end a block.
 REGIONS = frozenset("article main nav header footer aside form div section ul ol dl table figure dialog menu blockquote details fieldset".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset".split())
 ATTRIBUTE = re.compile(r"(class|id|role|aria-label|style|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+# Parts of a class, id, role or label that tell of something else wherever they stand, and words that do so only as all of it.
 HINT = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|footer|header|masthead|sidebar|side|widget|related|share|social|"
-    r"cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|comments?|comment-?list|disqus|repl(?:y|ies)|respond|copyright|legal|"
-    r"pagination|pager|tags?|toolbar|search|skip|complementary|contentinfo|navigation|dialog)(?:[^a-z]|$)", re.I)
+    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|footer|masthead|sidebar|widget|social|"
+    r"cookies?|consent|popup|modal|newsletter|subscribe|signup|login|comments?|comment-?list|disqus|repl(?:y|ies)|respond|copyright|"
+    r"pagination|pager|toolbar|complementary|contentinfo|navigation|dialog)(?:[^a-z]|$)", re.I)
+WHOLE_HINT = re.compile(
+    r"(?:(?:site|page|top|global)[-_]+)?(?:header|banner)|(?:(?:site|page|post|entry|article|top|global)[-_]+)?(?:tags?|side|related|share|search|legal|skip|notice|alert)"
+    r"(?:[-_]+(?:bar|box|buttons?|cloud|column|container|content|form|icons?|items|links?|list|articles|pages|posts|stories|to[-_]content|wrapper))?", re.I)
+STATE = re.compile(r"(?:has|no|tag|category)[-_]", re.I)  # classes that tell of the page or its subject, not of the element
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 MAIN_ROLE = re.compile(r"(?:^|[^a-z])(?:main|article)(?:[^a-z]|$)", re.I)
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_article", "in_boilerplate", "heading")
@@ -52,17 +59,22 @@ class Block:
     heading: bool
 
 
-def marks(attributes: str) -> tuple[bool, bool]:
-    """Whether the attributes tell of the main text, of something else."""
-    main = other = False
+def hinted(name: str, value: str) -> bool:
+    tokens = ["-".join(value.split())] if name == "aria-label" else value.split()
+    return any(not STATE.match(t) and (HINT.search(t) or WHOLE_HINT.fullmatch(t)) for t in tokens)
+
+
+def marks(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether the attributes tell of the main text, of something else, of something hidden (which is something else too)."""
+    main = other = hidden = False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
-            other = True
+            other = hidden = True
         elif name in ("class", "id", "role", "aria-label"):
-            other = other or bool(HINT.search(value))
+            other = other or hinted(name, value)
             main = main or name == "role" and bool(MAIN_ROLE.search(value))
-    return main and not other, other
+    return main and not other, other, hidden
 
 
 def blocks(page: str) -> list[Block]:
@@ -109,13 +121,14 @@ def blocks(page: str) -> list[Block]:
                 if at is not None:
                     del regions[at:]
             else:
-                main, other = marks(m["attributes"])
+                main, other, hidden = marks(m["attributes"])
                 article, boilerplate = regions[-1][1:] if regions else (False, False)
                 if name in ("article", "main") or main:
                     # Comments are often articles too, but not the page's first one: boilerplate around that was left unclosed.
-                    article, boilerplate, met = True, other or (boilerplate and met), True
+                    article, boilerplate, met = True, hidden or (boilerplate and met), True
                 else:
-                    boilerplate = boilerplate or other or name in BOILERPLATE
+                    # An article's header holds its title.
+                    boilerplate = boilerplate or other or name in BOILERPLATE and not (name == "header" and article)
                 regions.append((name, article, boilerplate))
         elif ends:
             if single and single[0] == name:
@@ -150,6 +163,8 @@ LABELLED = (
     "<body><div class=cookie-notice>-L</div><div class=newsletter>-L<form>-S</form></div><main><p>+L<p>+one<p>+L</main><div class=related><p><a>-S</a><p><a>-S</a></div>",
     "<body><main><ul><li><a>+S</a><li><a>+S</a></ul><p>+L</main><aside>-S</aside><article><h1>+S</h1><p><a>+S</a><p>+L</article>",
     "<body><p><a>-L</a><p><a>-L</a><div>+L</div><div>+L</div><p><a>-L</a>",
+    "<body class=has-sidebar><div class=site-header>-S</div><main class=has-sidebar><article class='post type-post category-legal tag-search'><header class=entry-header>"
+    "<h1>+S</h1></header><p>+L<div class=legal-analysis><p>+L<p>+L</div><p>+S <math><mi>x</mi></math> word<p>+L</article></main><aside class=widget>-S</aside><footer>-S</footer>",
 )
 WORDS = {"L": "word " * 40, "S": "word " * 6}
 
