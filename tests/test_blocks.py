@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import collected, long_table, series_frame
+from series_tables import collected, long_table, series_frame
 from tidegauge.functions.series import Series, ordered_index
 from tidegauge.functions.scalar import wide_form
 from tidegauge.operators import knn, mice, smooth, timeaxis, validate, windows

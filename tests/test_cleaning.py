@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import collected, long_table, series_frame
+from series_tables import collected, long_table, series_frame
 from tidegauge.domains import IMPUTATION_FIRST, OUTLIER_FIRST
 from tidegauge.functions.scalar import isclose
 from tidegauge.functions.series import Series
