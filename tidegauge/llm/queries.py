@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontam, html, kneser, lines, mixing, simhash, substring, topk, toxicity, urls
+from tidegauge.llm import decontam, html, kneser, lines, mixing, rules, simhash, substring, topk, toxicity, urls
 from tidegauge.llm.common import crc_of, table
 
 QUERIES: dict = {}
@@ -116,3 +116,36 @@ judged AS (SELECT k.nr, k.doc_id, k.line, k.pos, coalesce(k.doc_id < o.last, fal
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY nr, doc_id"""
+
+
+@query
+def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = rules.judge(table(spark, folder, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op13_quality_rules"] = """
+WITH d AS (
+  SELECT row_number() OVER () AS nr, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+         list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\\x20\\x09-\\x0D]')) AS ls
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+words AS (SELECT nr, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM d),
+grams AS (SELECT nr, p, w || ' ' || lead(w) OVER x || ' ' || lead(w, 2) OVER x AS g FROM words WINDOW x AS (PARTITION BY nr ORDER BY p)),
+twice AS (SELECT nr, g FROM grams WHERE g IS NOT NULL GROUP BY nr, g HAVING count(*) > 1),
+covered AS (SELECT nr, count(DISTINCT p + k) AS n FROM grams JOIN twice USING (nr, g), (VALUES (0), (1), (2)) AS v(k) GROUP BY nr),
+m AS (
+  SELECT doc_id, len(ws) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines, len(regexp_extract_all(t, '\\p{Lu}{2,}')) AS shouted, len(regexp_extract_all(t, '!!+')) AS exclaimed,
+         len(list_filter(ws, lambda w: regexp_matches(w, '\\p{L}'))) AS lettered,
+         len(list_filter(ws, lambda w: list_contains(string_split('a and are as be by for from have in is it of on that the this to was with auf das dem den der '
+           || 'die ein eine im ist mit nicht sich und von zu au dans de des du et la le les par pour que qui un une con del el en es las lo los no para por se su y', ' '),
+           lower(w)))) AS stop,
+         len(list_filter(ls, lambda l: regexp_matches(l, '^[\\x20\\x09-\\x0D]*([-*•‣·]|[0-9]+[.)])[\\x20\\x09-\\x0D]'))) AS bullets,
+         len(list_filter(ls, lambda l: regexp_matches(l, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*\\z'))) AS ellipses
+  FROM d LEFT JOIN covered USING (nr))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       (n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words AND word_chars / n_words BETWEEN 2 AND 15 AND n_symbols / n_words <= 0.1 AND shouted / n_words <= 0.4
+        AND exclaimed / n_words <= 0.2 AND lettered / n_words >= 0.7 AND stop / n_words >= 0.02 AND n_dup_lines / n_lines <= 0.5 AND bullets / n_lines <= 0.9
+        AND ellipses / n_lines <= 0.5 AND word_chars / n_lines >= 5) AS kept
+FROM m"""
