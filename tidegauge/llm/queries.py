@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontam, html, kneser, lines, mixing, rules, simhash, substring, topk, toxicity, urls
+from tidegauge.llm import decontam, html, kneser, lines, mixing, phrases, rules, simhash, substring, topk, toxicity, urls
 from tidegauge.llm.common import crc_of, table
 
 QUERIES: dict = {}
@@ -118,6 +118,38 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM judged GROUP BY nr, doc_id"""
 
 
+@query
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op12_collocations"] = """
+WITH d AS (SELECT row_number() OVER () AS nr, coalesce(lang, 'und') AS lang,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT nr, lang, unnest(ps) AS piece, generate_subscripts(ps, 1) AS pn FROM (SELECT nr, lang, regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]') AS ps FROM d)),
+words AS (SELECT nr, lang, pn, unnest(ws) AS w, generate_subscripts(ws, 1) AS p
+          FROM (SELECT nr, lang, pn, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces)),
+ahead AS (SELECT lang, w AS w1, lead(w) OVER x AS w2, lead(w, 2) OVER x AS w3 FROM words WINDOW x AS (PARTITION BY nr, pn ORDER BY p)),
+f1 AS (SELECT lang, w1, count(*) AS f FROM ahead GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, count(*) AS f FROM ahead WHERE w2 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM ahead WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(f) AS n FROM f1 GROUP BY lang),
+cuts AS (
+  SELECT c.lang, c.w1 || ' ' || c.w2 AS phrase, c.f AS a, 1 AS k, x.f AS l, y.f AS r FROM f2 c
+  JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w2 WHERE c.f >= 10
+  UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 1, x.f, y.f FROM f3 c
+  JOIN f1 x ON x.lang = c.lang AND x.w1 = c.w1 JOIN f2 y ON y.lang = c.lang AND y.w1 = c.w2 AND y.w2 = c.w3
+  UNION ALL SELECT c.lang, c.w1 || ' ' || c.w2 || ' ' || c.w3, c.f, 2, x.f, y.f FROM f3 c
+  JOIN f2 x ON x.lang = c.lang AND x.w1 = c.w1 AND x.w2 = c.w2 JOIN f1 y ON y.lang = c.lang AND y.w1 = c.w3),
+scored AS (SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+one AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (SELECT lang, phrase, max(f) AS f FROM (
+  SELECT lang, w1 || ' ' || w2 AS phrase, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY ALL),
+left_over AS (SELECT o.* FROM one o LEFT JOIN around g ON g.lang = o.lang AND g.phrase = o.phrase WHERE coalesce(100 * g.f >= 50 * o.a, false) = false),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000"""
+
+
 @query
 def op13_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = rules.judge(table(spark, folder, "documents"))
