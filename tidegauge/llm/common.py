@@ -57,3 +57,35 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def crc_of(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers starts[i] .. starts[i] + counts[i] - 1 of all i, one after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def small_ints(v: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 on in as few bytes as the largest one needs."""
+    for kind in (np.uint8, np.uint16, np.uint32):
+        if not len(v) or int(v.max()) <= np.iinfo(kind).max:
+            return v.astype(kind)
+    return v.astype(np.uint64)
+
+
+def pack_arrays(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of whole numbers from 0 on, compressed."""
+    arrays = [small_ints(a) for a in arrays]
+    head = np.array([len(arrays)] + [x for a in arrays for x in (len(a), a.itemsize)], np.int64)
+    raw = head.tobytes() + b"".join(a.tobytes() for a in arrays)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_arrays(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    n = int.from_bytes(raw[:8], "little")
+    head, at, out = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(n, 2), 8 + 16 * n, []
+    for size, width in head.tolist():
+        out.append(np.frombuffer(raw, f"u{width}", size, at))
+        at += size * width
+    return out

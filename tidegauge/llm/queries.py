@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.llm import decontam, html, kneser, lines, mixing, phrases, rules, simhash, substring, topk, toxicity, urls
+from tidegauge.llm import alignment, decontam, html, kneser, lines, mixing, phrases, rules, simhash, substring, topk, toxicity, urls
 from tidegauge.llm.common import crc_of, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 LEAST_TOXIC = 0.7
+TOKENIZERS = "/opt/tokenizers"  # folder of the public tokenizers' files
 
 
 def query(fn):
@@ -118,6 +119,12 @@ SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_
 FROM judged GROUP BY nr, doc_id"""
 
 
+@query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    aligned = alignment.align(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+    return aligned.withColumn("groups_sha256", F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups")
+
+
 @query
 def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
