@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from near_copies_direct import direct_near_classes, kept_by
 from tidegauge.llm import lines, simhash, substring
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,10 +94,59 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(1, 101)} | {501: 500}
 
 
-def test_one_of_each(docs_of):
-    text = "some words that make a text of a little length for all of us"
-    rows = [(3, text), (3, text), (5, text), (4, "something else altogether now, is it not so"), (None, text)]
-    assert sorted(str(r.doc_id) for r in simhash.one_of_each(docs_of(rows)).collect()) == ["3", "4", "None"]
+def edited(text, rng, share):
+    ws = text.split(" ")
+    for _ in range(max(1, int(share * len(ws)))):
+        i = rng.integers(len(ws))
+        ws[i:i + 1] = [[], [f"new{rng.integers(99)}"], [ws[i], "and"]][rng.integers(3)]
+    return " ".join(ws)
+
+
+def test_one_of_each_finds_jaccard_classes(docs_of):
+    rng = np.random.default_rng(5)
+    rows = []
+    for c in range(12):
+        text = " ".join(f"w{int(x)}" for x in rng.zipf(1.25, rng.integers(80, 500)) % 3000)
+        rows.append((1000 - len(rows), text))
+        for _ in range(rng.integers(0, 14)):
+            rows.append((1000 - len(rows), edited(text, rng, [0.004, 0.01, 0.02, 0.06][rng.integers(4)])))
+    rows += [(3, rows[0][1]), (3, "an own text of the same id that nobody else has at all"), (None, rows[5][1]), (None, "x y z"), (4, "X  y z"), (7, None), (8, ""), (9, " \n")]
+    classes = direct_near_classes([t for _, t in rows])
+    assert len(rows) - 10 > len(set(classes)) > 15
+    got = sorted(((r.doc_id, r.text or "") for r in simhash.one_of_each(docs_of(rows)).collect()), key=str)
+    want = kept_by(rows, classes)
+    assert set(want) <= set(got) and len(got) - len(want) <= 0.05 * (len(rows) - len(want)), (len(rows), len(want), len(got))
+
+
+def test_one_of_each_sample(spark):
+    """Of the sample's pairs of near copies at most one in twenty is missed, and nothing else goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want, got = kept_by(rows, direct_near_classes([t for _, t in rows])), sorted(((r.doc_id, r.text or "") for r in simhash.one_of_each(docs).collect()), key=str)
+    assert set(want) <= set(got) and len(rows) - len(got) >= 0.95 * (len(rows) - len(want))
+
+
+def test_one_of_each_odd_rows(spark, docs_of):
+    # A repeated id with another text keeps that text; columns of any name come through.
+    rows = [(5, "text a is the one"), (5, "text b is another"), (1, "text b is another"), (None, None), (None, "c")]
+    odd = docs_of(rows).withColumn("text_id", F.lit(1)).withColumn("row", F.lit("r")).withColumn("fp", F.lit(0)).withColumn("root", F.lit(2))
+    got = simhash.one_of_each(odd)
+    assert got.columns == odd.columns
+    assert sorted(((r.doc_id, r.text, r["row"]) for r in got.collect()), key=str) == sorted([(5, rows[0][1], "r"), (1, rows[1][1], "r"), (None, None, "r"), (None, "c", "r")], key=str)
+    assert simhash.one_of_each(docs_of([])).collect() == []
+
+
+def test_spanning_pairs():
+    rng = np.random.default_rng(0)
+    fps = np.unique(rng.integers(0, 1 << 12, 300, dtype=np.uint64))
+    a, b = simhash._spanning(fps, 2)
+    assert (np.bitwise_count(a ^ b) <= 2).all()
+    root = {int(f): int(f) for f in fps}
+    find = lambda i: i if root[i] == i else find(root[i])
+    for x, y in zip(a.tolist(), b.tolist()):
+        root[find(x)] = find(y)
+    star = simhash._star(fps, 2)
+    assert len({find(int(f)) for f in fps}) == len(set(star.tolist()))
 
 
 def direct_repeats(rows, window=50):

@@ -1,14 +1,21 @@
 """SimHash fingerprints, and their classes at a small Hamming distance.
 
 Method: pigeonhole blocks. 64 bits are cut into `distance + 3` blocks; fingerprints that differ in at most
-`distance` bits agree on three whole blocks at least, so they meet under one of the keys made of three blocks.
-Distinct fingerprints are joined on these keys and verified. A key with many fingerprints is cut again by the
+`distance` bits agree on three whole blocks at least, so they meet under one of the keys made of three blocks
+(`agree` says how many blocks a key has). Distinct fingerprints are joined on these keys and verified. A key with many fingerprints is cut again by the
 bits it leaves open (four parts, of which one must agree), so no group grows without bound and none is
 expanded into pairs: a group gives each member one edge, to the smallest member it reaches inside the group.
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other; repeated rows give one
 row each; a null doc_id gives no class id to others, and its own class is null if no member has an id; columns
 other than doc_id and text are not read; an empty table gives an empty result.
+
+`one_of_each` keeps one document of each class of near copies, by the Jaccard similarity of the sets of five-word
+shingles. Copies of 0.8 or more differ in about a fiftieth of their words, so the fingerprints that find them are made of
+a text's different words, twice with other hashes, and may differ in six bits; the pairs that connect each group are then
+compared exactly. A row's text is known by its MD5, so repeated ids and missing ids are no trouble: of a class the row with
+the smallest doc_id stays (a null id comes last, then the smallest MD5); texts without words are copies of each other;
+all columns come through, whatever they are called.
 """
 
 from __future__ import annotations
@@ -78,10 +85,43 @@ def _star(fps: np.ndarray, distance: int) -> np.ndarray:
         label = new
 
 
-def links(fps: DataFrame, distance: int = 3, group: int = GROUP) -> DataFrame:
-    """Edges (a, b) whose components are those of all links between the distinct fingerprints of column fp."""
-    blocks = _cuts(list(range(64)), distance + 3)
-    keys = [sorted(b for i in pick for b in blocks[i]) for pick in combinations(range(len(blocks)), 3)]
+def _spanning(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of fingerprints at most `distance` bits apart that connect all that such pairs connect, the closest first."""
+    label, found = np.arange(len(fps)), []
+    rows = max(1, (1 << 22) // len(fps))
+    while True:
+        near, to = np.full(len(fps), 255), np.zeros(len(fps), np.int64)
+        for at in range(0, len(fps), rows):
+            bits = np.where(label[at:at + rows, None] == label[None, :], 255, np.bitwise_count(fps[at:at + rows, None] ^ fps[None, :]))
+            to[at:at + rows] = bits.argmin(axis=1)
+            near[at:at + rows] = bits.min(axis=1)
+        some = np.flatnonzero(near <= distance)
+        if not len(some):
+            break
+        # Every part takes its closest pair to another part.
+        some = some[np.lexsort((near[some], label[some]))]
+        some = some[np.concatenate([[True], label[some][1:] != label[some][:-1]])]
+        found.append(np.stack([some, to[some]]))
+        while True:
+            low = np.minimum(label[some], label[to[some]])
+            new = np.arange(len(fps))
+            np.minimum.at(new, label[some], low)
+            np.minimum.at(new, label[to[some]], low)
+            new = new[label]
+            if (new == label).all():
+                break
+            label = new
+    pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+    return fps[pairs[0]], fps[pairs[1]]
+
+
+def links(fps: DataFrame, distance: int = 3, group: int = GROUP, agree: int = 3, direct: bool = False) -> DataFrame:
+    """Edges (a, b) whose components are those of all links between the distinct fingerprints of column fp.
+
+    direct: only edges between fingerprints that are themselves linked.
+    """
+    blocks = _cuts(list(range(64)), distance + agree)
+    keys = [sorted(b for i in pick for b in blocks[i]) for pick in combinations(range(len(blocks)), agree)]
     masks = [_signed(sum(1 << b for b in bits)) for bits in keys]
     fp = F.col("fp")
     # path: which choice of blocks was made; key: their bits.
@@ -103,9 +143,13 @@ def links(fps: DataFrame, distance: int = 3, group: int = GROUP) -> DataFrame:
                 a, b = [], []
                 for x in batch.column("fps"):
                     v = np.sort(x.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    root = _star(v, distance)
-                    a.append(v[v != root])
-                    b.append(root[v != root])
+                    if direct:
+                        x, y = _spanning(v, distance)
+                    else:
+                        root = _star(v, distance)
+                        x, y = v[v != root], root[v != root]
+                    a.append(x)
+                    b.append(y)
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in (a, b)], names=["a", "b"])
 
@@ -165,12 +209,90 @@ def classes(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
-    """The documents without those whose class has a smaller doc_id; of equal rows one stays.
+def word_prints(docs: DataFrame) -> DataFrame:
+    """text_id and the fingerprints fp0, fp1 of the different words of every row's text."""
+    def run(batches):
+        known: dict[bytes, bytes] = {}
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            for rows, parts in slices(batch, "text"):
+                if len(known) > 1_000_000:
+                    known.clear()
+                out = np.zeros((len(parts), 2), np.uint64)
+                for i, t in enumerate(parts):
+                    words = set(t.lower().split())
+                    if words:
+                        for w in words - known.keys():
+                            known[w] = digest(w)
+                        bits = np.unpackbits(np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+                        out[i] = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words), bitorder="little").view(np.uint64)
+                fps = out.view(np.int64)
+                yield pa.RecordBatch.from_arrays([rows.column("text_id"), pa.array(fps[:, 0].copy()), pa.array(fps[:, 1].copy())], names=["text_id", "fp0", "fp1"])
+    return docs.select("text_id", "text").mapInArrow(run, "text_id binary, fp0 long, fp1 long")
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """text_id, shingles: the sorted 64-bit hashes of the different shingles, as bytes."""
+    def run(batches):
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            for rows, parts in slices(batch, "text"):
+                made = []
+                for t in parts:
+                    ws = t.lower().split()
+                    grams = map(b" ".join, zip(*(ws[k:] for k in range(width)))) if len(ws) >= width else [b" ".join(ws)] if ws else []
+                    made.append(np.unique(np.array([digest(g) for g in grams], np.uint64)).tobytes())
+                yield pa.RecordBatch.from_arrays([rows.column("text_id"), pa.array(made, pa.binary())], names=["text_id", "shingles"])
+    return texts.mapInArrow(run, "text_id binary, shingles binary")
 
-    Rows without an id can't be told apart by the classes and stay.
+
+def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, distance: int = 6) -> DataFrame:
+    """Pairs (a, b) of text_ids that connect the texts whose sets of shingles have a Jaccard similarity of `least` or more.
+
+    docs: text_id (equal for equal texts), text. Pairs are found where either fingerprint differs in `distance` bits at most.
     """
-    gone = classes(docs, distance, width).filter("doc_id > component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    columns = left.columns
-    return left.dropDuplicates(["doc_id", "text"]).select(columns)
+    prints = cut(word_prints(docs).groupBy("text_id").agg(F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1")))
+    found = []
+    for fp in ("fp0", "fp1"):
+        own = prints.select("text_id", F.col(fp).alias("fp"))
+        nodes = own.groupBy("fp").agg(F.min("text_id").alias("first"))
+        edges = links(nodes.select("fp"), distance, agree=2, direct=True)
+        found.append(edges.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
+                     .join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y"))
+        found.append(own.join(nodes, "fp").filter("text_id > first").select(F.col("text_id").alias("x"), F.col("first").alias("y")))
+    edges = found[0]
+    for f in found[1:]:
+        edges = edges.unionByName(f)
+    edges = cut(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    named = edges.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
+    sets = cut(shingle_sets(docs.join(named, "text_id").groupBy("text_id").agg(F.first("text").alias("text")), width))
+
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= least * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = edges.join(sets.select(F.col("text_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    pairs = pairs.join(sets.select(F.col("text_id").alias("b"), F.col("shingles").alias("sb")), "b")
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary")
+
+
+def one_of_each(docs: DataFrame, least: float = 0.8, width: int = 5, distance: int = 6) -> DataFrame:
+    """The documents without copies and near copies: of each class the row with the smallest doc_id stays."""
+    fields = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*fields).alias("row"))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    roots = cut(components(near_copies(rows.select("text_id", "text"), least, width, distance)))
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    ids = rows.select("text_id", rank.alias("rank")).groupBy("text_id").agg(F.min("rank").alias("rank"))
+    ranked = members.join(ids, members["node"] == ids["text_id"]).select("node", "root", F.struct("rank", "node").alias("rank"))
+    stay = ranked.groupBy("root").agg(F.min("rank").alias("rank")).select(F.col("rank.node").alias("text_id"))
+    gone = members.select(F.col("node").alias("text_id")).join(stay, "text_id", "left_anti")
+    # Copies meet in the partial aggregate already; the smallest row of each text goes on.
+    order = F.struct(rank, F.xxhash64(*[f"row.c{i}" for i, (_, kind) in enumerate(docs.dtypes) if "map<" not in kind]))
+    first = rows.groupBy("text_id").agg(F.min_by("row", order).alias("row"))
+    return first.join(gone, "text_id", "left_anti").select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
