@@ -32,6 +32,7 @@ from tidegauge.llm.common import cut
 PIVOTS = 24  # rows of the pivot table
 PIVOT_SAMPLE = 1024  # rows, chosen by hash, that pivots are picked from
 BLOCK, TILE = 4096, 1024  # vectors and queries that a task compares at a time
+ASKED = 200_000  # most pairs of a block and a tile that are broadcast
 
 
 def quantised(vectors: DataFrame, key: str, column: str, scale: int) -> DataFrame:
@@ -203,11 +204,16 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", column
     tiles = max(1, math.ceil(queries.count() / TILE))
     tile = F.pmod("tile_hash", F.lit(tiles)).cast("int").alias("tile")
 
-    def search(sent: DataFrame) -> DataFrame:
-        """The best of each block for the queries sent to it: id, v, dist, floor, grp, part, tile."""
+    def search(sent: DataFrame, many: bool) -> DataFrame:
+        """The best of each block for the queries sent to it: id, v, dist, floor, grp, part, tile.
+
+        A block is copied to those tiles only whose queries ask for it.
+        """
         blocks = base.select("grp", "part", "id", "v", "dist")
-        if tiles > 1:
-            blocks = blocks.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+        if many:
+            asked = sent.select(F.col("grp").alias("g"), F.col("part").alias("p"), F.col("tile").alias("t")).distinct()
+            asked = asked.select(F.col("g").alias("grp"), F.col("p").alias("part"), F.col("t").alias("tile"))
+            blocks = blocks.join(F.broadcast(asked) if int(splits.sum()) * tiles <= ASKED else asked, ["grp", "part"])
         else:
             blocks = blocks.withColumn("tile", F.lit(0))
 
@@ -229,7 +235,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", column
         return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
     nothing = -2 ** 63
-    first = best(search(queries.withColumn("floor", F.lit(nothing).cast("long")).withColumn("tile", tile)))
+    # First each query's own block, which needs no tiles: it holds no more queries than rows.
+    first = best(search(queries.withColumn("floor", F.lit(nothing).cast("long")).withColumn("tile", F.lit(0)), False))
     kth = first.groupBy("query_id").agg(F.count("*").alias("have"), F.min("score").alias("score"))
     kth = kth.select(F.col("query_id").alias("id"), F.when(F.col("have") >= k, F.col("score")).otherwise(nothing).cast("long").alias("floor"))
 
@@ -253,4 +260,4 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, key: str = "vec_id", column
     bounded = queries.join(kth, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(nothing))).withColumn("tile", tile)
     sent = bounded.select("id", "v", "dist", "floor", "tile").mapInArrow(
         routed, "id long, v array<bigint>, dist array<double>, floor long, tile int, grp long, part long")
-    return best(search(sent)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return best(search(sent, tiles > 1)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
