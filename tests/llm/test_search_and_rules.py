@@ -113,3 +113,29 @@ def test_rows_and_rules(spark):
     both = [("a.b", "/x", "allow"), ("A.B", "/x", "block"), ("b", "/x/yy", "allow"), (None, "/", "block"), ("b", None, "block")]
     assert verdicts(spark, [(1, "http://a.b/x/yy")], both)[0][3:] == ("b/x/yy", "allow")
     assert verdicts(spark, [(1, "http://a.b/x")], both)[0][3:] == ("a.b/x", "block")
+
+
+def test_short_prefixes_that_collide(spark):
+    """With one digit a prefix stands for several rules; only the full digest decides."""
+    rules = [(f"h{i}.net", f"/{j}/", "block" if (i + j) % 2 else "allow") for i in range(12) for j in range(4)]
+    pages = [(i * 10 + j, f"http://www.h{i}.net/{j}/x") for i in range(14) for j in range(6)]
+    df, rs = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(rules, "host string, path string, action string")
+    want = sorted(map(str, urls.judge(df, rs, short=15).collect()))
+    assert sorted(map(str, urls.judge(df, rs, short=1).collect())) == want
+    by = {r.page_id: (r.rule, r.verdict) for r in urls.judge(df, rs, short=1).collect()}
+    assert by == {i * 10 + j: (f"h{i}.net/{j}/", "block" if (i + j) % 2 else "allow") if i < 12 and j < 4 else (None, "allow") for i in range(14) for j in range(6)}
+    plan = urls.judge(df, rs)._jdf.queryExecution().optimizedPlan().toString()
+    join = next(x for x in plan.split("\n") if "Join LeftOuter" in x)
+    assert "digest" not in join and "short" in join
+
+
+@pytest.mark.parametrize("asked", [200_000, 0])
+def test_blocks_go_to_the_tiles_that_ask(spark, monkeypatch, asked):
+    """Several tiles, with the list of what they ask for broadcast and not."""
+    monkeypatch.setattr(topk, "TILE", 2)
+    monkeypatch.setattr(topk, "ASKED", asked)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(0, 1, (900, 4)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.top_k(df, F.col("id") % 100 == 0, k=10, block=64).collect())
+    assert got == brute(rows, 10, 100)

@@ -1,7 +1,8 @@
 """URL filter: block and allow rules on hosts with their subdomains and on path prefixes.
 
 Method: every url is expanded into (host suffix, path prefix) expressions; these meet the rules in an equi-join on a
-short prefix of their SHA-256, then the full digests are compared and the longest rule wins. Suffixes and prefixes are
+short prefix of their SHA-256, a number, and nothing else. Where short prefixes meet, the full digests are compared
+afterwards; of the rules confirmed the longest wins. Suffixes and prefixes are
 made only in the label counts and lengths that occur among the rules, so very long urls expand no further than the
 longest rule.
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SHORT = 8  # hexadecimal digits of the digest in the join key
+SHORT = 8  # hexadecimal digits of the digest in the join key, 15 at most
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -28,7 +29,14 @@ def url_parts(url: Column) -> tuple[Column, Column]:
             F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1))
 
 
-def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow") -> DataFrame:
+def digested(text: Column, short: int) -> Column:
+    """short: the first digits of the SHA-256 as a number; digest: all of it as bytes."""
+    made = F.transform(F.array(F.sha2(text, 256)), lambda d: F.struct(
+        F.conv(F.substring(d, 1, short), 16, 10).cast("long").alias("short"), F.unhex(d).alias("digest")))
+    return made[0]
+
+
+def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "url", default: str = "allow", short: int = SHORT) -> DataFrame:
     """key, host, path, rule, verdict of every row of pages.
 
     rules: host, path, action ("block" or "allow"). A rule fits its host and all subdomains if the path starts with the
@@ -39,7 +47,7 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
              .groupBy("r_host", "r_path").agg(F.max(F.when(F.col("action") == "block", "block").otherwise("allow")).alias("action"))
              .select(F.concat("r_host", "r_path").alias("rule"), F.char_length("r_host").alias("host_len"), "action",
                      F.size(F.split("r_host", r"\.", -1)).alias("labels"), F.char_length("r_path").alias("path_len"),
-                     F.sha2(F.concat_ws("\n", "r_host", "r_path"), 256).alias("r_digest")))
+                     digested(F.concat_ws("\n", "r_host", "r_path"), short).alias("r")))
     # Shapes are small integers, as many as the longest rule has labels and characters at most.
     shapes = rules.agg(F.sort_array(F.collect_set("labels")).alias("labels"), F.sort_array(F.collect_set("path_len")).alias("lens")).first()
     host, path = url_parts(F.col("_url"))
@@ -49,12 +57,14 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
         F.when(F.size(labels) >= n, F.array_join(F.slice(labels, -n, n), ".")) for n in shapes["labels"]]))
     prefixes = F.array_compact(F.array(F.lit(None).cast("string"), *[
         F.when(F.char_length("_path") >= n, F.substring("_path", 1, n)) for n in shapes["lens"]]))
-    digests = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.sha2(F.concat_ws("\n", h, p), 256))))
-    # The first element, which no rule matches, keeps rows without an expression and counts repeated rows.
-    tries = base.select("*", F.posexplode(F.concat(F.array(F.lit("")), digests)).alias("_nr", "_digest"))
-    met = tries.join(rules.withColumn("r_short", F.substring("r_digest", 1, SHORT)),
-                     (F.substring("_digest", 1, SHORT) == F.col("r_short")) & (F.col("_digest") == F.col("r_digest")), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(
+    digests = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: digested(F.concat_ws("\n", h, p), short))))
+    # The first element, whose number no digest has, keeps rows without an expression and counts repeated rows.
+    nothing = F.array(F.struct(F.lit(-1).cast("long").alias("short"), F.lit(None).cast("binary").alias("digest")))
+    tries = base.select("*", F.posexplode(F.concat(nothing, digests)).alias("_nr", "_try")).select("_id", "_host", "_path", "_nr", "_try.*")
+    met = tries.join(rules.select("*", F.col("r.short").alias("r_short"), F.col("r.digest").alias("r_digest")), F.col("short") == F.col("r_short"), "left")
+    # One short prefix may stand for several rules: a row then comes once for each.
+    met = met.select("*", (F.col("digest") == F.col("r_digest")).alias("confirmed"))
+    best = F.max(F.when(F.col("confirmed"), F.struct(
         (F.col("host_len") + F.col("path_len")).alias("len"), "host_len", "rule", "action"))).alias("best")
     one = met.groupBy("_id", "_host", "_path").agg(best, F.count_if(F.col("_nr") == 0).alias("copies"))
     return one.select(F.col("_id").alias(key), F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("best.rule").alias("rule"),
