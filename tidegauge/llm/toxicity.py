@@ -2,7 +2,7 @@
 
 Method. Voters: words of a general lexicon of insults; words, and beginnings of words, that training labels show to be as
 telling (many times more frequent in toxic texts, in many different contexts, so that a text copied around doesn't make
-its rare words voters; they count where they come once in 200 words, beginnings also twice at least); and patterns (shouting, runs of marks, address together with insults, density of insults ...). Each voter votes toxic,
+its rare words voters; they are judged in the 200 words where most of them stand, however long the text is); and patterns (shouting, runs of marks, address together with insults, density of insults ...). Each voter votes toxic,
 clean or not at all. A generative label model estimates by expectation-maximisation, over a sample of texts, how
 accurate each voter is, with the labels of training rows as one more, noisy voter; it also estimates which voters are
 correlated beyond what the class explains, and lets a correlated set speak with one voice. Its posteriors are the labels
@@ -21,6 +21,7 @@ doc_id and text are not read; without labelled rows the general lexicon votes al
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ from pyspark.sql import types as T
 
 from tidegauge.llm.common import crc_of, slices, texts
 
+STRETCH, TOGETHER = 200, 3  # words of a stretch; words with hits that it has to hold if the text is longer
 STEM = (4, 9)  # letters of a beginning of words
 SAMPLE, LEARNED = 8_000, 200  # labelled rows that are learned from, and words learned from them, at most
 # A general lexicon of insults, in natural order.
@@ -42,6 +44,7 @@ LEXICON = (
     "loser lunatic maggot moron moronic motherfucker nitwit parasite pathetic pig pissed prick psycho repulsive retard retarded scum scumbag shit "
     "shithead shitty shut slut sleazy stupid subhuman sucker trash twat twit ugly useless vermin vile wanker weakling whore worthless wretch").split()
 WORD = re.compile(r"[^\W\d_]+")
+RUN = re.compile(r"\S+")
 ADDRESS = frozenset("you your yourself youre u ur du dich dein tu toi vous te ti usted eres".split())
 PATTERNS = ("insults_2", "insults_dense", "insults_distinct", "shouting", "marks", "repetition", "address_and_insult", "no_insult")
 
@@ -66,38 +69,69 @@ class Rules:
 
 
 def telling(count: int, length: int) -> bool:
-    """Whether a beginning of words comes often enough in a text of so many words."""
-    return count >= 2 and 200 * count >= length
+    """Whether a beginning of words comes often enough in a stretch of so many words."""
+    return count >= 2 and STRETCH * count >= length
+
+
+def densest(places: list[int], length: int) -> tuple[int, int]:
+    """First and last of the hits (given by the places of their words, in order) that lie in one stretch, as many as possible."""
+    best, first = (0, 0), 0
+    for last, place in enumerate(places):
+        while place - places[first] >= STRETCH:
+            first += 1
+        if last + 1 - first > best[1] - best[0]:
+            best = (first, last + 1)
+    return best
 
 
 def signals(raw: bytes, automaton, n: int) -> np.ndarray:
-    """Counts of the voters' words (log) and rates of their beginnings of words, then the patterns' strengths."""
+    """Counts of the voters' words (log) and rates of their beginnings of words, then the patterns' strengths.
+
+    Learned words and beginnings are judged in the stretch of STRETCH words where most of them stand, so that a passage
+    gives the same signals in a short text and in a long one; in longer texts three hits at least have to stand together.
+    """
     low = raw.decode("utf-8", "replace").lower()
     out, words_met, stems_met = np.zeros(n + len(PATTERNS)), Counter(), Counter()
     size = len(low)
+    hits: list[tuple[int, int, int]] = []  # of words and of beginnings: place in the text, word or -1, beginning or -1
     for end, (as_word, as_stem, length) in automaton.iter(low):
         start = end - length
         if start < 0 or not low[start].isalpha():
-            if as_stem >= 0:
-                stems_met[as_stem] += 1
-            if as_word >= 0 and (end + 1 >= size or not low[end + 1].isalpha()):
-                words_met[as_word] += 1
+            whole = end + 1 >= size or not low[end + 1].isalpha()
+            if as_stem >= 0 or as_word >= 0 and whole:
+                hits.append((start + 1, as_word if whole else -1, as_stem))
     words = low.split()
     length = max(1, len(words))
-    stems_met = {i: c for i, c in stems_met.items() if telling(c, length)}
-    words_met = {i: c for i, c in words_met.items() if i < len(LEXICON) or 200 * c >= length}
+    places = []
+    if hits:
+        begins = [m.start() for m in RUN.finditer(low)] if length > STRETCH else [0]
+        places = [bisect_right(begins, h[0]) for h in hits]
+    learned = [i for i, h in enumerate(hits) if h[2] >= 0 or h[1] >= len(LEXICON)]
+    first, last = densest([places[i] for i in learned], length)
+    stretch = min(length, STRETCH)
+    words_met.update(h[1] for h in hits if 0 <= h[1] < len(LEXICON))
+    if length <= STRETCH or len({places[i] for i in learned[first:last]}) >= TOGETHER:
+        for i in learned[first:last]:
+            if hits[i][2] >= 0:
+                stems_met[hits[i][2]] += 1
+            if hits[i][1] >= len(LEXICON):
+                words_met[hits[i][1]] += 1
+    stems_met = {i: c for i, c in stems_met.items() if telling(c, stretch)}
     for i, c in words_met.items():
         out[i] = np.log1p(c)
     for i, c in stems_met.items():
-        out[i] = 0.5 + min(1.0, 20 * c / length)
+        out[i] = 0.5 + min(1.0, 20 * c / stretch)
     # Beginnings overlap each other: the most frequent one stands for all.
     total = sum(words_met.values()) + max(stems_met.values(), default=0)
     distinct = len(words_met) + 2 * bool(stems_met)
+    voting = [places[i] for i, h in enumerate(hits) if 0 <= h[1] and h[1] in words_met]
+    dense = densest(voting, length)
+    dense = dense[1] - dense[0] + max(stems_met.values(), default=0)
     b = np.frombuffer(raw, np.uint8)
     upper, lower = int(((b >= 65) & (b <= 90)).sum()), int(((b >= 97) & (b <= 122)).sum())
     marks = sum(low.count(x) for x in ("!!", "??", "###", "***", "$$$", "%%%", "&&&"))
     often = max(Counter(words).values()) if len(words) > 20 else 0
-    out[n:] = (min(total, 6) / 2 if total > 1 else 0, min(1.0, 30 * total / length), min(distinct, 5) / 2 if distinct > 1 else 0,
+    out[n:] = (min(total, 6) / 2 if total > 1 else 0, min(1.0, 30 * dense / stretch) if total else 0, min(distinct, 5) / 2 if distinct > 1 else 0,
                float(upper > lower and upper > 20), min(1.0, 5 * marks / length), float(2 * often > length),
                float(total > 0 and not ADDRESS.isdisjoint(words)), float(total == 0))
     return out
@@ -240,7 +274,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, learned: int
                 made = [signals(t, automaton, len(rules)).tolist() for t in ts]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(made, pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])
 
-    made = sampled.mapInArrow(run, "doc_id long, toxic int, x array<double>").dropDuplicates(["doc_id"]).collect()  # `sample` rows at most
+    # Of the texts of a repeated id the one with the largest signals is learned from, whatever the order of rows.
+    made = sampled.mapInArrow(run, "doc_id long, toxic int, x array<double>").groupBy("doc_id").agg(F.max(F.struct("x", "toxic")).alias("r")).select("doc_id", "r.*").collect()
     made.sort(key=lambda r: r["doc_id"])
     width = len(rules) + len(PATTERNS)
     if not made:
