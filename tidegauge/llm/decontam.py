@@ -1,24 +1,30 @@
 """Benchmark decontamination: documents that hold an exact, edited or paraphrased copy of a test item.
 
 Method: n-gram seeds, a bound and Smith-Waterman alignment. Items are cut into parts of at most PART words (half
-overlapping); their n-grams are looked up in all documents. A part is sought by all of its n-grams, however many
-documents hold them, so that a passage that very many documents copied, edited or not, is still found. A seed tells
-where in the document the part would lie; the words around are aligned with the part (match 2, mismatch -1, gap -1). The
-similarity is the alignment's score over that of a perfect copy, from 0 to 1; documents with at least `least` hold the
-item. A similarity is at most the share of the part's words that the window has at all: where that share is below
-`least`, as around most of the frequent seeds, the alignment isn't computed.
-
-Only hits on n-grams of items leave the tasks that read the documents; the n-grams of the items are broadcast up to
-SEED_ROWS rows, which bounds them in bytes too, and joined by a shuffle beyond.
-
-Defined cases: words are runs of letters and digits, in lower case; null texts have none; items of fewer words than a
-seed are never found; rows with a null doc_id or item_id give no pairs; a repeated doc_id holds what any of its rows
-holds; repeated items and rows count once; other columns are not read; empty tables give an empty result.
+overlapping). The word pairs of a part are its seeds; where a document has one, it tells where the part would lie, and the
+words around are aligned with the part (match 2, mismatch -1, gap -1). The similarity is the alignment's score over that of
+a perfect copy, from 0 to 1; a document holds the item if a part's similarity is over `least` by half a word or more.
+
+No such pair is lost. An alignment of M matched words with E edits between them has 2 M - E as its score and M - E - 1
+common word pairs at least; with a part of m words and `least` at 0.5 or more, a score over 2 m `least` + 1 thus leaves
+B > 2 m `least` - M > 0 word pairs, so a seed is hit, and it spans fewer than 2 m words, which the window around a seed
+holds whole. The same inequality is the bound: where the hits and the part's words found in the document, and then in the
+window, together are no more than 2 m `least`, the alignment isn't computed. This is what frequent pairs such as "of the"
+come to: they are rare enough evidence only where nearly all other words are there too.
+
+On Spark: the documents are read in one pass per block of at most SEED_ROWS seeds; a block, a few dozen bytes per seed, is
+broadcast, and each task holds one document's candidates at a time. No document is shuffled and nothing is keyed by a seed.
+
+Defined cases: words are runs of letters and digits, in lower case; null texts have none; items of one word are never
+found; rows with a null doc_id or item_id give no pairs; a repeated doc_id holds what any of its rows holds; repeated items
+and rows count once; other columns are not read; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +32,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.common import cut, mix, slices
+from tidegauge.llm.common import cut, mix, slices, spans
 
-SEED, PART = 3, 64  # words of a seed, most words of a part of an item
-SEED_ROWS = 1_000_000  # most rows (of at most 40 bytes) that are broadcast
+SEED, PART = 2, 64  # words of a seed, most words of a part of an item
+SEED_ROWS = 1_000_000  # about so many seeds are sought in one pass
 LEAST = 0.5
 TOKEN = re.compile(r"[^\W_]+")
 TOGETHER = 256  # alignments that are computed at a time
@@ -59,19 +65,6 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return g.view(np.int64)
 
 
-def doc_grams(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text_hash, grams."""
-    def run(batches):
-        known: dict[str, int] = {}
-        for batch in batches:
-            for rows, parts in slices(batch, "text"):
-                made = [grams(hashes(t, known), n) for t in parts]
-                ends = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(made)))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text_hash"), lists], names=["doc_id", "text_hash", "grams"])
-    return docs.mapInArrow(run, "doc_id long, text_hash long, grams array<long>")
-
-
 def item_parts(items: DataFrame, n: int, width: int) -> DataFrame:
     """item_id, part, words (their hashes as longs)."""
     def run(batches):
@@ -113,63 +106,118 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return best / (2.0 * lengths)
 
 
-def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, n: int = SEED, width: int = PART) -> DataFrame:
-    """doc_id, item_id, similarity (of the item's best part) of all pairs with at least `least`."""
-    base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
-    parts = cut(item_parts(items, n, width).distinct())
-
-    def run(batches):
-        for b in batches:
-            made = [grams(np.array(x, np.int64).view(np.uint64), n) for x in b.column("words").to_pylist()]
-            row = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("item_id").take(row), b.column("part").take(row), pa.array(np.concatenate([np.arange(len(m)) for m in made]) if made else [], pa.int32()),
-                 pa.array(np.concatenate(made) if made else [], pa.int64())], names=["item_id", "part", "at", "gram"])
-
-    seeds = cut(parts.mapInArrow(run, "item_id long, part int, at int, gram long"))
-    few = seeds.count() <= SEED_ROWS  # so are the lists made of them
-    near = F.broadcast if few else (lambda df: df)
-    found = doc_grams(base, n).select("doc_id", "text_hash", F.posexplode("grams").alias("pos", "gram"))
-    hits = cut(found.join(near(seeds.select("gram").distinct()), "gram"))
-    # The part would begin at word pos - at; windows are two parts wide, so each such place lies well inside one.
-    places = seeds.join(parts.select("item_id", "part", F.size("words").alias("size")), ["item_id", "part"])
-    first = F.floor((F.col("pos") - F.col("at")) / F.col("size")).cast("int")
-    sought = hits.join(near(places), "gram").select("doc_id", "text_hash", "item_id", "part", first.alias("place")).distinct()
-    sought = sought.join(near(parts), ["item_id", "part"])
-    sought = sought.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item_id", "part", "words", "place")).alias("sought"))
-
-    def score(batches):
-        known: dict[str, int] = {}
-        for batch in batches:
-            for rows, ts in slices(batch, "text"):
-                ids, found_items, scores, held_pairs = [], [], [], []
-
-                def flush():
-                    if held_pairs:
-                        for (d, i, _), s in zip(held_pairs, align([p for *_, p in held_pairs])):
-                            if s >= least:
+@dataclass
+class Block:
+    """Parts of items (words as places in the vocabulary, padded by a place that no word has; lengths; item ids) and their
+    seeds in order."""
+    vocabulary: np.ndarray
+    words: np.ndarray
+    lengths: np.ndarray
+    items: np.ndarray
+    gram: np.ndarray
+    part: np.ndarray
+    at: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple[int, list[int]]]) -> Block:
+        lengths = np.array([len(w) for _, w in rows])
+        vocabulary = np.unique(np.concatenate([w for _, w in rows]))
+        words = np.full((len(rows), int(lengths.max())), len(vocabulary), np.int32)
+        for i, (_, w) in enumerate(rows):
+            words[i, :len(w)] = np.searchsorted(vocabulary, w)
+        made = [grams(np.array(w, np.int64).view(np.uint64), SEED) for _, w in rows]
+        gram, part = np.concatenate(made), np.repeat(np.arange(len(rows)), [len(m) for m in made])
+        at = np.concatenate([np.arange(len(m)) for m in made])
+        order = np.argsort(gram, kind="stable")
+        return Block(vocabulary, words, lengths, np.array([i for i, _ in rows]), gram[order], part[order], at[order])
+
+    def candidates(self, h: np.ndarray, least: float) -> list[tuple[int, np.ndarray]]:
+        """(part, window) of a document's words, as places in the vocabulary, whose alignment may be over `least`."""
+        g = grams(h.view(np.uint64), SEED)
+        lo = np.searchsorted(self.gram, g, "left")
+        hits = np.searchsorted(self.gram, g, "right") - lo
+        pos = np.flatnonzero(hits)
+        if not len(pos):
+            return []
+        seed, pos = spans(lo[pos], hits[pos]), np.repeat(pos, hits[pos])
+        part = self.part[seed]
+        need = 2 * least * self.lengths
+        total = np.bincount(part, minlength=len(self.lengths))
+        some = np.flatnonzero(total)
+        # The document's words as places in the vocabulary; those that no item has get a place of their own.
+        v = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        v = np.where(self.vocabulary[v] == h, v, len(self.vocabulary) + 1)
+        present = np.zeros(len(self.vocabulary) + 2, bool)
+        present[v] = True
+        some = some[total[some] + present[self.words[some]].sum(axis=1) > need[some]]
+        if not len(some):
+            return []
+        good = np.zeros(len(self.lengths), bool)
+        good[some] = True
+        keep = good[part]
+        part, size = part[keep], self.lengths[part[keep]]
+        if not len(part):
+            return []
+        # The part would begin at word pos - at, give or take its length.
+        place = (pos[keep] - self.at[seed[keep]]) // size
+        key, count = np.unique(part << 40 | (place + self.lengths.max()), return_counts=True)
+        upto = np.concatenate([[0], np.cumsum(count)])
+        near = upto[np.searchsorted(key, key + 2, "right")] - upto[np.searchsorted(key, key - 2, "left")]
+        out = []
+        for p, at, n in zip((key >> 40).tolist(), ((key & ((1 << 40) - 1)) - self.lengths.max()).tolist(), near.tolist()):
+            m = int(self.lengths[p])
+            window = v[max(0, (at - 1) * m):max(0, (at + 3) * m)]
+            present[:] = False
+            present[window] = True
+            if n + int(present[self.words[p, :m]].sum()) > need[p]:
+                out.append((p, window))
+        return out
+
+
+def matches(docs: DataFrame, items: DataFrame, least: float = LEAST, width: int = PART) -> DataFrame:
+    """doc_id, item_id, similarity (of the item's best part) of all pairs over `least` by half a word or more."""
+    if least < 0.5:
+        raise ValueError("seeds are complete for similarities over a half only")
+    spark = docs.sparkSession
+    base = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    parts = cut(item_parts(items, SEED, width).distinct())
+    seeds = parts.agg(F.sum(F.size("words"))).first()[0] or 0
+    blocks, found = -(-seeds // SEED_ROWS), []
+    for number in range(blocks):
+        mine = parts.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == number)
+        rows = [(r["item_id"], list(r["words"])) for r in mine.select("item_id", "words").collect()]  # about SEED_ROWS words
+        if not rows:
+            continue
+        sent = spark.sparkContext.broadcast(Block.of(rows))
+
+        def score(batches, sent=sent):
+            block, known = sent.value, {}
+            for batch in batches:
+                for rows, ts in slices(batch, "text"):
+                    ids, items_found, scores, held = [], [], [], []
+
+                    def flush():
+                        for (d, p, _), s in zip(held, align([(block.words[p, :block.lengths[p]], w) for _, p, w in held]) if held else []):
+                            if s > least + 0.5 / block.lengths[p]:
                                 ids.append(d)
-                                found_items.append(i)
+                                items_found.append(block.items[p])
                                 scores.append(float(s))
-                        held_pairs.clear()
-
-                for d, t, wanted_here in zip(rows.column("doc_id").to_pylist(), ts, rows.column("sought").to_pylist()):
-                    h = hashes(t, known).view(np.int64)
-                    for x in wanted_here:
-                        part = np.array(x["words"], np.int64)
-                        slack = len(part) // 2 + 2
-                        at = x["place"] * len(part)
-                        window = h[max(0, at - slack):max(0, at + 2 * len(part) + slack)]
-                        if len(window) and np.isin(part, window).mean() >= least:
-                            held_pairs.append((d, x["item_id"], (part, window)))
-                        if len(held_pairs) >= TOGETHER:
-                            flush()
-                flush()
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found_items, pa.int64()), pa.array(scores, pa.float64())],
-                                                 names=["doc_id", "item_id", "similarity"])
-
-    scored = base.join(sought, ["doc_id", "text_hash"]).select("doc_id", "text", "sought").mapInArrow(score, "doc_id long, item_id long, similarity double")
-    return scored.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
+                        held.clear()
+
+                    for d, t in zip(rows.column("doc_id").to_pylist(), ts):
+                        h = hashes(t, known).view(np.int64)
+                        for p, window in block.candidates(h, least):
+                            held.append((d, p, window))
+                            if len(held) >= TOGETHER:
+                                flush()
+                    flush()
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(items_found, pa.int64()), pa.array(scores, pa.float64())],
+                                                     names=["doc_id", "item_id", "similarity"])
+
+        found.append(base.mapInArrow(score, "doc_id long, item_id long, similarity double"))
+    if not found:
+        return spark.createDataFrame([], "doc_id long, item_id long, similarity double")
+    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
