@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,9 @@ from tokenizers import Tokenizer
 from tidegauge.llm.common import pack_arrays, slices, small_ints, spans, unpack_arrays
 
 SHARD_BYTES, SHARDS = 4_000_000, (32, 4096)  # text for which there is one more shard, fewest and most shards
+SLICE_BYTES = 1_500_000  # text of a slice, if it isn't one longer text
+# How byte-level vocabularies of this kind split texts before merging; fixed by the tokenizer.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PAIRS = 2_000_000  # different pairs that a task adds up before it sends them on
 _LOADED: dict[str, Tokenizers] = {}
 
@@ -44,6 +48,7 @@ _LOADED: dict[str, Tokenizers] = {}
 class Tokenizers:
     """The two tokenizers, and the bytes of each of their tokens."""
     a: Tokenizer
+    fast_a: tiktoken.Encoding | None
     b: sentencepiece.SentencePieceProcessor
     bytes_a: list[bytes]
     bytes_b: list[bytes]
@@ -52,7 +57,10 @@ class Tokenizers:
         """Ids of every text; both are empty where the tokens don't give the text back."""
         some = [i for i, t in enumerate(texts) if t]
         strings = [texts[i].decode("utf-8", "replace") for i in some]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in strings], add_special_tokens=False)]
+        if self.fast_a is not None:
+            ids_a = [self.fast_a.encode_ordinary(" " + s) for s in strings]
+        else:
+            ids_a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in strings], add_special_tokens=False)]
         ids_b = self.b.encode(strings, num_threads=1) if strings else []
         none = np.empty(0, np.int64)
         out_a, out_b = [none] * len(texts), [none] * len(texts)
@@ -70,6 +78,18 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def ranked(vocabulary: dict, spelled: dict[bytes, int]) -> tiktoken.Encoding | None:
+    """A faster encoder of the same vocabulary, if its merges are in the order of their ids and nothing else shapes its tokens."""
+    model, split = vocabulary["model"], vocabulary.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    plain = plain and model.get("type") == "BPE" and not vocabulary.get("normalizer")
+    plain = plain and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    merges = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model.get("merges", [])]
+    if not plain or merges != sorted(merges) or len(merges) + 256 != len(spelled) or merges[:1] < [256]:
+        return None
+    return tiktoken.Encoding(xxhash.xxh3_64_hexdigest(str(merges)), pat_str=SPLIT, mergeable_ranks=spelled, special_tokens={})
+
+
 def load(vocabulary_a: bytes, model_b: bytes) -> Tokenizers:
     """From the contents of a byte-level tokenizer's JSON file and of a SentencePiece model."""
     key = xxhash.xxh3_128_hexdigest(vocabulary_a) + xxhash.xxh3_128_hexdigest(model_b)
@@ -78,12 +98,14 @@ def load(vocabulary_a: bytes, model_b: bytes) -> Tokenizers:
         a, b = Tokenizer.from_str(vocabulary_a.decode()), sentencepiece.SentencePieceProcessor(model_proto=model_b)
         a.encode_special_tokens = True
         letters = byte_letters()
+        vocabulary = json.loads(vocabulary_a)
         names = {i: t for t, i in a.get_vocab(with_added_tokens=True).items()}
-        special = {t["content"] for t in json.loads(vocabulary_a).get("added_tokens", [])}
+        special = {t["content"] for t in vocabulary.get("added_tokens", [])}
         bytes_a = [b"" if (t := names.get(i, "")) in special else bytes(letters[c] for c in t) for i in range(max(names, default=-1) + 1)]
         pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
         bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else b"" if b.is_control(i) or b.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        _LOADED[key] = Tokenizers(a, b, bytes_a, bytes_b)
+        fast_a = ranked(vocabulary, {x: i for i, x in enumerate(bytes_a) if x})
+        _LOADED[key] = Tokenizers(a, fast_a, b, bytes_a, bytes_b)
     return _LOADED[key]
 
 
@@ -114,10 +136,10 @@ class Slice:
         count = np.searchsorted(start_b, end_a, "left") - first
         return np.repeat(np.arange(len(start_a)), count), spans(first, count)
 
-    def pairs(self, widths_a: np.ndarray, widths_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct linked id pairs, as b << 32 | a in order, and the number of each link's pair."""
+    def keys(self, widths_a: np.ndarray, widths_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every link's id pair as b << 32 | a, and the place of its A token."""
         a, b = self.links(widths_a, widths_b)
-        return np.unique(self.ids_b[b] << 32 | self.ids_a[a], return_inverse=True)
+        return self.ids_b[b] << 32 | self.ids_a[a], a
 
     def groups(self, widths_a: np.ndarray, widths_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All tokens (A's, then B's places behind them) by group, A before B within one; their groups; each text's number of groups."""
@@ -175,7 +197,7 @@ def encoded(docs: DataFrame, files, shards: int = 0) -> DataFrame:
     def run(batches):
         t, number = load(*files.value), TaskContext.get().partitionId() << 32
         for batch in batches:
-            for rows, texts in slices(batch, "text"):
+            for rows, texts in slices(batch, "text", SLICE_BYTES):
                 a, b = t.encode(texts)
                 made = Slice(*(np.array([len(x) for x in ids], np.int64) for ids in (a, b)), np.concatenate(a), np.concatenate(b))
                 yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column("doc_id")),
@@ -208,10 +230,10 @@ def pair_counts(held: DataFrame, files) -> DataFrame:
 
         for batch in batches:
             for data in batch.column("data").to_pylist():
-                key, place = Slice.from_bytes(data).pairs(*w)
+                key, n = np.unique(Slice.from_bytes(data).keys(*w)[0], return_counts=True)
                 if len(key):
                     keys.append(key)
-                    counts.append(np.bincount(place))
+                    counts.append(n)
                 if sum(map(len, keys)) > PAIRS:
                     key, n = added()
                     if len(key) > PAIRS // 2:
@@ -246,7 +268,7 @@ def align(docs: DataFrame, vocabulary_a: str, model_b: str) -> DataFrame:
         w = widths(load(*files.value))
         for batch in batches:
             for number, data in zip(batch.column("slice").to_pylist(), batch.column("data").to_pylist()):
-                key = Slice.from_bytes(data).pairs(*w)[0]
+                key = np.unique(Slice.from_bytes(data).keys(*w)[0])
                 shard = (key >> 32) % shards
                 order = np.argsort(shard, kind="stable")
                 edges = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -293,7 +315,9 @@ def align(docs: DataFrame, vocabulary_a: str, model_b: str) -> DataFrame:
         out = []
         for ids, data in zip(left.column("ids").chunk(0) if left.num_rows else [], left.column("data").to_pylist()):
             t = Slice.from_bytes(data)
-            key, place = t.pairs(*w)
+            link, a = t.keys(*w)
+            key = np.unique(link)
+            place = np.searchsorted(key, link)
             shard = (key >> 32) % shards
             order = np.argsort(shard, kind="stable")
             n, best = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
@@ -302,11 +326,12 @@ def align(docs: DataFrame, vocabulary_a: str, model_b: str) -> DataFrame:
                 x, y = unpack_arrays(counts[s])
                 n[order[at:at + len(x)]], best[order[at:at + len(x)]] = x, y
                 at += len(x)
-            a, _ = t.links(*w)
             text, texts = np.repeat(np.arange(len(t.counts_a)), t.counts_a)[a], len(t.counts_a)
             groups, n_groups = t.written(*w)
-            total = np.zeros(texts, np.int64)
-            np.add.at(total, text, n[place])
+            # Links lie in order of their A token, so those of a text lie together.
+            edges = np.searchsorted(text, np.arange(texts + 1))
+            sums = np.concatenate([[0], np.cumsum(n[place])])
+            total = sums[edges[1:]] - sums[edges[:-1]]
             out.append(pa.table({"doc_id": ids.values, "n_a": t.counts_a, "n_b": t.counts_b, "n_groups": n_groups.astype(np.int64), "n_links": np.bincount(text, minlength=texts).astype(np.int64),
                                  "n_best": np.bincount(text[best[place] > 0], minlength=texts).astype(np.int64), "count_sum": total, "groups": groups.cast(pa.string())}))
         return pa.concat_tables(out)
