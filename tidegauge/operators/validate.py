@@ -182,16 +182,25 @@ def weighted_loss(parts: DataFrame, domain: str, name: str = "loss") -> DataFram
     return parts.withColumn(name, F.when(total > 0, top / F.when(total > 0, total)))
 
 
-def nrmse(rows: DataFrame, keys, signals=()) -> DataFrame:
-    """Mean over signals of RMSE / spread, and both per named signal; unavailable when any output is missing."""
+def signal_errors(rows: DataFrame, keys) -> DataFrame:
+    """rmse, sd of the clean signal, cells and missing cells (gone) per signal."""
     c, v = F.col("clean"), F.col("value")
-    per = rows.groupBy(*keys, "signal").agg(
+    return rows.groupBy(*keys, "signal").agg(
         F.sqrt(F.avg((v - c) * (v - c))).alias("rmse"), F.stddev_pop(c).alias("sd"),
         F.count(F.lit(1)).alias("cells"), F.count_if(v.isNull()).alias("gone"))
+
+
+def nrmse(rows: DataFrame, keys, signals=()) -> DataFrame:
+    """Mean over signals of RMSE / spread, and both per named signal; unavailable when any output is missing."""
+    return overall_error(signal_errors(rows, keys), keys, signals)
+
+
+def overall_error(per: DataFrame, keys, signals=(), more=()) -> DataFrame:
+    """The same from the errors per signal, and `more` aggregates of the same rows."""
     relative = F.col("rmse") / (F.col("sd") + TINY)
     each = {f"{name}_{x}": F.max(F.when(F.col("signal") == x, e)) for name, e in (("nrmse", relative), ("rmse", F.col("rmse"))) for x in signals}
     out = per.groupBy(*keys).agg(
         F.avg(relative).alias("nrmse"), F.avg("rmse").alias("mean_raw_rmse"), *[e.alias(n) for n, e in each.items()],
-        (F.sum("gone") / F.sum("cells")).alias("remaining_missing_fraction"))
+        (F.sum("gone") / F.sum("cells")).alias("remaining_missing_fraction"), *more)
     valid = F.col("remaining_missing_fraction") == 0
     return out.withColumns({n: F.when(valid, F.col(n)) for n in ("nrmse", "mean_raw_rmse", *each)}).withColumn("valid_rmse", valid)

@@ -19,6 +19,7 @@ from tidegauge.operators import corrupt, validate
 from tidegauge.operators.profile import aggregate_profile
 from tidegauge.operators.quality import with_components, with_index
 from tidegauge.plans.clean import STAGES, Settings, as_values, execute, profile_with_corr
+from tidegauge.plans.trie import DIRTY, LIGHT, MEASURES, leaf_measures
 from tidegauge.settings import cut
 
 SCENARIO = ("domain", "seed", "severity_pct")
@@ -48,25 +49,26 @@ def scenario_results(clean: Series, levels, methods: dict[str, list[str]], domai
                      orders=(IMPUTATION_FIRST, OUTLIER_FIRST), seed: int = 42) -> DataFrame:
     """One row per recording, severity and candidate: quality, components and error.
 
-    All candidates of an order run in one job; each stage copies a series once
-    per method, so everything before it is shared.
+    Methods that work on one signal walk a trie of stage prefixes inside the task that holds the recording, which gives
+    back sums only. Candidates with a method that looks across rows, with scaling, or of recordings longer than a
+    block run as copies, one job per order and set of methods; each stage copies a series once per method.
     """
     hurt = severity_copies(clean, levels, seed).cut()
-    start = quality_of(as_values(hurt, "value"), st, fs, domains).select("recording_id", "severity_pct", F.col("q_score").alias("q_dirty"))
-    parts = []
-    for order in orders:
-        runs = execute(hurt, methods, order, st)
-        df, keys = runs.df, list(runs.keys)
-        for stage in STAGES:
-            if stage not in keys:
-                df = df.withColumn(stage, F.lit(methods.get(stage, ["none"])[0]))
-                keys.append(stage)
-        # Written once: the profile and the error both read the cleaned copies.
-        runs = Series(df.drop(*["after_" + x for x in STAGES[:3]], "center", "width"), tuple(keys), runs.longest, runs.groups, runs.block).cut()
-        by = [k for k in keys if k != "signal"]
-        q = quality_of(as_values(runs, "value"), st, fs, domains)
-        parts.append(q.join(validate.nrmse(runs.df, by, st.signals), by).withColumn("order", F.lit(order)))
-    out = reduce(DataFrame.unionByName, parts).join(start, ["recording_id", "severity_pct"])
+    methods = {stage: list(methods.get(stage, ["none"])) for stage in STAGES}
+    light = {stage: [m for m in methods[stage] if m in LIGHT[stage]] for stage in LIGHT}
+    fused = not hurt.blocked and methods["scaling"] == ["none"] and isinstance(fs, (int, float)) and not st.resample and all(light.values())
+    sets, parts = [methods], []
+    if fused:
+        parts.append(_leaves(hurt, light, domains, st, float(fs), orders))
+        # The other candidates: a method across rows in the outlier stage, or in the imputation stage after a light one.
+        across = {stage: [m for m in methods[stage] if m not in LIGHT[stage]] for stage in ("outlier", "imputation")}
+        sets = [methods | {"outlier": across["outlier"]}, methods | {"outlier": light["outlier"], "imputation": across["imputation"]}]
+        start = parts[0].filter(F.col("order") == DIRTY)
+    else:
+        start = quality_of(as_values(hurt, "value"), st, fs, domains)
+    start = start.select("recording_id", "severity_pct", F.col("q_score").alias("q_dirty"))
+    parts += [_copies(hurt, x, order, domains, st, fs) for x in sets if all(x.values()) for order in orders]
+    out = reduce(DataFrame.unionByName, parts).filter(F.col("order") != DIRTY).join(start, ["recording_id", "severity_pct"])
     r = lambda c: F.round(c, DIGITS)
     return out.select(
         "domain", F.col("recording_id").alias("seed"), F.col("severity_pct").cast("int").alias("severity_pct"), *CANDIDATE, "scaling",
@@ -74,6 +76,32 @@ def scenario_results(clean: Series, levels, methods: dict[str, list[str]], domai
         r("nrmse").alias("nrmse"), *[r(f"{e}_{x}").alias(f"{e}_{x}") for e in ("nrmse", "rmse") for x in st.signals], "mean_raw_rmse", "remaining_missing_fraction", "valid_rmse")
 
 
+def _leaves(hurt: Series, methods: dict[str, list[str]], domains: DataFrame, st: Settings, fs: float, orders) -> DataFrame:
+    """Scores and errors of the candidates in the trie; written, because the uncleaned copies are read from it too."""
+    leaves = leaf_measures(hurt, methods, orders, fs, st.semantics)
+    by = [k for k in hurt.keys if k != "signal"] + list(CANDIDATE)
+    middle = [F.percentile(m, F.lit(0.5)).alias(m) for m in MEASURES if m not in ("rmse", "sd", "cells", "gone")]
+    scored = with_components(validate.overall_error(leaves, by, st.signals, middle), "").join(domains, "recording_id")
+    scored = with_index(scored, F.col("domain"), "", "q_score").withColumn("scaling", F.lit("none"))
+    errors = [f"{e}_{x}" for e in ("nrmse", "rmse") for x in st.signals]
+    return cut(scored.select(*by, "scaling", "domain", *COMPONENTS, "q_score", "nrmse", "mean_raw_rmse", *errors, "remaining_missing_fraction", "valid_rmse"))
+
+
+def _copies(hurt: Series, methods: dict[str, list[str]], order: str, domains: DataFrame, st: Settings, fs) -> DataFrame:
+    """The same from a copy of every series per candidate."""
+    runs = execute(hurt, methods, order, st)
+    df, keys = runs.df, list(runs.keys)
+    for stage in STAGES:
+        if stage not in keys:
+            df = df.withColumn(stage, F.lit(methods[stage][0]))
+            keys.append(stage)
+    # Written once: the profile and the error both read the cleaned copies.
+    runs = Series(df.drop(*["after_" + x for x in STAGES[:3]], "center", "width"), tuple(keys), runs.longest, runs.groups, runs.block).cut()
+    by = [k for k in keys if k != "signal"]
+    q = quality_of(as_values(runs, "value"), st, fs, domains)
+    return q.join(validate.nrmse(runs.df, by, st.signals), by).withColumn("order", F.lit(order))
+
+
 def baselines(clean: Series, levels, domains: DataFrame, st: Settings, fs, seed: int = 42) -> DataFrame:
     """Quality and components of the clean and of the corrupted recording."""
     hurt = severity_copies(clean, levels, seed).cut()
