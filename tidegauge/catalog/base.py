@@ -136,8 +136,8 @@ def filled_sql(src: str, fs: str = "5e1", pre: str = "") -> str:
   FROM {pre}f0)"""
 
 
-def profile_sql(src: str, fs: str = "5e1", pre: str = "", timing: str | None = None, corr: str | None = None) -> str:
-    """CTEs up to {pre}prof, the per-signal profile of an obs CTE."""
+def profile_sql(src: str, fs: str = "5e1", pre: str = "", timing: str | None = None, corr: str | None = None, spectrum: bool = True) -> str:
+    """CTEs up to {pre}prof, the per-signal profile of an obs CTE; without spectra their metrics are NULL."""
     ent, dom = "ent", "dom"
     join = ""
     if timing:
@@ -146,6 +146,12 @@ def profile_sql(src: str, fs: str = "5e1", pre: str = "", timing: str | None = N
     cm = "0e0"
     if corr:
         cm, join = "cm", join + f" LEFT JOIN {corr} USING (recording_id, signal)"
+    power = f"""{welch_sql(pre + "w", "x", pre)},
+{pre}sp AS (
+  SELECT recording_id, signal, -sum(p/tot*ln(p/tot + 1e-12))/ln(count(*)) AS ent, max(p)/max(tot) AS dom
+  FROM (SELECT *, sum(p) OVER (PARTITION BY recording_id, signal) AS tot FROM {pre}pw) GROUP BY ALL),"""
+    if not spectrum:
+        power = f"{pre}sp AS (SELECT DISTINCT recording_id, signal, CAST(NULL AS DOUBLE) AS ent, CAST(NULL AS DOUBLE) AS dom FROM {pre}a),"
     return filled_sql(src, fs, pre) + f""", {pre}q AS (
   SELECT recording_id, signal, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS med,
     quantile_cont(value, 0.75) AS q3, avg(value) AS mean_v
@@ -174,10 +180,7 @@ def profile_sql(src: str, fs: str = "5e1", pre: str = "", timing: str | None = N
         THEN (c.run - coalesce(b.run, 0e0))/least(greatest(10, c.n_rows//10), c.idx + 1) END AS m
     FROM {pre}w c LEFT JOIN {pre}w b ON b.recording_id = c.recording_id AND b.signal = c.signal
       AND b.idx = c.idx - greatest(10, c.n_rows//10)) a GROUP BY ALL),
-{welch_sql(pre + "w", "x", pre)},
-{pre}sp AS (
-  SELECT recording_id, signal, -sum(p/tot*ln(p/tot + 1e-12))/ln(count(*)) AS ent, max(p)/max(tot) AS dom
-  FROM (SELECT *, sum(p) OVER (PARTITION BY recording_id, signal) AS tot FROM {pre}pw) GROUP BY ALL),
+{power}
 {pre}prof AS (
   SELECT recording_id, signal, n, (n - v)/CAST(n AS DOUBLE) AS missing_rate,
     coalesce(smax, 0e0) AS longest_missing_run_seconds, coalesce(s95, 0e0) AS missing_run_p95_seconds,

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidegauge.catalog.base import SIGNALS, lines_wide, profile_sql, query, rounded, table
+from tidegauge.catalog.base import LI, LINE_RATE, SIGNALS, corr_sql, lines, lines_wide, pivot_sql, profile_sql, query, rounded, table
 from tidegauge.catalog.cleaning import impute_sql, median_sql, outlier_sql
 from tidegauge.catalog.profiling import component_sql
 from tidegauge.catalog.validation import EVC, RUNS, clean_events, inject_sql, u
@@ -16,6 +16,7 @@ from tidegauge.operators import timeaxis as T
 from tidegauge.operators import windows as N
 from tidegauge.plans import benchmark as B
 from tidegauge.plans.clean import Settings
+from tidegauge.plans.trie import LIGHT
 from tidegauge.settings import cut
 from tidegauge.sources import sinks
 
@@ -23,7 +24,6 @@ LEVELS = (0, 5, 15)
 CANDIDATES = {"outlier": ["none", "iqr"], "imputation": ["mean", "linear"], "scaling": ["none"], "smoothing": ["none", "moving_median"]}
 SETTINGS = Settings(signals=("value",))
 SEGMENTS = {"AUTOMOBILE": "industrial", "BUILDING": "energy", "FURNITURE": "physiological", "HOUSEHOLD": "finance", "MACHINERY": "network"}
-_RESULTS: dict = {}
 
 
 def domains(spark, d):
@@ -36,11 +36,7 @@ def domains(spark, d):
 
 
 def results(spark, d):
-    """The result table: written to the checkpoint folder once per session and folder."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _RESULTS:
-        _RESULTS[key] = cut(B.scenario_results(clean_events(spark, d), LEVELS, CANDIDATES, domains(spark, d), SETTINGS, 1.0))
-    return _RESULTS[key]
+    return cut(B.scenario_results(clean_events(spark, d), LEVELS, CANDIDATES, domains(spark, d), SETTINGS, 1.0))
 
 
 def _union(name: str, src: str, parts: dict[str, str]) -> str:
@@ -297,6 +293,60 @@ def exhaustive_candidates(spark, d):
                                                  F.percentile("q_score", F.lit(0.5)).alias("median_q"), F.percentile("nrmse", F.lit(0.5)).alias("median_nrmse")), 5)
 
 
+# --- four signals of every supplier's line items ------------------------------------------------------------------------
+LINE_CANDIDATES = {"outlier": ["none", "zscore", "iqr", "mad", "winsorize"], "imputation": ["mean", "linear"], "scaling": ["none"], "smoothing": ["none"]}
+LINE_LEVEL = 10
+DOMAIN_NAMES = sorted(SEGMENTS.values())
+
+
+def line_results(spark, d, methods):
+    """Results of candidates on four signals at the line items' own rate, domains by the supplier's nation."""
+    named = F.array(*[F.lit(x) for x in DOMAIN_NAMES])
+    domain = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("recording_id"), F.element_at(named, F.pmod("s_nationkey", F.lit(5)).cast("int") + 1).alias("domain"))
+    return B.scenario_results(lines(spark, d), [LINE_LEVEL], methods, domain, Settings(signals=tuple(SIGNALS)), LINE_RATE)
+
+
+def _line_sql() -> str:
+    p = [f"WITH {LI}", inject_sql("li", "hurt", "nested", LINE_LEVEL / 100), "c AS (SELECT recording_id, signal, idx, t, value FROM hurt)"]
+    for tag, stages in (("i", ("imputation", "outlier")), ("o", ("outlier", "imputation"))):
+        src = "c"
+        for step, stage in enumerate(stages):
+            parts = {m: f"{tag}{step}{m}" for m in LINE_CANDIDATES[stage]}
+            p += [outlier_sql(src, dst, m) if stage == "outlier" else impute_sql(src, dst, m) for m, dst in parts.items()]
+            src = f"{tag}{step}"
+            p.append(_union(src, "", parts))
+    p.append(f"al AS (SELECT recording_id || '|{IMPUTATION_FIRST}' AS recording_id, signal, idx, t, value FROM i1 UNION ALL SELECT recording_id || '|{OUTLIER_FIRST}', signal, idx, t, value FROM o1)")
+    p += [pivot_sql("al", "alw"), corr_sql("alw"), profile_sql("al", "5e1", corr="cm", spectrum=False)]
+    metrics = ("missing_rate", "missing_run_p95_seconds", "missing_burstiness", "outlier_iqr_rate", "outlier_mad_rate", "skewness", "kurtosis_excess", "drift_score", "local_volatility", "corr_mean_abs")
+    p.append(f"md AS (SELECT recording_id, {', '.join(f'median({m}) AS {m}' for m in metrics)} FROM prof GROUP BY 1)")
+    p.append(f"sc AS (SELECT *, split_part(recording_id, '|', 1) AS seed, {component_sql('')} FROM md)")
+    names = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(DOMAIN_NAMES))
+    p.append(f"dom AS (SELECT CAST(s_suppkey AS VARCHAR) AS seed, CASE s_nationkey % 5 {names} END AS domain FROM supplier)")
+    idx = "CASE domain " + " ".join(f"WHEN '{dm}' THEN (" + " + ".join(f"{x}e0*{c}" for c, x in zip(COMPONENTS, w)) + f")/{sum(w)!r}e0" for dm, w in QUALITY_WEIGHTS.items()) + " END"
+    p.append("""sg AS (SELECT al.recording_id, al.signal, sqrt(avg((al.value - li.value)**2))/(stddev_pop(li.value) + 1e-12) AS e, count(*) - count(al.value) AS gone
+      FROM al JOIN li ON li.recording_id = split_part(al.recording_id, '|', 1) AND li.signal = al.signal AND li.idx = al.idx GROUP BY ALL),
+      er AS (SELECT recording_id, CASE WHEN sum(gone) = 0 THEN avg(e) END AS nrmse FROM sg GROUP BY 1)""")
+    first, second = "split_part(recording_id, '|', 2)", "split_part(recording_id, '|', 3)"
+    swap = f"split_part(recording_id, '|', 4) = '{IMPUTATION_FIRST}'"
+    return ", ".join(p) + f""" SELECT domain, seed, split_part(recording_id, '|', 4) AS "order", CASE WHEN {swap} THEN {first} ELSE {second} END AS imputation,
+      CASE WHEN {swap} THEN {second} ELSE {first} END AS outlier, round({idx}, 5) AS q_score, round(nrmse, 5) AS nrmse FROM sc JOIN dom USING (seed) JOIN er USING (recording_id)"""
+
+
+@query("line_candidates", _line_sql())
+def line_candidates(spark, d):
+    """Twenty candidates on four signals: outlier and imputation methods in both orders."""
+    return rounded(line_results(spark, d, LINE_CANDIDATES).select("domain", "seed", "order", "imputation", "outlier", "q_score", "nrmse"), 5)
+
+
+@query("line_candidates_all")
+def line_candidates_all(spark, d):
+    """The two hundred candidates of methods on one signal, on four signals of every supplier."""
+    methods = {s: list(LIGHT[s]) for s in LIGHT} | {"scaling": ["none"]}
+    return rounded(line_results(spark, d, methods).groupBy(*B.CANDIDATE).agg(
+        F.count(F.lit(1)).alias("scenarios"), F.count_if("valid_rmse").alias("valid"), F.percentile("q_score", F.lit(0.5)).alias("median_q"),
+        F.percentile("nrmse", F.lit(0.5)).alias("median_nrmse")), 5)
+
+
 @query("stored_results", f"""{RESULTS} SELECT domain, count(*) AS rows, count(DISTINCT seed) AS seeds, 0 AS incomplete FROM results GROUP BY 1""")
 def stored_results(spark, d):
     """Results written by domain and severity, read back and checked for completeness."""

@@ -81,15 +81,19 @@ def segment_sql(src: str, dst: str, max_gap: str | None = None) -> str:
 
 
 def median_sql(src: str, dst: str, max_gap: str | None = None) -> str:
+    """Nine positions around each sample, held at the segment's ends, and their median."""
     return f"""{segment_sql(src, dst + '_s', max_gap)},
+{dst}_p AS (
+  SELECT recording_id, signal, seg, pos, greatest(0, least(len - 1, pos + k)) AS at
+  FROM {dst}_s, (SELECT unnest(range(-4, 5)) AS k) WHERE len >= 9),
 {dst}_m AS (
-  SELECT {KEYS}, CASE WHEN len < 9 THEN value ELSE list_sort(list_concat(list_concat(
-      list_resize([]::DOUBLE[], greatest(0, 4 - pos), first_value(value) OVER g), list(value) OVER n),
-      list_resize([]::DOUBLE[], greatest(0, 4 - (len - 1 - pos)), last_value(value) OVER g)))[5] END AS smooth
-  FROM {dst}_s
-  WINDOW g AS (PARTITION BY recording_id, signal, seg ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
-    n AS (PARTITION BY recording_id, signal, seg ORDER BY idx ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
-{dst} AS (SELECT {KEYS}, s.t, s.value AS before, m.smooth AS value FROM {src} s LEFT JOIN {dst}_m m USING (recording_id, signal, idx))"""
+  SELECT p.recording_id, p.signal, p.seg, p.pos, median(v.value) AS smooth
+  FROM {dst}_p p JOIN {dst}_s v ON v.recording_id = p.recording_id AND v.signal = p.signal AND v.seg = p.seg AND v.pos = p.at
+  GROUP BY ALL),
+{dst} AS (
+  SELECT s.recording_id, s.signal, s.idx, s.t, s.value AS before, CASE WHEN o.len < 9 THEN o.value ELSE m.smooth END AS value
+  FROM {src} s LEFT JOIN {dst}_s o USING (recording_id, signal, idx)
+  LEFT JOIN {dst}_m m ON m.recording_id = o.recording_id AND m.signal = o.signal AND m.seg = o.seg AND m.pos = o.pos)"""
 
 
 ROWS = "SELECT recording_id, signal, idx, round(value, 6) AS value"

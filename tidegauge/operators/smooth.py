@@ -7,6 +7,8 @@ that the filter's answer inside the chunk equals that of the whole segment.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,13 +33,18 @@ def moving_median(x: np.ndarray, zero_pad: bool = False) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(padded, MEDIAN_WINDOW), axis=1)
 
 
+@cache
+def savgol_hat(w: int) -> np.ndarray:
+    """Fitted values of a window of w samples, from its samples."""
+    powers = np.arange(-(w // 2), w // 2 + 1)[:, None] ** np.arange(SAVGOL_ORDER + 1)
+    return powers @ np.linalg.pinv(powers)
+
+
 def savgol(x: np.ndarray) -> np.ndarray:
     """Cubic fit in a window of 21, or the largest odd number that fits."""
     n = len(x)
     w = min(SAVGOL_WINDOW, n if n % 2 else n - 1)
-    half = w // 2
-    powers = np.arange(-half, half + 1)[:, None] ** np.arange(SAVGOL_ORDER + 1)
-    hat = powers @ np.linalg.pinv(powers)  # fitted values of a window from its samples
+    half, hat = w // 2, savgol_hat(w)
     out = np.empty(n)
     out[half:n - half] = np.convolve(x, hat[half][::-1], mode="valid")
     out[:half] = (hat @ x[:w])[:half]
@@ -45,6 +52,7 @@ def savgol(x: np.ndarray) -> np.ndarray:
     return out
 
 
+@cache
 def butterworth_response(taps: int = 256) -> np.ndarray:
     """Impulse response of the third-order low-pass, from the bilinear transform."""
     c = 1.0 / np.tan(np.pi * CUTOFF / 2)
