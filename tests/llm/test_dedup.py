@@ -223,3 +223,32 @@ def test_lines_keep_columns(docs_of):
     docs = docs_of([(1, "t", "s")]).withColumn("h1", F.lit(1)).withColumn("n_lines", F.lit(9)).withColumn("drops", F.lit(2))
     assert lines.drop_repeated(docs, keep=("doc_id", "source", "h1")).first().asDict() == {
         "doc_id": 1, "source": "s", "h1": 1, "text": "t", "n_lines": 1, "n_dropped": 0}
+
+
+@pytest.mark.parametrize("group, paths", [(3, 10_000), (40, 10_000), (256, 10_000), (3, 100)])
+def test_near_links_connect_what_all_pairs_connect(spark, monkeypatch, group, paths):
+    """A small group size sends members back to be cut again; with few paths the first cut is the last."""
+    monkeypatch.setattr(simhash, "PATHS", paths)
+    rng = np.random.default_rng(9)
+    fps = set(rng.integers(0, 1 << 63, 200).tolist())
+    for c in rng.integers(0, 1 << 63, 5).tolist():
+        for _ in range(80):
+            y = c
+            for b in rng.integers(0, 64, rng.integers(0, 5)):
+                y ^= 1 << int(b)
+            fps.add(y)
+    fps = sorted(fps)
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long").repartition(3)
+    edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.near_links(df, 5, group).collect()]
+    assert all((a ^ b).bit_count() <= 5 for a, b in edges)
+
+    def classes_of(pairs):
+        root = {f: f for f in fps}
+        find = lambda i: i if root[i] == i else find(root[i])
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        out = {}
+        for f in fps:
+            out.setdefault(find(f), set()).add(f)
+        return sorted(map(sorted, out.values()))
+    assert classes_of(edges) == classes_of([(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 5])

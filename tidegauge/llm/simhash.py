@@ -1,8 +1,7 @@
 """SimHash fingerprints, and their classes at a small Hamming distance.
 
 Method: pigeonhole blocks. 64 bits are cut into `distance + 3` blocks; fingerprints that differ in at most
-`distance` bits agree on three whole blocks at least, so they meet under one of the keys made of three blocks
-(`agree` says how many blocks a key has). Distinct fingerprints are joined on these keys and verified. A key with many fingerprints is cut again by the
+`distance` bits agree on three whole blocks at least, so they meet under one of the keys made of three blocks. Distinct fingerprints are joined on these keys and verified. A key with many fingerprints is cut again by the
 bits it leaves open (four parts, of which one must agree), so no group grows without bound and none is
 expanded into pairs: a group gives each member one edge, to the smallest member it reaches inside the group.
 
@@ -12,7 +11,7 @@ other than doc_id and text are not read; an empty table gives an empty result.
 
 `one_of_each` keeps one document of each class of near copies, by the Jaccard similarity of the sets of five-word
 shingles. Copies of 0.8 or more differ in about a fiftieth of their words, so the fingerprints that find them are made of
-a text's different words, twice with other hashes, and may differ in six bits; the pairs that connect each group are then
+a text's different words, twice with other hashes, and may differ in five bits; the pairs that connect each group are then
 compared exactly. A row's text is known by its MD5, so repeated ids and missing ids are no trouble: of a class the row with
 the smallest doc_id stays (a null id comes last, then the smallest MD5); texts without words are copies of each other;
 all columns come through, whatever they are called.
@@ -29,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import cut, slices
+from tidegauge.llm.common import cut, slices, spans
 
 GROUP = 256  # fingerprints of a key that are compared with each other in one go
 DEPTH = 4  # times that a larger group is cut again
 PATHS = 10_000  # most ways of choosing blocks and parts
+PAIRS = 1_000_000  # pairs of fingerprints that a task compares at a time
 
 
 def fingerprint(words: list[bytes], width: int = 3) -> int:
@@ -115,13 +115,10 @@ def _spanning(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     return fps[pairs[0]], fps[pairs[1]]
 
 
-def links(fps: DataFrame, distance: int = 3, group: int = GROUP, agree: int = 3, direct: bool = False) -> DataFrame:
-    """Edges (a, b) whose components are those of all links between the distinct fingerprints of column fp.
-
-    direct: only edges between fingerprints that are themselves linked.
-    """
-    blocks = _cuts(list(range(64)), distance + agree)
-    keys = [sorted(b for i in pick for b in blocks[i]) for pick in combinations(range(len(blocks)), agree)]
+def links(fps: DataFrame, distance: int = 3, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) whose components are those of all links between the distinct fingerprints of column fp."""
+    blocks = _cuts(list(range(64)), distance + 3)
+    keys = [sorted(b for i in pick for b in blocks[i]) for pick in combinations(range(len(blocks)), 3)]
     masks = [_signed(sum(1 << b for b in bits)) for bits in keys]
     fp = F.col("fp")
     # path: which choice of blocks was made; key: their bits.
@@ -143,13 +140,9 @@ def links(fps: DataFrame, distance: int = 3, group: int = GROUP, agree: int = 3,
                 a, b = [], []
                 for x in batch.column("fps"):
                     v = np.sort(x.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                    if direct:
-                        x, y = _spanning(v, distance)
-                    else:
-                        root = _star(v, distance)
-                        x, y = v[v != root], root[v != root]
-                    a.append(x)
-                    b.append(y)
+                    root = _star(v, distance)
+                    a.append(v[v != root])
+                    b.append(root[v != root])
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).view(np.int64)) for c in (a, b)], names=["a", "b"])
 
@@ -173,6 +166,94 @@ def links(fps: DataFrame, distance: int = 3, group: int = GROUP, agree: int = 3,
     return out.distinct()
 
 
+def near_pairs(path: np.ndarray, key: np.ndarray, fps: np.ndarray, distance: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs at most `distance` bits apart that connect each group of equal (path, key); the groups lie one after the other."""
+    new = np.flatnonzero(np.concatenate([[True], (path[1:] != path[:-1]) | (key[1:] != key[:-1])])) if len(fps) else np.empty(0, np.int64)
+    size = np.diff(np.concatenate([new, [len(fps)]]))
+    out, at = [], np.concatenate([[0], np.cumsum(size * (size - 1) // 2)])
+    while len(new):
+        n = max(1, int(np.searchsorted(at, at[0] + PAIRS, "right")) - 1)  # groups with about so many pairs together
+        if size[0] > 2 * GROUP:
+            out.append(_spanning(fps[new[0]:new[0] + size[0]], distance))
+        else:
+            begin, count = new[:n], size[:n]
+            row = spans(begin, count)
+            after = np.repeat(begin + count, count) - row - 1
+            i, j = np.repeat(row, after), spans(row + 1, after)
+            near = np.bitwise_count(fps[i] ^ fps[j]) <= distance
+            i, j = i[near], j[near]
+            group = np.searchsorted(begin, i, "right") - 1
+            found = np.bincount(group, minlength=n)
+            few = found[group] < count[group]  # no more than a tree has
+            out.append((fps[i[few]], fps[j[few]]))
+            out += [_spanning(fps[begin[g]:begin[g] + count[g]], distance) for g in np.flatnonzero(found >= np.maximum(count, 1))]
+        new, size, at = new[n:], size[n:], at[n:]
+    return out
+
+
+def near_links(fps: DataFrame, distance: int, group: int = GROUP) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints of column fp, all at most `distance` bits apart, that connect what such edges connect.
+
+    The blocks of `links`, in one shuffle: rows are sorted by key, and a task reads group after group. The members of a
+    larger group come back and are cut again by the bits that their key leaves open.
+    """
+    blocks = _cuts(list(range(64)), distance + 3)
+    masks = [[b for i in pick for b in blocks[i]] for pick in combinations(range(len(blocks)), 3)]
+    fp, found = F.col("fp"), []
+    number = lambda bits: F.lit(_signed(sum(1 << b for b in bits)))
+    rows = fps.select("fp", F.posexplode(F.array(*[fp.bitwiseAND(number(m)) for m in masks])).alias("path", "key"))
+    while True:
+        last = len(masks) * (distance + 1) > PATHS
+
+        def run(batches):
+            held: list[np.ndarray] = []  # the group that goes on in the next batch
+            large = None  # (path, key) of a group whose members come back
+
+            def whole(a):
+                return [(x, y, np.full(len(x), -1)) for x, y in near_pairs(a[0], a[1], a[2].view(np.uint64), distance)]
+
+            for batch in batches:
+                a = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("path", "key", "fp")])
+                a = np.concatenate([*held, a], axis=1)
+                change = np.flatnonzero((np.diff(a[0]) != 0) | (np.diff(a[1]) != 0)) + 1
+                edges = np.concatenate([[0], change, [a.shape[1]]])
+                out, begin = [], edges[:-1]
+                size = np.diff(edges)
+                back = (size > group) & (not last)
+                if large is not None and len(begin) and (a[0, 0], a[1, 0]) == large:
+                    back[0] = True
+                large = (a[0, -1], a[1, -1]) if a.shape[1] and back[-1] else None
+                done = np.ones(len(begin), bool)
+                done[-1:] = False
+                keep = np.repeat(done & ~back & (size > 1), size)
+                out += whole(a[:, keep])
+                gone = np.repeat(back, size)
+                out.append((a[2, gone].view(np.uint64), a[1, gone].view(np.uint64), a[0, gone]))
+                held = [a[:, begin[-1]:]] if len(begin) and not back[-1] else []
+                yield rows_of(out)
+            if held:
+                yield rows_of(whole(held[0]))
+
+        def rows_of(out):
+            cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.uint64)] * 2 + [np.empty(0, np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(cols[0].view(np.int64)), pa.array(cols[1].view(np.int64)), pa.array(cols[2].astype(np.int32))], names=["a", "b", "path"])
+
+        made = cut(rows.repartition("path", "key").sortWithinPartitions("path", "key", "fp").mapInArrow(run, "a long, b long, path int"))
+        found.append(made.filter("path < 0").select("a", "b"))
+        rest = made.filter("path >= 0")
+        if last or not rest.take(1):
+            break
+        parts = [_cuts([b for b in range(64) if b not in m], distance + 1) for m in masks]
+        masks = [m + p for m, ps in zip(masks, parts) for p in ps]
+        extra = F.array(*[F.array(*[number(p) for p in ps]) for ps in parts])
+        rows = rest.select(F.col("a").alias("fp"), F.col("b").alias("key"), "path", F.posexplode(F.element_at(extra, F.col("path") + 1)).alias("part", "mask"))
+        rows = rows.select("fp", (F.col("path") * (distance + 1) + F.col("part")).cast("int").alias("path"), F.col("key").bitwiseOR(fp.bitwiseAND(F.col("mask"))).alias("key"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node, root (its component's smallest node) of edges (a, b), by alternating large-star and small-star."""
     def least(e):
@@ -246,7 +327,7 @@ def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "text_id binary, shingles binary")
 
 
-def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, distance: int = 6) -> DataFrame:
+def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, distance: int = 5) -> DataFrame:
     """Pairs (a, b) of text_ids that connect the texts whose sets of shingles have a Jaccard similarity of `least` or more.
 
     docs: text_id (equal for equal texts), text. Pairs are found where either fingerprint differs in `distance` bits at most.
@@ -256,7 +337,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, distance: i
     for fp in ("fp0", "fp1"):
         own = prints.select("text_id", F.col(fp).alias("fp"))
         nodes = own.groupBy("fp").agg(F.min("text_id").alias("first"))
-        edges = links(nodes.select("fp"), distance, agree=2, direct=True)
+        edges = near_links(nodes.select("fp"), distance)
         found.append(edges.join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a")
                      .join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y"))
         found.append(own.join(nodes, "fp").filter("text_id > first").select(F.col("text_id").alias("x"), F.col("first").alias("y")))
@@ -281,7 +362,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, distance: i
     return pairs.select("a", "b", "sa", "sb").mapInArrow(compare, "a binary, b binary")
 
 
-def one_of_each(docs: DataFrame, least: float = 0.8, width: int = 5, distance: int = 6) -> DataFrame:
+def one_of_each(docs: DataFrame, least: float = 0.8, width: int = 5, distance: int = 5) -> DataFrame:
     """The documents without copies and near copies: of each class the row with the smallest doc_id stays."""
     fields = [F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
     rows = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*fields).alias("row"))
