@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from tidegauge.catalog.base import LI, LINE_RATE, SIGNALS, corr_sql, lines, lines_wide, pivot_sql, profile_sql, query, rounded, table
 from tidegauge.catalog.cleaning import impute_sql, median_sql, outlier_sql
 from tidegauge.catalog.profiling import component_sql
-from tidegauge.catalog.validation import EVC, RUNS, clean_events, inject_sql, u
-from tidegauge.domains import COMPONENTS, IMPUTATION_FIRST, METHODS, OUTLIER_FIRST, QUALITY_WEIGHTS
+from tidegauge.catalog.validation import EVC, RUNS, clean_events, inject_sql, loss_sql, u
+from tidegauge.domains import COMPONENTS, IMPUTATION_FIRST, LOSS_PARTS, LOSS_WEIGHTS, METHODS, OUTLIER_FIRST, QUALITY_WEIGHTS
 from tidegauge.operators import profile as P
 from tidegauge.operators import timeaxis as T
 from tidegauge.operators import windows as N
@@ -260,7 +260,25 @@ def grouped_cv_folds(spark, d):
     return rounded(B.grouped_cv(ruled(spark, d), FEATURES, "seed", 3).select("fold", "rows", "majority"))
 
 
-@query("weight_support")
+def _weight_sql() -> str:
+    methods = ("mean", "median", "locf", "linear")
+    p = [f"WITH {EVC}", inject_sql("evc", "o", "mcar_missing", 0.1), *[impute_sql("o", "i" + m, m) for m in methods]]
+    p.append("k AS (" + " UNION ALL ".join(
+        f"SELECT o.recording_id || '|{m}' AS recording_id, o.signal, o.idx, o.t, o.clean, o.mask, i.value, evc.event FROM o JOIN i{m} i USING (recording_id, signal, idx) JOIN evc USING (recording_id, signal, idx)"
+        for m in methods) + ")")
+    p += [loss_sql("k"), "rt AS (SELECT recording_id, avg(CASE WHEN value IS NULL THEN 1e0 ELSE 0e0 END) AS retention FROM k GROUP BY 1)"]
+    shapes = [round(w * 120) for w in LOSS_WEIGHTS["energy"]]
+    p.append("sh(j, shape) AS (VALUES " + ", ".join(f"({j}, {n})" for j, n in enumerate(shapes)) + ")")
+    p.append(f"""ex AS (SELECT draw, j, -ln(1e0 - {u('42', "'weights'", "'energy'", 'draw', 'j', 'n')}) AS e FROM (
+      SELECT draw, j, unnest(range(1, shape + 1)) AS n FROM sh, (SELECT unnest(range(0, 250)) AS draw))),
+      gm AS (SELECT draw, j, sum(e) AS g FROM ex GROUP BY ALL), wt AS (SELECT draw, j, g/sum(g) OVER (PARTITION BY draw) AS w FROM gm),
+      pv AS (SELECT recording_id, unnest([{', '.join("{'j': %d, 'v': %s}" % (j, 'CAST(NULL AS DOUBLE)' if c == 'detection' else c) for j, c in enumerate(LOSS_PARTS))}], recursive := true) FROM lo JOIN rt USING (recording_id)),
+      ls AS (SELECT recording_id, draw, sum(v*w)/sum(CASE WHEN v IS NOT NULL THEN w END) AS loss FROM pv JOIN wt USING (j) GROUP BY ALL),
+      wn AS (SELECT seed AS recording_id, method FROM (SELECT split_part(recording_id, '|', 1) AS seed, split_part(recording_id, '|', 2) AS method, row_number() OVER (PARTITION BY split_part(recording_id, '|', 1), draw ORDER BY loss, split_part(recording_id, '|', 2)) AS place FROM ls) WHERE place = 1)""")
+    return ", ".join(p) + " SELECT recording_id, method, round(count(*)/25e1, 6) AS support FROM wn GROUP BY ALL"
+
+
+@query("weight_support", _weight_sql())
 def weight_support(spark, d):
     """Share of 250 weight draws under which each imputation method has the lowest loss."""
     from tidegauge.plans import evaluate as E

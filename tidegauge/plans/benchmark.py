@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -252,38 +251,45 @@ def winner_table(won: DataFrame) -> DataFrame:
                     (F.sum("near_ties").over(by) / F.sum("scenarios").over(by)).alias("near_tie_share"))
 
 
-def dirichlet_weights(spark, domains, draws: int = 250, concentration: float = 120.0, seed: int = 42) -> DataFrame:
-    """(domain, draws): random loss weights around those of each domain."""
-    base = {d: np.maximum(np.array(LOSS_WEIGHTS[d]) * concentration, 1e-9) for d in domains}
+def dirichlet_weights(spark, domains, draws: int = 250, concentration: int = 120, seed: int = 42) -> DataFrame:
+    """(domain, _w): random loss weights around those of each domain, a list of `draws` (draw, weights).
 
-    def make(batches):
-        for pdf in batches:
-            rows = []
-            for d, i in zip(pdf["domain"], pdf["draw"]):
-                g = np.random.default_rng([seed, int(i)]).gamma(base[d])
-                rows.append((d, int(i), (g / g.sum()).tolist()))
-            yield pd.DataFrame(rows, columns=["domain", "draw", "weights"])
+    Shapes are rounded to whole numbers, so each part is a sum of exponentials that a hash lays down.
+    """
+    shapes = [(d, [round(w * concentration) for w in LOSS_WEIGHTS[d]]) for d in domains]
+
+    def part(draw: Column, shape: Column, j: Column) -> Column:
+        one = lambda n: uniform(F.lit(seed), F.lit("weights"), F.col("domain"), draw, j, n)
+        return F.when(shape > 0, F.aggregate(F.sequence(F.lit(1), shape), F.lit(0.0), lambda s, n: s - F.ln(1 - one(n)))).otherwise(0.0)
 
-    ids = spark.range(draws).select(F.explode(F.array(*[F.lit(d) for d in domains])).alias("domain"), F.col("id").alias("draw"))
-    return (ids.mapInPandas(make, "domain string, draw long, weights array<double>")
-            .groupBy("domain").agg(F.collect_list(F.struct("draw", "weights")).alias("_w")))
+    def weights(draw: Column) -> Column:
+        raw = F.transform("shapes", lambda shape, j: part(draw, shape, j))
+        return F.transform(F.array(raw), lambda g: F.transform(g, lambda x: x / F.aggregate(g, F.lit(0.0), lambda s, y: s + y)))[0]
+
+    rows = spark.createDataFrame(shapes, "domain string, shapes array<int>")
+    return rows.select("domain", F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda i: F.struct(i.alias("draw"), weights(i).alias("weights"))).alias("_w"))
 
 
 def weight_support(parts: DataFrame, scenario, draws: int = 250, seed: int = 42) -> DataFrame:
-    """Share of weight draws under which each method wins, per scenario.
+    """Share of weight draws under which each method wins, per scenario; a method without any known part never does.
 
-    ``parts`` has domain, method and the loss parts; the draws of a domain are a
-    list of fixed length that joins its rows.
+    ``parts`` has domain, method and the loss parts. The candidates of a scenario, one row each, meet in a list; all draws are
+    decided inside its row, so nothing is repeated per draw. The draws of a domain are a list of fixed length.
     """
     packed = dirichlet_weights(parts.sparkSession, list(LOSS_WEIGHTS), draws, seed=seed)
-    values = F.array(*[F.col(p) for p in LOSS_PARTS])
-    rows = parts.join(F.broadcast(packed), "domain").withColumn("_v", values)
-    rows = rows.select(*scenario, "method", "_v", F.inline("_w"))
-    top = F.aggregate(F.zip_with("_v", "weights", lambda v, w: F.coalesce(v * w, F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    tot = F.aggregate(F.zip_with("_v", "weights", lambda v, w: F.when(v.isNotNull(), w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    won = (rows.withColumn("_loss", F.when(tot > 0, top / tot)).groupBy(*scenario, "draw")
-           .agg(F.min_by("method", F.struct("_loss", "method")).alias("method")))
-    return won.groupBy(*scenario, "method").agg((F.count(F.lit(1)) / F.lit(float(draws))).alias("support"))
+    rows = parts.groupBy(*scenario, "domain").agg(F.collect_list(F.struct("method", F.array(*[F.col(p) for p in LOSS_PARTS]).alias("v"))).alias("_c"))
+    rows = rows.join(F.broadcast(packed), "domain")
+
+    def loss(v: Column, w: Column) -> Column:
+        total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+        top = total(F.zip_with(v, w, lambda a, b: F.coalesce(a * b, F.lit(0.0))))
+        return F.coalesce(F.try_divide(top, total(F.zip_with(v, w, lambda a, b: F.when(a.isNotNull(), b).otherwise(0.0)))), F.lit(float("inf")))
+
+    won = F.transform("_w", lambda d: F.array_min(F.transform("_c", lambda c: F.struct(loss(c["v"], d["weights"]).alias("l"), c["method"].alias("m"))))["m"])
+    # A list of one binds the winners to a name, so that they are found once.
+    shares = F.transform(F.array(won), lambda ms: F.transform(F.array_distinct(ms), lambda m: F.struct(
+        m.alias("method"), (F.size(F.filter(ms, lambda x: x == m)) / F.lit(float(draws))).alias("support"))))[0]
+    return rows.select(*scenario, F.inline(shares))
 
 
 def _complete(rows: DataFrame, features: list[str]) -> tuple[DataFrame, list[str]]:
@@ -336,11 +342,15 @@ def bootstrap_support(won: DataFrame, draws: int = 100, seed: int = 42) -> DataF
 
     A row counts 0, 1, 2, … times in a draw, told by a hash of draw and scenario.
     """
-    u = uniform(F.lit(seed), F.lit("boot"), F.col("seed").cast("string"), F.col("severity_pct").cast("string"), F.col("draw").cast("string"))
     cdf = np.cumsum(np.exp(-1) / np.cumprod([1, *range(1, 9)]))
-    times = sum(((u >= float(c)).cast("int") for c in cdf), F.lit(0))
-    rows = won.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_k", times)
-    n = rows.groupBy("domain", "draw", "winner").agg(F.sum("_k").alias("k"))
+
+    def times(draw: int) -> Column:
+        u = uniform(F.lit(seed), F.lit("boot"), F.col("seed").cast("string"), F.col("severity_pct").cast("string"), F.lit(str(draw)))
+        return F.transform(F.array(u), lambda x: sum(((x >= float(c)).cast("int") for c in cdf), F.lit(0)))[0]
+
+    # One list of sums per winner: rows aren't repeated per draw.
+    sums = won.groupBy("domain", "winner").agg(F.array(*[F.sum(times(i)) for i in range(draws)]).alias("_k"))
+    n = sums.select("domain", "winner", F.posexplode("_k").alias("draw", "k"))
     share = n.withColumn("support", F.col("k") / F.sum("k").over(W.partitionBy("domain", "draw")))
     return share.groupBy("domain", F.col("winner").alias("method")).agg(
         F.avg("support").alias("mean_support"), F.stddev_samp("support").alias("std_support"))
