@@ -33,6 +33,7 @@ from tidegauge.llm.common import cut, slices, spans
 GROUP = 256  # fingerprints of a key that are compared with each other in one go
 DEPTH = 4  # times that a larger group is cut again
 PATHS = 10_000  # most ways of choosing blocks and parts
+NEAR_GROUP = 4096  # fingerprints of a key that near copies are found among in one go
 PAIRS = 1_000_000  # pairs of fingerprints that a task compares at a time
 
 
@@ -86,33 +87,22 @@ def _star(fps: np.ndarray, distance: int) -> np.ndarray:
 
 
 def _spanning(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of fingerprints at most `distance` bits apart that connect all that such pairs connect, the closest first."""
-    label, found = np.arange(len(fps)), []
-    rows = max(1, (1 << 22) // len(fps))
-    while True:
-        near, to = np.full(len(fps), 255), np.zeros(len(fps), np.int64)
-        for at in range(0, len(fps), rows):
-            bits = np.where(label[at:at + rows, None] == label[None, :], 255, np.bitwise_count(fps[at:at + rows, None] ^ fps[None, :]))
-            to[at:at + rows] = bits.argmin(axis=1)
-            near[at:at + rows] = bits.min(axis=1)
-        some = np.flatnonzero(near <= distance)
-        if not len(some):
-            break
-        # Every part takes its closest pair to another part.
-        some = some[np.lexsort((near[some], label[some]))]
-        some = some[np.concatenate([[True], label[some][1:] != label[some][:-1]])]
-        found.append(np.stack([some, to[some]]))
-        while True:
-            low = np.minimum(label[some], label[to[some]])
-            new = np.arange(len(fps))
-            np.minimum.at(new, label[some], low)
-            np.minimum.at(new, label[to[some]], low)
-            new = new[label]
-            if (new == label).all():
-                break
-            label = new
-    pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-    return fps[pairs[0]], fps[pairs[1]]
+    """Pairs of fingerprints at most `distance` bits apart that connect all that such pairs connect, the closest first.
+
+    Trees grow by the fingerprint closest to any of theirs, so the time goes with the square of the group and memory with its size.
+    """
+    best, parent = np.full(len(fps), 255, np.int16), np.zeros(len(fps), np.int64)
+    a, b = [], []
+    for _ in range(len(fps)):
+        i = int(best.argmin())
+        if best[i] <= distance:
+            a.append(i)
+            b.append(parent[i])
+        best[i] = 999  # in a tree
+        bits = np.bitwise_count(fps[i] ^ fps)
+        closer = (bits < best) & (best < 999)
+        best[closer], parent[closer] = bits[closer], i
+    return fps[a], fps[b]
 
 
 def links(fps: DataFrame, distance: int = 3, group: int = GROUP) -> DataFrame:
@@ -191,7 +181,7 @@ def near_pairs(path: np.ndarray, key: np.ndarray, fps: np.ndarray, distance: int
     return out
 
 
-def near_links(fps: DataFrame, distance: int, group: int = GROUP) -> DataFrame:
+def near_links(fps: DataFrame, distance: int, group: int = NEAR_GROUP) -> DataFrame:
     """Edges (a, b) between distinct fingerprints of column fp, all at most `distance` bits apart, that connect what such edges connect.
 
     The blocks of `links`, in one shuffle: rows are sorted by key, and a task reads group after group. The members of a
@@ -303,8 +293,9 @@ def word_prints(docs: DataFrame) -> DataFrame:
                 for i, t in enumerate(parts):
                     words = set(t.lower().split())
                     if words:
-                        for w in words - known.keys():
-                            known[w] = digest(w)
+                        for w in words:
+                            if w not in known:
+                                known[w] = digest(w)
                         bits = np.unpackbits(np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint8).reshape(-1, 16), axis=1, bitorder="little")
                         out[i] = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(words), bitorder="little").view(np.uint64)
                 fps = out.view(np.int64)
