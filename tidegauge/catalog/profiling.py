@@ -8,6 +8,7 @@ from tidegauge.catalog.base import (CORR, EMB, EV, EV1, LI, SIGNALS, embeddings,
                                     lines_wide, profile_sql, query, rounded, timing_sql, welch_sql)
 from tidegauge.domains import COMPONENT_LABELS, COMPONENTS, QUALITY_WEIGHTS
 from tidegauge.functions.spectrum import spectral_shape, welch
+from tidegauge.operators import columns
 from tidegauge.operators import profile as P
 from tidegauge.operators import quality as Q
 from tidegauge.operators import timeaxis as T
@@ -266,3 +267,32 @@ def signal_overview(spark, d):
     total = F.aggregate(F.filter("preview", lambda x: x.isNotNull()), F.lit(0.0), lambda a, x: a + x)
     return rounded(out.select("recording_id", "signal", "available_pct", "missing", "low", "high",
                               F.size("preview").alias("preview_points"), total.alias("preview_sum")))
+
+
+# --- two hundred columns made of the vectors ----------------------------------------------------------------------------
+MANY = 200
+MANY_SQL = f"""ids AS (SELECT unnest(range(0, {MANY})) AS k),
+  cells AS (SELECT CAST(label AS VARCHAR) AS recording_id, vec_id, k, CASE WHEN (vec_id + k) % 11 <> 0 THEN CAST(embedding[k % 64 + 1] AS DOUBLE) + (k // 64)*CAST(embedding[(7*k + 3) % 64 + 1] AS DOUBLE) END AS v FROM embeddings, ids)"""
+
+
+def many_columns(spark, d):
+    """(recording_id, c0 ... c199) of every vector, some cells missing by rule."""
+    at = lambda i: F.element_at("embedding", i + 1).cast("double")
+    cell = lambda k: F.when((F.col("vec_id") + k) % 11 != 0, at(k % 64) + (k // 64) * at((7 * k + 3) % 64))
+    return table(spark, d, "embeddings").select(F.col("label").cast("string").alias("recording_id"), *[cell(k).alias(f"c{k}") for k in range(MANY)])
+
+
+@query("many_correlations", f"""WITH {MANY_SQL} SELECT recording_id, 'c' || a.k AS signal_a, 'c' || b.k AS signal_b, round(abs(corr(a.v, b.v)), 6) AS r
+  FROM cells a JOIN cells b USING (recording_id, vec_id) WHERE a.k < b.k AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY recording_id, a.k, b.k""")
+def many_correlations(spark, d):
+    """All 19,900 pairs of 200 columns, per label."""
+    return rounded(P.pairwise_correlation(many_columns(spark, d), [f"c{k}" for k in range(MANY)]))
+
+
+@query("many_duplicates", f"""WITH {MANY_SQL}, f AS (SELECT vec_id, k, v FROM cells WHERE k < 100 UNION ALL SELECT vec_id, k + 100, v FROM cells WHERE k < 100)
+  SELECT 'c' || a.k AS a, 'c' || b.k AS b, bool_and(CASE WHEN a.v IS NULL OR b.v IS NULL THEN a.v IS NULL AND b.v IS NULL ELSE abs(a.v - b.v) <= 1e-8 + 1e-5*abs(b.v) END) AS same
+  FROM f a JOIN f b USING (vec_id) WHERE a.k < b.k GROUP BY a.k, b.k""")
+def many_duplicates(spark, d):
+    """Which of 200 columns, the second hundred a copy of the first, are equal in every row."""
+    wide = many_columns(spark, d)
+    return columns.duplicate_pairs(wide.select(*[F.col(f"c{k % 100}").alias(f"c{k}") for k in range(MANY)]), [f"c{k}" for k in range(MANY)])

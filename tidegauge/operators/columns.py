@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.domains import DOMAIN_KEYWORDS, ID_PATTERNS, LABEL_COLUMNS, MISSING_TOKENS, SIGNAL_PRIORITY, TIME_PATTERNS
+from tidegauge.functions.crossprod import EXPRESSIONS, differing_pairs
 from tidegauge.functions.scalar import any_match, isclose
 
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -110,6 +111,10 @@ def duplicate_flags(df: DataFrame, names: list[str]) -> dict[tuple[str, str], bo
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     if not pairs:
         return {}
+    if len(names) > EXPRESSIONS:
+        same = dict.fromkeys(pairs, False)
+        same.update({(names[r["a"]], names[r["b"]]): not r["differ"] for r in differing_pairs(df, names).collect()})  # a row per pair of columns
+        return same
     row = df.agg(*[F.bool_and(isclose(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double"))).alias(f"p{i}")
                    for i, (a, b) in enumerate(pairs)]).first()
     return {p: bool(row[f"p{i}"]) for i, p in enumerate(pairs)}
@@ -141,6 +146,9 @@ def default_signals(df: DataFrame, names: list[str], most: int = 5) -> list[str]
 
 def duplicate_pairs(df: DataFrame, names: list[str]) -> DataFrame:
     """(a, b, same) as a table."""
+    if len(names) > EXPRESSIONS:
+        of = F.array(*[F.lit(n) for n in names])
+        return differing_pairs(df, names).select(F.element_at(of, F.col("a") + 1).alias("a"), F.element_at(of, F.col("b") + 1).alias("b"), (~F.col("differ")).alias("same"))
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
     agg = df.agg(*[F.bool_and(isclose(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double"))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     return agg.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"p{i}").alias("same")) for i, (a, b) in enumerate(pairs)])))

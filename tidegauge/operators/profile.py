@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.crossprod import EXPRESSIONS, correlation, pair_moments
 from tidegauge.functions.scalar import clip, pearson
 from tidegauge.functions.series import Series
 from tidegauge.functions.spectrum import series_dynamics, spectral_shape, welch
@@ -218,8 +219,13 @@ def feature_profile(s: Series, fs: Column | float, timing: DataFrame | None = No
 
 
 def pairwise_correlation(wide: DataFrame, signals: list[str], keys=("recording_id",)) -> DataFrame:
-    """|Pearson| of every pair of signal columns over their common rows, one pass."""
+    """|Pearson| of every pair of signal columns over their common rows, one pass; of many columns by their cross products,
+    without rows for pairs that have no common row."""
     pairs = list(combinations(signals, 2))
+    if len(signals) > EXPRESSIONS:
+        names = F.array(*[F.lit(x) for x in signals])
+        m = pair_moments(wide, signals, keys).filter("a < b")
+        return m.select(*keys, F.element_at(names, F.col("a") + 1).alias("signal_a"), F.element_at(names, F.col("b") + 1).alias("signal_b"), F.abs(correlation()).alias("r"))
     if not pairs:
         return wide.sparkSession.createDataFrame(
             [], wide.select(*keys).schema.add("signal_a", "string").add("signal_b", "string").add("r", "double"))
@@ -231,6 +237,13 @@ def pairwise_correlation(wide: DataFrame, signals: list[str], keys=("recording_i
 
 def correlation_matrix(wide: DataFrame, signals: list[str], keys=("recording_id",)) -> DataFrame:
     """Both triangles and the diagonal (shown, not scored)."""
+    if len(signals) > EXPRESSIONS:
+        names = F.array(*[F.lit(x) for x in signals])
+        one, other = F.element_at(names, F.col("a") + 1), F.element_at(names, F.col("b") + 1)
+        m = pair_moments(wide, signals, keys).select(*keys, one.alias("x"), other.alias("y"), F.abs(correlation()).alias("r"))
+        pair = lambda p, q: F.struct(F.col(p).alias("signal_a"), F.col(q).alias("signal_b"), "r")
+        own = F.array(F.struct(F.col("x").alias("signal_a"), F.col("y").alias("signal_b"), F.when(F.col("r").isNotNull(), 1.0).alias("r")))
+        return m.select(*keys, F.inline(F.when(F.col("x") == F.col("y"), own).otherwise(F.array(pair("x", "y"), pair("y", "x")))))
     half = pairwise_correlation(wide, signals, keys)
     back = F.array(F.struct("signal_a", "signal_b", "r"),
                    F.struct(F.col("signal_b").alias("signal_a"), F.col("signal_a").alias("signal_b"), F.col("r")))
