@@ -68,8 +68,9 @@ SIGNAL_PRIORITY = {
     "network": ("request", "cpu", "latency", "error", "traffic", "memory"),
 }
 MISSING_TOKENS = (
-    "", "#VALUE!", "-", "--", "---", "-Inf", "?", "Inf", "Infinity", "N/A", "NA", "NULL", "NaN", "None",
-    "infinity", "n/a", "na", "nan", "none", "null",
+    "", " ", "NA", "N/A", "na", "n/a", "null", "NULL", "None", "none",
+    "-", "--", "---", "?", "nan", "NaN", "#VALUE!", "Inf", "-Inf",
+    "infinity", "Infinity",
 )
 ID_PATTERNS = (
     "^unnamed", "^id$", "participant", "subject", "trial", "session", "export", "stimulus", "condition", "label",
@@ -82,8 +83,9 @@ TIME_PATTERNS = (
 )
 # Compared after dropping everything but letters and digits, finest unit first.
 RECORDING_COLUMNS = (
-    "recordingname", "recordingid", "recording", "video", "sessionid", "session", "task", "trial",
-    "participant", "participantid", "subject", "subjectid",
+    "recording name", "recording id", "recordingid", "recording", "video",
+    "session id", "sessionid", "session", "task", "trial",
+    "participant", "participant id", "participantid", "subject", "subject id", "subjectid",
 )
 # Never turned into numbers, whatever their content.
 LABEL_COLUMNS = (

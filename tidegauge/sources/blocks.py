@@ -16,8 +16,9 @@ UNKNOWN = "(unknown)"
 
 def identifier_columns(names: list[str]) -> list[str]:
     """Identifier columns present, finest unit first."""
-    plain = {re.sub("[^a-z0-9]", "", n.lower()): n for n in names}
-    return [plain[k] for k in RECORDING_COLUMNS if k in plain]
+    bare = lambda n: re.sub("[^a-z0-9]", "", n.lower())
+    plain = {bare(n): n for n in names}
+    return [plain[k] for k in dict.fromkeys(map(bare, RECORDING_COLUMNS)) if k in plain]
 
 
 def detect_blocks(s: Series, names: list[str], min_rows: int = 30, max_blocks: int = 150) -> DataFrame:
