@@ -205,3 +205,15 @@ def test_forest_does_not_depend_on_layout(table):
     far = score[(score.a.abs() > 6)]
     assert far.score.mean() > score.score.mean() + 0.1
     assert np.isfinite(score.score).all()
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    """Whole recordings go to more tasks as rows grow, so a chain of sorts stays in memory."""
+    from tidegauge.sources import tables
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    df = spark.range(5000).select((F.col("id") % 250).alias("rec"), "id", F.col("id").cast("double").alias("v"))
+    s = tables.as_long(tables.recordings(df, F.col("rec"), ["id"], F.col("id"), {"a": F.col("v"), "b": -F.col("v")}, rate_hz=1.0), ["a", "b"])
+    s = s.scan(lag={"_p": F.col("value")})
+    rows = s.df.groupBy(F.spark_partition_id().alias("task"), "recording_id").count().collect()
+    assert len({r["task"] for r in rows}) > 20 and len(rows) == 250
+    assert sum(r["count"] for r in rows) == 10_000
