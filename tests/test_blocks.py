@@ -217,3 +217,27 @@ def test_rows_of_a_task_are_bounded(spark, monkeypatch):
     rows = s.df.groupBy(F.spark_partition_id().alias("task"), "recording_id").count().collect()
     assert len({r["task"] for r in rows}) > 20 and len(rows) == 250
     assert sum(r["count"] for r in rows) == 10_000
+
+
+def test_knn_long_search_sends_few_leaves_at_a_time(spark, monkeypatch):
+    """A leaf holds thousands of donors; what a Python worker gets at once doesn't grow with the leaves."""
+    search, most = knn._search_udf, 4
+
+    def checked():
+        inner = search().func
+
+        @F.pandas_udf(knn.QUERY_FOUND)
+        def run(queries: pd.Series, donors: pd.Series, k: pd.Series) -> pd.Series:
+            if len(queries) > most:
+                raise ValueError(f"{len(queries)} leaves at a time")
+            return inner(queries, donors, k)
+        return run
+
+    rows = [("r", i, float((i * 37) % 400), None if i % 3 == 0 else float(i % 11)) for i in range(400)]
+    s = Series.of(spark.createDataFrame(rows, "recording_id string, idx long, a double, b double"), ("recording_id",), 64)
+    want = collected(knn.estimates(s, ["a", "b"], scaled=False), ["idx"])
+    monkeypatch.setattr(knn, "_search_udf", checked)
+    monkeypatch.setattr(knn, "LEAF", 2)
+    monkeypatch.setattr(knn, "LEAVES", most, raising=False)
+    got = collected(knn.estimates(s, ["a", "b"], scaled=False), ["idx"])
+    assert len(got) == 134 and got["estimate"].tolist() == pytest.approx(want["estimate"].tolist())
