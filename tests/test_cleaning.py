@@ -217,3 +217,14 @@ def test_one_irregular_recording_stays_as_it_is(spark):
     assert len(odd) == len(even) == 60 and (odd.smo_savgol == odd.value).all() and (even.smo_savgol != even.value).any()
     log = smooth.settings_log(s, "savgol", irregular=F.col("recording_id") == "odd").toPandas()
     assert dict(zip(log.recording_id, log.status)) == {"odd": "irregular", "even": "applied"}
+
+
+def test_compared_methods_of_short_recordings_are_not_written(table, monkeypatch):
+    """The copies per method would fill the disk; whole recordings are cleaned again instead."""
+    def written(self):
+        raise AssertionError("copies written")
+    s = Series.of(table)
+    want = C.compare_stage(s, "outlier", ["none", "iqr"], {"imputation": "linear"}, OUTLIER_FIRST, ST, "energy", 50.0).collect()
+    monkeypatch.setattr(Series, "cut", written)
+    got = C.compare_stage(s, "outlier", ["none", "iqr"], {"imputation": "linear"}, OUTLIER_FIRST, ST, "energy", 50.0).collect()
+    assert got == want and {r["method"] for r in got} == {"none", "iqr"}
