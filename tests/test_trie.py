@@ -1,12 +1,14 @@
 """The trie's candidates against a copy of every series per candidate."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from series_tables import long_table, series_frame
 from tidegauge.domains import IMPUTATION_FIRST, OUTLIER_FIRST
 from tidegauge.functions.series import Series
+from tidegauge.operators import smooth
 from tidegauge.plans import benchmark as B
 from tidegauge.plans import trie
 from tidegauge.plans.clean import Settings
@@ -77,3 +79,52 @@ def test_no_candidate_is_written(spark):
     plan = trie.leaf_measures(s, {"outlier": ["none"], "imputation": ["linear"], "smoothing": ["none"]}, ORDERS, 50.0)
     assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2  # the fixture's own, and by recording
     assert plan.count() == 2 * 3
+
+
+def test_one_signal_runs_all_methods_in_the_trie(spark, monkeypatch):
+    """Methods that look across signals give on one signal what copies give, and no copy is made for them."""
+    frame = series_frame(seed=8, recordings=2, n=40, missing=0.1, signals=("a",))
+    short = series_frame(seed=9, recordings=1, n=12, missing=0.1, signals=("a",))
+    short.recording_id = "short"
+    s = Series.of(long_table(spark, pd.concat([frame, short], ignore_index=True)))
+    domains = spark.createDataFrame([("r0", "energy"), ("r1", "finance"), ("short", "network")], "recording_id string, domain string")
+    methods = {"outlier": ["iqr", "isolation_forest"], "imputation": ["linear", "knn", "mice"], "scaling": ["none"], "smoothing": ["none"]}
+
+    def scores():
+        out = B.scenario_results(s, [10], methods, domains, Settings(signals=("a",), semantics="bench"), 50.0, ORDERS)
+        return out.toPandas().sort_values(["seed", *B.CANDIDATE]).reset_index(drop=True)
+
+    monkeypatch.setattr(B, "LIGHT", {k: () for k in trie.LIGHT})
+    copies = scores()
+    monkeypatch.undo()
+    monkeypatch.setattr(B, "execute", None)
+    ours = scores()
+    assert len(ours) == 3 * 12
+    for c in ours.columns:
+        if ours[c].dtype == float:
+            np.testing.assert_allclose(ours[c], copies[c].astype(float), atol=2e-7, rtol=1e-6, err_msg=c)
+        else:
+            assert ours[c].tolist() == copies[c].tolist(), c
+
+
+def test_candidates_do_not_shuffle(spark):
+    """The candidates' scores and errors leave the tasks as one row per recording copy: nothing is written or joined after them."""
+    s = Series.of(long_table(spark, series_frame(seed=7, recordings=2, n=60, signals=("a", "b"))))
+    domains = spark.createDataFrame([("r0", "energy"), ("r1", "finance")], "recording_id string, domain string")
+    methods = {"outlier": ["none", "iqr"], "imputation": ["linear"], "scaling": ["none"], "smoothing": ["none"]}
+    out = B.scenario_results(s, [0, 10], methods, domains, Settings(signals=("a", "b")), 50.0, ORDERS)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and plan[:plan.index("MapInArrow")].count("Exchange") <= 1  # the domains
+    assert out.count() == 2 * 2 * 4
+
+
+def test_filters_on_many_rows():
+    """Row by row as the filters of one segment, whatever rows are beside it."""
+    rng = np.random.default_rng(1)
+    for n in (9, 12, 13, 21, 40, 300):
+        x = rng.normal(size=(7, n))
+        for method, pad in (("moving_median", True), ("moving_median", False), ("savgol", False), ("butterworth", False)):
+            got = smooth.rows_smoothed(x, method, pad)
+            want = [smooth.moving_median(v, pad) if method == "moving_median" else smooth.FILTERS[method](v) for v in x]
+            np.testing.assert_allclose(got, want, atol=1e-12)
+            assert (got[2:3] == smooth.rows_smoothed(x[2:3], method, pad)).all(), method
