@@ -128,3 +128,18 @@ def test_filters_on_many_rows():
             want = [smooth.moving_median(v, pad) if method == "moving_median" else smooth.FILTERS[method](v) for v in x]
             np.testing.assert_allclose(got, want, atol=1e-12)
             assert (got[2:3] == smooth.rows_smoothed(x[2:3], method, pad)).all(), method
+
+
+def test_recording_of_two_domains(spark, monkeypatch):
+    """Each domain's scores stand beside the uncleaned copy under each domain, as with copies."""
+    s = Series.of(long_table(spark, series_frame(seed=8, recordings=1, n=40, signals=("a",))))
+    domains = spark.createDataFrame([("r0", "energy"), ("r0", "finance"), ("r0", "finance")], "recording_id string, domain string")
+    methods = {"outlier": ["none"], "imputation": ["linear"], "scaling": ["none"], "smoothing": ["none"]}
+
+    def rows():
+        out = B.scenario_results(s, [10], methods, domains, Settings(signals=("a",)), 50.0, ORDERS)
+        return sorted((r.domain, r.order, round(r.q_score, 6), round(r.delta_q, 6)) for r in out.collect())
+
+    ours = rows()
+    monkeypatch.setattr(B, "LIGHT", {k: () for k in trie.LIGHT})
+    assert len(ours) == 2 * 9 and ours == rows()
