@@ -126,6 +126,55 @@ def test_one_of_each_sample(spark):
     assert set(want) <= set(got) and len(rows) - len(got) >= 0.95 * (len(rows) - len(want))
 
 
+def short_texts(rng):
+    """Short texts and copies with a word more: their fingerprints differ in many bits."""
+    rows = []
+    for c in range(60):
+        ws = [f"w{int(x)}" for x in rng.integers(0, 4000, rng.integers(9, 40))]
+        rows += [(500 - len(rows), " ".join(ws)), (500 - len(rows) - 1, " ".join(["common", *ws])), (500 - len(rows) - 2, " ".join([*ws, "Last"]))]
+    return rows + [(900 + k, "the same words begin this text and all others of its kind " + " ".join(f"t{k}x{i}" for i in range(9))) for k in range(40)]
+
+
+@pytest.mark.parametrize("group", [4096, 2])
+def test_one_of_each_leaves_no_copy(docs_of, monkeypatch, group):
+    """All classes of direct comparison, also where the shingles' groups are cut into pages."""
+    rng = np.random.default_rng(11)
+    rows = short_texts(rng)
+    rows += [(5000 + i, edited(rows[9][1] + " " + rows[12][1], rng, 0.03)) for i in range(12)]
+    meet = simhash.shared_links
+    monkeypatch.setattr(simhash, "shared_links", lambda rare, least: meet(rare, least, group))
+    got = sorted(((r.doc_id, r.text or "") for r in simhash.one_of_each(docs_of(rows)).collect()), key=str)
+    assert got == kept_by(rows, direct_near_classes([t for _, t in rows]))
+
+
+def test_shared_links_find_all_pairs(spark):
+    """Pairs of rare shingles against all pairs, with groups across batches and in pages."""
+    rng = np.random.default_rng(3)
+    texts = {}
+    for c in range(25):
+        ws = [f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(1, 60)) % 400]
+        for _ in range(6):
+            texts[" ".join(ws)] = None
+            ws[rng.integers(len(ws))] = f"n{rng.integers(50)}"
+    sets = [simhash.shingle_hashes(t.encode(), 2) for t in texts]
+    want = set()
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                want.add((j, i))
+    rows = [(int(i).to_bytes(8, "big") + b"x" * 8, t, None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "text_id binary, text string, root binary").repartition(3)
+    rare = simhash.rare_shingles(df, 0.8, 2, simhash.frequent_shingles(df, 2, len(rows)))
+    for group, batch in ((4096, "10000"), (3, "7")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            got = {(r.a, r.b) for r in simhash.shared_links(rare, 0.8, group).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(want) > 60 and want <= got and len(got) < len(rows) ** 2 / 4, (len(want), len(want - got), len(got))
+
+
 def test_one_of_each_odd_rows(spark, docs_of):
     # A repeated id with another text keeps that text; columns of any name come through.
     rows = [(5, "text a is the one"), (5, "text b is another"), (1, "text b is another"), (None, None), (None, "c")]

@@ -12,7 +12,8 @@ other than doc_id and text are not read; an empty table gives an empty result.
 `one_of_each` keeps one document of each class of near copies, by the Jaccard similarity of the sets of five-word
 shingles. Copies of 0.8 or more differ in about a fiftieth of their words, so the fingerprints that find them are made of
 a text's different words, twice with other hashes, and may differ in five bits; the pairs that connect each group are then
-compared exactly. A row's text is known by its MD5, so repeated ids and missing ids are no trouble: of a class the row with
+compared exactly. Of what they leave unconnected, texts that share one of their rare shingles are compared as well: the
+rarest fifth of a set and one more, in one order of all shingles, so that no pair of copies is left out. A row's text is known by its MD5, so repeated ids and missing ids are no trouble: of a class the row with
 the smallest doc_id stays (a null id comes last, then the smallest MD5); texts without words are copies of each other;
 all columns come through, whatever they are called.
 """
@@ -35,6 +36,9 @@ DEPTH = 4  # times that a larger group is cut again
 PATHS = 10_000  # most ways of choosing blocks and parts
 NEAR_GROUP = 4096  # fingerprints of a key that near copies are found among in one go
 PAIRS = 1_000_000  # pairs of fingerprints that a task compares at a time
+SAMPLE = 20_000  # texts whose shingles are counted for the order of all shingles
+FREQUENT = 100_000  # shingles of several of these texts that are told to all tasks
+SLACK = 1e-6  # against the last bits of products of sizes and similarities
 
 
 def fingerprint(words: list[bytes], width: int = 3) -> int:
@@ -303,25 +307,160 @@ def word_prints(docs: DataFrame) -> DataFrame:
     return docs.select("text_id", "text").mapInArrow(run, "text_id binary, fp0 long, fp1 long")
 
 
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """The sorted 64-bit hashes of the different shingles of a text."""
+    digest, ws = xxhash.xxh3_64_intdigest, text.lower().split()
+    grams = map(b" ".join, zip(*(ws[k:] for k in range(width)))) if len(ws) >= width else [b" ".join(ws)] if ws else []
+    return np.unique(np.array([digest(g) for g in grams], np.uint64))
+
+
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     """text_id, shingles: the sorted 64-bit hashes of the different shingles, as bytes."""
     def run(batches):
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             for rows, parts in slices(batch, "text"):
-                made = []
-                for t in parts:
-                    ws = t.lower().split()
-                    grams = map(b" ".join, zip(*(ws[k:] for k in range(width)))) if len(ws) >= width else [b" ".join(ws)] if ws else []
-                    made.append(np.unique(np.array([digest(g) for g in grams], np.uint64)).tobytes())
+                made = [shingle_hashes(t, width).tobytes() for t in parts]
                 yield pa.RecordBatch.from_arrays([rows.column("text_id"), pa.array(made, pa.binary())], names=["text_id", "shingles"])
-    return texts.mapInArrow(run, "text_id binary, shingles binary")
+    return texts.select("text_id", "text").mapInArrow(run, "text_id binary, shingles binary")
+
+
+def frequent_shingles(texts: DataFrame, width: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several of a sample of the texts hold, and their numbers of texts. Only an order is made of them."""
+    share = int(min(1.0, SAMPLE / max(1, count)) * 1_000_000)
+    some = texts.filter(F.pmod(F.xxhash64("text_id"), F.lit(1_000_000)) < share)
+
+    def run(batches):
+        for batch in batches:
+            for _, parts in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_hashes(t, width) for t in parts]).view(np.int64))], names=["shingle"])
+    some = some.groupBy("text_id").agg(F.first("text").alias("text"))
+    rows = (some.select("text").mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1")
+            .orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow())
+    h, n = (rows.column(c).to_numpy() for c in ("shingle", "n"))
+    h = h.astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def rare_shingles(texts: DataFrame, least: float, width: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """shingle, id, label, place of the shingles of which texts (text_id, text, root) that reach `least` share one at least.
+
+    All texts put their shingles into one order, those of few texts first. Sets x and y that reach `least` have
+    least * |x| in common, so the first |x| - ceil(least * |x|) + 1 of x hold one of the common ones, and those of y the same
+    one. id and label are the first eight bytes of text_id and root, place is the size of the set and the shingle's place.
+    """
+    known, number = frequent
+
+    def run(batches):
+        for batch in batches:
+            for rows, parts in slices(batch, "text"):
+                out = []
+                ids, roots = rows.column("text_id").to_pylist(), rows.column("root").to_pylist()
+                for text_id, root, t in zip(ids, roots, parts):
+                    h = shingle_hashes(t, width)
+                    if not len(h):
+                        continue  # all texts without words have fingerprint zero and are linked by it
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        h = h[np.argsort(np.where(known[at] == h, number[at], 0), kind="stable")]
+                    n = len(h) - int(np.ceil(least * len(h) - SLACK)) + 1
+                    row = np.empty((4, n), np.int64)
+                    row[0] = h[:n].view(np.int64)
+                    row[1] = int.from_bytes(text_id[:8], "big", signed=True)
+                    row[2] = int.from_bytes((root or text_id)[:8], "big", signed=True)
+                    row[3] = (len(h) << 32) + np.arange(n)
+                    out.append(row)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["shingle", "id", "label", "place"])
+    return texts.select("text_id", "text", "root").mapInArrow(run, "shingle long, id long, label long, place long")
+
+
+def shared_pairs(group: np.ndarray, ids: np.ndarray, label: np.ndarray, place: np.ndarray, side: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids of one group whose labels differ and that can still reach `least`.
+
+    Where a pair's first common shingle stands, what follows it in both sets must suffice. Rows with side 0 meet all rows
+    of their group, those with 1 and 2 the other side.
+    """
+    if not len(ids):
+        return []
+    size, at = place >> 32, place & 0xFFFFFFFF
+    _, g = np.unique(group, return_inverse=True)
+    order = np.lexsort((size, g))
+    g, ids, label, size, at, side = g[order], ids[order], label[order], size[order], at[order], side[order]
+    key = (g << 33) + size
+    stop = np.searchsorted(key, (g << 33) + np.minimum(np.floor(size / least + SLACK).astype(np.int64), (1 << 33) - 1), "right")
+    count = stop - np.arange(len(ids)) - 1
+    ends, out, begin = np.cumsum(count), [], 0
+    while begin < len(ids):
+        done = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + PAIRS, "right")))
+        i = np.repeat(np.arange(begin, end), count[begin:end])
+        j = spans(np.arange(begin, end) + 1, count[begin:end])
+        need = np.ceil(least / (1 + least) * (size[i] + size[j]) - SLACK)
+        keep = (label[i] != label[j]) & (np.minimum(size[i] - at[i], size[j] - at[j]) >= need) & ((side[i] == 0) | (side[i] != side[j]))
+        out.append((np.minimum(ids[i[keep]], ids[j[keep]]), np.maximum(ids[i[keep]], ids[j[keep]])))
+        begin = end
+    return out
+
+
+def shared_links(rare: DataFrame, least: float, group: int = NEAR_GROUP) -> DataFrame:
+    """Pairs (a, b) of ids that share a row's shingle, whose labels differ and that can reach `least`.
+
+    Rows are sorted by shingle, and a task reads group after group. The members of a larger group come back, are cut
+    into pages, and every two pages meet on their own.
+    """
+    def meet(rows: DataFrame, on: list[str], last: bool) -> DataFrame:
+        def run(batches):
+            held = np.empty((5 + len(on), 0), np.int64)  # the group that goes on in the next batch
+            large = None  # key of a group whose members come back
+
+            def pairs(a):
+                number = np.cumsum(np.concatenate([[0], (np.diff(a[5:]) != 0).any(axis=0)])) if a.shape[1] else a[0]
+                return [(x, y, np.zeros_like(x), np.zeros_like(x), np.full(len(x), -1)) for x, y in shared_pairs(number, *a[1:5], least)]
+
+            def rows_of(out):
+                cols = [np.concatenate(c) for c in zip(*out)] if out else [np.empty(0, np.int64)] * 5
+                return pa.RecordBatch.from_arrays([pa.array(c) for c in cols[:4]] + [pa.array(cols[4].astype(np.int32))], names=["a", "b", "label", "place", "kind"])
+
+            for batch in batches:
+                a = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("shingle", "id", "label", "place", "side", *on)])
+                a = np.concatenate([held, a], axis=1)
+                if not a.shape[1]:
+                    continue
+                begin = np.concatenate([[0], np.flatnonzero((np.diff(a[5:]) != 0).any(axis=0)) + 1])
+                size = np.diff(np.concatenate([begin, [a.shape[1]]]))
+                back = (size > group) & (not last)
+                if large is not None and tuple(a[5:, 0]) == large:
+                    back[0] = True
+                large = tuple(a[5:, -1]) if back[-1] else None
+                keep = ~back & (size > 1)
+                keep[-1] = False
+                out = pairs(a[:, np.repeat(keep, size)])
+                gone = np.repeat(back, size)
+                out.append((a[0, gone], a[1, gone], a[2, gone], a[3, gone], np.zeros(int(gone.sum()), np.int64)))
+                held = a[:, :0] if back[-1] else a[:, begin[-1]:]
+                yield rows_of(out)
+            if held.shape[1] > 1:
+                yield rows_of(pairs(held))
+        return cut(rows.repartition(*on).sortWithinPartitions(*on).mapInArrow(run, "a long, b long, label long, place long, kind int"))
+
+    made = meet(rare.withColumn("side", F.lit(0)).withColumn("key", F.col("shingle")), ["key"], False)
+    found, rest = made.filter("kind < 0").select("a", "b"), made.filter("kind >= 0").select(F.col("a").alias("shingle"), F.col("b").alias("id"), "label", "place")
+    if rest.take(1):
+        pages = rest.groupBy("shingle").agg(F.ceil(F.count("*") / F.lit(max(1, group // 2))).alias("pages"))
+        rows = rest.join(pages, "shingle").withColumn("own", F.pmod(F.xxhash64("id"), F.col("pages")))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pages") - 1)))
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        rows = rows.select("shingle", "id", "label", "place", side.alias("side"), F.col("shingle").alias("key"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        found = found.unionByName(meet(rows, ["key", "low", "high"], True).select("a", "b"))
+    return found.distinct()
 
 
 def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, distance: int = 5) -> DataFrame:
     """Pairs (a, b) of text_ids that connect the texts whose sets of shingles have a Jaccard similarity of `least` or more.
 
-    docs: text_id (equal for equal texts), text. Pairs are found where either fingerprint differs in `distance` bits at most.
+    docs: text_id (equal for equal texts), text. Where either fingerprint differs in `distance` bits at most, pairs are
+    compared and connected first; then all pairs that are not connected yet and share one of their rare shingles, so none is left out.
     """
     prints = cut(word_prints(docs).groupBy("text_id").agg(F.first("fp0").alias("fp0"), F.first("fp1").alias("fp1")))
     found = []
@@ -336,6 +475,25 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, distance: i
     for f in found[1:]:
         edges = edges.unionByName(f)
     edges = cut(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    roots = cut(components(similar(edges, docs, least, width)))
+
+    texts = docs.groupBy("text_id").agg(F.first("text").alias("text"))
+    frequent = frequent_shingles(docs, width, prints.count())
+    rare = rare_shingles(texts.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left"), least, width, frequent)
+    short = shared_links(rare, least)
+    ids = prints.select("text_id", number_of("text_id").alias("id"))
+    more = short.join(ids.select(F.col("id").alias("a"), F.col("text_id").alias("x")), "a").join(ids.select(F.col("id").alias("b"), F.col("text_id").alias("y")), "b")
+    more = similar(cut(more.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))), docs, least, width)
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+
+
+def number_of(text_id: str):
+    """The first eight bytes of a text_id as a signed long."""
+    return F.conv(F.hex(F.substring(text_id, 1, 8)), 16, -10).cast("long")
+
+
+def similar(edges: DataFrame, docs: DataFrame, least: float, width: int) -> DataFrame:
+    """Those of the pairs (a, b) of text_ids whose sets of shingles have a Jaccard similarity of `least` or more."""
     named = edges.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
     sets = cut(shingle_sets(docs.join(named, "text_id").groupBy("text_id").agg(F.first("text").alias("text")), width))
 
