@@ -196,6 +196,23 @@ def test_short_and_long_forests_agree(spark, monkeypatch):
     pd.testing.assert_frame_equal(a, b, rtol=1e-12)
 
 
+def test_short_recordings_are_completed_where_they_are_scored(spark):
+    """No window over the rows, and the scores of recordings that the windows completed; one signal has no value at all."""
+    rng = np.random.default_rng(5)
+    rows = [(f"r{r}", i, None if i < 3 or rng.random() < 0.3 else float(rng.normal()), None if r == 2 else float(rng.integers(0, 5)), None if i > 60 else i)
+            for r, n in enumerate((16, 90, 300, 15)) for i in range(n)]
+    s = Series.of(spark.createDataFrame(rows, "recording_id string, idx long, a double, b double, c long").repartition(3), ("recording_id",))
+    got = forest.row_scores(s, ["a", "b", "c"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+    full = P.fill_columns(s, ["a", "b", "c"]).df.toPandas().sort_values(["recording_id", "idx"])
+    got = collected(got, ["recording_id", "idx"])
+    assert sorted(got.recording_id.unique()) == ["r0", "r1", "r2"]
+    for name, part in got.groupby("recording_id"):
+        x = full[full.recording_id == name][["a", "b", "c"]].to_numpy(float)
+        np.testing.assert_array_equal(part.score.to_numpy(), forest.whole_scores(x, f"42:{name}"))
+
+
 def test_forest_does_not_depend_on_layout(table):
     wide = wide_form(table, ["a", "b"], ["recording_id", "idx", "t"])
     a = forest.row_scores(Series.of(wide.repartition(1), ("recording_id",)), ["a", "b"])
