@@ -228,3 +228,29 @@ def test_compared_methods_of_short_recordings_are_not_written(table, monkeypatch
     monkeypatch.setattr(Series, "cut", written)
     got = C.compare_stage(s, "outlier", ["none", "iqr"], {"imputation": "linear"}, OUTLIER_FIRST, ST, "energy", 50.0).collect()
     assert got == want and {r["method"] for r in got} == {"none", "iqr"}
+
+
+def test_row_medians_equal_the_filter_and_stay_in_place(spark, table):
+    """Segments of 1 to 30 samples, cut by gaps and by times, with irregular rows; no second shuffle and no Python."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for r, lengths in enumerate(([30, 9, 1, 8, 12], [10], [3, 25])):
+        idx, t = 0, 0.0
+        for n in lengths:
+            x = np.round(rng.normal(size=n), 1)
+            rows += [(f"r{r}", "a", idx + i, t + i, float(v), r == 1) for i, v in enumerate(x)]
+            want |= {(f"r{r}", idx + i): v for i, v in enumerate(smooth.moving_median(x) if n >= 9 and r != 1 else x)}
+            if n == 12 or n == 1:  # a gap in time alone
+                idx, t = idx + n, t + n + 50
+            else:
+                rows += [(f"r{r}", "a", idx + n, t + n, None, r == 1)]
+                idx, t = idx + n + 1, t + n + 1
+    s = Series.of(spark.createDataFrame(rows, "recording_id string, signal string, idx long, t double, value double, odd boolean").repartition(3))
+    out = smooth.smooth(s, ["none", "moving_median"], 5.0, F.col("odd")).df
+    got = {(r.recording_id, r.idx): (r.smo_none, r.smo_moving_median) for r in out.collect()}
+    assert len(got) == len(rows)
+    for k, (plain, median) in got.items():
+        assert median == want.get(k) and (plain is None) == (k not in want)
+    again = out.groupBy("recording_id", "signal").agg(F.max("smo_moving_median"))
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
