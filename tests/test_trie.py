@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from series_tables import long_table, series_frame
 from tidegauge.domains import IMPUTATION_FIRST, OUTLIER_FIRST
 from tidegauge.functions.series import Series
-from tidegauge.operators import smooth
+from tidegauge.operators import forest, smooth
 from tidegauge.plans import benchmark as B
 from tidegauge.plans import trie
 from tidegauge.plans.clean import Settings
@@ -130,6 +130,49 @@ def test_filters_on_many_rows():
             assert (got[2:3] == smooth.rows_smoothed(x[2:3], method, pad)).all(), method
 
 
+def test_runs_of_all_lengths_together():
+    """Every run between gaps is smoothed as it is alone."""
+    rng = np.random.default_rng(2)
+    for n, share in ((8, 0.0), (9, 0.0), (40, 0.05), (300, 0.02), (300, 0.1), (60, 0.6), (20, 1.0)):
+        x = rng.normal(size=(11, n)) * 1e4
+        x[rng.random(x.shape) < share] = np.nan
+        for method, pad in (("moving_median", True), ("moving_median", False), ("savgol", False), ("butterworth", False)):
+            want = x.copy()
+            for row, out in zip(x, want):
+                for run in np.ma.clump_unmasked(np.ma.masked_invalid(row)):
+                    if run.stop - run.start >= smooth.MIN_SEGMENT:
+                        out[run] = smooth.moving_median(row[run], pad) if method == "moving_median" else smooth.FILTERS[method](row[run])
+            np.testing.assert_allclose(smooth.parts_smoothed(x, method, pad), want, rtol=1e-9, atol=1e-9)
+
+
+def test_correlation_of_common_cells():
+    """As the definition on the common cells, also where a side is constant there or nearly so."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(6, 50)) + 1e6, rng.normal(size=(6, 50))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[1], y[2] = 0.1, np.nan
+    y[3, np.flatnonzero(~np.isnan(x[3]))[1:]] = np.nan
+    y[4, 5:] = np.nan
+    y[4, :5] = 7.0
+    at = np.arange(6)[None, :]
+    got = trie.correlations([(v, np.arange(6), at) for v in (x, y)])[0, 0]
+    for k in range(6):
+        both = ~np.isnan(x[k]) & ~np.isnan(y[k])
+        if k in (1, 2, 3, 4):
+            assert np.isnan(got[k])
+        else:
+            np.testing.assert_allclose(got[k], abs(np.corrcoef(x[k, both], y[k, both])[0, 1]), rtol=1e-6)
+
+
+def test_code_goes_to_the_tasks_after_other_queries(spark):
+    """The tasks' code holds no function of Spark's, which can't be sent once it was used."""
+    forest._pick_udf(F.lit("a"), F.lit(20))
+    s = Series.of(long_table(spark, series_frame(seed=7, recordings=1, n=30, signals=("a",))))
+    s = s.on(s.df.withColumn("clean", F.col("value")))
+    methods = {"outlier": ["none"], "imputation": ["linear"], "smoothing": ["none"]}
+    assert trie.leaf_measures(s, methods, ORDERS, 50.0).count() == 3
+
+
 def test_recording_of_two_domains(spark, monkeypatch):
     """Each domain's scores stand beside the uncleaned copy under each domain, as with copies."""
     s = Series.of(long_table(spark, series_frame(seed=8, recordings=1, n=40, signals=("a",))))

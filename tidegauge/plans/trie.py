@@ -22,9 +22,10 @@ from pyspark.sql import types as T
 
 from tidegauge.domains import OUTLIER_FIRST
 from tidegauge.functions.series import Series
-from tidegauge.operators import forest, smooth
+from tidegauge.operators.forest import MIN_ROWS, whole_scores
 from tidegauge.operators.outliers import MIN_SAMPLES
 from tidegauge.operators.profile import MAD_SCALE
+from tidegauge.operators.smooth import parts_smoothed
 from tidegauge.operators.validate import TINY
 
 # Methods that look across signals, which a recording of one signal runs in the trie too.
@@ -36,6 +37,8 @@ MEASURES = ("missing_rate", "missing_run_p95_seconds", "missing_burstiness", "ou
 DIRTY = "dirty"  # the order of the row of the uncleaned copy
 CELLS = 4_000_000  # of a matrix that a stage makes at a time
 BATCH_CELLS = 400_000  # of the leaves of recordings of one length that are walked together
+CLOSE = 1e-6  # share of a sum of squares below which its digits are not enough
+FLAT = 1e-18  # the same of the largest value's square
 LABELS = ("order", "imputation", "outlier", "smoothing")
 
 
@@ -65,8 +68,12 @@ def picked(x: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def filled(x: np.ndarray) -> np.ndarray:
     """By row number between observations, the nearest one at the edges."""
-    if not np.isnan(x).any():
-        return x
+    open_rows = np.isnan(x).any(axis=1)
+    if not open_rows.all():
+        out = x.copy() if open_rows.any() else x
+        if open_rows.any():
+            out[open_rows] = filled(x[open_rows])
+        return out
     p, n = anchors(x)
     a, b = picked(x, p), picked(x, n)
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -74,11 +81,25 @@ def filled(x: np.ndarray) -> np.ndarray:
     return np.where(~np.isnan(x), x, np.where(np.isnan(a), b, np.where(np.isnan(b), a, inner)))
 
 
+def deviations(x: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """From the mean of the row; 0 where missing."""
+    gone = np.isnan(x)
+    if not gone.any():
+        return x - (x.sum(axis=1) / valid)[:, None]
+    total = np.where(gone, 0.0, x).sum(axis=1)
+    return np.where(gone, 0.0, x - (total / valid)[:, None])
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sum of the products of every row."""
+    return np.einsum("ij,ij->i", a, b)
+
+
 def spread(x: np.ndarray, valid: np.ndarray, ddof: int = 0) -> np.ndarray:
     """Standard deviation of every row; exactly 0 where all its values are equal."""
     with np.errstate(invalid="ignore", divide="ignore"):
-        mean = np.nansum(x, axis=1) / valid
-        sd = np.sqrt(np.nansum((x - mean[:, None]) ** 2, axis=1) / (valid - ddof))
+        d = deviations(x, valid)
+        sd = np.sqrt((d * d).sum(axis=1) / (valid - ddof))
     same = np.fmax.reduce(x, axis=1) == np.fmin.reduce(x, axis=1)
     return np.where(same, 0.0, sd)
 
@@ -150,26 +171,16 @@ def imputation(x: np.ndarray, method: str, t: np.ndarray, bench: bool) -> np.nda
 def smoothing(x: np.ndarray, method: str, bench: bool) -> np.ndarray:
     if method == "none":
         return x
-    x = filled(x) if bench else x
-    out = x.copy()
-    # Runs of observed samples are smoothed each for itself, those of one length together.
-    edge = np.pad(~np.isnan(x), ((0, 0), (1, 1))).astype(np.int8)
-    rows, begin = np.nonzero(np.diff(edge, axis=1) == 1)
-    length = np.nonzero(np.diff(edge, axis=1) == -1)[1] - begin
-    for n in np.unique(length[length >= smooth.MIN_SEGMENT]):
-        some = length == n
-        at = rows[some, None], begin[some, None] + np.arange(n)
-        out[at] = smooth.rows_smoothed(x[at], method, bench)
-    return out
+    return parts_smoothed(filled(x) if bench else x, method, bench)
 
 
 def forest_cleaned(x: np.ndarray, names: list[str], bench: bool) -> np.ndarray:
     """Outlier stage by an isolation forest per row, for recordings of one signal; names: what seeds each row's forest."""
-    if x.shape[1] < forest.MIN_ROWS:
+    if x.shape[1] < MIN_ROWS:
         hit = np.zeros(x.shape, bool)
     else:
         y = filled(x)
-        hit = np.array([forest.whole_scores(v[:, None], name) > 0.5 for v, name in zip(np.where(np.isnan(y), 0.0, y), names)])
+        hit = np.array([whole_scores(v[:, None], name) > 0.5 for v, name in zip(np.where(np.isnan(y), 0.0, y), names)])
     return flagged(x, hit, bench)
 
 
@@ -201,12 +212,12 @@ def measures(x: np.ndarray, rec: np.ndarray, t: np.ndarray, rate: float, clean:
     with np.errstate(invalid="ignore", divide="ignore"):
         ordered = np.sort(x, axis=1)
         q1, middle, q3 = (quantile(ordered, valid, p)[:, None] for p in (0.25, 0.5, 0.75))
-        mean = (np.nansum(x, axis=1) / valid)[:, None]
-        sd = spread(x, valid)
         some = np.maximum(valid, 1)
-        z = (x - mean) / np.where(sd > 0, sd, np.nan)[:, None]
+        z = deviations(x, valid)
+        sd = np.where(ordered[:, 0] == ordered[np.arange(rows), some - 1], 0.0, np.sqrt(squares(z, z) / valid))
+        z /= np.where(sd > 0, sd, np.nan)[:, None]
         zz = z * z
-        skew, kurt = np.nansum(zz * z, axis=1) / some, np.nansum(zz * zz, axis=1) / some - 3
+        skew, kurt = squares(zz, z) / some, squares(zz, zz) / some - 3
         skew = skew * np.sqrt(valid * (valid - 1.0)) / (valid - 2)
         kurt = (valid - 1) / ((valid - 2.0) * (valid - 3)) * ((valid + 1) * kurt + 6)
         y = filled(x)
@@ -221,8 +232,9 @@ def measures(x: np.ndarray, rec: np.ndarray, t: np.ndarray, rate: float, clean:
         drift = np.clip((rolled.max(axis=1) - rolled.min(axis=1)) / (4 * sd_fill1), 0, 1) if n >= 30 else zero
         drift = np.where(sd_fill1 == 0, 0.0, drift)
         off = x - clean[rec]
-        both = (~np.isnan(off)).sum(axis=1)
-        rmse = np.sqrt(np.nansum(off ** 2, axis=1) / both)
+        lost = np.isnan(off)
+        off[lost] = 0.0
+        rmse = np.sqrt(squares(off, off) / (n - lost.sum(axis=1)))
         share = lambda hit: np.where(valid > 0, (hit & ~gone).sum(axis=1) / some, 0.0)
         out = {
             "missing_burstiness": burst, "outlier_iqr_rate": share(beyond_fences(x, q1, q3)), "outlier_mad_rate": share(beyond_mad(x, middle, valid)),
@@ -234,22 +246,43 @@ def measures(x: np.ndarray, rec: np.ndarray, t: np.ndarray, rate: float, clean:
     return out | {"missing_rate": (n - valid) / n, "missing_run_p95_seconds": p95, "rmse": rmse, "sd": sd_clean[rec], "cells": np.full(rows, float(n)), "gone": n - valid * 1.0}
 
 
+def _correlation(x, mx, a, flat_x, y, my, b, flat_y) -> np.ndarray:
+    """|correlation| of the rows of x with those of y over their common cells; NaN where a side is constant.
+
+    m: 1 where observed, a and b: deviations from the row's mean, 0 where missing, flat: hardly any spread in the row.
+    """
+    with np.errstate(invalid="ignore", divide="ignore"):
+        n, sa, sb = squares(mx, my), squares(a, my), squares(b, mx)
+        saa, sbb = np.einsum("ij,ij,ij->i", a, a, my), np.einsum("ij,ij,ij->i", b, b, mx)
+        va, vb = saa - sa * sa / n, sbb - sb * sb / n
+        r = np.abs(squares(a, b) - sa * sb / n) / np.sqrt(va * vb)
+        # Where next to nothing is left of a sum of squares, its digits are not enough: the common cells are looked at alone.
+        near = flat_x | flat_y | ~((va > CLOSE * saa) & (vb > CLOSE * sbb))
+        if near.any():
+            both = (mx[near] > 0) & (my[near] > 0)
+            p, q, n = np.where(both, x[near], np.nan), np.where(both, y[near], np.nan), n[near]
+            wide = spread(p, n) * spread(q, n)
+            r[near] = np.abs((deviations(p, n) * deviations(q, n)).sum(axis=1) / n / np.where(wide > 0, wide, np.nan))
+    return r
+
+
 def correlations(now: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
     """Per signal, candidate and recording the mean |correlation| with the other signals; pairs without one are left out."""
     shape = now[0][2].shape
     if len(now) == 1:
         return np.zeros((1, *shape))
     found = [[] for _ in now]
-    for i, (xi, _, at_i) in enumerate(now):
-        for j, (xj, _, at_j) in enumerate(now[:i]):
-            pair, back = np.unique(at_i * len(xj) + at_j, return_inverse=True)
-            p, q = xi[pair // len(xj)], xj[pair % len(xj)]
-            both = ~np.isnan(p) & ~np.isnan(q)
-            a, b, n = np.where(both, p, np.nan), np.where(both, q, np.nan), both.sum(axis=1)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                da, db = a - (np.nansum(a, axis=1) / n)[:, None], b - (np.nansum(b, axis=1) / n)[:, None]
-                wide = spread(a, n) * spread(b, n)
-                r = np.abs(np.nansum(da * db, axis=1) / n / np.where(wide > 0, wide, np.nan))[back].reshape(shape)
+    rows = []
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for x, _, at in now:
+            seen = ~np.isnan(x)
+            d = deviations(x, seen.sum(axis=1))
+            rows.append((x, seen.astype(float), d, squares(d, d) <= FLAT * np.fmax.reduce(np.abs(x), axis=1) ** 2, at))
+    for i, (*one, at_i) in enumerate(rows):
+        for j, (*other, at_j) in enumerate(rows[:i]):
+            size = len(other[0])
+            pair, back = np.unique(at_i * size + at_j, return_inverse=True)
+            r = _correlation(*[c[pair // size] for c in one], *[c[pair % size] for c in other])[back].reshape(shape)
             found[i].append(r)
             found[j].append(r)
     with np.errstate(invalid="ignore", divide="ignore"):
