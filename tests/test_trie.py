@@ -173,6 +173,18 @@ def test_code_goes_to_the_tasks_after_other_queries(spark):
     assert trie.leaf_measures(s, methods, ORDERS, 50.0).count() == 3
 
 
+def test_forests_of_one_signal():
+    """Scores from ranges of sorted values are, bit by bit, those of trees that are grown and walked."""
+    rng = np.random.default_rng(0)
+    for n in (16, 67, 256, 300):
+        x = rng.normal(size=(4, n))
+        x[1], x[2], x[3, :n // 2] = 3.3, rng.integers(0, 4, n), 0.0
+        names = [f"42:{i}:a" for i in range(4)]
+        want = [forest.whole_scores(v[:, None], name) for v, name in zip(x, names)]
+        assert (forest.line_scores(x, names) == np.array(want)).all(), n
+    assert forest.line_scores(np.empty((0, 20)), []).shape == (0, 20)
+
+
 def test_recording_of_two_domains(spark, monkeypatch):
     """Each domain's scores stand beside the uncleaned copy under each domain, as with copies."""
     s = Series.of(long_table(spark, series_frame(seed=8, recordings=1, n=40, signals=("a",))))

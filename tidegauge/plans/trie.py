@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tidegauge.domains import OUTLIER_FIRST
 from tidegauge.functions.series import Series
-from tidegauge.operators.forest import MIN_ROWS, whole_scores
+from tidegauge.operators.forest import MIN_ROWS, line_scores
 from tidegauge.operators.outliers import MIN_SAMPLES
 from tidegauge.operators.profile import MAD_SCALE
 from tidegauge.operators.smooth import parts_smoothed
@@ -180,7 +180,7 @@ def forest_cleaned(x: np.ndarray, names: list[str], bench: bool) -> np.ndarray:
         hit = np.zeros(x.shape, bool)
     else:
         y = filled(x)
-        hit = np.array([whole_scores(v[:, None], name) > 0.5 for v, name in zip(np.where(np.isnan(y), 0.0, y), names)])
+        hit = line_scores(np.where(np.isnan(y), 0.0, y), names) > 0.5
     return flagged(x, hit, bench)
 
 
