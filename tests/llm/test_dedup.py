@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from near_copies_direct import direct_near_classes, kept_by
 from tidegauge.llm import lines, simhash, substring
+from tidegauge.settings import release
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -301,3 +303,25 @@ def test_near_links_connect_what_all_pairs_connect(spark, monkeypatch, group, pa
             out.setdefault(find(f), set()).add(f)
         return sorted(map(sorted, out.values()))
     assert classes_of(edges) == classes_of([(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 5])
+
+
+def test_files_of_finished_steps_are_released(spark, docs_of, monkeypatch):
+    """Shuffles that nothing can read any more leave the disk before the texts are compared by their rare shingles."""
+    known = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    numbers = lambda: {int(x) for x in known.keys().mkString(",").split(",") if x}
+    rare, seen = simhash.rare_shingles, []
+
+    def checked(*args):
+        end = time.time() + 20
+        while len(numbers() - before) > 5 and time.time() < end:
+            time.sleep(0.2)
+        seen.append(len(numbers() - before))
+        return rare(*args)
+
+    release(spark.range(1))
+    time.sleep(2)
+    before = numbers()
+    monkeypatch.setattr(simhash, "rare_shingles", checked)
+    words = [f"w{i}" for i in range(60)]
+    docs = docs_of([(1, " ".join(words)), (2, " ".join(words[:-1] + ["x"])), (3, "another text")])
+    assert simhash.one_of_each(docs).count() == 2 and seen[0] <= 5

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidegauge.llm.common import cut, slices, spans
+from tidegauge.llm.common import cut, release, slices, spans
 
 GROUP = 256  # fingerprints of a key that are compared with each other in one go
 DEPTH = 4  # times that a larger group is cut again
@@ -475,12 +475,16 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, distance: i
     for f in found[1:]:
         edges = edges.unionByName(f)
     edges = cut(edges.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    release(docs)
     roots = cut(components(similar(edges, docs, least, width)))
+    release(docs)
 
     texts = docs.groupBy("text_id").agg(F.first("text").alias("text"))
     frequent = frequent_shingles(docs, width, prints.count())
+    release(docs)
     rare = rare_shingles(texts.join(roots.withColumnRenamed("node", "text_id"), "text_id", "left"), least, width, frequent)
     short = shared_links(rare, least)
+    release(docs)
     ids = prints.select("text_id", number_of("text_id").alias("id"))
     more = short.join(ids.select(F.col("id").alias("a"), F.col("text_id").alias("x")), "a").join(ids.select(F.col("id").alias("b"), F.col("text_id").alias("y")), "b")
     more = similar(cut(more.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))), docs, least, width)
@@ -496,6 +500,7 @@ def similar(edges: DataFrame, docs: DataFrame, least: float, width: int) -> Data
     """Those of the pairs (a, b) of text_ids whose sets of shingles have a Jaccard similarity of `least` or more."""
     named = edges.select(F.explode(F.array("a", "b")).alias("text_id")).distinct()
     sets = cut(shingle_sets(docs.join(named, "text_id").groupBy("text_id").agg(F.first("text").alias("text")), width))
+    release(docs)
 
     def compare(batches):
         for batch in batches:
@@ -517,6 +522,7 @@ def one_of_each(docs: DataFrame, least: float = 0.8, width: int = 5, distance: i
     rows = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.struct(*fields).alias("row"))
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     roots = cut(components(near_copies(rows.select("text_id", "text"), least, width, distance)))
+    release(docs)
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     ids = rows.select("text_id", rank.alias("rank")).groupBy("text_id").agg(F.min("rank").alias("rank"))
     ranked = members.join(ids, members["node"] == ids["text_id"]).select("node", "root", F.struct("rank", "node").alias("rank"))
