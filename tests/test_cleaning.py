@@ -230,6 +230,21 @@ def test_compared_methods_of_short_recordings_are_not_written(table, monkeypatch
     assert got == want and {r["method"] for r in got} == {"none", "iqr"}
 
 
+def test_a_chunk_goes_to_its_own_filter(table, monkeypatch):
+    """Where a column names the method of each recording, its samples reach no other filter, and the values are as before."""
+    methods = ["none", "savgol", "butterworth"]
+    by = F.when(F.col("recording_id") == "r0", "savgol").when(F.col("recording_id") == "r1", "butterworth").otherwise("none")
+    s = Series.of(table.withColumn("use", by))
+    alone = {m: collected(smooth.smooth(Series.of(table), [m]).df, KEYS) for m in methods}
+    out = collected(smooth.smooth(s, methods, only="use").df, KEYS)
+    for m in methods:
+        mine = (out.use == m).to_numpy()
+        assert mine.any()
+        np.testing.assert_array_equal(out.loc[mine, "smo_" + m], alone[m].loc[mine, "smo_" + m])
+    others = out.loc[(out.use != "savgol").to_numpy(), "smo_savgol"]
+    assert others.isna().all()
+
+
 def test_row_medians_equal_the_filter_and_stay_in_place(spark, table):
     """Segments of 1 to 30 samples, cut by gaps and by times, with irregular rows; no second shuffle and no Python."""
     rng = np.random.default_rng(8)
