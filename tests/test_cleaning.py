@@ -230,6 +230,21 @@ def test_compared_methods_of_short_recordings_are_not_written(table, monkeypatch
     assert got == want and {r["method"] for r in got} == {"none", "iqr"}
 
 
+def test_stage_metrics_clean_once(table):
+    """The shares and the scaled range come from one pass over the cleaned rows, as two would give them."""
+    s = C.run_one(Series.of(table), {"outlier": "iqr", "imputation": "linear", "scaling": "standard"}, OUTLIER_FIRST, ST)
+    out = C.stage_metrics(s, OUTLIER_FIRST)
+    assert out._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") == 1
+    pdf, got = s.df.toPandas(), out.toPandas().set_index("recording_id")
+    for r, rows in pdf.groupby("recording_id"):
+        filled = rows.after_outlier.isna() & rows.after_imputation.notna()
+        assert got.imputed_fraction[r] == filled.mean() and got.outlier_affected_fraction[r] == (rows.detected & rows.raw.notna()).mean()
+        assert got.remaining_missing_fraction[r] == rows.value.isna().mean()
+        each = rows.groupby("signal").after_scaling
+        assert got.scaled_min_median[r] == each.min().median() and got.scaled_max_median[r] == each.max().median()
+        np.testing.assert_allclose(got.scaled_std_median[r], each.std(ddof=0).median())
+
+
 def test_a_chunk_goes_to_its_own_filter(table, monkeypatch):
     """Where a column names the method of each recording, its samples reach no other filter, and the values are as before."""
     methods = ["none", "savgol", "butterworth"]
