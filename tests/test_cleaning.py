@@ -245,6 +245,19 @@ def test_stage_metrics_clean_once(table):
         np.testing.assert_allclose(got.scaled_std_median[r], each.std(ddof=0).median())
 
 
+def test_compared_methods_are_scored_in_the_tasks(table, monkeypatch):
+    """Qualities from the trie are those of the profiles, and the cleaned copies are read once for all else."""
+    s, args = Series.of(table), ("outlier", ["none", "zscore", "iqr", "mad", "winsorize"], {"imputation": "linear", "smoothing": "savgol"}, OUTLIER_FIRST, ST, "energy", 50.0)
+    monkeypatch.setattr(C, "_walked_quality", lambda *a: None)
+    want = C.compare_stage(s, *args).toPandas().sort_values(["recording_id", "method"]).reset_index(drop=True)
+    monkeypatch.undo()
+    monkeypatch.setattr(C, "profile_with_corr", None)
+    got = C.compare_stage(s, *args)
+    assert got._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") == 2
+    got = got.toPandas().sort_values(["recording_id", "method"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9, atol=1e-9)
+
+
 def test_a_chunk_goes_to_its_own_filter(table, monkeypatch):
     """Where a column names the method of each recording, its samples reach no other filter, and the values are as before."""
     methods = ["none", "savgol", "butterworth"]
