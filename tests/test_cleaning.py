@@ -16,6 +16,7 @@ from tidegauge.operators.impute import impute
 from tidegauge.operators.outliers import handle
 from tidegauge.plans import clean as C
 from tidegauge.plans import evaluate as E
+from tidegauge.settings import cut_in_place
 
 KEYS = ["recording_id", "signal", "idx"]
 ST = C.Settings(signals=("a", "b"))
@@ -273,6 +274,16 @@ def test_a_chunk_goes_to_its_own_filter(table, monkeypatch):
     assert others.isna().all()
 
 
+def test_layout_outlasts_a_cut(spark):
+    """What is written in place is grouped by its key, and more, without another shuffle."""
+    df = spark.range(100).select((F.col("id") % 7).alias("k"), (F.col("id") % 3).alias("x"), "id").repartition(5, "k")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    out = cut_in_place(df).groupBy("k", "x").agg(F.sum("id").alias("s"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert spark.conf.get("spark.sql.adaptive.enabled") == before
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, df.groupBy("k", "x").agg(F.sum("id")).collect()))
+
+
 def test_row_medians_equal_the_filter_and_stay_in_place(spark, table):
     """Segments of 1 to 30 samples, cut by gaps and by times, with irregular rows; no second shuffle and no Python."""
     rng = np.random.default_rng(8)
